@@ -21,50 +21,63 @@ from panelkit.plans.catalogue import (
     SLOW_SPANS,
     derived,
 )
+from panelkit.session import is_small, materialise
 
 OWN_DERIVED = derived(OWN_MEASURES, [3, 5], OWN_SPANS) + ["conversion_rate_avg_3yr"]
 SLOW_DERIVED = derived(SLOW_MEASURES, SLOW_SPANS, SLOW_SPANS)
 COUNTY_DERIVED = derived(COUNTY_MEASURES, COUNTY_MEAN_SPANS, COUNTY_CHANGE_SPANS)
 
 
+SENTINEL_COLUMNS = (
+    [f"{c}_pct_change_{n}yr{tail}" for c in SLOW_MEASURES for n in SLOW_SPANS for tail in ("", "_tr")]
+    + [f"{c}_pct_change_{n}yr{tail}" for c in OWN_MEASURES for n in OWN_SPANS for tail in ("_lag", "_lag_tr")]
+    + [f"{c}_pct_change_{n}yr" for c in COUNTY_MEASURES for n in COUNTY_CHANGE_SPANS]
+)
+
+
 def level_features(level: DataFrame) -> DataFrame:
-    """Own-level rates, trailing means and changes of one geographic level, sentinels repaired."""
+    """Rates, trailing means and changes of one geographic level."""
     rated = level.withColumn("conversion_rate", conversion_rate("evictions", "eviction_filings"))
-    out = feature_batch(rated, "geo_id", "year", [
+    return feature_batch(rated, "geo_id", "year", [
         (OWN_MEASURES, OWN_SPANS, OWN_SPANS), (SLOW_MEASURES, SLOW_SPANS, SLOW_SPANS),
     ])
-    changes = [f"{c}_pct_change_{n}yr" for c in OWN_MEASURES for n in OWN_SPANS]
-    changes += [f"{c}_pct_change_{n}yr" for c in SLOW_MEASURES for n in SLOW_SPANS]
-    return sentinel_repair(out, changes, "year")
+
+
+def build_labels(keyed: DataFrame) -> DataFrame:
+    """Top-quintile and large-increase labels with their lags.
+
+    The increase label reads the unrepaired change, so a rise from zero counts as an increase.
+    """
+    raised = feature_batch(keyed.select("geo_id", "year", "evictions"), "geo_id", "year", [(["evictions"], [], [1])])
+    raised = increase_label(raised, "evictions_pct_change_1yr", "e_num_inc_20pct")
+    ranked = top_tile_labels(keyed, "geo_id", "year", {"top20_num": "evictions", "top20_rate": "eviction_rate"},
+                             "evictions")
+    labels = ranked.join(raised.select("geo_id", "year", "e_num_inc_20pct"), ["geo_id", "year"])
+    return lagged_labels(labels, ["top20_num", "top20_rate", "e_num_inc_20pct"], "geo_id", "year")
 
 
 def build_panel(
     groups: DataFrame, tracts: DataFrame, permits: DataFrame, households: DataFrame, urban: DataFrame,
     states: Sequence[str] = SAMPLE_STATES,
 ) -> DataFrame:
-    """The modelling table: one row per block group and year with every catalogued feature and label."""
+    """The modelling table: one row per block group and year with every catalogued feature and label.
+
+    Sentinels are repaired last, over all change columns in one aggregation; a large panel is
+    written to reliable storage before that second pass.
+    """
     keyed = groups.select("*", *prefix_keys("geo_id")).where(F.col("state").isin(list(states)))
-    base = level_features(keyed)
     upper = level_features(tracts).withColumnRenamed("geo_id", "tract")
-    out = lag_bundle(base, OWN_DERIVED, "geo_id", "year")
+    out = lag_bundle(level_features(keyed), OWN_DERIVED, "geo_id", "year")
     out = parent_bundle(out, upper, "tract", "year", SLOW_DERIVED, ["geo_id"])
     out = parent_lag_bundle(out, upper, "tract", "year", OWN_DERIVED, ["geo_id"])
     out = out.join(households.withColumnRenamed("avg_size", "avg_hh_size"), ["geo_id", "year"], "left")
     county = feature_batch(permits.select("geo_id", "year", *COUNTY_MEASURES), "geo_id", "year",
                            [(COUNTY_MEASURES, COUNTY_CHANGE_SPANS, COUNTY_CHANGE_SPANS)])
-    county = sentinel_repair(county, [f"{c}_pct_change_{n}yr" for c in COUNTY_MEASURES for n in COUNTY_CHANGE_SPANS],
-                             "year")
     county = county.select(F.col("geo_id").alias("county"), "year", *COUNTY_DERIVED)
     out = lookup_join(out, county, ["county", "year"], "left", ["geo_id"])
     members = urban.select(F.lpad(F.col("GEOID").cast("string"), 5, "0").alias("county"))
     out = membership_flag(out, members, "county", "urban", ["geo_id", "year"])
-    out = out.select("*", *division_flags("state"))
-    # The increase label reads the raw change: a rise from zero counts, whatever the year's ceiling.
-    raised = feature_batch(keyed.select("geo_id", "year", "evictions"), "geo_id", "year", [(["evictions"], [], [1])])
-    raised = increase_label(raised, "evictions_pct_change_1yr", "e_num_inc_20pct").select(
-        "geo_id", "year", "e_num_inc_20pct"
-    )
-    ranked = top_tile_labels(keyed, "geo_id", "year", {"top20_num": "evictions", "top20_rate": "eviction_rate"},
-                             "evictions")
-    labels = lagged_labels(ranked.join(raised, ["geo_id", "year"]), ["top20_num", "e_num_inc_20pct"], "geo_id", "year")
-    return out.join(labels, ["geo_id", "year"])
+    out = out.select("*", *division_flags("state")).join(build_labels(keyed), ["geo_id", "year"])
+    if not is_small(groups):
+        out = materialise(out)
+    return sentinel_repair(out, SENTINEL_COLUMNS, "year")
