@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from panelkit.plans.splits import hash_folds
+
 BLOCK_ROWS = 20_000
 _CELLS = 4_000_000
 
@@ -114,3 +116,15 @@ def evaluation_grid(near: DataFrame, ks: Sequence[int], weights: Sequence[str])
     hit = (F.col("predicted") == F.col("query_label")).cast("double")
     voted = vote(near, [(k, w) for k in ks for w in weights])
     return voted.groupBy("k", "weights").agg(F.avg(hit).alias("accuracy"))
+
+
+def cross_validated_accuracy(
+    df: DataFrame, ks: Sequence[int], folds: int, id_col: str, features: str, label: str, seed: int = 0,
+    metric: str = "euclidean",
+) -> DataFrame:
+    """Mean over folds of the accuracy for each k; one search in which own-fold rows are no candidates."""
+    folded = hash_folds(df, [id_col], seed, folds)
+    near = nearest(folded, folded, max(ks), id_col, features, label, metric, fold="fold")
+    voted = hash_folds(vote(near, [(k, "uniform") for k in ks]), ["query_id"], seed, folds)
+    hit = (F.col("predicted") == F.col("query_label")).cast("double")
+    return voted.groupBy("k", "fold").agg(F.avg(hit).alias("a")).groupBy("k").agg(F.avg("a").alias("accuracy"))

@@ -287,8 +287,8 @@ def q_histogram(spark, folder):
 
 
 @query("histogram_by_class", """SELECT event_type, CAST(least(floor(value / 5.0), 9) AS INTEGER) AS bin,
- round(CAST(least(floor(value / 5.0), 9) AS INTEGER) * 5.0, 6) AS from_value,
- round((CAST(least(floor(value / 5.0), 9) AS INTEGER) + 1) * 5.0, 6) AS to_value, count(*) AS n
+ round(CAST(least(floor(value / 5.0), 9) AS INTEGER) * CAST(5 AS DOUBLE), 6) AS from_value,
+ round((CAST(least(floor(value / 5.0), 9) AS INTEGER) + 1) * CAST(5 AS DOUBLE), 6) AS to_value, count(*) AS n
  FROM events WHERE value BETWEEN 0 AND 50 GROUP BY 1, 2, 3, 4""")
 def histogram_by_class(spark, folder):
     out = histogram(table(spark, folder, "events"), "value", 10, (0, 50), "event_type")

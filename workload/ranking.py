@@ -23,7 +23,7 @@ from panelkit.operators.metrics import (
 from panelkit.operators.order import assign_ranks, top_rows, top_share
 from panelkit.operators.panel import period_bounds
 from panelkit.plans.catalogue import subset_table
-from panelkit.plans.models import GRIDS, prior_baseline, random_baseline
+from panelkit.plans.models import prior_baseline, random_baseline
 from panelkit.plans.runs import best_parameters, plan_frame, plan_runs
 from panelkit.plans.splits import apply_split, hash_folds, hash_split, rolling_splits, split_counts, splits_frame, tag_splits
 from panelkit.functions.scalars import year_start
@@ -204,7 +204,6 @@ def run_plan(spark, folder):
 
     runs = plan_runs(data_splits(spark, folder), subsets(feature_sets()), ["top20_num", "e_num_inc_20pct"],
                      ["RF", "GB", "BASELINE_DT"], 1)
-    assert GRIDS["RF"][1] is not None
     return plan_frame(spark, runs).groupBy("model_key", "outcome", "train_end").agg(F.count(F.lit(1)).alias("runs"))
 
 
