@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from panelkit.operators.clean import BIN_LABELS, equal_width_bins
 
@@ -45,22 +46,24 @@ def audit_input(
 def group_crosstab(df: DataFrame, attributes: Sequence[str], label: str, predicted: str) -> DataFrame:
     """Counts and rates per (attribute, value); a rate with an empty base is null.
 
-    Rows are counted once per attribute value on the map side before anything is shuffled.
+    Rows are counted once per attribute value on the map side before anything is shuffled, and the
+    list totals come from those counts, so the list itself is read once.
     """
     y, p = F.col("__y") == 1, F.col("__p") == 1
     slim = df.select(
         *[F.col(a).cast("string").alias(a) for a in attributes], F.col(label).alias("__y"), F.col(predicted).alias("__p")
     )
     long = slim.unpivot(["__y", "__p"], list(attributes), "attribute_name", "attribute_value")
-    long = long.where(F.col("attribute_value").isNotNull())
     counts = long.groupBy("attribute_name", "attribute_value").agg(
         F.count_if(p).alias("pp"), F.count_if(~p).alias("pn"), F.count_if(~y & p).alias("fp"),
         F.count_if(y & ~p).alias("fn"), F.count_if(~y & ~p).alias("tn"), F.count_if(y & p).alias("tp"),
         F.count_if(~y).alias("group_label_neg"), F.count_if(y).alias("group_label_pos"),
         F.count(F.lit(1)).alias("group_size"),
     )
-    whole = df.agg(F.struct(F.count_if(F.col(predicted) == 1).alias("k"), F.count(F.lit(1)).alias("n")).alias("s")).scalar()
-    counts = counts.select("*", whole["k"].alias("k"), whole["n"].alias("total_entities"))
+    whole = W.partitionBy("attribute_name")
+    counts = counts.select(
+        "*", F.sum("pp").over(whole).alias("k"), F.sum("group_size").over(whole).alias("total_entities")
+    ).where(F.col("attribute_value").isNotNull())
 
     def rate(a: str, b: str) -> Column:
         return F.try_divide(F.col(a).cast("double"), F.col(b).cast("double"))
@@ -83,19 +86,23 @@ def ratio_to_reference(x: Column, reference: Column) -> Column:
 def disparities(crosstab: DataFrame, references: Mapping[str, str], metrics: Sequence[str] = RATE_METRICS) -> DataFrame:
     """Each rate divided by the rate of the attribute's reference value.
 
-    `references` maps attribute to reference value. The reference table has one row per entry of
-    that mapping, so its broadcast is bounded by the caller's own list.
+    `references` maps attribute to reference value. The reference row is found with a window over
+    the crosstab, which holds one row per attribute value.
     """
-    chosen = None
+    is_reference = F.lit(False)
     for attribute, value in references.items():
         hit = (F.col("attribute_name") == attribute) & (F.col("attribute_value") == str(value))
-        chosen = hit if chosen is None else chosen | hit
-    reference = crosstab.where(chosen).select(
-        "attribute_name", F.col("attribute_value").alias("ref_group_value"),
-        *[F.col(m).alias(f"__ref_{m}") for m in metrics],
+        is_reference = is_reference | hit
+    whole = W.partitionBy("attribute_name")
+
+    def at_reference(c: str) -> Column:
+        return F.max(F.when(F.col("__is_ref"), F.col(c))).over(whole)
+
+    marked = crosstab.withColumn("__is_ref", is_reference).select(
+        "*", at_reference("attribute_value").alias("ref_group_value"),
+        *[at_reference(m).alias(f"__ref_{m}") for m in metrics],
     )
-    joined = crosstab.join(F.broadcast(reference), "attribute_name", "left")
-    return joined.select(
+    return marked.select(
         *crosstab.columns, "ref_group_value",
         *[ratio_to_reference(F.col(m), F.col(f"__ref_{m}")).alias(f"{m}_disparity") for m in metrics],
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,22 +20,24 @@ def top_tile_labels(
     tiles: int = 5,
     first: int | None = None,
     end: int | None = None,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """Per period, 1 for the top tile of each measure and 0 below; nulls rank first.
 
     `labels` maps label name to measure. Rows with a null `required` get no label; `end` is exclusive.
+    Columns in `keep` ride along, which spares a join back to a narrow panel.
     """
     out = df.where(F.col(required).isNotNull())
     if first is not None:
         out = out.where(F.col(period) >= first)
     if end is not None:
         out = out.where(F.col(period) < end)
-    out = out.select(entity, period, *dict.fromkeys(labels.values()))
+    out = out.select(entity, period, *dict.fromkeys([*labels.values(), *keep]))
     for name, measure in labels.items():
         order = [F.col(measure).desc_nulls_first(), F.col(entity)]
         out = assign_tiles(out, order, tiles, period, "__tile")
         out = out.withColumn(name, (F.col("__tile") == 1).cast("int")).drop("__tile")
-    return out.select(entity, period, *labels)
+    return out.select(entity, period, *labels, *keep)
 
 
 def tile_discretise(df: DataFrame, column: str, entity: str, period: str, year: int, tiles: int = 4) -> DataFrame:

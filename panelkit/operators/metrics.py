@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelkit.operators.order import assign_ranks, running_totals
-from panelkit.session import names
+from panelkit.session import lookup_rows, names
 
 # The population percentages at which precision, recall and F1 are reported.
 TOP_PERCENTS = [1, 2, 5, 10, 20, 30, 50]
@@ -108,6 +108,14 @@ def accuracy(df: DataFrame, label: str, predicted: str, by: str | Sequence[str]
 
 
 def flag_top(df: DataFrame, score: str, key: str | Sequence[str], k: int, name: str = "pred") -> DataFrame:
-    """1 for the k highest scores, 0 below."""
+    """1 for the k highest scores (ties by key), 0 below.
+
+    For a moderate k each task keeps k candidates and the k-th row becomes a cutoff every row is
+    compared with; nothing is sorted in full.
+    """
+    place = F.struct((-F.col(score)).alias("s"), *names(key))
+    if k <= lookup_rows(df.sparkSession):
+        last = df.select(place.alias("p")).orderBy("p").limit(k).agg(F.max("p")).scalar()
+        return df.withColumn(name, F.coalesce(place <= last, F.lit(False)).cast("int"))
     ranked = assign_ranks(df, [F.col(score).desc(), *names(key)], name="__rank")
     return ranked.withColumn(name, (F.col("__rank") <= k).cast("int")).drop("__rank")

@@ -17,7 +17,8 @@ from pyspark.sql import Window as W
 
 from panelkit.plans.splits import hash_folds
 
-BLOCK_ROWS = 20_000
+BLOCK_ROWS = 100_000
+_FEW_ROWS = 500
 _CELLS = 4_000_000
 
 
@@ -79,8 +80,10 @@ def nearest(
             F.col(label).cast("int").alias("label"), (F.col(fold) if fold else F.lit(0)).cast("int").alias("fold"),
         )
 
-    train_blocks = max(1, -(-train.count() // block_rows))
-    test_blocks = max(1, -(-test.count() // block_rows))
+    n_train, n_test = train.count(), test.count()
+    spare = train.sparkSession.sparkContext.defaultParallelism
+    train_blocks = max(1, -(-n_train // block_rows), min(spare, n_train // _FEW_ROWS))
+    test_blocks = max(1, -(-n_test // block_rows))
     left = _blocked(shape(train), "tb", train_blocks, "qb", test_blocks)
     right = _blocked(shape(test), "qb", test_blocks, "tb", train_blocks)
     schema = "query_id long, query_label int, id long, label int, distance double"

@@ -15,16 +15,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from panelkit.functions.scalars import col
-from panelkit.session import is_small, materialise, names
+from panelkit.functions.scalars import col, hash_uniform
+from panelkit.session import is_small, lookup_rows, materialise, names
 
 _PART, _LINE = "__part", "__line"
 
 
 def _ranged(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
     keys = [F.col(c).asc_nulls_first() for c in by] + order
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    split = df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+    # No partition count: adaptive execution sizes the ranges from the shuffled bytes.
+    split = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
     return materialise(
         split.select("*", F.spark_partition_id().alias(_PART), F.monotonically_increasing_id().alias(_LINE))
     )
@@ -179,7 +179,7 @@ def top_rows(df: DataFrame, order: Sequence[str | Column], n: int) -> DataFrame:
 
 def sample_entities(df: DataFrame, entity: str, n: int, seed: int) -> DataFrame:
     """All rows of n entities drawn repeatably: the n lowest keyed hashes."""
-    from panelkit.functions.scalars import hash_uniform
-
     drawn = df.select(entity).distinct().orderBy(hash_uniform([entity], seed), entity).limit(n)
+    if n <= lookup_rows(df.sparkSession):
+        drawn = F.broadcast(drawn)
     return df.join(drawn, entity, "left_semi")

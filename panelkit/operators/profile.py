@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,8 +14,9 @@ from panelkit.operators.joins import attribute_join
 from panelkit.operators.order import exact_quantiles
 from panelkit.session import names
 
-# Above this many pairs, correlations go through a long table instead of one expression per pair.
+# Above this many pairs, correlations come from matrix products instead of one expression per pair.
 WIDE_PAIRS = 66
+_SUMS = ["n", "sx", "sy", "sxx", "syy", "sxy"]
 
 
 def _tall(wide: DataFrame, columns: Sequence[str], fields: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -37,24 +40,42 @@ def summary_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return _tall(wide, columns, ["avg", "min", "max", "std"])
 
 
-def outlier_table(df: DataFrame, columns: Sequence[str], width: float = 3.0) -> DataFrame:
-    """Count and mean of the values beyond mean +/- width standard deviations, all columns in one pass."""
-    limits = df.agg(*[F.struct(F.avg(_num(c)).alias("m"), (F.stddev_samp(_num(c)) * width).alias("d")).alias(c)
-                      for c in columns])
-    row = limits.select(F.struct(*columns)).scalar()
-    stats = []
-    for c in columns:
-        x, m, d = _num(c), row[c]["m"], row[c]["d"]
-        high, low = x > m + d, x < m - d
-        stats.append(F.struct(
-            F.count_if(high).alias("count_high"), F.avg(F.when(high, x)).alias("avg_high"),
-            F.count_if(low).alias("count_low"), F.avg(F.when(low, x)).alias("avg_low"),
-        ).alias(c))
-    return _tall(df.agg(*stats), columns, ["count_high", "avg_high", "count_low", "avg_low"])
+def _moments(df: DataFrame, columns: Sequence[str]) -> Column:
+    """One scalar struct per column with its mean, ends and deviation."""
+    wide = df.agg(*[
+        F.struct(F.avg(_num(c)).alias("avg"), F.min(_num(c)).alias("min"), F.max(_num(c)).alias("max"),
+                 F.stddev_samp(_num(c)).alias("std")).alias(c)
+        for c in columns
+    ])
+    return wide.select(F.struct(*columns)).scalar()
 
 
-def summary_with_outliers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return summary_table(df, columns).join(outlier_table(df, columns), "variable")
+def _outlier_fields(c: str, moments: Column, width: float) -> list[Column]:
+    x, reach = _num(c), moments[c]["std"] * width
+    high, low = x > moments[c]["avg"] + reach, x < moments[c]["avg"] - reach
+    return [
+        F.count_if(high).alias("count_high"), F.avg(F.when(high, x)).alias("avg_high"),
+        F.count_if(low).alias("count_low"), F.avg(F.when(low, x)).alias("avg_low"),
+    ]
+
+
+def outlier_table(df: DataFrame, columns: Sequence[str], width: float = 3.0) -> DataFrame:
+    """Count and mean of the values beyond mean +/- width standard deviations, all columns in one pass."""
+    moments = _moments(df, columns)
+    wide = df.agg(*[F.struct(*_outlier_fields(c, moments, width)).alias(c) for c in columns])
+    return _tall(wide, columns, ["count_high", "avg_high", "count_low", "avg_low"])
+
+
+def summary_with_outliers(df: DataFrame, columns: Sequence[str], width: float = 3.0) -> DataFrame:
+    """Both tables joined on variable: one pass for the moments, one for the outliers."""
+    moments = _moments(df, columns)
+    counted = df.agg(*[F.struct(*_outlier_fields(c, moments, width)).alias(c) for c in columns])
+    wide = counted.select(*[
+        F.struct(*[moments[c][f].alias(f) for f in ("avg", "min", "max", "std")],
+                 *[F.col(c)[f].alias(f) for f in ("count_high", "avg_high", "count_low", "avg_low")]).alias(c)
+        for c in columns
+    ])
+    return _tall(wide, columns, ["avg", "min", "max", "std", "count_high", "avg_high", "count_low", "avg_low"])
 
 
 def describe_exact(df: DataFrame, columns: Sequence[str], by: str | Sequence[str] = ()) -> DataFrame:
@@ -116,11 +137,44 @@ def condition_share(df: DataFrame, condition: Column, by: str | Sequence[str] =
     )
 
 
+def _pair_sums(columns: Sequence[str]):
+    names_ = np.array(columns)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        totals = None
+        for batch in batches:
+            x = batch.to_numpy(dtype=float, na_value=np.nan)
+            known = (~np.isnan(x)).astype(float)
+            x = np.nan_to_num(x)
+            sums = np.stack([known.T @ known, x.T @ known, known.T @ x, (x * x).T @ known, known.T @ (x * x), x.T @ x])
+            totals = sums if totals is None else totals + sums
+        if totals is not None:
+            i, j = np.indices(totals.shape[1:])
+            data = dict(zip(_SUMS, totals.reshape(6, -1)))
+            yield pd.DataFrame({"a": names_[i.ravel()], "b": names_[j.ravel()], **data})
+
+    return run
+
+
+def _wide_correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """All pairs of many columns: each task adds up matrix products, and the pair sums are merged.
+
+    Values are centred on the column mean first, so the sums stay well conditioned.
+    """
+    means = df.agg(*[F.avg(_num(c)).alias(c) for c in columns]).select(F.struct(*columns)).scalar()
+    centred = df.select(*[(_num(c) - means[c]).alias(c) for c in columns])
+    schema = "a string, b string, " + ", ".join(f"{s} double" for s in _SUMS)
+    merged = centred.mapInPandas(_pair_sums(columns), schema).groupBy("a", "b").agg(*[F.sum(s).alias(s) for s in _SUMS])
+    n, sx, sy, sxx, syy, sxy = [F.col(s) for s in _SUMS]
+    spread = F.sqrt(F.greatest(n * sxx - sx * sx, F.lit(0.0))) * F.sqrt(F.greatest(n * syy - sy * sy, F.lit(0.0)))
+    return merged.select("a", "b", F.try_divide(n * sxy - sx * sy, spread).alias("r"))
+
+
 def correlation_pairs(df: DataFrame, columns: Sequence[str], full: bool = False) -> DataFrame:
     """Pearson correlation of column pairs, nulls dropped pair by pair.
 
-    The lower triangle by default; `full` adds the diagonal and the mirrored pairs. Both plans
-    aggregate on the map side and shuffle one partial row per pair.
+    The lower triangle by default; `full` adds the diagonal and the mirrored pairs. Either way a task
+    sends one partial row per pair.
     """
     pairs = [(a, b) for i, b in enumerate(columns) for a in columns[i + 1:]]
     if full:
@@ -133,13 +187,8 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str], full: bool = False)
         ])
         out = wide.select(F.inline(entries))
     else:
-        slim = df.select(F.array(*[_num(c) for c in columns]).alias("v"))
-        label = F.array(*[F.lit(c) for c in columns])
-        at = {c: i for i, c in enumerate(columns)}
-        index = F.array(*[F.struct(F.lit(at[a]).alias("i"), F.lit(at[b]).alias("j")) for a, b in pairs])
-        long = slim.select("v", F.inline(index))
-        out = long.groupBy("i", "j").agg(F.corr(F.get("v", F.col("i")), F.get("v", F.col("j"))).alias("r"))
-        out = out.select(F.get(label, F.col("i")).alias("a"), F.get(label, F.col("j")).alias("b"), "r")
+        wanted = df.sparkSession.createDataFrame(pairs, "a string, b string")
+        out = wanted.join(_wide_correlations(df, columns), ["a", "b"], "left")
     if not full:
         return out
     mirrored = F.when(F.col("a") == F.col("b"), F.array(F.struct("a", "b"))).otherwise(

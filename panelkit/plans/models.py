@@ -88,7 +88,7 @@ def estimator(key: str, params: Mapping, n_train: int, seed: int = 0):
             elasticNetParam=1.0 if params.get("penalty") == "l1" else 0.0, regParam=penalty, standardization=False
         )
     if key == "SVM":
-        return LinearSVC(regParam=penalty, maxIter=50)
+        return LinearSVC(regParam=penalty, maxIter=50, tol=1e-3)
     raise ValueError(f"unknown model key {key}")
 
 

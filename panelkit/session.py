@@ -53,6 +53,11 @@ def salt_count(spark: SparkSession) -> int:
     return conf_int(spark, SALTS_KEY, SALTS_DEFAULT)
 
 
+def lookup_rows(spark: SparkSession) -> int:
+    """Most rows a lookup may have to be broadcast."""
+    return conf_int(spark, LOOKUP_ROWS_KEY, LOOKUP_ROWS_DEFAULT)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints; a private temp folder only in local mode."""
     sc = spark.sparkContext
@@ -89,7 +94,7 @@ def bounded_lookup(lookup: DataFrame) -> DataFrame:
     if is_small(lookup):
         return F.broadcast(lookup)
     spark = lookup.sparkSession
-    bound = conf_int(spark, LOOKUP_ROWS_KEY, LOOKUP_ROWS_DEFAULT)
+    bound = lookup_rows(spark)
     head = lookup.limit(bound + 1).collect()
     if len(head) > bound:
         return lookup

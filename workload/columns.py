@@ -34,7 +34,7 @@ from panelkit.operators.clean import (
     quantile_bins,
     rename_and_drop,
 )
-from panelkit.operators.joins import membership_flag
+from panelkit.operators.joins import lookup_join, membership_flag
 from panelkit.operators.order import sample_entities
 from panelkit.sources.files import stack, table
 from workload.base import CY, GRID, cents, customer_grid, customer_years, large_plans, query, rounded
@@ -189,7 +189,8 @@ def semi_flag(spark, folder):
 def semi_join(spark, folder):
     kept = table(spark, folder, "customer").where(F.col("c_mktsegment") == "MACHINERY")
     orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey")
-    return orders.join(kept, F.col("o_custkey") == F.col("c_custkey"), "left_semi")
+    kept = kept.select(F.col("c_custkey").alias("o_custkey"))
+    return lookup_join(orders, kept, "o_custkey", "left_semi", ["o_orderkey"]).select("o_orderkey", "o_custkey")
 
 
 @query("entity_sample", """SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT o_custkey FROM

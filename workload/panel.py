@@ -40,6 +40,7 @@ from workload.base import (
 )
 
 E_KEY, PERIOD = "custkey", "year"
+MEASURES = ["n_orders", "cents", "urgent", "finished"]
 
 
 def change_sql(now: str, base: str) -> str:
@@ -239,9 +240,9 @@ def label_ntile4(spark, folder):
     return tile_discretise(customer_years(spark, folder), "cents", E_KEY, PERIOD, 1997)
 
 
-def labelled(spark, folder):
+def labelled(spark, folder, keep=()):
     """Customer-years with the top-quintile label."""
-    return top_tile_labels(customer_years(spark, folder), E_KEY, PERIOD, {"top20": "cents"}, "cents")
+    return top_tile_labels(customer_years(spark, folder), E_KEY, PERIOD, {"top20": "cents"}, "cents", keep=keep)
 
 
 def _transition_sql(step: int, name: str) -> str:
@@ -312,8 +313,7 @@ _FLAG_MADE = ["cents_avg_3yr", "cents_pct_change_1yr", "returned_pct_change_1yr"
  SELECT *, CAST(ntile(5) OVER (PARTITION BY year ORDER BY cents DESC NULLS FIRST, suppkey) = 1 AS INTEGER) AS top20_num FROM f""")
 def flagship(spark, folder):
     sy = supplier_years(spark, folder)
+    sy = top_tile_labels(sy, "suppkey", PERIOD, {"top20_num": "cents"}, "cents", keep=["cents", "returned"])
     out = feature_batch(sy, "suppkey", PERIOD, [(["cents"], [3], [1]), (["returned"], [], [1])])
     out = lag_bundle(out, ["cents"], "suppkey", PERIOD)
-    labels = top_tile_labels(sy, "suppkey", PERIOD, {"top20_num": "cents"}, "cents")
-    out = out.join(labels, ["suppkey", PERIOD], "left")
     return rounded(out, *_FLAG_MADE).select("suppkey", "year", "cents", "returned", *_FLAG_MADE, "cents_lag", "top20_num")

@@ -23,7 +23,7 @@ from panelkit.operators.profile import (
 )
 from panelkit.sources.files import table
 from workload.base import CY, GRID, LABELS, cents, customer_grid, customer_years, large_plans, query, rounded
-from workload.panel import labelled
+from workload.panel import MEASURES, labelled
 
 LINE = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
@@ -196,7 +196,7 @@ def region_trend(spark, folder):
 @query("group_means", f"""SELECT top20, round(avg(n_orders), 6) AS n_orders, round(avg(urgent), 6) AS urgent, round(avg(finished), 6) AS finished
  FROM ({LABELS}) GROUP BY top20""")
 def q_group_means(spark, folder):
-    rows = labelled(spark, folder).join(customer_years(spark, folder), ["custkey", "year"])
+    rows = labelled(spark, folder, MEASURES)
     columns = ["n_orders", "urgent", "finished"]
     return rounded(group_means(rows, "top20", columns), *columns)
 
@@ -205,7 +205,7 @@ def q_group_means(spark, folder):
     f"""SELECT '{c}' AS variable, round(avg({c}) FILTER (WHERE top20 = 0), 6) AS mean_0,
  round(avg({c}) FILTER (WHERE top20 = 1), 6) AS mean_1 FROM ({LABELS})""" for c in ("n_orders", "urgent", "finished")))
 def diff_of_means(spark, folder):
-    rows = labelled(spark, folder).join(customer_years(spark, folder), ["custkey", "year"])
+    rows = labelled(spark, folder, MEASURES)
     return rounded(mean_differences(rows, "top20", ["n_orders", "urgent", "finished"]), "mean_0", "mean_1")
 
 
@@ -230,7 +230,7 @@ def corr_matrix_wide(spark, folder):
     f"SELECT '{c}' AS variable, round(corr({c}, top20), 6) AS r FROM ({LABELS})" for c in ("n_orders", "urgent", "finished", "cents"))
        + ") WHERE r > 0.2")
 def high_corr(spark, folder):
-    rows = labelled(spark, folder).join(customer_years(spark, folder), ["custkey", "year"])
+    rows = labelled(spark, folder, MEASURES)
     return rounded(correlation_with(rows, ["n_orders", "urgent", "finished", "cents"], "top20", 0.2), "r")
 
 

@@ -29,7 +29,7 @@ from panelkit.plans.splits import apply_split, hash_folds, hash_split, rolling_s
 from panelkit.functions.scalars import year_start
 from panelkit.sources.files import table
 from workload.base import CY, LABELS, customer_years, large_plans, query, rounded
-from workload.panel import labelled
+from workload.panel import MEASURES, labelled
 
 SCORED = f"""SELECT a.custkey, a.year, a.top20 AS label, b.n_orders * 3 + b.urgent AS score, a.n_orders, a.urgent, a.finished, b.top20 AS lagged
  FROM ({LABELS}) a JOIN ({LABELS}) b ON a.custkey = b.custkey AND b.year = a.year - 1"""
@@ -37,7 +37,7 @@ SCORED = f"""SELECT a.custkey, a.year, a.top20 AS label, b.n_orders * 3 + b.urge
 
 def scored(spark, folder):
     """Labelled customer-years with last year's order counts as a (heavily tied) score."""
-    rows = labelled(spark, folder).join(customer_years(spark, folder), ["custkey", "year"])
+    rows = labelled(spark, folder, MEASURES)
     rows = lagged_labels(rows, ["n_orders", "urgent", "top20"], "custkey", "year")
     rows = rows.where(F.col("top20_lag").isNotNull())
     return rows.select(
