@@ -113,7 +113,7 @@ def flag_top(df: DataFrame, score: str, key: str | Sequence[str], k: int, name:
     For a moderate k each task keeps k candidates and the k-th row becomes a cutoff every row is
     compared with; nothing is sorted in full.
     """
-    place = F.struct((-F.col(score)).alias("s"), *names(key))
+    place = F.struct(F.col(score).isNull().alias("none"), (-F.col(score)).alias("s"), *names(key))
     if k <= lookup_rows(df.sparkSession):
         last = df.select(place.alias("p")).orderBy("p").limit(k).agg(F.max("p")).scalar()
         return df.withColumn(name, F.coalesce(place <= last, F.lit(False)).cast("int"))

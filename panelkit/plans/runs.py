@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from panelkit.functions.scalars import year_start
 from panelkit.operators.clean import fill_median
-from panelkit.operators.metrics import TOP_PERCENTS, metrics_at_k, roc_auc
+from panelkit.operators.fairness import audit_input
+from panelkit.operators.metrics import TOP_PERCENTS, metrics_at_k, pr_curve, roc_auc
 from panelkit.plans.models import (
     GRIDS,
     assemble,
@@ -21,8 +22,10 @@ from panelkit.plans.models import (
     parameter_grid,
     prior_baseline,
     random_baseline,
+    tree_table,
 )
 from panelkit.plans.splits import Split, apply_split, rolling_splits
+from panelkit.sources.files import write_csv
 
 BASELINES = ("BASELINE_RAND", "BASELINE_PRIOR")
 
@@ -89,66 +92,93 @@ def score_metrics(scored: DataFrame, key: str) -> dict:
     return row.asDict()
 
 
+def store_outputs(
+    path: str, run: Run, model, scored: DataFrame, features: DataFrame, bias_attributes: Sequence[str]
+) -> None:
+    """Write what the final phase reports about one run."""
+    spark = scored.sparkSession
+    if run.model in ("DT", "BASELINE_DT"):
+        tree_table(spark, model, run.features).write.mode("overwrite").parquet(f"{path}/tree")
+    elif run.model in ("RF", "GB", "LR", "SVM"):
+        write_csv(importance_table(spark, model, run.features, run.model), f"{path}/importance")
+    write_csv(pr_curve(scored, "score", "label"), f"{path}/pr_curve")
+    analysis = features.join(scored, "__id")
+    write_csv(analysis.withColumnRenamed("label", "label_value"), f"{path}/feature_analysis")
+    if bias_attributes and set(bias_attributes) <= set(run.features):
+        write_csv(audit_input(analysis, bias_attributes, "label", "score"), f"{path}/bias")
+
+
 def run_models(
     panel: DataFrame, runs: Sequence[Run], entity: str, period: str, seed: int = 0, parallel: int = 2,
-    importances: list | None = None,
+    output: str | None = None, bias_attributes: Sequence[str] = (),
 ) -> DataFrame:
     """Fit and score every planned run; one result row each.
 
-    Runs that share split, outcome and features share one cached, filled and assembled pair of
-    frames. Spark does the fitting; the threads only submit jobs.
+    With `output`, every fitted run also stores its importances or tree, its precision-recall table,
+    the scored features, and (when the attributes are among its features) the binned audit input.
+
+    Rows of one split and outcome are filtered, filled and cached once with the union of the columns
+    their runs need; a feature set is then only a different vector over the cached columns. Spark
+    does the fitting; the threads only submit jobs. Give it a stored panel: it is read per split.
     """
     spark = panel.sparkSession
     dated = panel.withColumn("__date", year_start(period)).withColumn("__id", F.xxhash64(entity, period))
     groups: dict = {}
     for r in runs:
-        groups.setdefault((r.split, r.outcome, r.labels, r.features), []).append(r)
-    rows = []
-    for (split, outcome, labels, features), members in groups.items():
-        keys = ["__id"]
-        columns = [*keys, outcome, *[f for f in features if f != outcome]]
+        groups.setdefault((r.split, r.outcome), []).append(r)
+    rows: list = [None] * len(runs)
+    position = {id(r): i for i, r in enumerate(runs)}
+    for (split, outcome), members in groups.items():
+        needed = list(dict.fromkeys(f for r in members for f in r.features))
+        lag = [f"{outcome}_lag"] if any(r.model == "BASELINE_PRIOR" for r in members) else []
+        columns = list(dict.fromkeys(["__id", outcome, *needed, *lag]))
         train, test = apply_split(dated, split, "__date", outcome, columns)
-        train, test = fill_median(train, features), fill_median(test, features)
-        train = assemble(train, features, outcome, keys).cache()
-        test_rows = assemble(test, features, outcome, keys).cache()
+        train, test = fill_median(train, needed).cache(), fill_median(test, needed).cache()
         n_train = train.count()
+        spans = (split.train_start, split.train_end), (split.test_start, split.test_end)
 
         def one(r: Run):
+            model = None
             if r.model == "BASELINE_RAND":
-                model, scored = None, random_baseline(train, test_rows, "label", keys, seed)
+                scored = random_baseline(train, test, outcome, ["__id"], seed)
+                scored = scored.withColumnRenamed(outcome, "label")
             elif r.model == "BASELINE_PRIOR":
-                lag = test.select(*keys, F.col(outcome).alias("label"), f"{outcome}_lag")
-                model, scored = None, prior_baseline(lag, f"{outcome}_lag")
+                scored = prior_baseline(test, lag[0]).withColumnRenamed(outcome, "label")
             else:
-                model, scored = fit_score(r.model, r.params, train, test_rows, "__id", n_train, seed)
+                a, b = (assemble(df, r.features, outcome, ["__id"]) for df in (train, test))
+                model, scored = fit_score(r.model, r.params, a, b, "__id", n_train, seed)
             scored = scored.select("__id", "label", "score").cache()
             m = score_metrics(scored, "__id")
+            stored = None
+            if output and r.model not in BASELINES:
+                stored = f"{output}/{r.model}{position[id(r)]}"
+                store_outputs(stored, r, model, scored, test.select("__id", *r.features), bias_attributes)
             scored.unpersist()
-            if importances is not None and r.model in ("RF", "GB", "DT", "LR", "SVM"):
-                importances.append((r, importance_table(spark, model, r.features, r.model)))
-            return (
-                (split.train_start, split.train_end), (split.test_start, split.test_end), r.model,
-                type(model).__name__ if model is not None else r.model, {k: str(v) for k, v in r.params.items()},
-                list(labels), outcome, None, m["auc_roc"], *[m[c] for c in _AT],
+            rows[position[id(r)]] = (
+                *spans, r.model, type(model).__name__ if model is not None else r.model,
+                {k: str(v) for k, v in r.params.items()}, list(r.labels), outcome, stored, m["auc_roc"],
+                *[m[c] for c in _AT],
             )
 
         with ThreadPoolExecutor(max_workers=parallel) as pool:
-            rows += list(pool.map(one, members))
+            list(pool.map(one, members))
         train.unpersist()
-        test_rows.unpersist()
+        test.unpersist()
     return spark.createDataFrame(rows, RESULT_SCHEMA)
 
 
 def run_phase(
     panel: DataFrame, phase: Mapping, start: dt.date, end: dt.date, window: int, feature_subsets: Sequence[Mapping],
     outcomes: Sequence[str], entity: str, period: str, seed: int = 0, parallel: int = 2,
+    output: str | None = None, bias_attributes: Sequence[str] = (),
 ) -> DataFrame:
     """One phase: its models over all splits and feature sets, then the two baselines."""
     splits = rolling_splits(start, end, window, phase["latest"])
     runs = plan_runs(splits, feature_subsets, outcomes, phase["models"], phase["grid"])
     prior = [{"labels": ["prior_year"], "features": [f"{y}_lag" for y in outcomes]}]
     runs += plan_runs(splits, prior, outcomes, BASELINES, phase["grid"])
-    return run_models(panel, runs, entity, period, seed, parallel)
+    out = output if phase["latest"] else None
+    return run_models(panel, runs, entity, period, seed, parallel, out, bias_attributes)
 
 
 def run_phases(panel: DataFrame, phases: Sequence[Mapping] = PHASES, **kwargs) -> DataFrame:

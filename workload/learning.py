@@ -13,6 +13,7 @@ from panelkit.operators.metrics import confusion_counts
 from panelkit.plans.models import assemble, estimator, fit_score, importance_table, tree_table
 from panelkit.plans.runs import run_phases
 from panelkit.plans.splits import hash_split
+from panelkit.session import materialise
 from panelkit.sources.files import table
 from workload.base import LABELS, customer_years, query, r6, rounded
 from workload.panel import labelled
@@ -94,7 +95,8 @@ def model_panel(spark, folder):
 
 def train_test(spark, folder):
     panel = model_panel(spark, folder).select("custkey", "year", "top20", *FEATURES)
-    panel = panel.withColumn("id", F.col("custkey") * 10000 + F.col("year"))
+    # Medians, training and test rows all read the panel, so it is written once first.
+    panel = materialise(panel.withColumn("id", F.col("custkey") * 10000 + F.col("year")))
     train = fill_median(panel.where(F.col("year") < 2000), FEATURES)
     test = fill_median(panel.where(F.col("year") == 2000), FEATURES)
     return assemble(train, FEATURES, "top20", ["id"]), assemble(test, FEATURES, "top20", ["id"])
@@ -187,7 +189,7 @@ def svm_confusion(spark, folder):
 @query("phases")
 def phases(spark, folder):
     """Two shortened phases on the real splits of the data, with the baselines."""
-    panel = model_panel(spark, folder)
+    panel = materialise(model_panel(spark, folder))
     sets = [{"labels": ["history"], "features": FEATURES}]
     plan = [
         {"name": "phase1", "models": ["RF", "NB"], "grid": 0, "latest": True},

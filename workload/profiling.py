@@ -136,12 +136,12 @@ def zero_share(spark, folder):
 
 
 @query("yearly_agg", """SELECT CAST(year(o_orderdate) AS INTEGER) AS year, count(*) AS n,
- CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS cents, round(avg(o_totalprice), 4) AS mean_price
+ CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS cents, round(avg(o_totalprice), 6) AS mean_price
  FROM orders GROUP BY 1 ORDER BY 1""")
 def yearly_agg(spark, folder):
     return table(spark, folder, "orders").groupBy(F.year("o_orderdate").alias("year")).agg(
         F.count(F.lit(1)).alias("n"), F.sum(cents("o_totalprice")).alias("cents"),
-        F.round(F.avg("o_totalprice"), 4).alias("mean_price"),
+        F.round(F.avg("o_totalprice"), 6).alias("mean_price"),
     ).orderBy("year")
 
 
@@ -300,12 +300,12 @@ def q_value_counts(spark, folder):
     return value_counts(table(spark, folder, "events"), "event_type")
 
 
-@query("metric_by_hue", """SELECT CAST(year(o_orderdate) AS INTEGER) AS year, o_orderstatus, round(avg(o_totalprice), 4) AS mean,
+@query("metric_by_hue", """SELECT CAST(year(o_orderdate) AS INTEGER) AS year, o_orderstatus, round(avg(o_totalprice), 6) AS mean,
  round(stddev_samp(o_totalprice), 4) AS std, count(o_totalprice) AS n FROM orders GROUP BY 1, 2""")
 def metric_by_hue(spark, folder):
     orders = table(spark, folder, "orders").withColumn("year", F.year("o_orderdate"))
     out = metric_by(orders, "o_totalprice", ["year", "o_orderstatus"])
-    return out.select("year", "o_orderstatus", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"), "n")
+    return out.select("year", "o_orderstatus", F.round("mean", 6).alias("mean"), F.round("std", 4).alias("std"), "n")
 
 
 @query("daily_panel_mean", """WITH d AS (SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1, 2)

@@ -27,6 +27,7 @@ from panelkit.plans.models import prior_baseline, random_baseline
 from panelkit.plans.runs import best_parameters, plan_frame, plan_runs
 from panelkit.plans.splits import apply_split, hash_folds, hash_split, rolling_splits, split_counts, splits_frame, tag_splits
 from panelkit.functions.scalars import year_start
+from panelkit.session import materialise
 from panelkit.sources.files import table
 from workload.base import CY, LABELS, customer_years, large_plans, query, rounded
 from workload.panel import MEASURES, labelled
@@ -327,7 +328,8 @@ AUDIT = f"""WITH s AS (SELECT * FROM ({SCORED}) WHERE year = 2000), e AS (SELECT
 
 
 def audit_rows(spark, folder):
-    rows = scored(spark, folder).where(F.col("year") == 2000)
+    # Scores are read for the bin ends, the cutoff and the counts, so they are written once first.
+    rows = materialise(scored(spark, folder).where(F.col("year") == 2000))
     return audit_input(rows, ATTRS, "label", "score", ["custkey"])
 
 
