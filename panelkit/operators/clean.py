@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from panelkit.functions.scalars import finite_or_null
 from panelkit.operators.order import exact_quantiles
-from panelkit.session import names
+from panelkit.session import names, with_row
 
 # The four bin labels in ascending order.
 BIN_LABELS = ["low", "med-low", "med-high", "high"]
@@ -35,9 +35,9 @@ def column_means(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def fill_from(df: DataFrame, fitted: DataFrame) -> DataFrame:
     """Fill nulls and non-finite values from a one-row frame of fitted values."""
-    row = fitted.select(F.struct(*fitted.columns)).scalar()
+    row = F.col("__fit")
     filled = {c: F.coalesce(finite_or_null(F.col(c).cast("double")), row[c]) for c in fitted.columns}
-    return df.select(*[filled[c].alias(c) if c in filled else F.col(c) for c in df.columns])
+    return with_row(df, fitted, "__fit").select(*[filled[c].alias(c) if c in filled else F.col(c) for c in df.columns])
 
 
 def fill_median(df: DataFrame, columns: Sequence[str], fit_on: DataFrame | None = None) -> DataFrame:
@@ -68,14 +68,14 @@ def equal_width_bins(
     columns = names(columns)
     ends = df.agg(*[F.struct(F.min(F.col(c).cast("double")).alias("lo"),
                              F.max(F.col(c).cast("double")).alias("hi")).alias(c) for c in columns])
-    row = ends.select(F.struct(*columns)).scalar()
+    row = F.col("__ends")
     out = []
     for c in columns:
         lo, hi, x = row[c]["lo"], row[c]["hi"], F.col(c).cast("double")
         edges = [lo + F.lit(float(i)) * ((hi - lo) / bins) for i in range(1, bins)]
         index = F.when(lo == hi, F.when(x.isNotNull(), F.lit((bins + 1) // 2 - 1))).otherwise(_above(x, edges))
         out.append(_labelled(index, labels).alias(f"{c}{suffix}"))
-    return df.select("*", *out)
+    return with_row(df, ends, "__ends").select(*df.columns, *out)
 
 
 def bin_edges(df: DataFrame, columns: str | Sequence[str], bins: int = 4) -> DataFrame:
@@ -104,9 +104,11 @@ def quantile_bins(
         raise ValueError("bin count and label count must be equal")
     bins = bins or (len(labels) if labels else 4)
     probs = [i / bins for i in range(1, bins)]
-    edges = exact_quantiles(df.select(column), column, probs).select("quantiles").scalar()
+    edges = exact_quantiles(df.select(column), column, probs).select("quantiles")
+    at = F.col("__edges")["quantiles"]
     x = F.col(column).cast("double")
-    return df.withColumn(f"{column}_bins", _labelled(_above(x, [edges[i] for i in range(len(probs))]), labels))
+    index = _labelled(_above(x, [at[i] for i in range(len(probs))]), labels)
+    return with_row(df, edges, "__edges").withColumn(f"{column}_bins", index).drop("__edges")
 
 
 def dummies(df: DataFrame, column: str, values: Sequence | None = None, limit: int = 1000) -> DataFrame:
@@ -123,8 +125,9 @@ def dummies(df: DataFrame, column: str, values: Sequence | None = None, limit: i
 def min_max_scale(df: DataFrame, column: str, name: str) -> DataFrame:
     """(x - min) / (max - min); a constant column gives null."""
     x = F.col(column).cast("double")
-    ends = df.agg(F.struct(F.min(x).alias("lo"), F.max(x).alias("hi")).alias("e")).scalar()
-    return df.withColumn(name, F.try_divide(x - ends["lo"], ends["hi"] - ends["lo"]))
+    ends = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi"))
+    scaled = F.try_divide(x - F.col("__ends")["lo"], F.col("__ends")["hi"] - F.col("__ends")["lo"])
+    return with_row(df, ends, "__ends").withColumn(name, scaled).drop("__ends")
 
 
 def drop_subheaders(df: DataFrame, numeric_key: str) -> DataFrame:

@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelkit.operators.joins import attribute_join
 from panelkit.operators.order import assign_ranks, running_totals
-from panelkit.session import lookup_rows, names
+from panelkit.session import lookup_rows, names, with_row
 
 # The population percentages at which precision, recall and F1 are reported.
 TOP_PERCENTS = [1, 2, 5, 10, 20, 30, 50]
@@ -70,13 +71,11 @@ def pr_curve(df: DataFrame, score: str, label: str, by: str | Sequence[str] = ()
     totals = counts.groupBy(*by).agg(F.sum("pos").alias("__p"), F.sum("n").alias("__n"))
     cum = running_totals(counts, [F.col(score).desc()], {"tp": "pos", "above": "n"}, by)
     if by:
-        from panelkit.operators.joins import attribute_join
-
         cum = attribute_join(cum, totals, by, "inner")
         p, n = F.col("__p"), F.col("__n")
     else:
-        row = totals.select(F.struct("__p", "__n")).scalar()
-        p, n = row["__p"], row["__n"]
+        cum = with_row(cum, totals, "__t")
+        p, n = F.col("__t.__p"), F.col("__t.__n")
     return cum.select(
         *by, F.col(score).alias("threshold"), _ratio(F.col("tp"), F.col("above")).alias("precision"),
         _ratio(F.col("tp"), p).alias("recall"), _ratio(F.col("above"), n).alias("pct_above"),

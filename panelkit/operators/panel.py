@@ -45,20 +45,12 @@ def change_between(now: Column, base: Column) -> Column:
     )
 
 
-def pct_change_column(c: str, n: int, entity: str | Sequence[str], period: str) -> Column:
-    return change_between(F.col(c), value_at_offset(c, n, entity, period))
-
-
 def trailing_mean(df: DataFrame, columns: str | Sequence[str], n: int, entity: str, period: str) -> DataFrame:
-    return df.select(
-        "*", *[trailing_mean_column(c, n, entity, period).alias(f"{c}_avg_{n}yr") for c in names(columns)]
-    )
+    return feature_batch(df, entity, period, [(names(columns), [n], [])])
 
 
 def pct_change(df: DataFrame, columns: str | Sequence[str], n: int, entity: str, period: str) -> DataFrame:
-    return df.select(
-        "*", *[pct_change_column(c, n, entity, period).alias(f"{c}_pct_change_{n}yr") for c in names(columns)]
-    )
+    return feature_batch(df, entity, period, [(names(columns), [], [n])])
 
 
 def feature_batch(
@@ -67,16 +59,23 @@ def feature_batch(
     period: str,
     measures: Sequence[tuple[Sequence[str], Sequence[int], Sequence[int]]],
 ) -> DataFrame:
-    """All trailing means and changes in one projection, so one shuffle and sort serves them all.
+    """All trailing means and changes at once, so one shuffle and one sort serve them all.
 
-    `measures` lists (columns, mean spans, change spans).
+    `measures` lists (columns, mean spans, change spans). Base values are taken in a first
+    projection: the change rule reads its base several times, and would repeat the window each time.
     """
-    made = []
+    windowed, out = [], []
     for columns, mean_spans, change_spans in measures:
         for c in columns:
-            made += [trailing_mean_column(c, n, entity, period).alias(f"{c}_avg_{n}yr") for n in mean_spans]
-            made += [pct_change_column(c, n, entity, period).alias(f"{c}_pct_change_{n}yr") for n in change_spans]
-    return df.select("*", *made)
+            for n in mean_spans:
+                name = f"{c}_avg_{n}yr"
+                windowed.append(trailing_mean_column(c, n, entity, period).alias(name))
+                out.append(F.col(name))
+            for n in change_spans:
+                base = f"__{c}_{n}_before"
+                windowed.append(value_at_offset(c, n, entity, period).alias(base))
+                out.append(change_between(F.col(c), F.col(base)).alias(f"{c}_pct_change_{n}yr"))
+    return df.select("*", *windowed).select(*df.columns, *out)
 
 
 def lag_bundle(df: DataFrame, columns: Sequence[str], entity: str, period: str, suffix: str = "_lag") -> DataFrame:

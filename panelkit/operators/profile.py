@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from panelkit.operators.joins import attribute_join
 from panelkit.operators.order import exact_quantiles
-from panelkit.session import names
+from panelkit.session import names, with_row
 
 # Above this many pairs, correlations come from matrix products instead of one expression per pair.
 WIDE_PAIRS = 66
@@ -40,17 +40,17 @@ def summary_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return _tall(wide, columns, ["avg", "min", "max", "std"])
 
 
-def _moments(df: DataFrame, columns: Sequence[str]) -> Column:
-    """One scalar struct per column with its mean, ends and deviation."""
-    wide = df.agg(*[
+def _moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One row with a struct per column: its mean, ends and deviation."""
+    return df.agg(*[
         F.struct(F.avg(_num(c)).alias("avg"), F.min(_num(c)).alias("min"), F.max(_num(c)).alias("max"),
                  F.stddev_samp(_num(c)).alias("std")).alias(c)
         for c in columns
     ])
-    return wide.select(F.struct(*columns)).scalar()
 
 
-def _outlier_fields(c: str, moments: Column, width: float) -> list[Column]:
+def _outlier_fields(c: str, width: float) -> list[Column]:
+    moments = F.col("__m")
     x, reach = _num(c), moments[c]["std"] * width
     high, low = x > moments[c]["avg"] + reach, x < moments[c]["avg"] - reach
     return [
@@ -61,17 +61,19 @@ def _outlier_fields(c: str, moments: Column, width: float) -> list[Column]:
 
 def outlier_table(df: DataFrame, columns: Sequence[str], width: float = 3.0) -> DataFrame:
     """Count and mean of the values beyond mean +/- width standard deviations, all columns in one pass."""
-    moments = _moments(df, columns)
-    wide = df.agg(*[F.struct(*_outlier_fields(c, moments, width)).alias(c) for c in columns])
+    known = with_row(df.select(*columns), _moments(df, columns), "__m")
+    wide = known.agg(*[F.struct(*_outlier_fields(c, width)).alias(c) for c in columns])
     return _tall(wide, columns, ["count_high", "avg_high", "count_low", "avg_low"])
 
 
 def summary_with_outliers(df: DataFrame, columns: Sequence[str], width: float = 3.0) -> DataFrame:
     """Both tables joined on variable: one pass for the moments, one for the outliers."""
-    moments = _moments(df, columns)
-    counted = df.agg(*[F.struct(*_outlier_fields(c, moments, width)).alias(c) for c in columns])
+    known = with_row(df.select(*columns), _moments(df, columns), "__m")
+    counted = known.agg(
+        F.first("__m").alias("__m"), *[F.struct(*_outlier_fields(c, width)).alias(c) for c in columns]
+    )
     wide = counted.select(*[
-        F.struct(*[moments[c][f].alias(f) for f in ("avg", "min", "max", "std")],
+        F.struct(*[F.col("__m")[c][f].alias(f) for f in ("avg", "min", "max", "std")],
                  *[F.col(c)[f].alias(f) for f in ("count_high", "avg_high", "count_low", "avg_low")]).alias(c)
         for c in columns
     ])
@@ -161,8 +163,9 @@ def _wide_correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
     Values are centred on the column mean first, so the sums stay well conditioned.
     """
-    means = df.agg(*[F.avg(_num(c)).alias(c) for c in columns]).select(F.struct(*columns)).scalar()
-    centred = df.select(*[(_num(c) - means[c]).alias(c) for c in columns])
+    means = df.agg(*[F.avg(_num(c)).alias(c) for c in columns])
+    known = with_row(df.select(*columns), means, "__m")
+    centred = known.select(*[(_num(c) - F.col("__m")[c]).alias(c) for c in columns])
     schema = "a string, b string, " + ", ".join(f"{s} double" for s in _SUMS)
     merged = centred.mapInPandas(_pair_sums(columns), schema).groupBy("a", "b").agg(*[F.sum(s).alias(s) for s in _SUMS])
     n, sx, sy, sxx, syy, sxy = [F.col(s) for s in _SUMS]
@@ -222,8 +225,7 @@ def box_stats(df: DataFrame, column: str, by: str | Sequence[str] = (), reach: f
     if by:
         rows = attribute_join(rows, q, by, "inner")
     else:
-        row = q.select(F.struct("q1", "median", "q3")).scalar()
-        rows = rows.select("*", *[row[n].alias(n) for n in ["q1", "median", "q3"]])
+        rows = with_row(rows, q, "__q").select("*", "__q.*")
     iqr = F.col("q3") - F.col("q1")
     inside = (F.col("__x") >= F.col("q1") - reach * iqr) & (F.col("__x") <= F.col("q3") + reach * iqr)
     return rows.groupBy(*by).agg(
@@ -245,10 +247,10 @@ def histogram(
     by = names(by)
     x = _num(column)
     if span is None:
-        ends = df.agg(F.struct(F.min(x).alias("lo"), F.max(x).alias("hi")).alias("e")).scalar()
-        flat = ends["lo"] == ends["hi"]
-        lo = F.when(flat, ends["lo"] - 0.5).otherwise(ends["lo"])
-        hi = F.when(flat, ends["hi"] + 0.5).otherwise(ends["hi"])
+        widen = F.when(F.min(x) == F.max(x), F.lit(0.5)).otherwise(F.lit(0.0))
+        ends = df.agg((F.min(x) - widen).alias("lo"), (F.max(x) + widen).alias("hi"))
+        df = with_row(df, ends, "__ends")
+        lo, hi = F.col("__ends")["lo"], F.col("__ends")["hi"]
     else:
         lo, hi = F.lit(float(span[0])), F.lit(float(span[1]))
     width = (hi - lo) / bins
@@ -257,6 +259,8 @@ def histogram(
     if not by:
         every = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
         counts = every.join(counts, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"))
+    if span is None:
+        counts = with_row(counts, ends, "__ends")
     return counts.select(
         *by, "bin", (lo + F.col("bin") * width).alias("from_value"), (lo + (F.col("bin") + 1) * width).alias("to_value"), "n"
     )

@@ -15,6 +15,7 @@ from panelkit.plans.catalogue import (
     COUNTY_CHANGE_SPANS,
     COUNTY_MEASURES,
     COUNTY_MEAN_SPANS,
+    OWN_MEAN_SPANS,
     OWN_MEASURES,
     OWN_SPANS,
     SLOW_MEASURES,
@@ -23,7 +24,7 @@ from panelkit.plans.catalogue import (
 )
 from panelkit.session import is_small, materialise
 
-OWN_DERIVED = derived(OWN_MEASURES, [3, 5], OWN_SPANS) + ["conversion_rate_avg_3yr"]
+OWN_DERIVED = derived(OWN_MEASURES, OWN_MEAN_SPANS, OWN_SPANS)
 SLOW_DERIVED = derived(SLOW_MEASURES, SLOW_SPANS, SLOW_SPANS)
 COUNTY_DERIVED = derived(COUNTY_MEASURES, COUNTY_MEAN_SPANS, COUNTY_CHANGE_SPANS)
 

@@ -101,5 +101,10 @@ def bounded_lookup(lookup: DataFrame) -> DataFrame:
     return F.broadcast(spark.createDataFrame(head, lookup.schema))
 
 
+def with_row(df: DataFrame, row: DataFrame, name: str) -> DataFrame:
+    """Add a one-row frame as a struct column, computed once and read as often as needed."""
+    return df.withColumn(name, row.select(F.struct(*row.columns)).scalar())
+
+
 def names(columns: str | Sequence[str]) -> list[str]:
     return [columns] if isinstance(columns, str) else list(columns)

@@ -65,7 +65,9 @@ def test_panel_rows_and_states(built):
 def test_panel_values(built):
     r = built.where(f"geo_id = '{GROUPS[0]}' and year = 2004").first()
     assert (r.avg_hh_size, r.urban, r.div_enc, r.div_sa, r.total_bldg) == (2.5, 1, 1, 0, 25)
-    assert r.evictions_lag == 3.0 and r.evictions_lag_tr is not None and r.population_tr is not None
+    assert r.evictions_lag == 3.0 and r.population_tr is not None and r.evictions_lag_tr is None
+    late = built.where(f"geo_id = '{GROUPS[0]}' and year = 2006").first()
+    assert late.evictions_lag_tr == 15.0
     assert r.evictions_avg_3yr_lag == pytest.approx((0 + 1 + 2) / 3)
     assert r.total_bldg_avg_3yr == pytest.approx((10 + 15 + 20) / 3)
     gap = built.where(f"geo_id = '{GROUPS[1]}' and year = 2004").first()
