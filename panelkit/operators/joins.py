@@ -14,16 +14,20 @@ _SALT = "__salt"
 
 
 def lookup_join(
-    rows: DataFrame, lookup: DataFrame, on: str | Sequence[str], how: str = "left", spread: Sequence[str] = ()
+    rows: DataFrame, lookup: DataFrame, on: str | Sequence[str], how: str = "left", spread: Sequence[str] = (),
+    salted: bool | None = None,
 ) -> DataFrame:
     """Join rows to a lookup with one row per key.
 
     `spread` names columns that tell apart rows sharing a key. When the rows are not small, a hash
     of them salts the key and the lookup is repeated once per salt, so one hot key becomes many
-    join partitions. The lookup is unique per key, so no row is multiplied.
+    join partitions. The lookup is unique per key, so no row is multiplied. `salted` settles the
+    choice when the caller already knows the size.
     """
     on = names(on)
-    if not spread or is_small(rows) or is_small(lookup):
+    if salted is None:
+        salted = bool(spread) and not is_small(lookup) and not is_small(rows)
+    if not salted:
         return rows.join(lookup, on, how)
     salts = salt_count(rows.sparkSession)
     left = rows.withColumn(_SALT, F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
@@ -40,13 +44,14 @@ def shifted_join(
     rename: Mapping[str, str],
     how: str = "left",
     spread: Sequence[str] = (),
+    salted: bool | None = None,
 ) -> DataFrame:
     """Bring in the source's columns from exactly `offset` periods earlier."""
     on = names(on)
     past = source.select(
         *on, (F.col(period) + offset).alias(period), *[F.col(a).alias(b) for a, b in rename.items()]
     )
-    return lookup_join(rows, past, [*on, period], how, spread)
+    return lookup_join(rows, past, [*on, period], how, spread, salted)
 
 
 def update_join(
@@ -70,10 +75,12 @@ def update_join(
     return joined.select(*out, *added)
 
 
-def membership_flag(rows: DataFrame, members: DataFrame, on: str, name: str, spread: Sequence[str] = ()) -> DataFrame:
+def membership_flag(
+    rows: DataFrame, members: DataFrame, on: str, name: str, spread: Sequence[str] = (), salted: bool | None = None
+) -> DataFrame:
     """0/1 column: 1 where the key occurs in the member list."""
     listed = members.select(on).where(F.col(on).isNotNull()).distinct().withColumn("__in", F.lit(1))
-    joined = lookup_join(rows, listed, on, "left", spread)
+    joined = lookup_join(rows, listed, on, "left", spread, salted)
     return joined.withColumn(name, F.coalesce(F.col("__in"), F.lit(0)).cast("int")).drop("__in")
 
 

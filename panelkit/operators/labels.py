@@ -52,7 +52,7 @@ def transition_label(
 ) -> DataFrame:
     """1 where the label moved 0 to 1 (or 1 to 0) since the previous period; rows without one are left out."""
     step = 1 if up else -1
-    present = df.withColumn("__had", value_at_offset(F.lit(True), 1, entity, period))
+    present = df.withColumn("__had", value_at_offset("true", 1, entity, period))
     present = present.withColumn("__before", value_at_offset(label, 1, entity, period))
     moved = F.coalesce(F.col(label) - F.col("__before") == step, F.lit(False)).cast("int")
     return present.where(F.col("__had")).withColumn(name, moved).drop("__had", "__before")

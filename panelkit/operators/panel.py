@@ -11,9 +11,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from panelkit.functions.scalars import col
 from panelkit.operators.joins import attribute_join, lookup_join, shifted_join
 from panelkit.session import names
 
@@ -21,27 +19,32 @@ from panelkit.session import names
 ZERO_BASE_CHANGE = 999999
 
 
-def _history(entity: str | Sequence[str], period: str):
-    return W.partitionBy(*names(entity)).orderBy(period)
+def _frame(entity: str | Sequence[str], period: str, first: int, last: int) -> str:
+    """Window over the rows `first` to `last` periods before the current one."""
+    keys = ", ".join(f"`{c}`" for c in names(entity))
+    return f"OVER (PARTITION BY {keys} ORDER BY `{period}` RANGE BETWEEN {first} PRECEDING AND {last} PRECEDING)"
 
 
-def trailing_mean_column(c: str, n: int, entity: str | Sequence[str], period: str) -> Column:
+def mean_expression(c: str, n: int, entity: str | Sequence[str], period: str) -> str:
     """Mean of the n periods before this one."""
-    return F.avg(F.col(c)).over(_history(entity, period).rangeBetween(-n, -1))
+    return f"avg(`{c}`) {_frame(entity, period, n, 1)}"
 
 
-def value_at_offset(c: str | Column, n: int, entity: str | Sequence[str], period: str) -> Column:
+def offset_expression(c: str, n: int, entity: str | Sequence[str], period: str) -> str:
     """Value exactly n periods earlier; null when that period is absent."""
-    return F.first(col(c)).over(_history(entity, period).rangeBetween(-n, -n))
+    return f"first({c}) {_frame(entity, period, n, n)}"
 
 
-def change_between(now: Column, base: Column) -> Column:
+def value_at_offset(c: str, n: int, entity: str | Sequence[str], period: str) -> Column:
+    return F.expr(offset_expression(c, n, entity, period))
+
+
+def change_expression(now: str, base: str) -> str:
     """Percent change with the zero-base rules."""
     return (
-        F.when((now == 0) & (base == 0), F.lit(0.0))
-        .when((now > 0) & (base == 0), F.lit(float(ZERO_BASE_CHANGE)))
-        .when((now < 0) & (base == 0), F.lit(float(-ZERO_BASE_CHANGE)))
-        .otherwise(F.try_divide((now - base).cast("double"), base.cast("double")) * 100)
+        f"CASE WHEN `{now}` = 0 AND `{base}` = 0 THEN 0D WHEN `{now}` > 0 AND `{base}` = 0 THEN {ZERO_BASE_CHANGE}D "
+        f"WHEN `{now}` < 0 AND `{base}` = 0 THEN -{ZERO_BASE_CHANGE}D "
+        f"ELSE try_divide(CAST(`{now}` - `{base}` AS DOUBLE), CAST(`{base}` AS DOUBLE)) * 100 END"
     )
 
 
@@ -64,40 +67,40 @@ def feature_batch(
     `measures` lists (columns, mean spans, change spans). Base values are taken in a first
     projection: the change rule reads its base several times, and would repeat the window each time.
     """
-    windowed, out = [], []
+    windowed, out = [], [f"`{c}`" for c in df.columns]
     for columns, mean_spans, change_spans in measures:
         for c in columns:
             for n in mean_spans:
                 name = f"{c}_avg_{n}yr"
-                windowed.append(trailing_mean_column(c, n, entity, period).alias(name))
-                out.append(F.col(name))
+                windowed.append(f"{mean_expression(c, n, entity, period)} AS `{name}`")
+                out.append(f"`{name}`")
             for n in change_spans:
                 base = f"__{c}_{n}_before"
-                windowed.append(value_at_offset(c, n, entity, period).alias(base))
-                out.append(change_between(F.col(c), F.col(base)).alias(f"{c}_pct_change_{n}yr"))
-    return df.select("*", *windowed).select(*df.columns, *out)
+                windowed.append(f"{offset_expression(f'`{c}`', n, entity, period)} AS `{base}`")
+                out.append(f"{change_expression(c, base)} AS `{c}_pct_change_{n}yr`")
+    return df.selectExpr("*", *windowed).selectExpr(*out)
 
 
 def lag_bundle(df: DataFrame, columns: Sequence[str], entity: str, period: str, suffix: str = "_lag") -> DataFrame:
     """Own values of exactly one period earlier; shares the window of the other panel features."""
-    return df.select("*", *[value_at_offset(c, 1, entity, period).alias(f"{c}{suffix}") for c in columns])
+    return df.selectExpr("*", *[f"{offset_expression(f'`{c}`', 1, entity, period)} AS `{c}{suffix}`" for c in columns])
 
 
 def parent_bundle(
     child: DataFrame, parent: DataFrame, on: str, period: str, columns: Sequence[str],
-    spread: Sequence[str], suffix: str = "_tr",
+    spread: Sequence[str], suffix: str = "_tr", salted: bool | None = None,
 ) -> DataFrame:
     """Parent-level values of the same period. `spread` is the child key, used to split hot parents."""
     source = parent.select(on, period, *[F.col(c).alias(f"{c}{suffix}") for c in columns])
-    return lookup_join(child, source, [on, period], "left", spread)
+    return lookup_join(child, source, [on, period], "left", spread, salted)
 
 
 def parent_lag_bundle(
     child: DataFrame, parent: DataFrame, on: str, period: str, columns: Sequence[str],
-    spread: Sequence[str], suffix: str = "_lag_tr",
+    spread: Sequence[str], suffix: str = "_lag_tr", salted: bool | None = None,
 ) -> DataFrame:
     """Parent-level values of exactly one period earlier."""
-    return shifted_join(child, parent, on, period, 1, {c: f"{c}{suffix}" for c in columns}, "left", spread)
+    return shifted_join(child, parent, on, period, 1, {c: f"{c}{suffix}" for c in columns}, "left", spread, salted)
 
 
 def parent_mean(child: DataFrame, parent_key: str, period: str, columns: Sequence[str]) -> DataFrame:
@@ -106,19 +109,16 @@ def parent_mean(child: DataFrame, parent_key: str, period: str, columns: Sequenc
 
 
 def sentinel_repair(
-    df: DataFrame, columns: str | Sequence[str], period: str, sentinel: float = ZERO_BASE_CHANGE
+    df: DataFrame, columns: str | Sequence[str], period: str, sentinel: int = ZERO_BASE_CHANGE
 ) -> DataFrame:
     """Replace the sentinel by the period's largest other value; periods with none keep it."""
     columns = names(columns)
     ceilings = df.groupBy(period).agg(
-        *[F.max(F.when(F.col(c) != sentinel, F.col(c))).alias(f"__max_{c}") for c in columns]
+        *[F.expr(f"max(CASE WHEN `{c}` <> {sentinel} THEN `{c}` END) AS `__max_{c}`") for c in columns]
     )
+    fixed = {c: f"CASE WHEN `{c}` = {sentinel} THEN coalesce(`__max_{c}`, `{c}`) ELSE `{c}` END AS `{c}`" for c in columns}
     joined = attribute_join(df, ceilings, period)
-    fixed = {
-        c: F.when((F.col(c) == sentinel) & F.col(f"__max_{c}").isNotNull(), F.col(f"__max_{c}")).otherwise(F.col(c))
-        for c in columns
-    }
-    return joined.select(*[fixed[c].alias(c) if c in fixed else F.col(c) for c in df.columns])
+    return joined.selectExpr(*[fixed.get(c, f"`{c}`") for c in df.columns])
 
 
 def carry_forward(

@@ -66,19 +66,20 @@ def build_panel(
     Sentinels are repaired last, over all change columns in one aggregation; a large panel is
     written to reliable storage before that second pass.
     """
+    large = not is_small(groups)
     keyed = groups.select("*", *prefix_keys("geo_id")).where(F.col("state").isin(list(states)))
     upper = level_features(tracts).withColumnRenamed("geo_id", "tract")
     out = lag_bundle(level_features(keyed), OWN_DERIVED, "geo_id", "year")
-    out = parent_bundle(out, upper, "tract", "year", SLOW_DERIVED, ["geo_id"])
-    out = parent_lag_bundle(out, upper, "tract", "year", OWN_DERIVED, ["geo_id"])
+    out = parent_bundle(out, upper, "tract", "year", SLOW_DERIVED, ["geo_id"], salted=large)
+    out = parent_lag_bundle(out, upper, "tract", "year", OWN_DERIVED, ["geo_id"], salted=large)
     out = out.join(households.withColumnRenamed("avg_size", "avg_hh_size"), ["geo_id", "year"], "left")
     county = feature_batch(permits.select("geo_id", "year", *COUNTY_MEASURES), "geo_id", "year",
                            [(COUNTY_MEASURES, COUNTY_CHANGE_SPANS, COUNTY_CHANGE_SPANS)])
     county = county.select(F.col("geo_id").alias("county"), "year", *COUNTY_DERIVED)
-    out = lookup_join(out, county, ["county", "year"], "left", ["geo_id"])
+    out = lookup_join(out, county, ["county", "year"], "left", ["geo_id"], large)
     members = urban.select(F.lpad(F.col("GEOID").cast("string"), 5, "0").alias("county"))
-    out = membership_flag(out, members, "county", "urban", ["geo_id", "year"])
+    out = membership_flag(out, members, "county", "urban", ["geo_id", "year"], large)
     out = out.select("*", *division_flags("state")).join(build_labels(keyed), ["geo_id", "year"])
-    if not is_small(groups):
+    if large:
         out = materialise(out)
     return sentinel_repair(out, SENTINEL_COLUMNS, "year")

@@ -19,7 +19,7 @@ SALTS_DEFAULT = 16
 
 
 def build_session(app: str = "panelkit", master: str | None = None, **conf: str) -> SparkSession:
-    """Session with adaptive execution and skew handling on; keyword conf uses `_` for `.`."""
+    """Session with adaptive execution and skew handling on; keyword conf uses `__` for `.`."""
     builder = (
         SparkSession.builder.appName(app)
         .config("spark.sql.adaptive.enabled", "true")
