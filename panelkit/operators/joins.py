@@ -13,6 +13,13 @@ from panelkit.session import bounded_lookup, is_small, names, salt_count
 _SALT = "__salt"
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
+    """Join in which null keys match each other, keeping the left side's key columns."""
+    right = right.withColumnsRenamed({c: f"__k_{c}" for c in on})
+    same = [F.col(c).eqNullSafe(F.col(f"__k_{c}")) for c in on]
+    return left.join(right, same, how).drop(*[f"__k_{c}" for c in on])
+
+
 def lookup_join(
     rows: DataFrame, lookup: DataFrame, on: str | Sequence[str], how: str = "left", spread: Sequence[str] = (),
     salted: bool | None = None,

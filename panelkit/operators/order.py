@@ -16,9 +16,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from panelkit.functions.scalars import col, hash_uniform
-from panelkit.session import is_small, lookup_rows, materialise, names
+from panelkit.operators.joins import null_safe_join
+from panelkit.session import bounded_lookup, is_small, lookup_rows, materialise, names, with_row
 
 _PART, _LINE = "__part", "__line"
+# Rank error of the quantile sketch is at most 1 / accuracy; brackets reach twice as far.
+SKETCH_ACCURACY = 2000
 
 
 def _ranged(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
@@ -118,11 +121,7 @@ def running_totals(
 def exact_quantiles(
     df: DataFrame, columns: str | Sequence[str], probs: Sequence[float], by: str | Sequence[str] = ()
 ) -> DataFrame:
-    """Linear-interpolation quantiles: one row per (group, variable) with a `quantiles` array.
-
-    The large plan counts equal values before the shuffle, then orders the distinct values by
-    range and opens only the partitions that hold a wanted position.
-    """
+    """Linear-interpolation quantiles: one row per (group, variable) with a `quantiles` array."""
     by, columns = names(by), names(columns)
     if is_small(df):
         wide = df.groupBy(*by).agg(
@@ -130,8 +129,72 @@ def exact_quantiles(
               for c in columns]
         )
         return wide.unpivot(by, columns, "variable", "quantiles")
-    long = df.select(*by, *[F.col(c).cast("double").alias(c) for c in columns])
-    long = long.unpivot(by, columns, "variable", "__v").where(F.col("__v").isNotNull())
+    slim = df.select(*by, *[F.col(c).cast("double").alias(c) for c in columns])
+    found = _quantiles_by_bracket(slim, columns, probs, by)
+    missed = found.where(F.exists("quantiles", lambda q: q.isNull())).limit(1).count()
+    return _quantiles_by_range(slim, columns, probs, by) if missed else found
+
+
+def _quantiles_by_bracket(slim: DataFrame, columns: list[str], probs: Sequence[float], by: list[str]) -> DataFrame:
+    """Find each wanted position among the few values that a sketch places around it.
+
+    The sketched brackets are stored before use, because a sketch may differ when recomputed. A
+    position outside its bracket shows as a null entry.
+    """
+    margin = 2.0 / SKETCH_ACCURACY
+
+    def end(c: str, p: float, extreme: Column) -> Column:
+        inner = 0.0 < p < 1.0
+        return F.percentile_approx(c, F.lit(p), F.lit(SKETCH_ACCURACY)) if inner else extreme
+
+    brackets = materialise(slim.groupBy(*by).agg(*[
+        F.struct(
+            F.count(c).alias("n"), F.array(*[end(c, p - margin, F.min(c)) for p in probs]).alias("lo"),
+            F.array(*[end(c, p + margin, F.max(c)) for p in probs]).alias("hi"),
+        ).alias(f"__b_{c}")
+        for c in columns
+    ]))
+    if by:
+        rows = null_safe_join(slim, bounded_lookup(brackets), by, "inner")
+    else:
+        rows = with_row(slim, brackets, "__b").select("*", "__b.*")
+    slots = range(len(probs))
+    below = rows.groupBy(*by).agg(*[
+        F.struct(F.max(F.col(f"__b_{c}")["n"]).alias("n"),
+                 F.array(*[F.count_if(F.col(c) < F.col(f"__b_{c}")["lo"][j]) for j in slots]).alias("below")).alias(c)
+        for c in columns
+    ])
+    keys = [*by, "variable"]
+    below = bounded_lookup(below.unpivot(by, columns, "variable", "__s").select(*keys, "__s.*"))
+    entries = [
+        F.when(F.col(c).between(F.col(f"__b_{c}")["lo"][j], F.col(f"__b_{c}")["hi"][j]),
+               F.struct(F.lit(c).alias("variable"), F.lit(j).alias("slot"), F.col(c).alias("v")))
+        for c in columns for j in slots
+    ]
+    inside = rows.select(*by, F.inline(F.array_compact(F.array(*entries))))
+    inside = inside.groupBy(*keys, "slot", "v").agg(F.count(F.lit(1)).alias("times"))
+    inside = running_totals(inside, [F.col("v").asc()], {"upto": "times"}, [*keys, "slot"])
+    placed = null_safe_join(inside, below, keys, "inner")
+    at = F.get(F.array(*[F.lit(float(p)) for p in probs]), F.col("slot")) * (F.col("n") - 1)
+    last = F.get("below", F.col("slot")) + F.col("upto")
+    placed = placed.select(
+        *keys, "slot", "v", at.alias("at"), (last - F.col("times")).alias("first"), last.alias("last"))
+
+    def value_at(j: int, pos: Column) -> Column:
+        here = (F.col("slot") == j) & (pos >= F.col("first")) & (pos < F.col("last"))
+        return F.max(F.when(here, F.col("v")))
+
+    low = [value_at(j, F.floor("at")) for j in slots]
+    high = [value_at(j, F.ceil("at")) for j in slots]
+    part = [F.max(F.when(F.col("slot") == j, F.col("at") - F.floor("at"))) for j in slots]
+    found = placed.groupBy(*keys).agg(F.array(*[low[j] + (high[j] - low[j]) * part[j] for j in slots]).alias("quantiles"))
+    return materialise(found)
+
+
+def _quantiles_by_range(slim: DataFrame, columns: list[str], probs: Sequence[float], by: list[str]) -> DataFrame:
+    """Count equal values before the shuffle, order the distinct ones by range, and open only the
+    partitions that hold a wanted position."""
+    long = slim.unpivot(by, columns, "variable", "__v").where(F.col("__v").isNotNull())
     keys = [*by, "variable"]
     counts = long.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__n"))
     rows = _ranged(counts, keys, [F.col("__v").asc()])

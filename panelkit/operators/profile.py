@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelkit.operators.joins import attribute_join
+from panelkit.operators.joins import attribute_join, null_safe_join
 from panelkit.operators.order import exact_quantiles
 from panelkit.session import names, with_row
 
@@ -92,16 +92,7 @@ def describe_exact(df: DataFrame, columns: Sequence[str], by: str | Sequence[str
     quartiles = exact_quantiles(df, columns, [0.25, 0.5, 0.75], by).select(
         *by, "variable", *[F.col("quantiles")[i].alias(n) for i, n in enumerate(["p25", "p50", "p75"])]
     )
-    return _join_null_safe(moments, quartiles, [*by, "variable"])
-
-
-def _join_null_safe(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
-    right = right.withColumnsRenamed({c: f"__r_{c}" for c in on})
-    cond = None
-    for c in on:
-        same = F.col(c).eqNullSafe(F.col(f"__r_{c}"))
-        cond = same if cond is None else cond & same
-    return left.join(right, cond, "left").drop(*[f"__r_{c}" for c in on])
+    return null_safe_join(moments, quartiles, [*by, "variable"])
 
 
 def dataset_profile(df: DataFrame, approximate: bool = False) -> DataFrame:

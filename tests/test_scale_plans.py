@@ -7,6 +7,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from panelkit.operators import order
 from panelkit.operators.clean import fill_median
 from panelkit.operators.joins import lookup_join
 from panelkit.operators.metrics import metrics_at_k, pr_curve, roc_auc
@@ -24,6 +25,10 @@ from panelkit.session import LOOKUP_ROWS_KEY, bounded_lookup, is_small
 from workload.base import large_plans
 
 
+def nulls_first():
+    return [F.col("x").desc_nulls_first(), F.col("id")]
+
+
 @pytest.fixture(scope="module")
 def skewed(spark):
     """One group holds two thirds of the rows; values are tied and sometimes null; one group key is null."""
@@ -53,18 +58,16 @@ def test_large_flag_switches_the_plan(spark, skewed):
 
 
 def test_ranks(spark, skewed):
-    order = [F.col("x").desc_nulls_first(), F.col("id")]
-    a, b = both(spark, lambda: assign_ranks(skewed, order, "g", "r", "n"))
+    a, b = both(spark, lambda: assign_ranks(skewed, nulls_first(), "g", "r", "n"))
     assert rows(a) == rows(b)
-    a, b = both(spark, lambda: assign_ranks(skewed, order, name="r"))
+    a, b = both(spark, lambda: assign_ranks(skewed, nulls_first(), name="r"))
     assert rows(a) == rows(b)
 
 
 @pytest.mark.parametrize("n", [1, 4, 5, 7, 5000])
 def test_tiles_match_ntile(spark, skewed, n):
-    order = [F.col("x").desc_nulls_first(), F.col("id")]
-    truth = skewed.withColumn("tile", F.ntile(n).over(W.partitionBy("g").orderBy(*order)))
-    a, b = both(spark, lambda: assign_tiles(skewed, order, n, "g"))
+    truth = skewed.withColumn("tile", F.ntile(n).over(W.partitionBy("g").orderBy(*nulls_first())))
+    a, b = both(spark, lambda: assign_tiles(skewed, nulls_first(), n, "g"))
     assert rows(truth, "id", "tile") == rows(a, "id", "tile") == rows(b, "id", "tile")
 
 
@@ -89,6 +92,27 @@ def test_quantiles(spark, skewed):
         assert q == pytest.approx(right[key])
 
 
+def test_quantiles_by_range_when_a_bracket_misses(spark, skewed, monkeypatch):
+    plain = {r.g: r.quantiles for r in exact_quantiles(skewed, "x", [0.1, 0.5], "g").collect()}
+
+    def miss(slim, columns, probs, by):
+        nothing = F.lit(None).cast("double")
+        return slim.groupBy(*by).agg(F.array(nothing, nothing).alias("quantiles"))
+
+    monkeypatch.setattr(order, "_quantiles_by_bracket", miss)
+    with large_plans(spark):
+        large = {r.g: r.quantiles for r in exact_quantiles(skewed, "x", [0.1, 0.5], "g").collect()}
+    assert plain.keys() == large.keys() and all(q == pytest.approx(large[g]) for g, q in plain.items())
+
+
+def test_brackets_keep_few_values(spark):
+    df = spark.range(200_000).select((F.col("id") * 7919 % 200_003).cast("double").alias("x"))
+    with large_plans(spark):
+        found = order._quantiles_by_bracket(df, ["x"], [0.25, 0.5], [])
+    truth = df.agg(F.percentile("x", F.array(F.lit(0.25), F.lit(0.5)))).first()[0]
+    assert found.first().quantiles == pytest.approx(truth)
+
+
 def test_top_share(spark, skewed):
     a, b = both(spark, lambda: top_share(skewed, [F.desc("x"), "id"], 0.2, "g"))
     assert rows(a) == rows(b)
