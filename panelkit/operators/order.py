@@ -142,18 +142,22 @@ def _quantiles_by_bracket(slim: DataFrame, columns: list[str], probs: Sequence[f
     position outside its bracket shows as a null entry.
     """
     margin = 2.0 / SKETCH_ACCURACY
-
-    def end(c: str, p: float, extreme: Column) -> Column:
-        inner = 0.0 < p < 1.0
-        return F.percentile_approx(c, F.lit(p), F.lit(SKETCH_ACCURACY)) if inner else extreme
-
-    brackets = materialise(slim.groupBy(*by).agg(*[
+    lows, highs = [max(p - margin, 0.0) for p in probs], [min(p + margin, 1.0) for p in probs]
+    sketched = slim.groupBy(*by).agg(*[
         F.struct(
-            F.count(c).alias("n"), F.array(*[end(c, p - margin, F.min(c)) for p in probs]).alias("lo"),
-            F.array(*[end(c, p + margin, F.max(c)) for p in probs]).alias("hi"),
-        ).alias(f"__b_{c}")
+            F.count(c).alias("n"), F.min(c).alias("min"), F.max(c).alias("max"),
+            F.percentile_approx(c, F.array(*map(F.lit, lows + highs)), F.lit(SKETCH_ACCURACY)).alias("at"),
+        ).alias(c)
         for c in columns
-    ]))
+    ])
+
+    def bracket(c: str) -> Column:
+        at, n = F.col(c)["at"], len(probs)
+        lo = [F.col(c)["min"] if p == 0.0 else at[i] for i, p in enumerate(lows)]
+        hi = [F.col(c)["max"] if p == 1.0 else at[n + i] for i, p in enumerate(highs)]
+        return F.struct(F.col(c)["n"].alias("n"), F.array(*lo).alias("lo"), F.array(*hi).alias("hi"))
+
+    brackets = materialise(sketched.select(*by, *[bracket(c).alias(f"__b_{c}") for c in columns]))
     if by:
         rows = null_safe_join(slim, bounded_lookup(brackets), by, "inner")
     else:

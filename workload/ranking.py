@@ -9,6 +9,7 @@ from panelkit.operators.fairness import (
     group_crosstab,
     parity_flags,
 )
+from panelkit.operators.joins import lookup_join
 from panelkit.operators.labels import lagged_labels
 from panelkit.operators.metrics import (
     TOP_PERCENTS,
@@ -126,6 +127,17 @@ def param_except(spark, folder):
     return left.unionByName(b.subtract(a).select(F.lit("second").alias("side"), "parameters"))
 
 
+@query("many_to_many_merge", f"""SELECT p_partkey, model_key, parameters, outcome, runs, metric FROM
+ (SELECT p_partkey, p_brand AS model_key, p_type AS parameters, CASE WHEN p_size % 2 = 0 THEN 'top20_num' ELSE 'e_num_inc_20pct' END AS outcome FROM part) l
+ JOIN ({RESULTS}) r USING (model_key, parameters, outcome) WHERE outcome = 'top20_num'""")
+def many_to_many_merge(spark, folder):
+    outcome = F.when(F.col("p_size") % 2 == 0, "top20_num").otherwise("e_num_inc_20pct")
+    rows = table(spark, folder, "part").select(
+        "p_partkey", F.col("p_brand").alias("model_key"), F.col("p_type").alias("parameters"), outcome.alias("outcome"))
+    keys = ["model_key", "parameters", "outcome"]
+    return lookup_join(rows.where(F.col("outcome") == "top20_num"), results(spark, folder), keys, "inner", ["p_partkey"])
+
+
 @query("panel_label_join", f"SELECT p.custkey, p.year, p.urgent, l.top20 FROM ({CY}) p JOIN ({LABELS}) l USING (custkey, year)")
 def panel_label_join(spark, folder):
     panel = customer_years(spark, folder).select("custkey", "year", "urgent")
