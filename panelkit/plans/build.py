@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from panelkit.functions.scalars import SAMPLE_STATES, conversion_rate, division_flags, prefix_keys
 from panelkit.operators.joins import lookup_join, membership_flag
 from panelkit.operators.labels import increase_label, lagged_labels, top_tile_labels
-from panelkit.operators.panel import feature_batch, lag_bundle, parent_bundle, parent_lag_bundle, sentinel_repair
+from panelkit.operators.panel import feature_batch, lag_bundle, sentinel_repair
 from panelkit.plans.catalogue import (
     COUNTY_CHANGE_SPANS,
     COUNTY_MEASURES,
@@ -63,23 +63,34 @@ def build_panel(
 ) -> DataFrame:
     """The modelling table: one row per block group and year with every catalogued feature and label.
 
-    Sentinels are repaired last, over all change columns in one aggregation; a large panel is
+    Attributes keyed like the panel, then parents, then counties are joined while the rows are still
+    narrow; the entity windows come last, on one shuffle. Same-year and prior-year parent columns
+    are put side by side on the (smaller) parent level first, so the panel is joined to it once.
+    Sentinels are repaired at the end, over all change columns in one aggregation; a large panel is
     written to reliable storage before that second pass.
     """
     large = not is_small(groups)
     keyed = groups.select("*", *prefix_keys("geo_id")).where(F.col("state").isin(list(states)))
+    out = keyed.join(households.withColumnRenamed("avg_size", "avg_hh_size"), ["geo_id", "year"], "left")
+    out = out.join(build_labels(keyed), ["geo_id", "year"], "left")
+
     upper = level_features(tracts).withColumnRenamed("geo_id", "tract")
-    out = lag_bundle(level_features(keyed), OWN_DERIVED, "geo_id", "year")
-    out = parent_bundle(out, upper, "tract", "year", SLOW_DERIVED, ["geo_id"], salted=large)
-    out = parent_lag_bundle(out, upper, "tract", "year", OWN_DERIVED, ["geo_id"], salted=large)
-    out = out.join(households.withColumnRenamed("avg_size", "avg_hh_size"), ["geo_id", "year"], "left")
+    same_year = upper.selectExpr("tract", "year", *[f"`{c}` AS `{c}_tr`" for c in SLOW_DERIVED])
+    year_before = upper.selectExpr("tract", "year + 1 AS year", *[f"`{c}` AS `{c}_lag_tr`" for c in OWN_DERIVED])
+    parents = same_year.join(year_before, ["tract", "year"], "full")
+    out = lookup_join(out, parents, ["tract", "year"], "left", ["geo_id"], large)
+
     county = feature_batch(permits.select("geo_id", "year", *COUNTY_MEASURES), "geo_id", "year",
                            [(COUNTY_MEASURES, COUNTY_CHANGE_SPANS, COUNTY_CHANGE_SPANS)])
     county = county.select(F.col("geo_id").alias("county"), "year", *COUNTY_DERIVED)
     out = lookup_join(out, county, ["county", "year"], "left", ["geo_id"], large)
     members = urban.select(F.lpad(F.col("GEOID").cast("string"), 5, "0").alias("county"))
-    out = membership_flag(out, members, "county", "urban", ["geo_id", "year"], large)
-    out = out.select("*", *division_flags("state")).join(build_labels(keyed), ["geo_id", "year"])
+    out = membership_flag(out, members, "county", "urban", ["geo_id", "year"])
+    out = out.select("*", *division_flags("state"))
+
+    out = lag_bundle(level_features(out), OWN_DERIVED, "geo_id", "year")
+    # Unlabelled rows fed the windows; only labelled rows are modelled.
+    out = out.where(F.col("top20_num").isNotNull())
     if large:
         out = materialise(out)
     return sentinel_repair(out, SENTINEL_COLUMNS, "year")
