@@ -59,3 +59,10 @@ def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name) if not os.path.isabs(name) else name
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the frame does not have yet."""
+    while name in df.columns:
+        name = f"_{name}"
+    return name

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelkit.llm.common import encoded, store
+from panelkit.llm.common import encoded, fresh, store
 
 WINDOW = 13
 # Most windows in one broadcast block.
@@ -159,27 +159,54 @@ _SCHEMA = "n_words long, n_hit long, n_items long, items_sha256 string, contamin
 def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
          block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """Per document: words, hit words, items found and the verdict (n_hit > 0 and 20 * n_hit >= n_words)."""
-    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     windows = store(window_table(benchmark, n=window), "windows")
-    blocks = _one_block(windows, block_windows)
-    if blocks is not None:
-        searcher, token = spark.sparkContext.broadcast(blocks), uuid.uuid4().hex
+    block = _one_block(windows, block_windows)
+    if block is None:
+        numbered = store(rows.withColumn("row", F.monotonically_increasing_id()), "docs")
+        return _find_in_blocks(numbered, windows, block_windows).drop("row")
+    shared, token = docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
+
+    def run(batches):
+        machine = _machine(token, shared)
+        for batch in batches:
+            out = [_judge(machine, text) for text in batch.column(1).to_pylist()]
+            yield _verdicts([batch.column(0)], ["doc_id"], out)
+
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {_SCHEMA}")
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
+               block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+    """The rows that are not contaminated, all columns kept."""
+    windows = store(window_table(benchmark, n=window), "windows")
+    block = _one_block(windows, block_windows)
+    if block is None:
+        row = fresh(docs, "row")
+        numbered = store(docs.withColumn(row, F.monotonically_increasing_id()), "docs")
+        found = _find_in_blocks(numbered.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(row).alias("row")),
+                                windows, block_windows)
+        return numbered.join(found.where("contaminated").select(F.col("row").alias(row)), row, "left_anti").select(*docs.columns)
+    shared, token = docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        machine = _machine(token, shared)
+        for batch in batches:
+            yield batch.filter(pa.array([not _judge(machine, text)[4] for text in batch.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _judge(machine: Searcher, text: str | None) -> tuple:
+    words = words_of(text)
+    return _verdict(len(words), *machine.search(words))
 
-        def whole(batches):
-            machine = _machine(token, searcher)
-            for batch in batches:
-                out = []
-                for text in batch.column(1).to_pylist():
-                    words = words_of(text)
-                    out.append(_verdict(len(words), *machine.search(words)))
-                cols = list(zip(*out)) if out else [[]] * 5
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), *[pa.array(c, t) for c, (_, t) in zip(cols, _FIELDS)]],
-                    names=["doc_id", *[n for n, _ in _FIELDS]])
 
-        return rows.mapInArrow(whole, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {_SCHEMA}")
-    return _find_in_blocks(rows, windows, block_windows)
+def _verdicts(columns: list, names: list[str], out: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*out)) if out else [[]] * len(_FIELDS)
+    return pa.RecordBatch.from_arrays([*columns, *[pa.array(c, t) for c, (_, t) in zip(cols, _FIELDS)]],
+                                      names=[*names, *[n for n, _ in _FIELDS]])
 
 
 def _one_block(windows: DataFrame, most: int) -> dict | None:
@@ -200,10 +227,9 @@ def _machine(token: str, shared) -> Searcher:
     return _CACHE[token]
 
 
-def _find_in_blocks(rows: DataFrame, windows: DataFrame, most: int) -> DataFrame:
-    """As `find`, with one scan per block; hits of a row meet again by the row's number."""
-    spark = rows.sparkSession
-    numbered = store(rows.withColumn("row", F.monotonically_increasing_id()), "docs")
+def _find_in_blocks(numbered: DataFrame, windows: DataFrame, most: int) -> DataFrame:
+    """As `find` for stored rows with a unique `row`, with one scan per block of windows."""
+    spark = numbered.sparkSession
     hits = None
     for block in _blocks(windows, most):
         shared = spark.sparkContext.broadcast(block)
@@ -226,12 +252,10 @@ def _find_in_blocks(rows: DataFrame, windows: DataFrame, most: int) -> DataFrame
     def finish(batches):
         for batch in batches:
             out = []
-            for text, ranges, items in zip(*[batch.column(i).to_pylist() for i in (1, 2, 3)]):
+            for text, ranges, items in zip(*[batch.column(i).to_pylist() for i in (2, 3, 4)]):
                 flat = merge_ranges([(x[i], x[i + 1]) for x in ranges or [] for i in range(0, len(x), 2)])
                 out.append(_verdict(len(words_of(text)), flat, set(items or ())))
-            cols = list(zip(*out)) if out else [[]] * 5
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, (_, t) in zip(cols, _FIELDS)]],
-                                             names=["doc_id", *[n for n, _ in _FIELDS]])
+            yield _verdicts([batch.column(0), batch.column(1)], ["row", "doc_id"], out)
 
-    joined = numbered.join(hits, "row", "left").select("doc_id", "text", "ranges", "items")
-    return joined.mapInArrow(finish, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {_SCHEMA}")
+    joined = numbered.join(hits, "row", "left").select("row", "doc_id", "text", "ranges", "items")
+    return joined.mapInArrow(finish, f"row long, doc_id {numbered.schema['doc_id'].dataType.simpleString()}, {_SCHEMA}")

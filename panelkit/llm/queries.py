@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelkit.llm import chat, decontaminate, licences, quality
+from panelkit.llm import bpe, chat, decontaminate, language, licences, near_dedup, quality, tokens
 from panelkit.llm.common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +65,24 @@ def op5_benchmark_decontamination(spark, folder):
 @query("op10_chat_formatting")
 def op10_chat_formatting(spark, folder):
     return chat.repair(load(spark, folder, "conversations"))
+
+
+@query("op2_token_output")
+def op2_token_output(spark, folder):
+    return tokens.round_trip(load(spark, folder, "documents"))
+
+
+@query("op9_bpe")
+def op9_bpe(spark, folder):
+    return bpe.digests(load(spark, folder, "documents"))
+
+
+@query("op4_language_id")
+def op4_language_id(spark, folder):
+    docs = load(spark, folder, "documents").select("doc_id", "text", "lang")
+    return language.predict(docs, language.fit(docs))
+
+
+@query("op6_minhash_near_dedup")
+def op6_minhash_near_dedup(spark, folder):
+    return near_dedup.classify(load(spark, folder, "documents"), words=2).drop("th")

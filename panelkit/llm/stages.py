@@ -7,14 +7,7 @@ from pyspark.sql import functions as F
 
 from panelkit.llm import bpe as bpe_codec
 from panelkit.llm import decontaminate, language, near_dedup as minhash, quality
-from panelkit.llm.common import load
-
-
-def fresh(df: DataFrame, name: str) -> str:
-    """A column name that the frame does not have yet."""
-    while name in df.columns:
-        name = f"_{name}"
-    return name
+from panelkit.llm.common import fresh, load
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -122,6 +122,10 @@ def test_decontamination(spark, block):
     assert len(got) == len(texts) + 2
     want = collections.Counter((i, *contaminated_brute(t, items)) for i, t in [*enumerate(texts), (0, None), (None, "dup dup")])
     assert collections.Counter(tuple(r) for r in got) == want
+    kept = decontaminate.keep_clean(docs.withColumn("row", docs["doc_id"]), benchmark, block_windows=block)
+    assert kept.columns == [*docs.columns, "row"]
+    clean = collections.Counter((i, t) for i, t in [*enumerate(texts), (0, None), (None, "dup dup")] if not contaminated_brute(t, items)[4])
+    assert collections.Counter((r["doc_id"], r["text"]) for r in kept.collect()) == clean
     nothing = decontaminate.find(docs, benchmark.limit(0), block_windows=block).collect()
     assert all(r["n_hit"] == 0 and not r["contaminated"] for r in nothing)
 
