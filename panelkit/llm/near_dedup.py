@@ -54,25 +54,25 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U64(31))
 
 
-def word_hashes(raw: bytes) -> np.ndarray:
-    """64-bit hashes of the words of a lower-cased text: polynomials of their bytes, mixed."""
+def hashed_words(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Places and 64-bit hashes of the words of a text: polynomials of their bytes, mixed."""
     data = np.frombuffer(raw, np.uint8)
     gap = _GAP[data]
     word = ~gap
     starts = np.flatnonzero(word & np.concatenate(([True], gap[:-1])))
     if not len(starts):
-        return np.zeros(0, np.uint64)
+        return starts, np.zeros(0, np.uint64)
     at = np.flatnonzero(word)
     first = np.searchsorted(at, starts)
     sizes = np.diff(np.concatenate((first, [len(at)])))
     place = at - np.repeat(starts, sizes)
     power = np.concatenate(([_U64(1)], np.cumprod(np.full(int(sizes.max()) - 1, _BASE)))) if sizes.max() > 1 else np.ones(1, np.uint64)
-    return mix(np.add.reduceat((data[at].astype(np.uint64) + _U64(1)) * power[place], first) + sizes.astype(np.uint64))
+    return starts, mix(np.add.reduceat((data[at].astype(np.uint64) + _U64(1)) * power[place], first) + sizes.astype(np.uint64))
 
 
 def shingle_set(text: str | None, words: int) -> np.ndarray:
     """Sorted distinct hashes of the text's `words`-word shingles; fewer words are one shingle."""
-    h = word_hashes(encoded(text).lower())
+    _, h = hashed_words(encoded(text).lower())
     if not len(h):
         return h
     width = min(words, len(h))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelkit.llm import bpe, chat, decontaminate, language, licences, near_dedup, quality, tokens
+from panelkit.llm import bpe, chat, decontaminate, html_text, language, licences, lm, near_dedup, quality, tokens
 from panelkit.llm.common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,13 @@ def op4_language_id(spark, folder):
 @query("op6_minhash_near_dedup")
 def op6_minhash_near_dedup(spark, folder):
     return near_dedup.classify(load(spark, folder, "documents"), words=2).drop("th")
+
+
+@query("op1_lm_scoring")
+def op1_lm_scoring(spark, folder):
+    return lm.score(load(spark, folder, "documents"))
+
+
+@query("op3_html_extraction")
+def op3_html_extraction(spark, folder):
+    return html_text.extract(load(spark, folder, "pages"))
