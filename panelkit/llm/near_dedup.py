@@ -4,15 +4,14 @@
    set, HASHES universal hash minima, and BANDS band keys of ROWS minima each.
 2. Documents with equal sets form one class; only classes are compared.
 3. A band key shared by classes is a bucket. Buckets may hold a third of all rows, so pairs are not
-   spelled out. Every member is compared with the bucket's hub (the class with the largest buckets),
-   then, if still in another component, with a second hub drawn by hash. What remains in a bucket
-   outside its main component is compared with all members in blocks of signatures. So each pair of a bucket is compared,
-   or already lies in one component.
+   spelled out. Every member is compared with the bucket's hub (the class with the largest buckets).
+   What remains outside a bucket's main component is then compared, in broadcast blocks, with all
+   members of the bucket. So each pair of a bucket is compared, or already lies in one component.
 4. A pair is confirmed on the two full sets, after a signature estimate far below the threshold
    has been ruled out (4.5 standard deviations of HASHES minima).
 5. Components of the links: alternating large-star and small-star until nothing changes.
 
-A pair at the threshold of 0.8 shares a band but for 3 in 10 million.
+A pair at the threshold of 0.8 shares a band but for 1 in 3 million.
 
 Defined results: null and empty texts have empty sets and are linked with nothing; rows with a null
 id take no part in links and are kept; repeated rows share a class and, with the same id, are all
@@ -21,6 +20,8 @@ kept; the smallest id of a component represents it; only the id and text columns
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -28,13 +29,15 @@ from pyspark.sql import functions as F
 
 from panelkit.llm.common import encoded, fresh, pin, store
 
-ROWS = 7
-BANDS = 64
+ROWS = 6
+BANDS = 50
 HASHES = ROWS * BANDS
 SIMILARITY_PERCENT = 80
 # Signature estimates below this rule a pair out.
 SCREEN = 0.8 - 4.5 * (0.8 * 0.2 / HASHES) ** 0.5
-BLOCK = 128
+# Most outsiders, and about the most shingles of them, in one broadcast block.
+BLOCK_MEMBERS = 4096
+BLOCK_SHINGLES = 2_000_000
 
 _U64 = np.uint64
 _GAP = np.zeros(256, bool)
@@ -172,30 +175,24 @@ def _screen(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
-def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """Pairs whose full sets reach the similarity."""
-    need = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
-    members = need.join(classes.select("cls", F.col("rep").alias("doc_id"), "th"), "cls").join(texts, ["doc_id", "th"]).select("cls", "text")
+def _is_link(a: np.ndarray, b: np.ndarray) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= SIMILARITY_PERCENT * (len(a) + len(b) - both)
 
-    def sets(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([shingle_set(t, words).tobytes() for t in batch.column(1).to_pylist()], pa.binary())],
-                names=["cls", "set"])
 
-    # Rows of one id and text are the same set; one of them is enough.
-    members = store(members.mapInArrow(sets, "cls long, set binary").dropDuplicates(["cls"]), "sets")
-    rows = pairs.join(members.select(F.col("cls").alias("a"), F.col("set").alias("sa")), "a")
-    rows = rows.join(members.select(F.col("cls").alias("b"), F.col("set").alias("sb")), "b").select("a", "b", "sa", "sb")
+def _confirm(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """Pairs whose full sets reach the similarity."""
+    rows = pairs.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("ta")), "a")
+    rows = rows.join(texts.select(F.col("cls").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
 
     def run(batches):
+        last, of_last = None, None
         for batch in batches:
             linked = []
-            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                linked.append(100 * both >= SIMILARITY_PERCENT * (len(a) + len(b) - both))
+            for b, ta, tb in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                if b != last:
+                    last, of_last = b, shingle_set(tb, words)
+                linked.append(_is_link(shingle_set(ta, words), of_last))
             yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
     return rows.mapInArrow(run, "a long, b long")
@@ -205,54 +202,78 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _open_buckets(members: DataFrame, groups: DataFrame | None) -> DataFrame:
-    """Members (key, cls, n, comp) of the buckets that still touch several components."""
-    if groups is None:
-        return members.withColumn("comp", F.col("cls"))
-    rows = members.join(groups.select(F.col("node").alias("cls"), "root"), "cls", "left")
-    rows = rows.select("key", "cls", "n", F.coalesce("root", "cls").alias("comp"))
-    # Two members have been compared by the first hub already.
-    still = rows.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-    return rows.where("n > 2").join(still, "key")
-
-
-def _hub_pairs(rows: DataFrame, order: Column) -> DataFrame:
-    """Pairs of every member with its bucket's hub, the member first in `order`."""
-    hubs = rows.groupBy("key").agg(F.max(F.struct(order.alias("o"), F.col("cls").alias("hub"), F.col("comp").alias("hub_comp"))).alias("h"))
-    rows = rows.join(hubs.select("key", "h.hub", "h.hub_comp"), "key").where("comp <> hub_comp")
-    return _ordered(rows.select(F.col("cls").alias("a"), F.col("hub").alias("b")))
+def _hub_pairs(members: DataFrame) -> DataFrame:
+    """Pairs of every member with its bucket's hub, the member of the largest weight."""
+    hubs = members.groupBy("key").agg(F.max(F.struct("w", -F.col("cls"))).alias("h"))
+    rows = members.join(hubs.select("key", (-F.col("h.col2")).alias("hub")), "key").where("cls <> hub")
+    return rows.select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")).distinct()
 
 
-def _block_pairs(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs between members outside a bucket's main component and all its members in other
-    components, that pass the signature estimate; compared block by block."""
-    parts = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
-    main = parts.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("m"), F.sum("c").alias("size"))
-    rows = rows.drop("n").join(main.select("key", "m.comp", "size").withColumnRenamed("comp", "main"), "key")
-    rows = rows.join(classes.select("cls", "n", "sig"), "cls")
-    block = F.pmod(F.xxhash64("cls"), F.ceil(F.col("size") / BLOCK)).cast("int").alias("block")
-    pack = F.collect_list(F.struct("cls", "comp", "n", "sig"))  # about BLOCK members
-    every = rows.groupBy("key", block).agg(pack.alias("y"))
-    minor = rows.where("comp <> main").groupBy("key", block).agg(pack.alias("x"))
-    joined = minor.select("key", "x").join(every.select("key", "y"), "key").select("x", "y")
+def _open_buckets(members: DataFrame, groups: DataFrame) -> DataFrame:
+    """Members (key, cls, comp) of the buckets that still touch several components.
 
-    def run(batches):
-        for batch in batches:
-            for xs, ys in zip(batch.column(0), batch.column(1)):
-                x, y = _unpack(xs.values), _unpack(ys.values)
-                for i in range(len(x[0])):
-                    low, high = np.minimum(x[2][i], y[2]), np.maximum(x[2][i], y[2])
-                    fit = np.flatnonzero((y[1] != x[1][i]) & (100 * low >= SIMILARITY_PERCENT * high))
-                    fit = fit[_estimate(x[3][i], y[3][fit]) >= SCREEN]
-                    if len(fit):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fit), x[0][i])), pa.array(y[0][fit])], names=["a", "b"])
+    A bucket of two is left out, as the hub has met its only other member.
+    """
+    rows = members.where("n > 2").join(groups.select(F.col("node").alias("cls"), "root"), "cls", "left")
+    rows = rows.select("key", "cls", F.coalesce("root", "cls").alias("comp"))
+    still = rows.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
+    return rows.join(still, "key")
 
-    return _ordered(joined.mapInArrow(run, "a long, b long"))
 
+def _outsider_links(rows: DataFrame, classes: DataFrame, texts: DataFrame, words: int) -> list[DataFrame]:
+    """Links between members outside a bucket's main component (outsiders) and members of its other components.
 
-def _unpack(values: pa.StructArray) -> tuple:
-    cls, comp, n = (values.field(i).to_numpy(zero_copy_only=False) for i in range(3))
-    return cls, comp, n, np.frombuffer(b"".join(values.field(3).to_pylist()), np.uint8).reshape(-1, HASHES)
+    Outsiders are taken in blocks of bounded number and size. A block is broadcast, every member of its
+    buckets meets it once, whatever the number of buckets they share, and of the links between an outsider and one
+    component each task reports the first.
+    """
+    spark = rows.sparkSession
+    parts = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
+    main = parts.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("m"))
+    outside = pin(rows.join(main.select("key", F.col("m.comp").alias("main")), "key").where("comp <> main").select("key", "cls", "comp"))
+    kinds = outside.select("cls").distinct().join(classes.select("cls", "n"), "cls")
+    count, size = kinds.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    pieces = max(-(-count // BLOCK_MEMBERS), -(-size // BLOCK_SHINGLES))
+    found = []
+    for k in range(pieces):
+        mine = outside.where(F.pmod(F.xxhash64("cls"), F.lit(pieces)) == k)
+        block = mine.groupBy("cls").agg(F.collect_list("key").alias("keys"), F.first("comp").alias("comp"))  # BANDS keys at most
+        block = block.join(classes.select("cls", "n", "sig"), "cls").join(texts, "cls").collect()
+        shared = spark.sparkContext.broadcast([
+            (r["cls"], r["comp"], r["n"], bytes(r["sig"]), shingle_set(r["text"], words), r["keys"]) for r in block])
+        # The block's keys are bounded like its members.
+        touched = rows.join(F.broadcast(mine.select("key").distinct()), "key").groupBy("cls").agg(
+            F.collect_list("key").alias("keys"), F.first("comp").alias("comp"))
+        touched = touched.join(classes.select("cls", "n", "sig"), "cls").join(texts, "cls").select("cls", "comp", "n", "sig", "keys", "text")
+
+        def run(batches, shared=shared):
+            block = shared.value
+            comp, n = np.array([r[1] for r in block], np.int64), np.array([r[2] for r in block], np.int64)
+            sig = np.frombuffer(b"".join(r[3] for r in block), np.uint8).reshape(-1, HASHES)
+            at: dict[int, list[int]] = {}
+            for i, r in enumerate(block):
+                for key in r[5]:
+                    at.setdefault(key, []).append(i)
+            done = set()
+            for batch in batches:
+                out = []
+                for cls, c, size, s, keys, text in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                    near = np.unique(np.concatenate([at[key] for key in keys]))
+                    near = near[(comp[near] != c) & (100 * np.minimum(n[near], size) >= SIMILARITY_PERCENT * np.maximum(n[near], size))]
+                    near = near[_estimate(sig[near], np.frombuffer(s, np.uint8)) >= SCREEN]
+                    mine = None
+                    for i in near.tolist():
+                        if (i, c) in done:
+                            continue
+                        mine = shingle_set(text, words) if mine is None else mine
+                        if _is_link(block[i][4], mine):
+                            done.add((i, c))
+                            out.append((block[i][0], cls))
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())],
+                                                 names=["a", "b"])
+
+        found.append(pin(touched.mapInArrow(run, "a long, b long")))
+    return found
 
 
 def classify(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -269,38 +290,23 @@ def classify(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col:
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = store(keys.join(shared, "key").select("key", "cls", "n"), "members")
 
+    # Texts of the classes in buckets, fetched once for all confirmations; rows of one id and text are the same text.
+    inside = members.select("cls").distinct().join(classes.select("cls", F.col("rep").alias("doc_id"), "th"), "cls")
+    texts = inside.join(docs.withColumn("th", F.xxhash64("text")), ["doc_id", "th"]).dropDuplicates(["doc_id", "th"]).select("cls", "text")
+    texts = store(texts, "texts")
+
     weight = members.groupBy("cls").agg(F.sum("n").alias("w"))
-    tested, groups = None, None
-    for step in ("hub", "second hub", "blocks"):
-        rows = _open_buckets(members, groups)
-        if step == "hub":
-            pairs = _hub_pairs(rows.join(weight, "cls"), F.struct("w", -F.col("cls")))
-        elif step == "second hub":
-            pairs = _hub_pairs(rows, F.xxhash64("cls", "key"))
-        else:
-            pairs = _block_pairs(pin(rows), classes)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        if step != "blocks":
-            pairs = pin(pairs)
-            tested = pairs if tested is None else tested.union(pairs)
-            pairs = _screen(pairs, classes)
-        pairs = pin(pairs)
-        if pairs.isEmpty():
-            continue
-        links = _confirm(pairs, classes, docs, words)
-        if groups is not None:
-            links = links.union(groups.select(F.col("node").alias("a"), F.col("root").alias("b")))
-        groups = components(links)
+    hub_pairs = pin(_screen(_hub_pairs(members.join(weight, "cls")), classes))
+    groups = components(_confirm(hub_pairs, texts, words))
+    links = _outsider_links(pin(_open_buckets(members, groups)), classes, texts, words)
+    if links:
+        links.append(groups.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        groups = components(reduce(DataFrame.union, links))
 
     named = classes.select("cls", "rep", "n", "fp1", "fp2")
-    if groups is not None:
-        named = named.join(groups.select(F.col("node").alias("cls"), "root"), "cls", "left")
-        named = named.withColumn("root", F.coalesce("root", "cls"))
-        least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-        named = named.join(least, "root")
-    else:
-        named = named.withColumn("component_id", F.col("rep"))
+    named = named.join(groups.select(F.col("node").alias("cls"), "root"), "cls", "left")
+    named = named.withColumn("root", F.coalesce("root", "cls"))
+    named = named.join(named.groupBy("root").agg(F.min("rep").alias("component_id")), "root")
     out = found.select("doc_id", "th", "n", "fp1", "fp2").join(named.select("n", "fp1", "fp2", "component_id"), ["n", "fp1", "fp2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     out = out.select("doc_id", "th", F.col("n").alias("n_shingles"), component.alias("component_id"))
