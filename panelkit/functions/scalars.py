@@ -24,19 +24,6 @@ DIVISION_STATES = {
     "div_pac": ["02", "06", "15", "41", "53"],
 }
 
-# Postal state codes of each census division.
-DIVISION_POSTAL = {
-    "New England": ["CT", "MA", "ME", "NH", "RI", "VT"],
-    "Mid-Atlantic": ["NJ", "NY", "PA"],
-    "East North Central": ["IL", "IN", "MI", "OH", "WI"],
-    "West North Central": ["IA", "KS", "MN", "MO", "ND", "NE", "SD"],
-    "South Atlantic": ["DC", "DE", "FL", "GA", "MD", "NC", "SC", "VA", "WV"],
-    "East South Central": ["AL", "KY", "MS", "TN"],
-    "West South Central": ["AR", "LA", "OK", "TX"],
-    "Mountain": ["AZ", "CO", "ID", "MT", "NM", "NV", "UT", "WY"],
-    "Pacific": ["AK", "CA", "HI", "OR", "WA"],
-}
-
 
 def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -108,10 +95,6 @@ def per_thousand(num: str | Column, den: str | Column) -> Column:
     return F.try_divide(col(num).cast("double"), col(den).cast("double")) * 1000
 
 
-def pct_of(num: str | Column, den: str | Column) -> Column:
-    return F.try_divide(col(num).cast("double"), col(den).cast("double")) * 100
-
-
 def year_start(year: str | Column) -> Column:
     return F.make_date(col(year).cast("int"), F.lit(1), F.lit(1))
 
@@ -147,7 +130,3 @@ def hash_uniform(cols: Sequence[str | Column], seed: int | str | Column) -> Colu
     seed_col = seed if isinstance(seed, Column) else F.lit(str(seed))
     text = F.concat_ws("|", *[col(c).cast("string") for c in cols], seed_col.cast("string"))
     return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("double") / float(16**12)
-
-
-def is_outside(c: str | Column, low: Column, high: Column) -> Column:
-    return (col(c) < low) | (col(c) > high)

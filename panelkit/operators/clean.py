@@ -111,13 +111,11 @@ def quantile_bins(
     return with_row(df, edges, "__edges").withColumn(f"{column}_bins", index).drop("__edges")
 
 
-def dummies(df: DataFrame, column: str, values: Sequence | None = None, limit: int = 1000) -> DataFrame:
-    """One 0/1 column per value. Values not given are read from the data, up to a checked limit."""
+def dummies(df: DataFrame, column: str, values: Sequence | None = None) -> DataFrame:
+    """One 0/1 column per value; values not given are read from the data (they become columns, so they are few)."""
     if values is None:
-        found = df.select(column).distinct().where(F.col(column).isNotNull()).orderBy(column).limit(limit + 1)
+        found = df.select(column).distinct().where(F.col(column).isNotNull()).orderBy(column)
         values = [r[0] for r in found.collect()]
-        if len(values) > limit:
-            raise ValueError(f"{column} has more than {limit} values; a column per value is not sensible")
     hit = [F.coalesce(F.col(column) == F.lit(v), F.lit(False)).cast("int").alias(f"{column}_{v}") for v in values]
     return df.select("*", *hit)
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelkit.functions.scalars import col
-from panelkit.session import bounded_lookup, is_small, names, salt_count
+from panelkit.session import names, salt_count
 
 _SALT = "__salt"
 
@@ -22,20 +22,21 @@ def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: st
 
 def lookup_join(
     rows: DataFrame, lookup: DataFrame, on: str | Sequence[str], how: str = "left", spread: Sequence[str] = (),
-    salted: bool | None = None,
+    salted: bool = False,
 ) -> DataFrame:
     """Join rows to a lookup with one row per key.
 
-    `spread` names columns that tell apart rows sharing a key. When the rows are not small, a hash
-    of them salts the key and the lookup is repeated once per salt, so one hot key becomes many
-    join partitions. The lookup is unique per key, so no row is multiplied. `salted` settles the
-    choice when the caller already knows the size.
+    The join carries no hint: adaptive execution broadcasts a side that turns out small and splits
+    skewed partitions. For a lookup key known to be so hot that its rows need more than that,
+    `salted` adds a hash of the `spread` columns to the key and repeats the lookup once per salt, so one key
+    becomes many join partitions. The lookup is unique per key, so no row is multiplied; joins that
+    keep unmatched lookup rows would repeat them per salt and are refused.
     """
     on = names(on)
-    if salted is None:
-        salted = bool(spread) and not is_small(lookup) and not is_small(rows)
     if not salted:
         return rows.join(lookup, on, how)
+    if how.replace("_", "").replace("outer", "") in ("right", "full", ""):
+        raise ValueError(f"a salted join cannot keep unmatched lookup rows ({how})")
     salts = salt_count(rows.sparkSession)
     left = rows.withColumn(_SALT, F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
     right = lookup.withColumn(_SALT, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
@@ -51,7 +52,7 @@ def shifted_join(
     rename: Mapping[str, str],
     how: str = "left",
     spread: Sequence[str] = (),
-    salted: bool | None = None,
+    salted: bool = False,
 ) -> DataFrame:
     """Bring in the source's columns from exactly `offset` periods earlier."""
     on = names(on)
@@ -83,7 +84,7 @@ def update_join(
 
 
 def membership_flag(
-    rows: DataFrame, members: DataFrame, on: str, name: str, spread: Sequence[str] = (), salted: bool | None = None
+    rows: DataFrame, members: DataFrame, on: str, name: str, spread: Sequence[str] = (), salted: bool = False
 ) -> DataFrame:
     """0/1 column: 1 where the key occurs in the member list."""
     listed = members.select(on).where(F.col(on).isNotNull()).distinct().withColumn("__in", F.lit(1))
@@ -92,5 +93,5 @@ def membership_flag(
 
 
 def attribute_join(rows: DataFrame, attributes: DataFrame, on: str | Sequence[str], how: str = "left") -> DataFrame:
-    """Join to an attribute table that is broadcast only when its size is checked."""
-    return rows.join(bounded_lookup(attributes), names(on), how)
+    """Join to an attribute table; adaptive execution broadcasts it if its measured size allows."""
+    return rows.join(attributes, names(on), how)

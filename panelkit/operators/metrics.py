@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelkit.operators.joins import attribute_join
+from panelkit.operators.joins import null_safe_join
 from panelkit.operators.order import assign_ranks, running_totals
-from panelkit.session import lookup_rows, names, with_row
+from panelkit.session import names, with_row
 
 # The population percentages at which precision, recall and F1 are reported.
 TOP_PERCENTS = [1, 2, 5, 10, 20, 30, 50]
@@ -58,9 +58,9 @@ def roc_auc(df: DataFrame, score: str, label: str, by: str | Sequence[str] = ())
     """Area under the ROC curve, ties counted half; null when one class is missing."""
     by = names(by)
     counts = running_totals(score_counts(df, score, label, by), [F.col(score).asc()], {"below": "neg"}, by)
-    won = F.col("pos") * (F.col("below") - F.col("neg") / 2)
+    won = F.col("pos").cast("double") * (F.col("below") - F.col("neg") / 2)
     return counts.groupBy(*by).agg(
-        F.try_divide(F.sum(won), (F.sum("pos") * F.sum("neg")).cast("double")).alias("auc")
+        F.try_divide(F.sum(won), F.sum("pos").cast("double") * F.sum("neg").cast("double")).alias("auc")
     )
 
 
@@ -71,7 +71,7 @@ def pr_curve(df: DataFrame, score: str, label: str, by: str | Sequence[str] = ()
     totals = counts.groupBy(*by).agg(F.sum("pos").alias("__p"), F.sum("n").alias("__n"))
     cum = running_totals(counts, [F.col(score).desc()], {"tp": "pos", "above": "n"}, by)
     if by:
-        cum = attribute_join(cum, totals, by, "inner")
+        cum = null_safe_join(cum, totals, by, "inner")
         p, n = F.col("__p"), F.col("__n")
     else:
         cum = with_row(cum, totals, "__t")
@@ -107,14 +107,11 @@ def accuracy(df: DataFrame, label: str, predicted: str, by: str | Sequence[str]
 
 
 def flag_top(df: DataFrame, score: str, key: str | Sequence[str], k: int, name: str = "pred") -> DataFrame:
-    """1 for the k highest scores (ties by key), 0 below.
+    """1 for the k highest scores (ties by key), 0 below; missing and NaN scores come last.
 
-    For a moderate k each task keeps k candidates and the k-th row becomes a cutoff every row is
-    compared with; nothing is sorted in full.
+    Ranks are counted over range partitions, so no task holds more than its share for any k.
     """
-    place = F.struct(F.col(score).isNull().alias("none"), (-F.col(score)).alias("s"), *names(key))
-    if k <= lookup_rows(df.sparkSession):
-        last = df.select(place.alias("p")).orderBy("p").limit(k).agg(F.max("p")).scalar()
-        return df.withColumn(name, F.coalesce(place <= last, F.lit(False)).cast("int"))
-    ranked = assign_ranks(df, [F.col(score).desc(), *names(key)], name="__rank")
+    x = F.col(score)
+    last = x.isNull() | F.isnan(x.cast("double"))
+    ranked = assign_ranks(df, [last.asc(), x.desc(), *names(key)], name="__rank")
     return ranked.withColumn(name, (F.col("__rank") <= k).cast("int")).drop("__rank")

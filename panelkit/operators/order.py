@@ -1,10 +1,9 @@
 """Ranks, n-tiles, running totals and exact quantiles that do not put a group in one task.
 
-Each operator has two plans. When Catalyst's size estimate of the input fits the single-task
-budget, a plain window is used. Otherwise rows are range-partitioned on (group, order keys), the
-partitioned rows are checkpointed so that every later branch sees the same split, per-partition
-subtotals give each partition its offset, and positions are local position plus offset. A group
-holding most of the rows is thereby spread over many tasks.
+Rows are range-partitioned on (group, order keys), the partitioned rows are checkpointed so that
+every later branch sees the same split, per-partition subtotals give each partition its offset, and
+positions are local position plus offset. A group holding most of the rows is thereby spread over
+many tasks. The plan is the same at every size.
 """
 
 from __future__ import annotations
@@ -17,7 +16,7 @@ from pyspark.sql import Window as W
 
 from panelkit.functions.scalars import col, hash_uniform
 from panelkit.operators.joins import null_safe_join
-from panelkit.session import bounded_lookup, is_small, lookup_rows, materialise, names, with_row
+from panelkit.session import materialise, names, with_row
 
 _PART, _LINE = "__part", "__line"
 # Rank error of the quantile sketch is at most 1 / accuracy; brackets reach twice as far.
@@ -39,7 +38,7 @@ def _offsets(subtotals: DataFrame, by: list[str], sums: Sequence[str]) -> DataFr
     before = group.orderBy(_PART).rowsBetween(W.unboundedPreceding, -1)
     return subtotals.select(
         "*",
-        *[F.coalesce(F.sum(s).over(before), F.lit(0)).alias(f"{s}__before") for s in sums],
+        *[F.sum(s).over(before).alias(f"{s}__before") for s in sums],
         *[F.sum(s).over(group).alias(f"{s}__all") for s in sums],
     )
 
@@ -64,16 +63,12 @@ def assign_ranks(
     `order` must end in a unique key so that positions are repeatable.
     """
     by, order = names(by), [col(c) for c in order]
-    if is_small(df):
-        group = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
-        out = df.withColumn(name, F.row_number().over(group.orderBy(*order)).cast("long"))
-        return out.withColumn(total, F.count(F.lit(1)).over(group)) if total else out
     rows = _ranged(df, by, order)
     parts = _offsets(
         rows.groupBy(*by, _PART).agg(F.count(F.lit(1)).alias("__n"), F.min(_LINE).alias("__first")), by, ["__n"]
     )
     out = _join_parts(rows, parts, by).withColumn(
-        name, F.col(_LINE) - F.col("__first") + F.col("__n__before") + 1
+        name, F.col(_LINE) - F.col("__first") + F.coalesce("__n__before", F.lit(0)) + 1
     )
     if total:
         out = out.withColumn(total, F.col("__n__all"))
@@ -103,10 +98,6 @@ def running_totals(
 ) -> DataFrame:
     """Inclusive running totals per group: `sums` maps new column name to the column summed."""
     by, order = names(by), [col(c) for c in order]
-    if is_small(df):
-        w = (W.partitionBy(*by) if by else W.partitionBy(F.lit(0))).orderBy(*order)
-        w = w.rowsBetween(W.unboundedPreceding, 0)
-        return df.select("*", *[F.sum(c).over(w).alias(new) for new, c in sums.items()])
     rows = _ranged(df, by, order)
     parts = _offsets(rows.groupBy(*by, _PART).agg(*[F.sum(c).alias(f"__{new}") for new, c in sums.items()]),
                      by, [f"__{new}" for new in sums])
@@ -114,7 +105,9 @@ def running_totals(
     out = rows.select("*", *[F.sum(c).over(local).alias(f"__l_{new}") for new, c in sums.items()])
     out = _join_parts(out, parts, by)
     return out.select(
-        *df.columns, *[(F.col(f"__l_{new}") + F.col(f"__{new}__before")).alias(new) for new in sums]
+        # A total is null only while no value has come yet, here or in the partitions before.
+        *df.columns, *[F.coalesce(F.col(f"__l_{new}") + F.col(f"__{new}__before"), f"__l_{new}", f"__{new}__before").alias(new)
+                       for new in sums]
     )
 
 
@@ -123,12 +116,6 @@ def exact_quantiles(
 ) -> DataFrame:
     """Linear-interpolation quantiles: one row per (group, variable) with a `quantiles` array."""
     by, columns = names(by), names(columns)
-    if is_small(df):
-        wide = df.groupBy(*by).agg(
-            *[F.percentile(F.col(c).cast("double"), F.array(*[F.lit(float(p)) for p in probs])).alias(c)
-              for c in columns]
-        )
-        return wide.unpivot(by, columns, "variable", "quantiles")
     slim = df.select(*by, *[F.col(c).cast("double").alias(c) for c in columns])
     found = _quantiles_by_bracket(slim, columns, probs, by)
     missed = found.where(F.exists("quantiles", lambda q: q.isNull())).limit(1).count()
@@ -159,7 +146,7 @@ def _quantiles_by_bracket(slim: DataFrame, columns: list[str], probs: Sequence[f
 
     brackets = materialise(sketched.select(*by, *[bracket(c).alias(f"__b_{c}") for c in columns]))
     if by:
-        rows = null_safe_join(slim, bounded_lookup(brackets), by, "inner")
+        rows = null_safe_join(slim, brackets, by, "inner")
     else:
         rows = with_row(slim, brackets, "__b").select("*", "__b.*")
     slots = range(len(probs))
@@ -169,7 +156,7 @@ def _quantiles_by_bracket(slim: DataFrame, columns: list[str], probs: Sequence[f
         for c in columns
     ])
     keys = [*by, "variable"]
-    below = bounded_lookup(below.unpivot(by, columns, "variable", "__s").select(*keys, "__s.*"))
+    below = below.unpivot(by, columns, "variable", "__s").select(*keys, "__s.*")
     entries = [
         F.when(F.col(c).between(F.col(f"__b_{c}")["lo"][j], F.col(f"__b_{c}")["hi"][j]),
                F.struct(F.lit(c).alias("variable"), F.lit(j).alias("slot"), F.col(c).alias("v")))
@@ -192,7 +179,9 @@ def _quantiles_by_bracket(slim: DataFrame, columns: list[str], probs: Sequence[f
     high = [value_at(j, F.ceil("at")) for j in slots]
     part = [F.max(F.when(F.col("slot") == j, F.col("at") - F.floor("at"))) for j in slots]
     found = placed.groupBy(*keys).agg(F.array(*[low[j] + (high[j] - low[j]) * part[j] for j in slots]).alias("quantiles"))
-    return materialise(found)
+    # Groups without a value have a row too, with a null array.
+    every = brackets.select(*by, F.explode(F.array(*map(F.lit, columns))).alias("variable"))
+    return materialise(null_safe_join(every, found, keys))
 
 
 def _quantiles_by_range(slim: DataFrame, columns: list[str], probs: Sequence[float], by: list[str]) -> DataFrame:
@@ -203,6 +192,7 @@ def _quantiles_by_range(slim: DataFrame, columns: list[str], probs: Sequence[flo
     counts = long.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__n"))
     rows = _ranged(counts, keys, [F.col("__v").asc()])
     parts = _offsets(rows.groupBy(*keys, _PART).agg(F.sum("__n").alias("__c")), keys, ["__c"])
+    parts = parts.na.fill(0, ["__c__before"])
 
     def position(p: float) -> Column:
         return F.lit(float(p)) * (F.col("__c__all") - 1)
@@ -229,7 +219,9 @@ def _quantiles_by_range(slim: DataFrame, columns: list[str], probs: Sequence[flo
         F.col(f"__lo{i}") + (F.col(f"__hi{i}") - F.col(f"__lo{i}")) * (position(p) - F.floor(position(p)))
         for i, p in enumerate(probs)
     ]
-    return picked.select(*keys, F.array(*interpolated).alias("quantiles"))
+    picked = picked.select(*keys, F.array(*interpolated).alias("quantiles"))
+    every = slim.select(*by).distinct().select("*", F.explode(F.array(*map(F.lit, columns))).alias("variable"))
+    return null_safe_join(every, picked, keys)
 
 
 def top_share(df: DataFrame, order: Sequence[str | Column], share: float, by: str | Sequence[str] = ()) -> DataFrame:
@@ -247,6 +239,4 @@ def top_rows(df: DataFrame, order: Sequence[str | Column], n: int) -> DataFrame:
 def sample_entities(df: DataFrame, entity: str, n: int, seed: int) -> DataFrame:
     """All rows of n entities drawn repeatably: the n lowest keyed hashes."""
     drawn = df.select(entity).distinct().orderBy(hash_uniform([entity], seed), entity).limit(n)
-    if n <= lookup_rows(df.sparkSession):
-        drawn = F.broadcast(drawn)
     return df.join(drawn, entity, "left_semi")

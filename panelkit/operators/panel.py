@@ -88,7 +88,7 @@ def lag_bundle(df: DataFrame, columns: Sequence[str], entity: str, period: str,
 
 def parent_bundle(
     child: DataFrame, parent: DataFrame, on: str, period: str, columns: Sequence[str],
-    spread: Sequence[str], suffix: str = "_tr", salted: bool | None = None,
+    spread: Sequence[str], suffix: str = "_tr", salted: bool = False,
 ) -> DataFrame:
     """Parent-level values of the same period. `spread` is the child key, used to split hot parents."""
     source = parent.select(on, period, *[F.col(c).alias(f"{c}{suffix}") for c in columns])
@@ -97,7 +97,7 @@ def parent_bundle(
 
 def parent_lag_bundle(
     child: DataFrame, parent: DataFrame, on: str, period: str, columns: Sequence[str],
-    spread: Sequence[str], suffix: str = "_lag_tr", salted: bool | None = None,
+    spread: Sequence[str], suffix: str = "_lag_tr", salted: bool = False,
 ) -> DataFrame:
     """Parent-level values of exactly one period earlier."""
     return shifted_join(child, parent, on, period, 1, {c: f"{c}{suffix}" for c in columns}, "left", spread, salted)

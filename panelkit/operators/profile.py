@@ -14,8 +14,6 @@ from panelkit.operators.joins import attribute_join, null_safe_join
 from panelkit.operators.order import exact_quantiles
 from panelkit.session import names, with_row
 
-# Above this many pairs, correlations come from matrix products instead of one expression per pair.
-WIDE_PAIRS = 66
 _SUMS = ["n", "sx", "sy", "sxx", "syy", "sxy"]
 
 
@@ -173,16 +171,8 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str], full: bool = False)
     pairs = [(a, b) for i, b in enumerate(columns) for a in columns[i + 1:]]
     if full:
         pairs += [(c, c) for c in columns]
-    if len(pairs) <= WIDE_PAIRS:
-        wide = df.agg(*[F.corr(_num(a), _num(b)).alias(f"p{i}") for i, (a, b) in enumerate(pairs)])
-        entries = F.array(*[
-            F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"p{i}").alias("r"))
-            for i, (a, b) in enumerate(pairs)
-        ])
-        out = wide.select(F.inline(entries))
-    else:
-        wanted = df.sparkSession.createDataFrame(pairs, "a string, b string")
-        out = wanted.join(_wide_correlations(df, columns), ["a", "b"], "left")
+    wanted = df.sparkSession.createDataFrame(pairs, "a string, b string")
+    out = wanted.join(_wide_correlations(df, columns), ["a", "b"], "left")
     if not full:
         return out
     mirrored = F.when(F.col("a") == F.col("b"), F.array(F.struct("a", "b"))).otherwise(
@@ -193,7 +183,12 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str], full: bool = False)
 
 def correlation_with(df: DataFrame, columns: Sequence[str], target: str, above: float | None = None) -> DataFrame:
     """Correlation of each column with one target, optionally only those above a (signed) threshold."""
-    wide = df.agg(*[F.corr(_num(c), _num(target)).alias(c) for c in columns])
+    def pearson(c: str) -> Column:
+        both = _num(c).isNotNull() & _num(target).isNotNull()
+        x, y = F.when(both, _num(c)), F.when(both, _num(target))
+        return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))  # null for a constant column
+
+    wide = df.agg(*[pearson(c).alias(c) for c in columns])
     out = wide.unpivot([], list(columns), "variable", "r")
     return out if above is None else out.where(F.col("r") > above)
 
@@ -214,7 +209,7 @@ def box_stats(df: DataFrame, column: str, by: str | Sequence[str] = (), reach: f
     )
     rows = df.select(*by, _num(column).alias("__x")).where(F.col("__x").isNotNull())
     if by:
-        rows = attribute_join(rows, q, by, "inner")
+        rows = null_safe_join(rows, q, by, "inner")
     else:
         rows = with_row(rows, q, "__q").select("*", "__q.*")
     iqr = F.col("q3") - F.col("q1")
@@ -233,7 +228,7 @@ def histogram(
 ) -> DataFrame:
     """Counts in equal bins, left-closed with the last bin closed; values outside the span are left out.
 
-    Without groups every bin is listed; with groups only the bins that occur.
+    Every bin is listed, for every group too.
     """
     by = names(by)
     x = _num(column)
@@ -247,9 +242,9 @@ def histogram(
     width = (hi - lo) / bins
     index = F.least(F.floor((x - lo) / width), F.lit(bins - 1)).cast("int")
     counts = df.where(x.between(lo, hi)).groupBy(*by, index.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    if not by:
-        every = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
-        counts = every.join(counts, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"))
+    listed = F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin")
+    every = df.select(*by).distinct().select("*", listed) if by else df.sparkSession.range(1).select(listed)
+    counts = null_safe_join(every, counts, [*by, "bin"]).select(*by, "bin", F.coalesce("n", F.lit(0)).alias("n"))
     if span is None:
         counts = with_row(counts, ends, "__ends")
     return counts.select(

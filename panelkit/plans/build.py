@@ -22,7 +22,7 @@ from panelkit.plans.catalogue import (
     SLOW_SPANS,
     derived,
 )
-from panelkit.session import is_small, materialise
+from panelkit.session import materialise
 
 OWN_DERIVED = derived(OWN_MEASURES, OWN_MEAN_SPANS, OWN_SPANS)
 SLOW_DERIVED = derived(SLOW_MEASURES, SLOW_SPANS, SLOW_SPANS)
@@ -66,10 +66,9 @@ def build_panel(
     Attributes keyed like the panel, then parents, then counties are joined while the rows are still
     narrow; the entity windows come last, on one shuffle. Same-year and prior-year parent columns
     are put side by side on the (smaller) parent level first, so the panel is joined to it once.
-    Sentinels are repaired at the end, over all change columns in one aggregation; a large panel is
+    Sentinels are repaired at the end, over all change columns in one aggregation; the panel is
     written to reliable storage before that second pass.
     """
-    large = not is_small(groups)
     keyed = groups.select("*", *prefix_keys("geo_id")).where(F.col("state").isin(list(states)))
     out = keyed.join(households.withColumnRenamed("avg_size", "avg_hh_size"), ["geo_id", "year"], "left")
     out = out.join(build_labels(keyed), ["geo_id", "year"], "left")
@@ -78,12 +77,12 @@ def build_panel(
     same_year = upper.selectExpr("tract", "year", *[f"`{c}` AS `{c}_tr`" for c in SLOW_DERIVED])
     year_before = upper.selectExpr("tract", "year + 1 AS year", *[f"`{c}` AS `{c}_lag_tr`" for c in OWN_DERIVED])
     parents = same_year.join(year_before, ["tract", "year"], "full")
-    out = lookup_join(out, parents, ["tract", "year"], "left", ["geo_id"], large)
+    out = lookup_join(out, parents, ["tract", "year"], "left", ["geo_id"])
 
     county = feature_batch(permits.select("geo_id", "year", *COUNTY_MEASURES), "geo_id", "year",
                            [(COUNTY_MEASURES, COUNTY_CHANGE_SPANS, COUNTY_CHANGE_SPANS)])
     county = county.select(F.col("geo_id").alias("county"), "year", *COUNTY_DERIVED)
-    out = lookup_join(out, county, ["county", "year"], "left", ["geo_id"], large)
+    out = lookup_join(out, county, ["county", "year"], "left", ["geo_id"])
     members = urban.select(F.lpad(F.col("GEOID").cast("string"), 5, "0").alias("county"))
     out = membership_flag(out, members, "county", "urban", ["geo_id", "year"])
     out = out.select("*", *division_flags("state"))
@@ -91,6 +90,4 @@ def build_panel(
     out = lag_bundle(level_features(out), OWN_DERIVED, "geo_id", "year")
     # Unlabelled rows fed the windows; only labelled rows are modelled.
     out = out.where(F.col("top20_num").isNotNull())
-    if large:
-        out = materialise(out)
-    return sentinel_repair(out, SENTINEL_COLUMNS, "year")
+    return sentinel_repair(materialise(out), SENTINEL_COLUMNS, "year")

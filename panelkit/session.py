@@ -1,4 +1,4 @@
-"""Session defaults, size checks and shared storage used by every operator."""
+"""Session defaults and shared storage used by every operator."""
 
 from __future__ import annotations
 
@@ -9,12 +9,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SMALL_BYTES_KEY = "spark.panelkit.smallBytes"
-LOOKUP_ROWS_KEY = "spark.panelkit.lookupRows"
 SALTS_KEY = "spark.panelkit.salts"
 
-SMALL_BYTES_DEFAULT = 64 * 1024 * 1024
-LOOKUP_ROWS_DEFAULT = 100_000
 SALTS_DEFAULT = 16
 
 
@@ -39,25 +35,10 @@ def conf_int(spark: SparkSession, key: str, default: int) -> int:
     return int(spark.conf.get(key, str(default)))
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of the optimized plan (the figure behind auto-broadcast)."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def is_small(df: DataFrame) -> bool:
-    """True when the plan estimate fits the single-task budget (64 MB unless configured)."""
-    return plan_bytes(df) <= conf_int(df.sparkSession, SMALL_BYTES_KEY, SMALL_BYTES_DEFAULT)
-
-
 def salt_count(spark: SparkSession) -> int:
     return conf_int(spark, SALTS_KEY, SALTS_DEFAULT)
 
 
-def lookup_rows(spark: SparkSession) -> int:
-    """Most rows a lookup may have to be broadcast."""
-    return conf_int(spark, LOOKUP_ROWS_KEY, LOOKUP_ROWS_DEFAULT)
-
-
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints; a private temp folder only in local mode."""
     sc = spark.sparkContext
@@ -84,23 +65,6 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def bounded_lookup(lookup: DataFrame) -> DataFrame:
-    """Mark a lookup for broadcast only once its size is checked.
-
-    A small plan is broadcast as is. Otherwise the row count is tested against the configured
-    bound by reading at most bound + 1 rows; beyond it the frame is returned unhinted, and the
-    join shuffles with adaptive skew handling.
-    """
-    if is_small(lookup):
-        return F.broadcast(lookup)
-    spark = lookup.sparkSession
-    bound = lookup_rows(spark)
-    head = lookup.limit(bound + 1).collect()
-    if len(head) > bound:
-        return lookup
-    return F.broadcast(spark.createDataFrame(head, lookup.schema))
-
-
 def with_row(df: DataFrame, row: DataFrame, name: str) -> DataFrame:
     """Add a one-row frame as a struct column, computed once and read as often as needed."""
     return df.withColumn(name, row.select(F.struct(*row.columns)).scalar())

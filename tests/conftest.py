@@ -14,9 +14,7 @@ def spark():
         SparkSession.builder.master("local[8]").appName("panelkit-tests")
         .config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC")
-        .config("spark.driver.memory", "8g")
-        # Frames made from Python lists have no size estimate; count them as small unless a test says not.
-        .config("spark.panelkit.smallBytes", str(2**63)).getOrCreate()
+        .config("spark.driver.memory", "8g").getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session

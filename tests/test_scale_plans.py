@@ -1,4 +1,4 @@
-"""The plans for large inputs give what the plain windows give, on skewed data."""
+"""The distributed plans give what plain windows and aggregates give, on skewed data."""
 
 import random
 
@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from panelkit.operators import order
-from panelkit.operators.clean import fill_median
 from panelkit.operators.joins import lookup_join
-from panelkit.operators.metrics import metrics_at_k, pr_curve, roc_auc
+from panelkit.operators.metrics import flag_top, metrics_at_k, pr_curve, roc_auc
 from panelkit.operators.order import (
     assign_ranks,
     assign_tiles,
@@ -19,10 +18,8 @@ from panelkit.operators.order import (
     sample_entities,
     top_share,
 )
-from panelkit.operators.panel import sentinel_repair, trailing_mean
-from panelkit.operators.profile import box_stats, correlation_pairs, describe_exact
-from panelkit.session import LOOKUP_ROWS_KEY, bounded_lookup, is_small
-from workload.base import large_plans
+from panelkit.operators.panel import trailing_mean
+from panelkit.operators.profile import box_stats, correlation_pairs, correlation_with, histogram
 
 
 def nulls_first():
@@ -41,34 +38,27 @@ def skewed(spark):
     return spark.createDataFrame(data, "id int, g string, x double, y int").repartition(7).cache()
 
 
-def both(spark, build):
-    """The same build under the plain and the large plan."""
-    plain = build()
-    with large_plans(spark):
-        large = build()
-    return plain, large
-
-
-def test_large_flag_switches_the_plan(spark, skewed):
-    assert is_small(skewed)
-    with large_plans(spark):
-        assert not is_small(skewed)
-        plan = assign_ranks(skewed, [F.desc("x"), "id"], "g")._jdf.queryExecution().optimizedPlan().toString()
-    assert "row_number" not in plan
+def test_no_rank_is_a_single_task_window(spark, skewed):
+    """The plan is the distributed one for a handful of rows and for an exploded frame alike."""
+    exploded = spark.range(3).select(F.explode(F.sequence(F.lit(1), F.lit(1000))).alias("x"), F.col("id"))
+    joined = skewed.join(skewed.select("id", F.col("y").alias("z")), "id")
+    for df in (skewed.limit(5), exploded, joined):
+        plan = assign_ranks(df, [F.desc("x"), "id"])._jdf.queryExecution().optimizedPlan().toString()
+        assert "row_number" not in plan
 
 
 def test_ranks(spark, skewed):
-    a, b = both(spark, lambda: assign_ranks(skewed, nulls_first(), "g", "r", "n"))
-    assert rows(a) == rows(b)
-    a, b = both(spark, lambda: assign_ranks(skewed, nulls_first(), name="r"))
-    assert rows(a) == rows(b)
+    w = W.partitionBy("g").orderBy(*nulls_first())
+    truth = skewed.withColumn("r", F.row_number().over(w).cast("long")).withColumn("n", F.count(F.lit(1)).over(W.partitionBy("g")))
+    assert rows(truth) == rows(assign_ranks(skewed, nulls_first(), "g", "r", "n"))
+    truth = skewed.withColumn("r", F.row_number().over(W.orderBy(*nulls_first())).cast("long"))
+    assert rows(truth) == rows(assign_ranks(skewed, nulls_first(), name="r"))
 
 
 @pytest.mark.parametrize("n", [1, 4, 5, 7, 5000])
 def test_tiles_match_ntile(spark, skewed, n):
     truth = skewed.withColumn("tile", F.ntile(n).over(W.partitionBy("g").orderBy(*nulls_first())))
-    a, b = both(spark, lambda: assign_tiles(skewed, nulls_first(), n, "g"))
-    assert rows(truth, "id", "tile") == rows(a, "id", "tile") == rows(b, "id", "tile")
+    assert rows(truth, "id", "tile") == rows(assign_tiles(skewed, nulls_first(), n, "g"), "id", "tile")
 
 
 def test_tile_sizes_differ_by_at_most_one(spark, skewed):
@@ -78,18 +68,24 @@ def test_tile_sizes_differ_by_at_most_one(spark, skewed):
 
 
 def test_running_totals(spark, skewed):
-    a, b = both(spark, lambda: running_totals(skewed, ["id"], {"cum": "y"}, "g"))
-    assert rows(a) == rows(b)
+    df = skewed.withColumn("y", F.when(F.col("id") % 3 == 0, F.col("y")))  # nulls, also at the start of partitions
+    w = W.partitionBy("g").orderBy("id").rowsBetween(W.unboundedPreceding, 0)
+    truth = df.withColumn("cum", F.sum("y").over(w))
+    assert rows(truth) == rows(running_totals(df, ["id"], {"cum": "y"}, "g"))
+
+
+PROBS = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
 
 
 def test_quantiles(spark, skewed):
-    probs = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
-    a, b = both(spark, lambda: exact_quantiles(skewed, ["x", "y"], probs, "g"))
-    left = {(r.g, r.variable): r.quantiles for r in a.collect()}
-    right = {(r.g, r.variable): r.quantiles for r in b.collect()}
-    assert left.keys() == right.keys()
-    for key, q in left.items():
-        assert q == pytest.approx(right[key])
+    df = skewed.unionByName(spark.createDataFrame([(9000, "none", None, 1)], skewed.schema))
+    for by in (["g"], []):
+        wide = df.groupBy(*by).agg(*[F.percentile(c, F.array(*map(F.lit, PROBS))).alias(c) for c in ("x", "y")])
+        truth = {tuple(r)[:-1]: r.quantiles for r in wide.unpivot(by, ["x", "y"], "variable", "quantiles").collect()}
+        got = {tuple(r)[:-1]: r.quantiles for r in exact_quantiles(df, ["x", "y"], PROBS, by).collect()}
+        assert truth.keys() == got.keys()
+        for key, q in truth.items():
+            assert got[key] is None if q is None else q == pytest.approx(got[key])
 
 
 def test_quantiles_by_range_when_a_bracket_misses(spark, skewed, monkeypatch):
@@ -100,34 +96,59 @@ def test_quantiles_by_range_when_a_bracket_misses(spark, skewed, monkeypatch):
         return slim.groupBy(*by).agg(F.array(nothing, nothing).alias("quantiles"))
 
     monkeypatch.setattr(order, "_quantiles_by_bracket", miss)
-    with large_plans(spark):
-        large = {r.g: r.quantiles for r in exact_quantiles(skewed, "x", [0.1, 0.5], "g").collect()}
+    large = {r.g: r.quantiles for r in exact_quantiles(skewed, "x", [0.1, 0.5], "g").collect()}
     assert plain.keys() == large.keys() and all(q == pytest.approx(large[g]) for g, q in plain.items())
 
 
 def test_brackets_keep_few_values(spark):
     df = spark.range(200_000).select((F.col("id") * 7919 % 200_003).cast("double").alias("x"))
-    with large_plans(spark):
-        found = order._quantiles_by_bracket(df, ["x"], [0.25, 0.5], [])
+    found = order._quantiles_by_bracket(df, ["x"], [0.25, 0.5], [])
     truth = df.agg(F.percentile("x", F.array(F.lit(0.25), F.lit(0.5)))).first()[0]
     assert found.first().quantiles == pytest.approx(truth)
 
 
 def test_top_share(spark, skewed):
-    a, b = both(spark, lambda: top_share(skewed, [F.desc("x"), "id"], 0.2, "g"))
-    assert rows(a) == rows(b)
+    w = W.partitionBy("g").orderBy(F.desc("x"), "id")
+    truth = skewed.withColumn("r", F.row_number().over(w)).withColumn("n", F.count(F.lit(1)).over(W.partitionBy("g")))
+    truth = truth.where("r <= floor(n * 0.2)").drop("r", "n")
+    assert rows(truth) == rows(top_share(skewed, [F.desc("x"), "id"], 0.2, "g"))
+
+
+def test_auc_of_very_many_rows(spark):
+    """Counts whose product is beyond a long."""
+    counts = spark.createDataFrame([(0.1, 0, 4 * 10**9), (0.9, 4 * 10**9, 0)], "s double, pos long, neg long")
+    import panelkit.operators.metrics as m
+
+    saved, m.score_counts = m.score_counts, lambda *a: counts
+    try:
+        assert roc_auc(counts, "s", "pos").first().auc == 1.0
+    finally:
+        m.score_counts = saved
 
 
-def test_metrics(spark, skewed):
-    df = skewed.where("x is not null and g is not null")
-    for build in (
-        lambda: metrics_at_k(df, "x", "y", "id", by="g"), lambda: roc_auc(df, "x", "y", "g"), lambda: pr_curve(df, "x", "y"),
-        lambda: describe_exact(df, ["x", "y"], "g"), lambda: box_stats(df, "x", "g"), lambda: fill_median(skewed, ["x"]),
-    ):
-        a, b = both(spark, build)
-        assert a.columns == b.columns
-        for left, right in zip(rows(a), rows(b)):
-            assert left == pytest.approx(right)
+def test_null_groups_are_kept(spark, skewed):
+    df = skewed.where("x is not null")
+    groups = {r.g for r in df.select("g").distinct().collect()}
+    assert None in groups
+    assert {r.g for r in box_stats(df, "x", "g").collect()} == groups
+    assert {r.g for r in pr_curve(df, "x", "y", "g").select("g").distinct().collect()} == groups
+    bins = histogram(df, "x", 7, (0, 100), "g").collect()
+    assert len(bins) == 7 * len(groups) and sum(r.n for r in bins) == df.count()
+
+
+def test_constant_columns_have_no_correlation(spark, skewed):
+    df = skewed.withColumn("one", F.lit(1.0))
+    got = {(r.a, r.b): r.r for r in correlation_pairs(df, ["x", "one", "y"]).collect()}
+    assert len(got) == 3 and sum(v is None for v in got.values()) == 2
+    truth = df.agg(F.corr("x", "y")).first()[0]
+    assert [v for v in got.values() if v is not None] == [pytest.approx(truth)]
+    assert {r.variable: r.r for r in correlation_with(df, ["x", "one"], "y").collect()} == {"x": pytest.approx(truth), "one": None}
+
+
+def test_flags_put_nan_and_null_last(spark):
+    df = spark.createDataFrame([(1, 0.5), (2, float("nan")), (3, None), (4, 0.9), (5, 0.5)], "id int, s double")
+    assert [r.pred for r in flag_top(df, "s", "id", 2).orderBy("id").collect()] == [1, 0, 0, 1, 0]
+    assert sum(r.pred for r in flag_top(df, "s", "id", 4).collect()) == 4
 
 
 def test_recall_grows_with_k(spark, skewed):
@@ -138,42 +159,13 @@ def test_recall_grows_with_k(spark, skewed):
 
 def test_salted_lookup_equals_plain_join(spark, skewed):
     lookup = spark.createDataFrame([("hot", 1), ("a", 2), ("z", 3)], "g string, w int")
-    for how in ("left", "inner", "left_semi"):
-        a, b = both(spark, lambda: lookup_join(skewed, lookup, "g", how, ["id"]))
+    for how in ("left", "inner", "left_semi", "left_anti"):
+        a, b = (lookup_join(skewed, lookup, "g", how, ["id"], salted) for salted in (False, True))
         assert rows(a, *sorted(a.columns)) == rows(b, *sorted(b.columns))
-
-
-def test_salted_plan_repartitions_on_the_salt(spark, skewed):
-    lookup = spark.createDataFrame([("hot", 1)], "g string, w int")
-    with large_plans(spark):
-        plan = lookup_join(skewed, lookup, "g", "left", ["id"])._jdf.queryExecution().optimizedPlan().toString()
-    assert "__salt" in plan
-
-
-def test_lookup_beyond_the_bound_is_not_broadcast(spark, skewed):
-    def hinted(df):
-        return "broadcast" in df._jdf.queryExecution().analyzed().toString().lower()
-
-    assert hinted(bounded_lookup(skewed))
-    with large_plans(spark):
-        spark.conf.set(LOOKUP_ROWS_KEY, "100")
-        try:
-            assert not hinted(bounded_lookup(skewed))
-            assert hinted(bounded_lookup(skewed.groupBy("g").count()))
-        finally:
-            spark.conf.unset(LOOKUP_ROWS_KEY)
-
-
-def test_sentinel_repair_with_unbounded_periods(spark, skewed):
-    df = skewed.withColumn("x", F.when(F.col("id") % 11 == 0, 999999.0).otherwise(F.col("x")))
-    plain = sentinel_repair(df, "x", "y")
-    with large_plans(spark):
-        spark.conf.set(LOOKUP_ROWS_KEY, "1")
-        try:
-            large = sentinel_repair(df, "x", "y")
-        finally:
-            spark.conf.unset(LOOKUP_ROWS_KEY)
-    assert rows(plain, "id", "x") == rows(large, "id", "x")
+    assert "__salt" in b._jdf.queryExecution().optimizedPlan().toString()
+    for how in ("right", "full", "full_outer", "outer"):
+        with pytest.raises(ValueError):
+            lookup_join(skewed, lookup, "g", how, ["id"], True)
 
 
 def test_window_form_equals_self_join(spark, skewed):

@@ -3,13 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelkit.operators.panel import densify, period_bounds
-from panelkit.session import SMALL_BYTES_KEY
 from panelkit.sources.files import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,20 +26,6 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-@contextmanager
-def large_plans(spark: SparkSession):
-    """Make the size check fail, so the plans meant for large inputs are the ones built."""
-    before = spark.conf.get(SMALL_BYTES_KEY, None)
-    spark.conf.set(SMALL_BYTES_KEY, "0")
-    try:
-        yield
-    finally:
-        if before is None:
-            spark.conf.unset(SMALL_BYTES_KEY)
-        else:
-            spark.conf.set(SMALL_BYTES_KEY, before)
-
-
 def r6(c: str | Column) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, 6)
 

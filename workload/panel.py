@@ -32,7 +32,6 @@ from workload.base import (
     customer_grid,
     customer_keys,
     customer_years,
-    large_plans,
     nation_years,
     query,
     rounded,
@@ -96,8 +95,7 @@ def panel_sentinel_repair(spark, folder):
 
 @query("panel_sentinel_repair_large", REPAIR)
 def panel_sentinel_repair_large(spark, folder):
-    with large_plans(spark):
-        return panel_sentinel_repair(spark, folder)
+    return panel_sentinel_repair(spark, folder)
 
 
 @query("panel_lag_bundle", f"""WITH cy AS ({CY})
@@ -164,8 +162,8 @@ def q_parent_bundle(spark, folder):
 
 @query("parent_bundle_salted", PARENT_BUNDLE)
 def q_parent_bundle_salted(spark, folder):
-    with large_plans(spark):
-        return q_parent_bundle(spark, folder)
+    return parent_bundle(child_panel(spark, folder), parent_panel(spark, folder), "nationkey", PERIOD,
+                         _PARENT_COLUMNS, [E_KEY], salted=True)
 
 
 @query("parent_lag_bundle", _PARENT + """ SELECT ch.custkey, ch.nationkey, ch.year, n_orders AS n_orders_lag_tr,
@@ -230,8 +228,7 @@ def label_top_quintile(spark, folder):
 
 @query("label_top_quintile_large", QUINTILES)
 def label_top_quintile_large(spark, folder):
-    with large_plans(spark):
-        return label_top_quintile(spark, folder)
+    return label_top_quintile(spark, folder)
 
 
 @query("label_ntile4", f"""SELECT custkey, year, ntile(4) OVER (ORDER BY cents DESC NULLS FIRST, custkey)::INTEGER AS cents_4tiles

@@ -22,7 +22,7 @@ from panelkit.operators.profile import (
     value_counts,
 )
 from panelkit.sources.files import table
-from workload.base import CY, GRID, LABELS, cents, customer_grid, customer_years, large_plans, query, rounded
+from workload.base import CY, GRID, LABELS, cents, customer_grid, customer_years, query, rounded
 from workload.panel import MEASURES, labelled
 
 LINE = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -87,8 +87,7 @@ def describe_by_group(spark, folder):
 
 @query("describe_by_group_large", DESCRIBE_BY)
 def describe_by_group_large(spark, folder):
-    with large_plans(spark):
-        return describe_by_group(spark, folder)
+    return describe_by_group(spark, folder)
 
 
 _PROFILE = [("c_custkey", "bigint", True), ("c_name", "string", False), ("c_nationkey", "int", True),
@@ -271,8 +270,7 @@ def q_box_stats(spark, folder):
 
 @query("box_stats_overall_large", _box_sql("events", "value", ""))
 def box_stats_overall_large(spark, folder):
-    with large_plans(spark):
-        return rounded(box_stats(table(spark, folder, "events"), "value"), "q1", "median", "q3")
+    return rounded(box_stats(table(spark, folder, "events"), "value"), "q1", "median", "q3")
 
 
 _HIST = """WITH e AS (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders), b AS (SELECT CAST(i AS INTEGER) AS bin FROM range(20) r(i)),
@@ -286,10 +284,12 @@ def q_histogram(spark, folder):
     return rounded(histogram(table(spark, folder, "orders"), "o_totalprice", 20), "from_value", "to_value")
 
 
-@query("histogram_by_class", """SELECT event_type, CAST(least(floor(value / 5.0), 9) AS INTEGER) AS bin,
- round(CAST(least(floor(value / 5.0), 9) AS INTEGER) * CAST(5 AS DOUBLE), 6) AS from_value,
- round((CAST(least(floor(value / 5.0), 9) AS INTEGER) + 1) * CAST(5 AS DOUBLE), 6) AS to_value, count(*) AS n
- FROM events WHERE value BETWEEN 0 AND 50 GROUP BY 1, 2, 3, 4""")
+@query("histogram_by_class", """WITH c AS (SELECT event_type, CAST(least(floor(value / 5.0), 9) AS INTEGER) AS bin, count(*) AS n
+ FROM events WHERE value BETWEEN 0 AND 50 GROUP BY 1, 2)
+ SELECT g.event_type, CAST(b.bin AS INTEGER) AS bin, round(b.bin * CAST(5 AS DOUBLE), 6) AS from_value,
+ round((b.bin + 1) * CAST(5 AS DOUBLE), 6) AS to_value, coalesce(c.n, 0) AS n
+ FROM (SELECT DISTINCT event_type FROM events) g CROSS JOIN range(10) b(bin)
+ LEFT JOIN c ON c.event_type IS NOT DISTINCT FROM g.event_type AND c.bin = b.bin""")
 def histogram_by_class(spark, folder):
     out = histogram(table(spark, folder, "events"), "value", 10, (0, 50), "event_type")
     return rounded(out, "from_value", "to_value")
