@@ -35,6 +35,7 @@ WRITE = {
 }
 # Chunks that each of two cache generations of a worker may hold.
 CACHED = 300_000
+_PART = "\x01"
 _CACHES: dict = {}
 
 
@@ -48,9 +49,23 @@ def chunk_cache(tokenizer: str) -> ChunkCache:
         codec.no_truncation()
         codec.no_padding()
 
+        # Chunks without this character are encoded in one text, parted by it; alone it is one token.
+        part = codec.encode(_PART, add_special_tokens=False).ids
+
+        def alone(chunk: bytes) -> bytes:
+            return np.array(codec.encode(chunk.decode("utf-8"), add_special_tokens=False).ids, "<u4").tobytes()
+
         def encode(chunks: list[bytes]) -> list[bytes]:
-            found = codec.encode_batch_fast([c.decode("utf-8") for c in chunks], add_special_tokens=False)
-            return [np.array(e.ids, "<u4").tobytes() for e in found]
+            if len(part) != 1:
+                return [alone(c) for c in chunks]
+            mark = _PART.encode()
+            plain = [c for c in chunks if mark not in c]
+            text = f" {_PART} ".join([c.decode("utf-8") for c in plain])
+            ids = np.array(codec.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            cuts = (np.flatnonzero(ids == part[0]) * 4).tolist()
+            packed = ids.tobytes()
+            found = dict(zip(plain, [packed[a:b] for a, b in zip([0, *[c + 4 for c in cuts]], [*cuts, len(packed)])]))
+            return [found[c] if c in found else alone(c) for c in chunks]
 
         _CACHES[tokenizer] = ChunkCache(encode, CACHED)
     return _CACHES[tokenizer]

@@ -17,7 +17,7 @@ FILE = tokenizer_file("word_bpe_49k.json")
 TEXTS = [
     None, "", "  ", "Hello, world! It's 2024.", "a<|endoftext|>b <|startoftext|><|endoftext|> c", "É é ﬁ İ ΣΑΣ ß",
     "世界 мир 🙂👩‍💻 ́x", "a b c   \x1c\x85d", "</w> <w/> l'été 's 'LL don't", "aaaaaaaaaaaaaaaaaaaaaaaa!!!!!!!!",
-    "x" * 3000, " ".join(f"w{i}" for i in range(20_000)), "<|endoftext", "THE the The\n\tthe", " ab",
+    "x" * 3000, " ".join(f"w{i}" for i in range(20_000)), "<|endoftext", "a\x01b \x01 \x01\x01 c", "\u3000 \xa0 x", "THE the The\n\tthe", " ab",
 ]
 
 
