@@ -76,7 +76,7 @@ def nearest(
     """
     def shape(df: DataFrame) -> DataFrame:
         return df.select(
-            F.col(id_col).cast("long").alias("id"), F.col(features).cast("array<double>").alias("features"),
+            F.col(id_col).alias("id"), F.col(features).cast("array<double>").alias("features"),
             F.col(label).cast("int").alias("label"), (F.col(fold) if fold else F.lit(0)).cast("int").alias("fold"),
         )
 
@@ -86,7 +86,8 @@ def nearest(
     test_blocks = max(1, -(-n_test // block_rows))
     left = _blocked(shape(train), "tb", train_blocks, "qb", test_blocks)
     right = _blocked(shape(test), "qb", test_blocks, "tb", train_blocks)
-    schema = "query_id long, query_label int, id long, label int, distance double"
+    kinds = [df.schema[id_col].dataType.simpleString() for df in (test, train)]
+    schema = f"query_id {kinds[0]}, query_label int, id {kinds[1]}, label int, distance double"
     local = left.groupBy("tb", "qb").cogroup(right.groupBy("tb", "qb")).applyInPandas(
         _block_search(k, metric, p, fold is not None), schema
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 from collections.abc import Mapping, Sequence
 
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from panelkit.functions.scalars import hash_uniform
 from panelkit.operators.clean import min_max_scale
 from panelkit.operators.neighbours import nearest, vote
+from panelkit.operators.order import assign_ranks
 from panelkit.session import materialise, scratch_path
 
 # The parameter grids of the three phases.
@@ -97,7 +99,9 @@ def class1_score(key: str, predictions: DataFrame, name: str = "score") -> DataF
     if key == "SVM":
         raw = predictions.withColumn("__raw", vector_to_array("rawPrediction")[1])
         return min_max_scale(raw, "__raw", name).drop("__raw")
-    return predictions.withColumn(name, vector_to_array("probability")[1])
+    # A model that only saw class 0 knows no second class.
+    one = F.get(vector_to_array("probability"), F.lit(1))
+    return predictions.withColumn(name, F.coalesce(one, F.lit(0.0)))
 
 
 def fit_score(
@@ -120,34 +124,30 @@ def fit_score(
 def fit_bagging(train: DataFrame, id_col: str, params: Mapping, seed: int = 0) -> list[tuple[list[int], object]]:
     """Trees on tiny bootstrap samples: an absolute number of rows and of (repeatable) features each.
 
-    One pass keeps a small pool by row hash; every draw takes the pool row with the lowest hash of
-    its own, which is drawing with replacement. Rows that reach a tree are at most
-    n_estimators * max_samples.
+    Every draw is a hashed row position, so rows are drawn with replacement from all training rows.
+    Rows that reach a tree are at most n_estimators * max_samples.
     """
-    spark = train.sparkSession
     trees, rows, width = (params.get(k, d) for k, d in (("n_estimators", 10), ("max_samples", 5), ("max_features", 3)))
-    share = min(1.0, 20.0 * trees * rows / max(1, train.count()))
-    pool = train.where(hash_uniform([id_col], f"pool{seed}") < share)
-    draws = pool.withColumn(
-        "draw", F.explode(F.sequence(F.lit(0), F.lit(trees * rows - 1)))
-    ).groupBy("draw").agg(
-        F.min_by(F.struct("features", "label"),
-                 F.struct(hash_uniform([id_col], F.concat(F.lit(f"{seed}:"), F.col("draw"))), F.col(id_col))).alias("r")
-    )
-    drawn = materialise(draws.select("draw", vector_to_array("r.features").alias("v"), F.col("r.label").alias("label")))
+    placed = assign_ranks(train.select(id_col, "features", "label"), [F.col(id_col)], name="__at")
+    n = train.agg(F.count(F.lit(1))).scalar()
+    draws = train.sparkSession.range(trees * rows).select(
+        F.col("id").alias("draw"), (F.floor(hash_uniform(["id"], f"{seed}:row") * n) + 1).cast("long").alias("__at"))
+    drawn = materialise(placed.join(F.broadcast(draws), "__at").select(
+        "draw", vector_to_array("features").alias("v"), "label"))
     size = drawn.select(F.max(F.size("v"))).first()[0]
     models = []
     for t in range(trees):
-        picks = spark.range(width).select(
-            F.floor(hash_uniform(["id"], f"{seed}:{t}") * size).cast("int").alias("i")
-        ).collect()
-        chosen = [r.i for r in picks]
+        chosen = [_hash_position(f"{seed}:{t}:{j}", size) for j in range(width)]
         sample = drawn.where(F.floor(F.col("draw") / rows) == t)
         sample = _pick_features(sample, chosen)
         models.append((chosen, DecisionTreeClassifier(featuresCol="picked", seed=seed).fit(sample)))
     return models
 
 
+def _hash_position(text: str, size: int) -> int:
+    return int.from_bytes(hashlib.md5(text.encode()).digest()[:8], "big") % size
+
+
 def _pick_features(df: DataFrame, chosen: Sequence[int]) -> DataFrame:
     wide = df.select("*", *[F.col("v")[i].alias(f"__f{j}") for j, i in enumerate(chosen)])
     cols = [f"__f{j}" for j in range(len(chosen))]
@@ -168,9 +168,12 @@ def score_bagging(models: Sequence[tuple[list[int], object]], test: DataFrame) -
 
 
 def importance_table(spark: SparkSession, model, features: Sequence[str], key: str) -> DataFrame:
-    """Feature importances or coefficients, largest first; one row per feature name."""
-    values = model.coefficients if key in ("LR", "SVM") else model.featureImportances
+    """Feature importances or coefficients, largest first; linear models add a row for the intercept."""
+    linear = key in ("LR", "SVM")
+    values = model.coefficients if linear else model.featureImportances
     rows = [(f, float(v)) for f, v in zip(features, values.toArray())]
+    if linear:
+        rows.append(("(intercept)", float(model.intercept)))
     return spark.createDataFrame(rows, "feature string, value double").orderBy(F.desc("value"), "feature")
 
 

@@ -93,18 +93,22 @@ def score_metrics(scored: DataFrame, key: str) -> dict:
 
 
 def store_outputs(
-    path: str, run: Run, model, scored: DataFrame, features: DataFrame, bias_attributes: Sequence[str]
+    path: str, run: Run, model, scored: DataFrame, features: DataFrame, bias_attributes: Sequence[str],
+    keys: Sequence[str],
 ) -> None:
     """Write what the final phase reports about one run."""
     spark = scored.sparkSession
-    if run.model in ("DT", "BASELINE_DT"):
+    if model is None:
+        pass
+    elif run.model in ("DT", "BASELINE_DT"):
         tree_table(spark, model, run.features).write.mode("overwrite").parquet(f"{path}/tree")
     elif run.model in ("RF", "GB", "LR", "SVM"):
         write_csv(importance_table(spark, model, run.features, run.model), f"{path}/importance")
     write_csv(pr_curve(scored, "score", "label"), f"{path}/pr_curve")
     analysis = features.join(scored, "__id")
-    write_csv(analysis.withColumnRenamed("label", "label_value"), f"{path}/feature_analysis")
-    if bias_attributes and set(bias_attributes) <= set(run.features):
+    named = analysis.select(*keys, *[c for c in analysis.columns if c != "__id" and c not in keys])
+    write_csv(named.withColumnRenamed("label", "label_value"), f"{path}/feature_analysis")
+    if bias_attributes:
         write_csv(audit_input(analysis, bias_attributes, "label", "score"), f"{path}/bias")
 
 
@@ -115,14 +119,17 @@ def run_models(
     """Fit and score every planned run; one result row each.
 
     With `output`, every fitted run also stores its importances or tree, its precision-recall table,
-    the scored features, and (when the attributes are among its features) the binned audit input.
+    the scored features by entity and period, and (runs with all feature sets) the binned audit input.
+    Training rows of one class are not fitted: every test row gets that class as its score. A run that
+    fails is recorded with null metrics and the reason as its model_result; the others go on.
 
     Rows of one split and outcome are filtered, filled and cached once with the union of the columns
     their runs need; a feature set is then only a different vector over the cached columns. Spark
     does the fitting; the threads only submit jobs. Give it a stored panel: it is read per split.
     """
     spark = panel.sparkSession
-    dated = panel.withColumn("__date", year_start(period)).withColumn("__id", F.xxhash64(entity, period))
+    dated = panel.withColumn("__date", year_start(period)).withColumn("__id", F.to_json(F.struct(entity, period)))
+    widest = max((len(r.labels) for r in runs if r.model not in BASELINES), default=0)
     groups: dict = {}
     for r in runs:
         groups.setdefault((r.split, r.outcome), []).append(r)
@@ -131,19 +138,34 @@ def run_models(
     for (split, outcome), members in groups.items():
         needed = list(dict.fromkeys(f for r in members for f in r.features))
         lag = [f"{outcome}_lag"] if any(r.model == "BASELINE_PRIOR" for r in members) else []
-        columns = list(dict.fromkeys(["__id", outcome, *needed, *lag]))
+        columns = list(dict.fromkeys(["__id", entity, period, outcome, *needed, *lag]))
         train, test = apply_split(dated, split, "__date", outcome, columns)
         train, test = fill_median(train, needed).cache(), fill_median(test, needed).cache()
-        n_train = train.count()
+        n_train, ones = train.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col(outcome).cast("long")), F.lit(0))).first()
         spans = (split.train_start, split.train_end), (split.test_start, split.test_end)
 
+        def record(r: Run, model, stored: str | None, m: Mapping) -> None:
+            rows[position[id(r)]] = (
+                *spans, r.model, type(model).__name__ if model is not None else r.model,
+                {k: str(v) for k, v in r.params.items()}, list(r.labels), outcome, stored, m.get("auc_roc"),
+                *[m.get(c) for c in _AT],
+            )
+
         def one(r: Run):
+            try:
+                fit(r)
+            except Exception as e:  # the run is recorded as failed
+                record(r, None, f"failed: {type(e).__name__}: {str(e)[:200]}", {})
+
+        def fit(r: Run):
             model = None
             if r.model == "BASELINE_RAND":
                 scored = random_baseline(train, test, outcome, ["__id"], seed)
                 scored = scored.withColumnRenamed(outcome, "label")
             elif r.model == "BASELINE_PRIOR":
                 scored = prior_baseline(test, lag[0]).withColumnRenamed(outcome, "label")
+            elif ones in (0, n_train):
+                scored = test.select("__id", F.col(outcome).cast("int").alias("label"), F.lit(float(ones > 0)).alias("score"))
             else:
                 a, b = (assemble(df, r.features, outcome, ["__id"]) for df in (train, test))
                 model, scored = fit_score(r.model, r.params, a, b, "__id", n_train, seed)
@@ -152,13 +174,11 @@ def run_models(
             stored = None
             if output and r.model not in BASELINES:
                 stored = f"{output}/{r.model}{position[id(r)]}"
-                store_outputs(stored, r, model, scored, test.select("__id", *r.features), bias_attributes)
+                audited = bias_attributes if len(r.labels) == widest and set(bias_attributes) <= set(r.features) else ()
+                shown = list(dict.fromkeys(["__id", entity, period, *r.features]))
+                store_outputs(stored, r, model, scored, test.select(*shown), audited, [entity, period])
             scored.unpersist()
-            rows[position[id(r)]] = (
-                *spans, r.model, type(model).__name__ if model is not None else r.model,
-                {k: str(v) for k, v in r.params.items()}, list(r.labels), outcome, stored, m["auc_roc"],
-                *[m[c] for c in _AT],
-            )
+            record(r, model, stored, m)
 
         with ThreadPoolExecutor(max_workers=parallel) as pool:
             list(pool.map(one, members))
@@ -168,12 +188,13 @@ def run_models(
 
 
 def run_phase(
-    panel: DataFrame, phase: Mapping, start: dt.date, end: dt.date, window: int, feature_subsets: Sequence[Mapping],
+    panel: DataFrame, phase: Mapping, start: dt.date, end: dt.date, window: int | Sequence[int], feature_subsets: Sequence[Mapping],
     outcomes: Sequence[str], entity: str, period: str, seed: int = 0, parallel: int = 2,
     output: str | None = None, bias_attributes: Sequence[str] = (),
 ) -> DataFrame:
-    """One phase: its models over all splits and feature sets, then the two baselines."""
-    splits = rolling_splits(start, end, window, phase["latest"])
+    """One phase: its models over all splits of every window and all feature sets, then the two baselines."""
+    windows = [window] if isinstance(window, int) else window
+    splits = [s for w in windows for s in rolling_splits(start, end, w, phase["latest"])]
     runs = plan_runs(splits, feature_subsets, outcomes, phase["models"], phase["grid"])
     prior = [{"labels": ["prior_year"], "features": [f"{y}_lag" for y in outcomes]}]
     runs += plan_runs(splits, prior, outcomes, BASELINES, phase["grid"])

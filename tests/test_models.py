@@ -155,3 +155,54 @@ def test_phases(spark, small_panel):
     counts = {(r.phase, r.model_key): r["count"] for r in out.groupBy("phase", "model_key").count().collect()}
     assert counts == {("p1", "NB"): 2, ("p1", "BASELINE_RAND"): 2, ("p1", "BASELINE_PRIOR"): 2,
                       ("p3", "BASELINE_DT"): 1, ("p3", "BASELINE_RAND"): 1, ("p3", "BASELINE_PRIOR"): 1}
+
+
+@pytest.mark.parametrize("value", [0, 1])
+def test_one_class_split_is_scored_with_its_class(small_panel, value):
+    flat = small_panel.withColumn("top", F.when(F.col("year") < 2004, F.lit(value)).otherwise(F.col("top")))
+    splits = rolling_splits(dt.date(2000, 1, 1), dt.date(2005, 1, 1), 12, latest=True)
+    runs = plan_runs(splits, [{"labels": ["a"], "features": ["x"]}], ["top"], ["RF", "NB", "DT"], 0)
+    got = run_models(flat, runs, "g", "year").collect()
+    assert [r.auc_roc for r in got] == [0.5] * 3 and all(r.model_result is None for r in got)
+
+
+def test_a_failing_run_is_recorded_and_the_others_go_on(small_panel):
+    splits = rolling_splits(dt.date(2000, 1, 1), dt.date(2005, 1, 1), 12, latest=True)
+    sets = [{"labels": ["a"], "features": ["x"]}]
+    runs = plan_runs(splits, sets, ["top"], ["NB", "BASELINE_DT"], 0)
+    broken = [type(runs[0])(runs[0].split, runs[0].labels, runs[0].features, "top", "KNN", {"n_neighbors": "many"}), runs[1]]
+    got = {r.model_key: r for r in run_models(small_panel, broken, "g", "year").collect()}
+    assert got["KNN"].auc_roc is None and got["KNN"].model_result.startswith("failed")
+    assert got["BASELINE_DT"].auc_roc > 0.9
+
+
+def test_stored_analysis_names_entity_and_period_and_bias_needs_all_sets(spark, small_panel):
+    splits = rolling_splits(dt.date(2000, 1, 1), dt.date(2005, 1, 1), 12, latest=True)
+    sets = [{"labels": ["a"], "features": ["x"]}, {"labels": ["a", "b"], "features": ["x", "z"]}]
+    runs = plan_runs(splits, sets, ["top"], ["BASELINE_DT"], 0)
+    path = scratch_path(spark, "runs")
+    stored = [r.model_result for r in run_models(small_panel, runs, "g", "year", output=path, bias_attributes=["x"]).collect()]
+    analysis = spark.read.option("header", True).csv(f"{stored[0]}/feature_analysis")
+    assert analysis.columns == ["g", "year", "x", "label_value", "score"]
+    assert analysis.select("g", "year").distinct().count() == 60
+    with pytest.raises(Exception):
+        spark.read.csv(f"{stored[0]}/bias").count()
+    assert spark.read.option("header", True).csv(f"{stored[1]}/bias").count() == 60
+
+
+def test_several_windows_and_intercept(spark, small_panel, frames):
+    plan = {"name": "p", "models": [], "grid": 0, "latest": True}
+    out = run_phases(small_panel, [plan], start=dt.date(2000, 1, 1), end=dt.date(2005, 1, 1), window=[12, 24],
+                     feature_subsets=[], outcomes=["top"], entity="g", period="year")
+    assert {r.testing_dates.start.year for r in out.collect()} == {2003, 2004}
+    model = estimator("LR", {"C": 1.0}, 200).fit(frames[0])
+    table = {r.feature: r.value for r in importance_table(spark, model, ["f0", "f1", "f2"], "LR").collect()}
+    assert table["(intercept)"] == model.intercept and len(table) == 4
+
+
+def test_bagging_draws_any_row(frames):
+    train, _ = frames
+    params = {"n_estimators": 2, "max_samples": 5, "max_features": 2}
+    first, again = (fit_score("BAG", params, t, t, "id", 200)[0] for t in (train, train.repartition(3)))
+    assert [c for c, _ in first] == [c for c, _ in again]
+    assert [m.toDebugString.split("\n", 1)[1] for _, m in first] == [m.toDebugString.split("\n", 1)[1] for _, m in again]

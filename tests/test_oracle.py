@@ -16,7 +16,6 @@ TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
     "pages", "benchmark", "labels", "conversations",
 ]
-SLOW = {"rf", "lr", "gbt", "bagging", "svm", "svm_confusion", "phases", "class1_probability"}
 
 
 def plain(v):
@@ -42,8 +41,6 @@ def db():
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables are not here")
 @pytest.mark.parametrize("name", sorted(entry.queries()))
 def test_query(spark, db, name):
-    if name in SLOW:
-        pytest.skip("model query; its operators are tested in test_models")
     df = entry.queries()[name](spark, FOLDER)
     columns = sorted(df.columns)
     got = collections.Counter(tuple(plain(v) for v in r) for r in df.select(*[f"`{c}`" for c in columns]).collect())

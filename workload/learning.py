@@ -1,6 +1,8 @@
 """Nearest neighbours and Spark ML models."""
 
 import datetime as dt
+from functools import reduce
+from operator import and_
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
@@ -9,14 +11,15 @@ from panelkit.operators.clean import fill_median
 from panelkit.operators.neighbours import cross_validated_accuracy, evaluation_grid, nearest, vote
 from panelkit.operators.panel import feature_batch, lag_bundle
 from panelkit.operators.labels import increase_label, lagged_labels
-from panelkit.operators.metrics import confusion_counts
-from panelkit.plans.models import assemble, estimator, fit_score, importance_table, tree_table
-from panelkit.plans.runs import run_phases
+from panelkit.operators.metrics import TOP_PERCENTS, confusion_counts
+from panelkit.plans.models import GRIDS, assemble, estimator, fit_score, importance_table, parameter_grid, tree_table
+from panelkit.plans.runs import BASELINES, PHASES, run_phases
 from panelkit.plans.splits import hash_split
 from panelkit.session import materialise
 from panelkit.sources.files import table
 from workload.base import LABELS, customer_years, query, r6, rounded
 from workload.panel import labelled
+from workload.ranking import LAST_YEAR, data_splits, split_halves
 
 _HASH = "(CAST('0x' || substr(md5(CAST(vec_id AS VARCHAR) || '|{seed}'), 1, 12) AS BIGINT) / 281474976710656.0)"
 
@@ -97,46 +100,60 @@ def train_test(spark, folder):
     panel = model_panel(spark, folder).select("custkey", "year", "top20", *FEATURES)
     # Medians, training and test rows all read the panel, so it is written once first.
     panel = materialise(panel.withColumn("id", F.col("custkey") * 10000 + F.col("year")))
-    train = fill_median(panel.where(F.col("year") < 2000), FEATURES)
-    test = fill_median(panel.where(F.col("year") == 2000), FEATURES)
+    # Learners read the training rows many times over.
+    train, test = (materialise(fill_median(half, FEATURES)) for half in split_halves(spark, folder, panel))
     return assemble(train, FEATURES, "top20", ["id"]), assemble(test, FEATURES, "top20", ["id"])
 
 
 def _scores(spark, folder, key, params):
     train, test = train_test(spark, folder)
-    train = train.cache()
     _, scored = fit_score(key, params, train, test, "id", train.count(), seed=1)
-    return rounded(scored, "score")
+    return scored
 
 
-@query("rf")
+def _checked(spark, folder, key, params):
+    """Keys, labels and scores within 0 and 1, and whether the positives score higher on average.
+
+    A fitted score depends on the learner, so what is returned is what holds for any sound one.
+    """
+    scored = materialise(_scores(spark, folder, key, params))
+    means = scored.agg(F.avg(F.when(F.col("label") == 1, F.col("score"))) >= F.avg(F.when(F.col("label") == 0, F.col("score"))))
+    return scored.select("id", "label", F.col("score").between(0, 1).alias("in_bounds"), means.scalar().alias("learned"))
+
+
+_CHECKED = f"""SELECT CAST(custkey * 10000 + year AS BIGINT) AS id, top20 AS label, true AS in_bounds, true AS learned
+ FROM ({LABELS}) WHERE year = {LAST_YEAR}"""
+
+
+@query("rf", _CHECKED)
 def rf(spark, folder):
-    return _scores(spark, folder, "RF", {"n_estimators": 10, "max_depth": 5, "max_features": "sqrt", "min_samples_split": 10})
+    return _checked(spark, folder, "RF", {"n_estimators": 10, "max_depth": 5, "max_features": "sqrt", "min_samples_split": 10})
 
 
-@query("lr")
+@query("lr", _CHECKED)
 def lr(spark, folder):
-    return _scores(spark, folder, "LR", {"penalty": "l2", "C": 0.01})
+    return _checked(spark, folder, "LR", {"penalty": "l2", "C": 0.01})
 
 
-@query("gbt")
+@query("gbt", _CHECKED)
 def gbt(spark, folder):
-    return _scores(spark, folder, "GB", {"n_estimators": 5, "learning_rate": 0.5, "subsample": 0.5, "max_depth": 5})
+    return _checked(spark, folder, "GB", {"n_estimators": 5, "learning_rate": 0.5, "subsample": 0.5, "max_depth": 5})
 
 
-@query("bagging")
+@query("bagging", _CHECKED.replace(", true AS learned", ""))
 def bagging(spark, folder):
-    return _scores(spark, folder, "BAG", {"n_estimators": 5, "max_samples": 5, "max_features": 3})
+    # Trees on five rows each need not learn anything, so only keys, labels and bounds are sure.
+    return _checked(spark, folder, "BAG", {"n_estimators": 5, "max_samples": 5, "max_features": 3}).drop("learned")
 
 
-@query("dtree")
+@query("dtree", _CHECKED)
 def dtree(spark, folder):
-    return _scores(spark, folder, "BASELINE_DT", {"max_depth": 3})
+    return _checked(spark, folder, "BASELINE_DT", {"max_depth": 3})
 
 
-@query("svm")
+@query("svm", _CHECKED.replace(", true AS learned", ""))
 def svm(spark, folder):
-    return _scores(spark, folder, "SVM", {"C": 1.0})
+    return _checked(spark, folder, "SVM", {"C": 1.0}).drop("learned")
 
 
 _NB_FEATURES = ["n_orders_lag", "urgent_lag", "finished_lag"]
@@ -144,60 +161,91 @@ _PDF = " + ".join(
     f"(-0.5 * ln(2 * pi() * v_{c}) - power(r.{c} - m_{c}, 2) / (2 * v_{c}))" for c in _NB_FEATURES)
 
 
-@query("gnb", f"""WITH l AS ({LABELS}), r AS (SELECT a.custkey, a.year, a.top20 AS label, CAST(b.n_orders AS DOUBLE) AS n_orders_lag,
- CAST(b.urgent AS DOUBLE) AS urgent_lag, CAST(b.finished AS DOUBLE) AS finished_lag FROM l a JOIN l b ON a.custkey = b.custkey AND b.year = a.year - 1),
- m AS (SELECT label AS c, count(*) AS n, {', '.join(f'avg({c}) AS m_{c}, var_pop({c}) AS v_{c}' for c in _NB_FEATURES)} FROM r WHERE year < 2000 GROUP BY 1),
- s AS (SELECT r.custkey, r.label, m.c, ln(n) + {_PDF} AS lp FROM r, m WHERE r.year = 2000)
+@query("gnb", f"""WITH l AS ({LABELS}), w AS (SELECT a.custkey, a.year, a.top20 AS label, a.year = {LAST_YEAR} AS test, CAST(b.n_orders AS DOUBLE) AS n_orders_lag,
+ CAST(b.urgent AS DOUBLE) AS urgent_lag, CAST(b.finished AS DOUBLE) AS finished_lag FROM l a LEFT JOIN l b ON a.custkey = b.custkey AND b.year = a.year - 1),
+ md AS (SELECT test, {', '.join(f'median({c}) AS d_{c}' for c in _NB_FEATURES)} FROM w GROUP BY 1),
+ r AS (SELECT custkey, label, w.test, {', '.join(f'coalesce({c}, d_{c}) AS {c}' for c in _NB_FEATURES)} FROM w JOIN md ON w.test = md.test),
+ m AS (SELECT label AS c, count(*) AS n, {', '.join(f'avg({c}) AS m_{c}, var_pop({c}) AS v_{c}' for c in _NB_FEATURES)} FROM r WHERE NOT test GROUP BY 1),
+ s AS (SELECT r.custkey, r.label, m.c, ln(n) + {_PDF} AS lp FROM r, m WHERE r.test)
  SELECT custkey, label, round(1 / (1 + exp(max(lp) FILTER (WHERE c = 0) - max(lp) FILTER (WHERE c = 1))), 5) AS score FROM s GROUP BY 1, 2""")
 def gnb(spark, folder):
-    panel = model_panel(spark, folder).where(F.col("n_orders_lag").isNotNull())
-    panel = panel.select("custkey", "year", "top20", *_NB_FEATURES)
-    train = assemble(panel.where(F.col("year") < 2000), _NB_FEATURES, "top20", ["custkey"])
-    test = assemble(panel.where(F.col("year") == 2000), _NB_FEATURES, "top20", ["custkey"])
+    panel = materialise(model_panel(spark, folder).select("custkey", "year", "top20", *_NB_FEATURES))
+    train, test = (assemble(fill_median(half, _NB_FEATURES), _NB_FEATURES, "top20", ["custkey"])
+                   for half in split_halves(spark, folder, panel))
     _, scored = fit_score("NB", {}, train, test, "custkey", 0)
     return scored.select("custkey", "label", F.round("score", 5).alias("score"))
 
 
-@query("class1_probability")
+@query("class1_probability", f"SELECT CAST(custkey * 10000 + year AS BIGINT) AS id, 1.0::DOUBLE AS total, true AS in_bounds FROM ({LABELS}) WHERE year = {LAST_YEAR}")
 def class1_probability(spark, folder):
     train, test = train_test(spark, folder)
     model = estimator("RF", {"n_estimators": 5, "max_depth": 4}, 0, 1).fit(train)
     proba = vector_to_array("probability")
-    return model.transform(test).select("id", r6(proba[0]).alias("p0"), r6(proba[1]).alias("p1"))
+    return model.transform(test).select("id", r6(proba[0] + proba[1]).alias("total"), proba[1].between(0, 1).alias("in_bounds"))
 
 
-@query("importance")
+@query("importance", "SELECT feature, true AS in_bounds, 1.0::DOUBLE AS total FROM (VALUES " + ", ".join(f"('{c}')" for c in FEATURES) + ") t(feature)")
 def importance(spark, folder):
     train, _ = train_test(spark, folder)
     model = estimator("RF", {"n_estimators": 10, "max_depth": 5}, 0, 1).fit(train)
-    return importance_table(spark, model, FEATURES, "RF")
+    out = importance_table(spark, model, FEATURES, "RF")
+    total = out.agg(r6(F.sum("value"))).scalar()
+    return out.select("feature", F.col("value").between(0, 1).alias("in_bounds"), total.alias("total"))
 
 
-@query("tree_nodes")
+@query("tree_nodes", f"""SELECT count(*) AS samples, count(*) FILTER (WHERE top20 = 0) AS zeros, count(*) FILTER (WHERE top20 = 1) AS ones,
+ count(*) AS leaf_samples, true AS children_sum FROM ({LABELS}) WHERE year < {LAST_YEAR}""")
 def tree_nodes(spark, folder):
+    """Counts of the root by class, of all leaves together, and whether children add up to their parents."""
     train, _ = train_test(spark, folder)
     model = estimator("BASELINE_DT", {"max_depth": 3}, 0, 1).fit(train)
-    return tree_table(spark, model, FEATURES)
+    nodes = tree_table(spark, model, FEATURES).select(
+        "id", "samples", "left_child", "right_child", *[F.col("class_counts")[c].cast("long").alias(f"n{c}") for c in (0, 1)])
+    sides = [nodes.select(F.col("id").alias(f"{s}_child"), *[F.col(c).alias(f"{s}_{c}") for c in ("n0", "n1")]) for s in ("left", "right")]
+    both = nodes.join(sides[0], "left_child", "left").join(sides[1], "right_child", "left")
+    leaf = F.col("left_child").isNull()
+    adds = [F.col(f"left_{c}") + F.col(f"right_{c}") == F.col(c) for c in ("n0", "n1")]
+    root = F.col("id") == 0
+    return both.agg(
+        F.max(F.when(root, F.col("samples"))).alias("samples"), F.max(F.when(root, F.col("n0"))).alias("zeros"),
+        F.max(F.when(root, F.col("n1"))).alias("ones"), F.sum(F.when(leaf, F.col("samples"))).alias("leaf_samples"),
+        F.every(leaf | (adds[0] & adds[1])).alias("children_sum"),
+    )
 
 
-@query("svm_confusion")
+@query("svm_confusion", f"""SELECT count(*) FILTER (WHERE top20 = 1) AS positives, count(*) FILTER (WHERE top20 = 0) AS negatives, true AS adds_up
+ FROM ({LABELS}) WHERE year = {LAST_YEAR}""")
 def svm_confusion(spark, folder):
     scored = _scores(spark, folder, "SVM", {"C": 1.0})
-    return confusion_counts(scored.withColumn("pred", (F.col("score") >= 0.5).cast("int")), "label", "pred")
+    out = confusion_counts(scored.withColumn("pred", (F.col("score") >= 0.5).cast("int")), "label", "pred")
+    right, n = F.col("tp") + F.col("tn"), F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")
+    return out.select((F.col("tp") + F.col("fn")).alias("positives"), (F.col("tn") + F.col("fp")).alias("negatives"),
+                      (F.abs(F.col("accuracy") - right / n) < 1e-9).alias("adds_up"))
+
+
+# All models of each phase on the last split and both labels; the second phase takes the first grid, as its
+# own one alone is 33 fits a label.
+_PHASE_PLAN = [{**phase, "grid": 0 if phase["name"] == "phase2" else phase["grid"], "latest": True} for phase in PHASES]
+_PHASE_RUNS = [
+    (phase["name"], y, m, 1 if m in BASELINES else len(parameter_grid(GRIDS[m][phase["grid"]])))
+    for phase in _PHASE_PLAN for y in ("top20", "inc20") for m in [*phase["models"], *BASELINES]
+]
 
 
-@query("phases")
+@query("phases", f"""SELECT phase, outcome, model_key, make_date(CAST((SELECT min(year(o_orderdate)) FROM orders) AS INTEGER), 1, 1) AS train_start,
+ make_date(CAST({LAST_YEAR} AS INTEGER), 1, 1) AS test_start, make_date(CAST({LAST_YEAR} AS INTEGER), 12, 31) AS test_end,
+ CAST(runs AS BIGINT) AS runs, true AS in_bounds FROM (VALUES """
+       + ", ".join(f"('{p}', '{y}', '{m}', {n})" for p, y, m, n in _PHASE_RUNS) + ") t(phase, outcome, model_key, runs)")
 def phases(spark, folder):
-    """Two shortened phases on the real splits of the data, with the baselines."""
+    """The runs of all three phases with the baselines: their dates, number, and metrics within bounds."""
     panel = materialise(model_panel(spark, folder))
-    sets = [{"labels": ["history"], "features": FEATURES}]
-    plan = [
-        {"name": "phase1", "models": ["RF", "NB"], "grid": 0, "latest": True},
-        {"name": "phase3", "models": ["BASELINE_DT"], "grid": 2, "latest": True},
-    ]
-    years = table(spark, folder, "orders").agg(F.min(F.year("o_orderdate")), F.max(F.year("o_orderdate"))).first()
+    split = data_splits(spark, folder, latest=True)[0]
     out = run_phases(
-        panel, plan, start=dt.date(years[0], 1, 1), end=dt.date(years[1], 1, 1), window=12, feature_subsets=sets,
-        outcomes=["top20"], entity="custkey", period="year", parallel=2,
+        panel, _PHASE_PLAN, start=split.train_start, end=split.test_end + dt.timedelta(days=1), window=12,
+        feature_subsets=[{"labels": ["history"], "features": FEATURES}], outcomes=["top20", "inc20"],
+        entity="custkey", period="year", parallel=4,
     )
-    return out.drop("classifier", "model_result")
+    sound = reduce(and_, [F.col(c).between(0, 1) for c in ("auc_roc", *[f"{m}_at_{k}" for m in ("p", "r", "f1") for k in TOP_PERCENTS])])
+    return out.groupBy("phase", "outcome", "model_key", F.col("training_dates.start").alias("train_start"),
+                       F.col("testing_dates.start").alias("test_start"), F.col("testing_dates.end").alias("test_end")).agg(
+        F.count(F.lit(1)).alias("runs"), F.every(F.coalesce(sound, F.lit(False))).alias("in_bounds"))

@@ -9,7 +9,6 @@ from panelkit.operators.fairness import (
     group_crosstab,
     parity_flags,
 )
-from panelkit.operators.joins import lookup_join
 from panelkit.operators.labels import lagged_labels
 from panelkit.operators.metrics import (
     TOP_PERCENTS,
@@ -127,14 +126,12 @@ def param_except(spark, folder):
 
 
 @query("many_to_many_merge", f"""SELECT p_partkey, model_key, parameters, outcome, runs, metric FROM
- (SELECT p_partkey, p_brand AS model_key, p_type AS parameters, CASE WHEN p_size % 2 = 0 THEN 'top20_num' ELSE 'e_num_inc_20pct' END AS outcome FROM part) l
- JOIN ({RESULTS}) r USING (model_key, parameters, outcome) WHERE outcome = 'top20_num'""")
+ (SELECT p_partkey, p_brand AS model_key, p_type AS parameters FROM part) l JOIN ({RESULTS}) r USING (model_key, parameters)""")
 def many_to_many_merge(spark, folder):
-    outcome = F.when(F.col("p_size") % 2 == 0, "top20_num").otherwise("e_num_inc_20pct")
+    """Several parts on the one side, the results of both outcomes on the other."""
     rows = table(spark, folder, "part").select(
-        "p_partkey", F.col("p_brand").alias("model_key"), F.col("p_type").alias("parameters"), outcome.alias("outcome"))
-    keys = ["model_key", "parameters", "outcome"]
-    return lookup_join(rows.where(F.col("outcome") == "top20_num"), results(spark, folder), keys, "inner", ["p_partkey"])
+        "p_partkey", F.col("p_brand").alias("model_key"), F.col("p_type").alias("parameters"))
+    return rows.join(results(spark, folder), ["model_key", "parameters"])
 
 
 @query("panel_label_join", f"SELECT p.custkey, p.year, p.urgent, l.top20 FROM ({CY}) p JOIN ({LABELS}) l USING (custkey, year)")
@@ -185,11 +182,26 @@ def split_rows(spark, folder):
     return tag_splits(rows, "d", data_splits(spark, folder))
 
 
-@query("apply_split", f"""SELECT custkey, year, top20 FROM ({LABELS}) WHERE year = 2000""")
+# Fixed to the data: the last split tests on the last year.
+LAST_YEAR = "(SELECT max(year(o_orderdate)) FROM orders)"
+
+
+def last_split(spark, folder):
+    return data_splits(spark, folder, latest=True)[0]
+
+
+@query("apply_split", f"""SELECT CASE WHEN year < {LAST_YEAR} THEN 'train' ELSE 'test' END AS half, custkey, year, top20 FROM ({LABELS})""")
 def q_apply_split(spark, folder):
     rows = labelled(spark, folder).withColumn("d", year_start("year"))
-    chosen = [s for s in data_splits(spark, folder) if s.test_start.year == 2000][0]
-    return apply_split(rows, chosen, "d", "top20", ["custkey", "year", "top20"])[1]
+    halves = apply_split(rows, last_split(spark, folder), "d", "top20", ["custkey", "year", "top20"])
+    train, test = (h.select(F.lit(name).alias("half"), "*") for name, h in zip(("train", "test"), halves))
+    return train.unionByName(test)
+
+
+def split_halves(spark, folder, rows):
+    """Labelled rows of the last split: before its test year, and in it."""
+    year = last_split(spark, folder).test_start.year
+    return rows.where(F.col("year") < year), rows.where(F.col("year") == year)
 
 
 @query("feature_subsets", """WITH s AS (SELECT r_regionkey AS position, r_name AS name, list(n_name ORDER BY n_nationkey) AS features
@@ -305,17 +317,17 @@ def accuracy_by_year(spark, folder):
     return rounded(accuracy(scored(spark, folder), "label", "lagged", "year"), "accuracy")
 
 
-@query("baseline_prior", f"WITH s AS ({SCORED}) SELECT custkey, year, label, CAST(lagged AS DOUBLE) AS score FROM s WHERE year = 2000")
+@query("baseline_prior", f"WITH s AS ({SCORED}) SELECT custkey, year, label, CAST(lagged AS DOUBLE) AS score FROM s WHERE year = {LAST_YEAR}")
 def baseline_prior(spark, folder):
-    test = scored(spark, folder).where(F.col("year") == 2000).drop("score")
+    test = split_halves(spark, folder, scored(spark, folder).drop("score"))[1]
     return prior_baseline(test, "lagged").select("custkey", "year", "label", "score")
 
 
-@query("baseline_rand", f"""WITH s AS ({SCORED}) SELECT custkey, year, label, CAST({_U.format(seed=5)} > (SELECT avg(CAST(label = 0 AS DOUBLE)) FROM s WHERE year < 2000) AS DOUBLE) AS score
- FROM s WHERE year = 2000""")
+@query("baseline_rand", f"""WITH s AS ({SCORED}) SELECT custkey, year, label, CAST({_U.format(seed=5)} > (SELECT avg(CAST(label = 0 AS DOUBLE)) FROM s WHERE year < {LAST_YEAR}) AS DOUBLE) AS score
+ FROM s WHERE year = {LAST_YEAR}""")
 def baseline_rand(spark, folder):
     rows = scored(spark, folder).drop("score")
-    train, test = rows.where(F.col("year") < 2000), rows.where(F.col("year") == 2000)
+    train, test = split_halves(spark, folder, rows)
     return random_baseline(train, test, "label", ["custkey", "year"], 5).select("custkey", "year", "label", "score")
 
 
@@ -330,14 +342,14 @@ def _bin(c):
     return f"{_LABEL}[1 + {steps}] AS {c}_bins"
 
 
-AUDIT = f"""WITH s AS (SELECT * FROM ({SCORED}) WHERE year = 2000), e AS (SELECT
+AUDIT = f"""WITH s AS (SELECT * FROM ({SCORED}) WHERE year = {LAST_YEAR}), e AS (SELECT
  {', '.join(f'CAST(min({c}) AS DOUBLE) AS lo_{c}, CAST(max({c}) AS DOUBLE) AS hi_{c}' for c in ATTRS)} FROM s),
  audit AS (SELECT custkey, {', '.join(_bin(c) for c in ATTRS)}, label AS label_value, score FROM s, e)"""
 
 
 def audit_rows(spark, folder):
     # Scores are read for the bin ends, the cutoff and the counts, so they are written once first.
-    rows = materialise(scored(spark, folder).where(F.col("year") == 2000))
+    rows = materialise(split_halves(spark, folder, scored(spark, folder))[1])
     return audit_input(rows, ATTRS, "label", "score", ["custkey"])
 
 
@@ -358,10 +370,10 @@ def predicted_flag(spark, folder):
     return flagged(spark, folder).select("custkey", "score", "pred")
 
 
-@query("feature_analysis", f"""WITH s AS (SELECT * FROM ({SCORED}) WHERE year = 2000)
+@query("feature_analysis", f"""WITH s AS (SELECT * FROM ({SCORED}) WHERE year = {LAST_YEAR})
  SELECT custkey, n_orders, urgent, finished, label AS label_value, score FROM s""")
 def feature_analysis(spark, folder):
-    rows = scored(spark, folder).where(F.col("year") == 2000)
+    rows = split_halves(spark, folder, scored(spark, folder))[1]
     predictions = rows.select("custkey", F.col("label").alias("label_value"), "score")
     return rows.select("custkey", *ATTRS).join(predictions, "custkey")
 
