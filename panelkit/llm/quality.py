@@ -18,7 +18,7 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelkit.llm.common import SPACES, WORD_GAP, let, pin
+from panelkit.llm.common import SPACES, WORD_GAP, fresh, let, pin
 
 # Hash buckets of the n-grams: the width of the two multinomials.
 BUCKETS = 1 << 14
@@ -129,3 +129,14 @@ def annotate(df: DataFrame, weights: DataFrame, into: str, text_col: str = "text
     failed = (c["n_words"] < 50) | (100 * c["n_repeat_words"] > 50 * c["n_words"])
     return out.withColumn(into, c.withField("base_failed", failed)
                           .withField("kept", ~failed & (c["score"] >= F.lit(threshold))))
+
+
+def keep_good(df: DataFrame, weights: DataFrame, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows that pass, with their own columns only.
+
+    Rows go through a generator, not a filter: a filter would be pushed below the columns it reads, and
+    the word array, written out inside the window functions, would be made again for every word.
+    """
+    into = fresh(df, "quality")
+    out = annotate(df, weights, into, text_col, threshold)
+    return out.withColumn(into, F.explode(F.filter(F.array(F.col(into)), lambda q: q["kept"]))).drop(into)

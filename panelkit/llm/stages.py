@@ -3,18 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from panelkit.llm import bpe as bpe_codec
 from panelkit.llm import decontaminate, language, near_dedup as minhash, quality
-from panelkit.llm.common import fresh, load
+from panelkit.llm.common import load
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and reach the log-likelihood ratio."""
     weights = quality.fit_ratio(docs, quality.trusted_ids(load(spark, sf_dir, "labels")))
-    into = fresh(docs, "quality")
-    return quality.annotate(docs, weights, into).where(F.col(into)["kept"]).drop(into)
+    return quality.keep_good(docs, weights)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

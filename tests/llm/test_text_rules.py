@@ -190,3 +190,17 @@ def test_chat_edges(spark):
     assert chat.repair(spark.createDataFrame([], schema)).count() == 0
     odd = chat.repair(spark.createDataFrame([(None, None, None, None), (None, 1, "user", None), (3, 1, "user", "a"), (3, 1, "user", "a")], schema))
     assert odd.count() == 4
+
+
+def test_the_quality_stage_keeps_what_the_operator_keeps_without_a_filter_on_words(spark):
+    good = "the quick brown fox jumps over a lazy dog and runs home again today " * 2
+    texts = [good + " ".join(f"w{i}x{j}" for j in range(60)) for i in range(3)] + [None, "", "short", "same same same " * 40]
+    docs = spark.createDataFrame([(i, t, "extra") for i, t in enumerate(texts)], "doc_id long, text string, quality string")
+    weights = quality.fit_ratio(docs, spark.createDataFrame([(0,), (1,)], "doc_id long"))
+    kept = quality.keep_good(docs, weights)
+    assert kept.columns == docs.columns
+    want = quality.annotate(docs, weights, "q").where("q.kept").select("doc_id")
+    ids = [sorted(r.doc_id for r in df.select("doc_id").collect()) for df in (kept, want)]
+    assert ids[0] == ids[1] and ids[0]
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.split("\n") if "Filter" in line.split("(")[0] and "split" in line]
