@@ -87,9 +87,8 @@ def blocks_of(page: str | None) -> list[Block]:
             if links:
                 linked += len(text)
 
-    for m in iter_tags(page):
-        if m.start() < at:
-            continue
+    # Searched from `at`, as a tag that seems to open inside a skipped script may reach past its end.
+    while m := _TAG.search(page, at):
         add(page[at:m.start()])
         at = m.end()
         close, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
@@ -133,10 +132,6 @@ def blocks_of(page: str | None) -> list[Block]:
     return out
 
 
-def iter_tags(page: str):
-    return _TAG.finditer(page)
-
-
 # --- features
 
 def path_index(names: tuple[str, ...]) -> list[int]:

@@ -74,3 +74,13 @@ def test_edges(spark, model):
     assert all(r["text"] == "" and r["n_chars"] == 0 for r in out if r["page_id"] in (1, 2))
     assert [r["text"] for r in out if r["page_id"] == 3] == [WANT, WANT]
     assert h.extract(pages.limit(0)).count() == 0
+
+
+def test_scripts_with_less_than_and_apostrophes(model):
+    for code in ("for (i=0;i<n;i++) f(i);", "// don't\nfor (i=0;i<n;i++) {}", "if (a<b) s = '<p>';", "<!-- if (a<b) -->"):
+        page = PAGE.replace('var x = "<p>no</p>";', code).replace("Last one.", "It's the last one.")
+        texts = [b.text for b in h.blocks_of(page)]
+        assert "It's the last one." in texts and not any("script" in t or "<n" in t for t in texts)
+        assert h.texts_of([page], model) == [WANT.replace("Last one.", "It's the last one.")]
+    styled = "<article><style>a<b{}</style><p>One's.</p><p>Two's.</p></article>"
+    assert [b.text for b in h.blocks_of(styled)] == ["One's.", "Two's."]
