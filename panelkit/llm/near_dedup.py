@@ -320,3 +320,18 @@ def keep_one(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col:
     drop = drop.withColumnsRenamed({"doc_id": a, "th": b})
     same = (docs[id_col] == F.col(a)) & (F.xxhash64(docs[text_col]) == F.col(b))
     return docs.join(drop, same, "left_anti")
+
+
+def keep_single(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Exactly one row of each group, all columns kept: the smallest id, nulls last, then the smallest row key.
+
+    Rows are grouped under a stored row key, so repeated rows, rows that share an id and rows without an id
+    are members like all others. Rows with an empty set are in no group and are kept.
+    """
+    key = fresh(docs, "row_key")
+    rows = store(docs.withColumn(key, F.monotonically_increasing_id()), "rows")
+    groups = classify(rows, words, key, text_col).select(F.col("doc_id").alias(key), "component_id")
+    ids = rows.select(key, F.col(id_col).alias("id"))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", F.col(key).alias("row"))).alias("first")
+    kept = groups.join(ids, key).groupBy("component_id").agg(first).select(F.col("first.row").alias(key))
+    return rows.join(kept, key, "left_semi").select(docs.columns)

@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-from panelkit.llm import near_dedup
+from panelkit.llm import near_dedup, stages
 
 
 def shingles(text, words):
@@ -90,3 +90,20 @@ def test_star_components(spark):
     links = [(9, 1), (9, 2), (2, 3), (20, 21), (21, 22), (22, 23), (23, 24), (30, 30)]
     got = {(r["node"], r["root"]) for r in near_dedup.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {(1, 1), (2, 1), (3, 1), (9, 1), *[(i, 20) for i in range(20, 25)]}
+
+
+def test_stage_keeps_one_row_of_each_group(spark):
+    rows = corpus()
+    common = " ".join(f"k{i}" for i in range(60))
+    rows += [(9000, common)] * 5 + [(9000, common + " more")] * 2 + [(9001, common)] + [(None, "no id " + common)] * 3
+    rows += [(None, " ".join(f"z{i}" for i in range(40)))] * 4
+    docs = spark.createDataFrame([(i, t, n, "c") for n, (i, t) in enumerate(rows)], "doc_id long, text string, n int, row_key string").repartition(5)
+    kept = stages.near_dedup(spark, docs, "")
+    assert kept.columns == docs.columns
+    group = brute([(n, t) for n, (_, t) in enumerate(rows)], 5)
+    got = [group[r["n"]] for r in kept.collect()]
+    assert sorted(got) == sorted(set(group))
+    best = {}
+    for (i, _), g in zip(rows, group):
+        best[g] = min(best.get(g, (True, 0)), (i is None, i or 0))
+    assert all((r["doc_id"] is None, r["doc_id"] or 0) == best[group[r["n"]]] for r in kept.collect())
