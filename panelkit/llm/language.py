@@ -3,9 +3,10 @@
 Learning counts hashed byte n-grams of lower-cased letters per language. For a new text each word's
 log-likelihood under a language is the mean over the n-gram orders of its n-grams' log-probabilities,
 and the text is a mixture of languages: expectation-maximisation over its words estimates the
-proportions. Candidate sets are the likeliest one, two and three languages of that estimate; the set
-with the best log-likelihood less a penalty per language and log of the words is taken, and the
-language with the largest proportion in it is the prediction.
+proportions. Candidate sets are the likeliest one, two, three and more languages of that estimate, up
+to the size from which no larger set can win; the set with the best log-likelihood less a penalty per
+language and log of the words is taken, and the language with the largest proportion in it is the
+prediction. The model is held in blocks of LANGUAGE_BLOCK languages, of any number.
 
 Defined results: null text, and text without a letter, is `und` with score 0; so is everything when
 no language was learned. Rows with null language or text teach nothing. Equal proportions go to the
@@ -22,15 +23,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelkit.llm.common import bucket_of
+from panelkit.llm.common import bucket_of, store
 
 ORDERS = (2, 3, 4)
 BUCKETS = 1 << 14
 SMOOTHING = 0.5
-# More languages than this in the labels are refused, as the model's size grows with them.
-MAX_LANGUAGES = 64
+# Languages in one block of the model, and in the counts that a task holds at once.
+LANGUAGE_BLOCK = 64
 EM_STEPS = 8
-MAX_SET = 3
 # Penalty of one more language, times the log of the number of words.
 PENALTY = 2.0
 # Least proportion of the predicted language in a document that the pipeline keeps.
@@ -71,8 +71,8 @@ def features(texts: list[str]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray
 
 
 def fit(docs: DataFrame, held_out: Column | None = None, id_col: str = "doc_id", text_col: str = "text",
-        lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
-    """Learned languages in order of name, and log-probabilities [order, bucket, language].
+        lang_col: str = "lang") -> tuple[list[str], list[np.ndarray]]:
+    """Learned languages in order of name, and log-probabilities [order, bucket, language] in blocks of languages.
 
     Learns from all rows outside `held_out` (crc32 of the id modulo 4 is 2, unless given).
     """
@@ -80,39 +80,47 @@ def fit(docs: DataFrame, held_out: Column | None = None, id_col: str = "doc_id",
     rows = docs.where(~held_out).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
 
+    def counted(totals: dict[str, np.ndarray]):
+        for lang, table in totals.items():
+            k, b = np.nonzero(table)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([lang] * len(k), pa.string()), pa.array(k.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(table[k, b])],
+                names=["lang", "k", "b", "n"])
+
     def count(batches: Iterator[pa.RecordBatch]):
         totals: dict[str, np.ndarray] = {}
         for batch in batches:
             langs = np.array(batch.column(0).to_pylist(), object)
             texts = batch.column(1).to_pylist()
             for lang in sorted(set(langs.tolist())):
-                if len(totals) > MAX_LANGUAGES and lang not in totals:
-                    raise ValueError(f"more than {MAX_LANGUAGES} languages")
+                if len(totals) >= LANGUAGE_BLOCK and lang not in totals:
+                    yield from counted(totals)
+                    totals.clear()
                 table = totals.setdefault(lang, np.zeros((len(ORDERS), BUCKETS), np.int64))
                 mine = [texts[i] for i in np.flatnonzero(langs == lang)]
                 for run in _runs(mine):
                     _, grams, _, _ = features(run)
                     for k, g in enumerate(grams):
                         table[k] += np.bincount(g, minlength=BUCKETS)
-        for lang, table in totals.items():
-            k, b = np.nonzero(table)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(k), pa.string()), pa.array(k.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(table[k, b])],
-                names=["lang", "k", "b", "n"])
+        yield from counted(totals)
 
     counts = rows.mapInArrow(count, "lang string, k int, b int, n long")
     counts = counts.groupBy("lang", "k", "b").agg(F.sum("n").alias("n"))
-    # At most MAX_LANGUAGES * orders * buckets numbers.
-    found = counts.toPandas()
-    langs = sorted(found["lang"].unique().tolist())
-    if len(langs) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    counts = store(counts, "languages")
+    langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
+    return langs, [_block(counts, langs[i:i + LANGUAGE_BLOCK]) for i in range(0, len(langs), LANGUAGE_BLOCK)]
+
+
+def _block(counts: DataFrame, langs: list[str]) -> np.ndarray:
+    """Log-probabilities [order, bucket, language] of some languages."""
+    # At most LANGUAGE_BLOCK * orders * buckets numbers.
+    found = counts.where(F.col("lang").isin(langs)).toPandas()
     table = np.zeros((len(langs), len(ORDERS), BUCKETS))
     where = {lang: i for i, lang in enumerate(langs)}
     table[found["lang"].map(where).to_numpy(int), found["k"].to_numpy(int), found["b"].to_numpy(int)] = found["n"].to_numpy()
     table += SMOOTHING
     table /= table.sum(axis=2, keepdims=True)
-    return langs, np.ascontiguousarray(np.log(table).transpose(1, 2, 0).astype(np.float32))
+    return np.ascontiguousarray(np.log(table).transpose(1, 2, 0).astype(np.float32))
 
 
 def _runs(texts: list[str], most: int = 1_000_000) -> Iterator[list[str]]:
@@ -140,16 +148,26 @@ def _em(likelihood: np.ndarray, owner: np.ndarray, first: np.ndarray, counts: np
     return share, np.add.reduceat(total, first)
 
 
-def infer(texts: list[str], model: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _most_likelihood(likelihood: np.ndarray, owner: np.ndarray, first: np.ndarray, counts: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """A bound that no mixture's log-likelihood of a text exceeds, as that is concave in the proportions."""
+    mixed = (likelihood * share[owner]).sum(axis=1)
+    slope = np.add.reduceat(likelihood / mixed[:, None], first, axis=0).max(axis=1)
+    return np.add.reduceat(np.log(mixed), first) + slope - counts
+
+
+def infer(texts: list[str], model: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Proportions [text, language] in the selected set, all 0 for texts without letters."""
-    n_lang = model.shape[2]
+    n_lang = sum(block.shape[2] for block in model)
     out = np.zeros((len(texts), n_lang))
     _, grams, starts, owner = features(texts)
     if not len(starts) or not n_lang:
         return out, np.zeros(len(texts), np.int64)
     words = np.zeros((len(starts), n_lang))
-    for k, g in enumerate(grams):
-        words += np.add.reduceat(model[k][g], starts, axis=0)
+    at = 0
+    for block in model:
+        for k, g in enumerate(grams):
+            words[:, at:at + block.shape[2]] += np.add.reduceat(block[k][g], starts, axis=0)
+        at += block.shape[2]
     words /= len(grams)
     # Likelihoods relative to the best language of the word, floored so that no word decides alone.
     best = words.max(axis=1, keepdims=True)
@@ -161,9 +179,12 @@ def infer(texts: list[str], model: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(-share, axis=1, kind="stable")
     chosen = np.zeros_like(share)
     value = np.full(len(there), -np.inf)
-    for size in range(1, min(MAX_SET, n_lang) + 1):
-        # A larger set is tried only where the full mixture gives its last language some weight.
-        todo = np.arange(len(there)) if size == 1 else np.flatnonzero(share[np.arange(len(there)), order[:, size - 1]] > 0.5 / counts)
+    floored = np.maximum(likelihood, 1e-13)
+    most = _most_likelihood(floored, local, first, counts, share)
+    for size in range(1, n_lang + 1):
+        # A larger set is tried only where the full mixture gives its last language some weight and the penalty lets it win.
+        todo = np.arange(len(there)) if size == 1 else np.flatnonzero(
+            (share[np.arange(len(there)), order[:, size - 1]] > 0.5 / counts) & (most - PENALTY * size * np.log(counts + 1) > value))
         if not len(todo):
             break
         allowed = np.zeros((len(todo), n_lang))
@@ -173,7 +194,7 @@ def infer(texts: list[str], model: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         rows = mask[local]
         c = counts[todo]
         f = np.concatenate(([0], np.cumsum(c)[:-1]))
-        part, log_lik = _em(np.maximum(likelihood[rows], 1e-13), np.repeat(np.arange(len(todo)), c), f, c, allowed)
+        part, log_lik = _em(floored[rows], np.repeat(np.arange(len(todo)), c), f, c, allowed)
         score = log_lik - PENALTY * size * np.log(c + 1)
         better = score > value[todo]
         value[todo[better]] = score[better]
@@ -188,12 +209,12 @@ def has_letter(text: str | None) -> bool:
     return text is not None and any(map(str.isalpha, text))
 
 
-def predict_texts(texts: list[str | None], langs: list[str], model: np.ndarray) -> tuple[list[str], list[float], list[int]]:
+def predict_texts(texts: list[str | None], langs: list[str], model: list[np.ndarray]) -> tuple[list[str], list[float], list[int]]:
     """Language, proportion and size of the selected set of each text."""
     names, scores, sizes = ["und"] * len(texts), [0.0] * len(texts), [0] * len(texts)
     real = [i for i, t in enumerate(texts) if has_letter(t)]
     at = 0
-    for run in _runs([texts[i] for i in real], 300_000):
+    for run in _runs([texts[i] for i in real], 300_000 * LANGUAGE_BLOCK // max(LANGUAGE_BLOCK, len(langs))):
         share, _ = infer(run, model)
         for row in share:
             i = real[at]
@@ -206,16 +227,16 @@ def predict_texts(texts: list[str | None], langs: list[str], model: np.ndarray)
     return names, scores, sizes
 
 
-def predict(docs: DataFrame, learned: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def predict(docs: DataFrame, learned: tuple[list[str], list[np.ndarray]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: held_out, predicted language, its proportion, and the number of languages in its set."""
     langs, model = learned
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = [docs.sparkSession.sparkContext.broadcast(block) for block in model]
     rows = docs.select(F.col(id_col).alias("doc_id"), (bucket_of(id_col, 4) == 2).alias("held_out"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
-            names, scores, sizes = predict_texts(batch.column(2).to_pylist(), langs, shared.value)
+            names, scores, sizes = predict_texts(batch.column(2).to_pylist(), langs, [block.value for block in shared])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(sizes, pa.int64())],
                 names=["doc_id", "held_out", "lang_pred", "score", "n_langs"])
@@ -223,15 +244,15 @@ def predict(docs: DataFrame, learned: tuple[list[str], np.ndarray], id_col: str
     return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double, n_langs long")
 
 
-def keep_dominant(docs: DataFrame, learned: tuple[list[str], np.ndarray], text_col: str = "text", least: float = DOMINANT) -> DataFrame:
+def keep_dominant(docs: DataFrame, learned: tuple[list[str], list[np.ndarray]], text_col: str = "text", least: float = DOMINANT) -> DataFrame:
     """The rows whose predicted language is known and holds at least `least` of the words, all columns kept."""
     langs, model = learned
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = [docs.sparkSession.sparkContext.broadcast(block) for block in model]
     at = docs.columns.index(text_col)
 
     def run(batches):
         for batch in batches:
-            names, scores, _ = predict_texts(batch.column(at).to_pylist(), langs, shared.value)
+            names, scores, _ = predict_texts(batch.column(at).to_pylist(), langs, [block.value for block in shared])
             yield batch.filter(pa.array([n != "und" and s >= least for n, s in zip(names, scores)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

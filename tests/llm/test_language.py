@@ -47,3 +47,26 @@ def test_edges(spark):
     nothing = docs.limit(0)
     assert language.predict(nothing, language.fit(nothing)).count() == 0
     assert {r["lang_pred"] for r in language.predict(docs, language.fit(nothing)).collect()} == {"und"}
+
+
+def test_four_languages_in_one_text(spark):
+    docs = load(spark, FOLDER, "documents")
+    langs, model = language.fit(docs)
+    by = {g: " ".join(r["text"] for r in docs.where(docs["lang"] == g).limit(8).collect()).split() for g in langs}
+    parts = dict(zip(langs, (400, 200, 200, 200)))
+    share, _ = language.infer([" ".join(w for g, n in parts.items() for w in by[g][:n])], model)
+    assert len(langs) == 4 and (share[0] > 0).all() and share[0].max() < language.DOMINANT
+    for g, s in zip(langs, share[0]):
+        assert abs(s - parts[g] / 1000) < 0.1
+
+
+def test_more_languages_than_a_block(spark):
+    letters = "abcdefghijklm"
+    rows = [(i, " ".join(letters[j % 13] + letters[(i + k) % 13] + letters[i // 13] * 3 + letters[i % 13] * 2 for k in range(40) for j in (i, i + k)), f"l{i:03}")
+            for i in range(150) for _ in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    langs, model = language.fit(docs, held_out=docs["doc_id"] < 0)
+    assert len(langs) == 150 and [b.shape[2] for b in model] == [64, 64, 22]
+    out = language.predict(docs, (langs, model)).collect()
+    assert len(out) == 300 and all(r["lang_pred"] == f"l{r['doc_id']:03}" for r in out)
+    assert language.keep_dominant(docs, (langs, model)).count() == 300
