@@ -42,9 +42,15 @@ _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", r
 _WORD = re.compile(r"[a-z]+")
 # Elements of text flow, which do not part blocks.
 _INLINE = set("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub "
-              "sup time tt u var wbr".split())
+              "sup time tt u var wbr "
+              # Formulas and text spans of drawings.
+              "math mi mn mo ms mtext mspace mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mmultiscripts mprescripts "
+              "none mtable mtr mlabeledtr mtd mstyle mpadded mphantom menclose merror maction semantics tspan textpath".split())
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = set("script style template svg math".split())
+# Never shown; annotations repeat a formula in another notation.
+_RAW = set("script style template annotation annotation-xml".split())
+# Start tags that end an open drawing.
+_LEAVES_SVG = set("blockquote body center dd div dl dt h1 h2 h3 h4 h5 h6 head hr li menu ol p pre table ul".split())
 _PLAIN = set("title textarea".split())
 # A start tag of the first closes an open one of the second, up to the nearest of the third.
 _CLOSES = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}),
@@ -109,6 +115,13 @@ def blocks_of(page: str | None) -> list[Block]:
             continue
         if tag in _VOID:
             continue
+        drawing = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in ("svg", "foreignobject")), None)
+        inside = drawing is not None and stack[drawing][0] == "svg"
+        if inside and tag in _LEAVES_SVG:
+            del stack[drawing:]
+            inside = False
+        if (inside or tag == "svg") and (attributes or "").rstrip().endswith("/"):
+            continue
         if tag in _RAW or tag in _PLAIN:
             end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, at)
             if tag in _PLAIN:
@@ -120,7 +133,7 @@ def blocks_of(page: str | None) -> list[Block]:
             continue
         closed, within = _CLOSES.get(tag, ({"p"}, set()))
         for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in within:
+            if inside or tag == "svg" or stack[i][0] in within or stack[i][0] == "foreignobject":
                 break
             if stack[i][0] in closed or stack[i][0] == "p":
                 del stack[i:]
@@ -286,13 +299,14 @@ def gradients(batch: Batch, labels: np.ndarray, model) -> tuple[float, dict[str,
 # --- training
 
 # Names that mark boilerplate or content, for the training labels and the assembled sequences.
-_NOT_CONTENT = set("nav header footer aside form button select figcaption .ad .ads .advert .advertisement .banner .cookie .consent .notice "
+_NOT_CONTENT = set("nav header footer aside form button select .ad .ads .advert .advertisement .banner .cookie .consent .notice "
                    ".sidebar .menu .nav .navbar .navigation .breadcrumb .breadcrumbs .footer .header .comment .comments .reply .replies "
                    ".discussion .share .social .related .promo .sponsored .subscribe .newsletter .login .search .popup .modal .widget "
                    ".copyright .toolbar .pagination .alert .disclaimer title head".split())
 _CONTENT = ["article", "main", "article main", "div .article", "div .content", "div .post", "div .entry", "section .story", "div .main"]
 _CONTENT_LEAVES = ["p"] * 8 + ["h1", "h2", "h3", "blockquote", "pre", "div", "section", "article", "ul li", "ul li", "ol li",
-                               "table tr td", "table tbody tr td", "blockquote p", "div p", "section p", "dl dd", "figure"]
+                               "table tr td", "table tbody tr td", "blockquote p", "div p", "section p", "dl dd", "figure", "figure figcaption", "figure figcaption", "figure div figcaption p",
+                               "figure svg text", "p svg g text"]
 _OTHER_LEAVES = ["p", "li", "a", "div", "span", "h3", "h2", "td", "ul", "section", "nav", "footer", "aside", "header", "form"]
 
 

@@ -84,3 +84,19 @@ def test_scripts_with_less_than_and_apostrophes(model):
         assert h.texts_of([page], model) == [WANT.replace("Last one.", "It's the last one.")]
     styled = "<article><style>a<b{}</style><p>One's.</p><p>Two's.</p></article>"
     assert [b.text for b in h.blocks_of(styled)] == ["One's.", "Two's."]
+
+
+def test_captions_formulas_and_drawings(model):
+    figure = "<figure><img src=x><figcaption>A caption of the image.</figcaption></figure>"
+    formula = ("<p>Energy is <math><semantics><mrow><mi>E</mi><mo>=</mo><mi>m</mi><msup><mi>c</mi><mn>2</mn></msup></mrow>"
+               "<annotation encoding='application/x-tex'>E=mc^2</annotation></semantics></math> here.</p>")
+    drawing = "<figure><svg viewBox='0 0 9 9'><g><path d='M0 0'/><text>Axis label</text></g></svg></figure>"
+    page = PAGE.replace("<p>Last one.", figure + formula + drawing + "<p>Last one.")
+    assert h.texts_of([page], model) == [WANT.replace("Last one.", "A caption of the image. Energy is E=mc2 here. Axis label Last one.")]
+    away = PAGE.replace("</nav>", "<svg><path d='M0'/><text>Logo</text></svg></nav>").replace("Buy now!", "Buy <svg><text>now</text></svg>!")
+    assert h.texts_of([away], model) == [WANT]
+    blocks = h.blocks_of("<p>a <svg><g/><text>b</text></svg> c</p><svg><g><p>d</p>")
+    assert [(b.text, "p" in b.names, "svg" in b.names) for b in blocks] == [
+        ("a", True, False), ("b", True, True), ("c", True, False), ("d", True, False)]
+    caption = h.blocks_of("<main><figure><figcaption>x</figcaption></figure></main>")[0]
+    assert h.teacher(caption) == 1.0
