@@ -5,6 +5,13 @@ text is lower case with everything but letters and digits turned into spaces. A
 compared only if the two bigram counts allow the wanted coefficient: Dice >= t needs
 2 * min(a, b) >= t * (a + b). DataFrame functions only.
 
+Licences that no unit names are then looked for in spans of the normalised whole text, so notices
+inside a longer line, wrapped notices and the full texts in licence_texts/ are found in long
+documents; each adds one match. A span that a better one overlaps does not count, unless it
+holds all of that and more. A span begins and ends with a bigram of the template. For templates of
+up to SHORT bigrams all spans within the Dice size bound are compared; for longer ones the span of
+the largest running gain (1 - t/2 for a new common bigram, -t/2 for any other new one).
+
 Defined results: null and empty texts have no units and match nothing; units of one word have no
 bigrams and are not compared; ties between templates go to the smaller name; repeated rows each
 get their own result; other columns of the input are not read.
@@ -12,6 +19,7 @@ get their own result; other columns of the input are not read.
 
 from __future__ import annotations
 
+import os
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -22,6 +30,9 @@ from panelkit.llm.common import let
 # Least Dice coefficient of a match.
 DICE = 0.8
 
+# Most distinct bigrams of a template of which all spans are compared.
+SHORT = 64
+
 # Public licence notices, by licence and whether they allow commercial use and closed redistribution.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -65,11 +76,69 @@ def template_bigrams(templates=TEMPLATES) -> list[tuple[str, list[str]]]:
     return out
 
 
+def full_texts() -> list[tuple[str, str]]:
+    """(licence, full text) of the files in licence_texts/, in order of name."""
+    folder = os.path.join(os.path.dirname(os.path.abspath(__file__)), "licence_texts")
+    out = []
+    for name in sorted(os.listdir(folder)):
+        with open(os.path.join(folder, name), encoding="utf-8") as file:
+            out.append((name.removesuffix(".txt"), file.read()))
+    return out
+
+
+def _needed(n: int, dice: float) -> int:
+    """Least common bigrams of a match with a template of n: 2c >= dice * (n + c)."""
+    return next(c for c in range(n + 1) if 2 * c >= dice * (n + c) - 1e-9)
+
+
+def _telling_words(templates: list[tuple[str, list[str]]], dice: float) -> list[str]:
+    """Words of which every span that matches a template has one, the longest words first."""
+    found: set[str] = set()
+    for _, bigrams in templates:
+        spare = len(bigrams) - _needed(len(bigrams), dice)
+        words = sorted({w for b in bigrams for w in b.split()}, key=lambda w: (w not in found, w == "by", -len(w), w))
+        for word in words:
+            if sum(not found.isdisjoint(b.split()) for b in bigrams) > spare:
+                break
+            found.add(word)
+    return sorted(w for w in found if not any(v != w and len(v) > 3 and v in w for v in found))
+
+
+def _spans(templates: list[tuple[str, str]], dice: float) -> str:
+    """SQL text: (d, name) of each licence's best span in bigrams g, without the licences in `named`; short templates if `told`."""
+    rows = []
+    for (name, b), (_, text) in zip(template_bigrams(templates), templates):
+        if b:
+            n = len(re.sub(r"[^\w]|_", " ", text.lower()).split()) - 1
+            rows.append(f"struct({_quoted(name)} as name, array({', '.join(map(_quoted, b))}) as b, {_needed(len(b), dice)} as need, "
+                        f"{int(n * (2 - dice) / dice) + 1} as most)")
+    of_span = "2D * size(array_intersect(u, t.b)) / (size(array_distinct(u)) + size(t.b))"
+    # Hits are positions in order, so at most t.most of them lie within as many places.
+    short = let("filter(sequence(0, size(g) - 1), i -> array_contains(c, g[i]))", "h",
+                "array_max(flatten(transform(sequence(0, size(h) - 1), k -> transform(filter(slice(h, k + 1, t.most), j -> j < h[k] + t.most), "
+                f"j -> struct({let('slice(g, h[k] + 1, j - h[k] + 1)', 'u', of_span)} as d, h[k] as s, j as e)))))")
+    start = ("named_struct('i', 0, 's', 0D, 'st', 0, 'seen', cast(array() as array<string>), 'best', 0D, 'bs', 0, 'bn', 0)")
+    gain = f"a.s + if(array_contains(a.seen, x), 0D, if(array_contains(c, x), {1 - dice / 2}D, {-dice / 2}D))"
+    step = let(gain, "z", "named_struct('i', a.i + 1, 's', greatest(z, 0D), 'st', if(z <= 0, a.i + 1, a.st), 'seen', if(z <= 0, cast(array() as "
+               "array<string>), if(array_contains(a.seen, x), a.seen, array_append(a.seen, x))), 'best', greatest(a.best, z), "
+               "'bs', if(z > a.best, a.st, a.bs), 'bn', if(z > a.best, a.i - a.st + 1, a.bn))")
+    long = let(f"aggregate(g, {start}, (a, x) -> {step})", "v", f"struct({let('slice(g, v.bs + 1, v.bn)', 'u', of_span)} as d, v.bs as s, v.bs + v.bn - 1 as e)")
+    nothing = "struct(0D as d, 0 as s, 0 as e)"
+    common = let("array_intersect(g, t.b)", "c", f"if(size(c) < t.need, {nothing}, if(size(t.b) <= {SHORT}, {short}, {long}))")
+    found = f"filter(transform(filter(ts, t -> t.need <= size(g) and (told or size(t.b) > {SHORT})), t -> struct({common} as p, t.name as name)), x -> x.p.d >= {dice}D)"
+    alone = ("filter(f, x -> not array_contains(named, x.name) and not exists(f, y -> y.p.d > x.p.d and y.p.s <= x.p.e and x.p.s <= y.p.e "
+             "and not (x.p.s <= y.p.s and y.p.e <= x.p.e and x.p.e - x.p.s > y.p.e - y.p.s)))")
+    best = let(found, "f", let(alone, "k", "transform(array_distinct(transform(k, x -> x.name)), n -> "
+               "struct(array_max(transform(filter(k, x -> x.name = n), x -> x.p.d)) as d, n as name))"))
+    return let(f"array({', '.join(rows)})", "ts", best) if rows else "array()"
+
+
 def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES, dice: float = DICE) -> DataFrame:
+def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES, dice: float = DICE,
+         full=None) -> DataFrame:
     """One row per document: units, compared pairs, matches, the best licence, its coefficient, and all licences found."""
     tpl = template_bigrams(templates)
     array = "array(" + ", ".join(
@@ -87,7 +156,18 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", template
     docs = docs.withColumn("__units", units(F.col("__text")))
     found = docs.withColumn("__t", F.expr(array)).withColumn(
         "__p", F.expr(f"flatten({let('__t', 't', f'transform(__units, u -> {of_unit})')})"))
-    best = F.array_sort(F.filter("__p", lambda x: x["d"] >= dice), lambda a, b: F.when(a["d"] > b["d"], -1).when(
+    # Spans of the whole text, where a word tells that a short template may match or the length that a long one may.
+    every = [*templates, *(full_texts() if full is None else full)]
+    spans = let(words.replace("(u)", "(__text)"), "w", f"if(size(w) < 2, array(), {let(bigrams_in_order(), 'g', _spans(every, dice))})")
+    grams = [t for t in template_bigrams(every) if t[1]]
+    edge = r"[^\\p{L}\\p{N}]"
+    telling = "|".join(w if len(w) > 3 else f"(^|{edge}){w}({edge}|$)" for w in _telling_words([t for t in grams if len(t[1]) <= SHORT], dice))
+    told = f"(lower(__text) rlike '{telling}')" if telling else "false"
+    least = min((_needed(len(b), dice) for _, b in grams if len(b) > SHORT), default=1 << 30)
+    none = "cast(array() as array<struct<d: double, name: string>>)"
+    found = found.withColumn("__named", F.expr(f"transform(filter(__p, x -> x.d >= {dice}D), x -> x.name)")).withColumn("__s", F.expr(let(
+        told, "told", f"if(told or length(__text) > 2 * {least}, {let('__named', 'named', spans)}, {none})")))
+    best = F.array_sort(F.concat(F.filter("__p", lambda x: x["d"] >= dice), "__s"), lambda a, b: F.when(a["d"] > b["d"], -1).when(
         a["d"] < b["d"], 1).when(a["name"] < b["name"], -1).when(a["name"] > b["name"], 1).otherwise(0))
     found = found.withColumn("__m", best)
     return found.select(
@@ -98,6 +178,11 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", template
     )
 
 
+def bigrams_in_order() -> str:
+    """SQL text: all bigrams of the words w, repeated ones too."""
+    return "zip_with(slice(w, 1, size(w) - 1), slice(w, 2, size(w) - 1), (p, q) -> concat(p, ' ', q))"
+
+
 def units(text: Column) -> Column:
     """Lines with a letter or digit, and the whole text if it has more than one such line."""
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[\p{L}\p{N}]"))

@@ -94,6 +94,20 @@ def test_licences(spark):
     assert licences.scan(frame(spark, TEXTS).limit(0)).count() == 0
 
 
+def test_licence_spans(spark):
+    filler = [f"w{i % 90} x{i % 7}" for i in range(600)]
+    long = lambda x: " ".join(filler) + x + " ".join(filler)
+    header = licences.TEMPLATES[1][1].split()
+    cases = [(long(" text. Released under the MIT License. text "), "MIT"),
+             (long("\n# " + "\n# ".join(" ".join(header[i:i + 6]) for i in range(0, len(header), 6)) + "\n"), "Apache-2.0"),
+             (long("\nLicensed under\nCC BY-SA 4.0.\n"), "CC-BY-SA-4.0"), (long(" under the public general "), None)]
+    cases += [(long("\n" + t + "\n"), name) for name, t in licences.full_texts()]
+    out = {r["doc_id"]: r for r in licences.scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")).collect()}
+    for i, (_, name) in enumerate(cases):
+        assert (name in out[i]["licences"].split(",") and out[i]["dice"] >= licences.DICE) if name else out[i]["n_matches"] == 0, (name, out[i])
+    assert out[0]["licence"] == "MIT" and out[0]["dice"] == 1.0
+
+
 def contaminated_brute(text, items):
     cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     w, hit, found = cut(text), set(), set()
