@@ -1,7 +1,7 @@
 """The full panel on a small made-up geography, and the file sources."""
 
 import pytest
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
