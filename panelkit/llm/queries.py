@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelkit.llm import bpe, chat, decontaminate, html_text, language, licences, lm, near_dedup, quality, tokens
+from panelkit.llm import bpe, chat, decontaminate, html_text, language, licences, lm, near_dedup, quality, secrets, tokens
 from panelkit.llm.common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,3 +96,8 @@ def op1_lm_scoring(spark, folder):
 @query("op3_html_extraction")
 def op3_html_extraction(spark, folder):
     return html_text.extract(load(spark, folder, "pages"))
+
+
+@query("op13_secret_scans", secrets.oracle_sql())
+def op13_secret_scans(spark, folder):
+    return secrets.digests(load(spark, folder, "documents"))
