@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelkit.llm import bpe, chat, decontaminate, html_text, language, licences, lm, near_dedup, quality, secrets, tokens
+from panelkit.llm import bpe, chat, decontaminate, html_text, language, licences, lm, near_dedup, periodic, quality, secrets, tokens
 from panelkit.llm.common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,3 +101,8 @@ def op3_html_extraction(spark, folder):
 @query("op13_secret_scans", secrets.oracle_sql())
 def op13_secret_scans(spark, folder):
     return secrets.digests(load(spark, folder, "documents"))
+
+
+@query("op12_periodic_runs")
+def op12_periodic_runs(spark, folder):
+    return periodic.find(load(spark, folder, "documents"), plant=True)
