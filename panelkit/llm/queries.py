@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelkit.llm import bpe, chat, decontaminate, html_text, language, licences, lm, near_dedup, periodic, quality, secrets, tokens
+from panelkit.llm import bpe, chat, conversations, decontaminate, html_text, language, licences, lm, near_dedup, periodic, quality, secrets, tokens
 from panelkit.llm.common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,3 +106,8 @@ def op13_secret_scans(spark, folder):
 @query("op12_periodic_runs")
 def op12_periodic_runs(spark, folder):
     return periodic.find(load(spark, folder, "documents"), plant=True)
+
+
+@query("op11_conversation_repair")
+def op11_conversation_repair(spark, folder):
+    return conversations.digests(conversations.damage(load(spark, folder, "conversations")), "gone")
