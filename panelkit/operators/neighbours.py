@@ -1,69 +1,257 @@
-"""Exact k-nearest-neighbour classification by blocks.
+"""Exact k-nearest-neighbour classification with pivots and triangle-inequality bounds.
 
-Both sides are cut into hashed blocks of bounded size and every pair of blocks is one task. A task
-keeps only its k best candidates per query row, so what is shuffled afterwards is k rows per query
-and block; the global k best follow from a small window per query. No pair table is ever produced.
+A bounded sample of training rows serves as pivots; every training row belongs to the cell of its
+nearest pivot, and a cell is known by its number of rows and its least and largest distance to the
+pivot. A query first searches one block of its own pivot's cell, which bounds its k-th distance, and
+then only the cells whose lower bound does not exceed that: by the triangle inequality over the
+pivot's distances, and by half the gap to its own pivot. Ties at the bound are searched too, so the
+result is that of comparing all pairs.
+
+Cells and the queries that visit them are cut into hashed blocks of bounded size, and every pair of
+blocks is one group, so a hot cell is spread over many tasks. A group keeps k candidates per query;
+no pair table is ever produced. Distances to pivots depend on the row alone, so lost tasks are made
+again as they were.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from panelkit.plans.splits import hash_folds
+from panelkit.session import materialise
 
 BLOCK_ROWS = 100_000
-_FEW_ROWS = 500
+# Most pivots; they and the cell statistics are all that goes through the driver.
+MOST_PIVOTS = 512
+# Training rows a cell is meant to hold while there are fewer than MOST_PIVOTS cells.
+_CELL_ROWS = 500
 _CELLS = 4_000_000
+# Relative room for rounding in bounds and in distances taken from products.
+_SLACK = 1e-9
 
 
 def _distances(query: np.ndarray, base: np.ndarray, metric: str, p: float) -> np.ndarray:
-    gap = np.abs(query[:, None, :] - base[None, :, :])
+    """Distances of matching rows (broadcast over the leading axes)."""
+    gap = np.abs(query - base)
     if metric == "manhattan":
-        return gap.sum(axis=2)
+        return gap.sum(axis=-1)
     if metric == "minkowski" and p != 2:
-        return (gap**p).sum(axis=2) ** (1.0 / p)
-    return np.sqrt((gap * gap).sum(axis=2))
+        return (gap**p).sum(axis=-1) ** (1.0 / p)
+    return np.sqrt((gap * gap).sum(axis=-1))
+
+
+def _all_distances(query: np.ndarray, base: np.ndarray, metric: str, p: float) -> np.ndarray:
+    return _distances(query[:, None, :], base[None, :, :], metric, p)
+
+
+def _chunks(n: int, width: int) -> Iterator[slice]:
+    step = max(1, _CELLS // max(1, width))
+    for at in range(0, n, step):
+        yield slice(at, min(n, at + step))
+
+
+def _best(query: np.ndarray, base: np.ndarray, k: int, metric: str, p: float, barred: np.ndarray | None):
+    """(query row, base row, distance) of the k nearest of each query, ties to the lower base row, in that order.
+
+    Euclidean candidates come from a product with room for its rounding and are then measured exactly.
+    """
+    euclidean = metric == "euclidean" or (metric == "minkowski" and p == 2)
+    if euclidean:
+        rough = (query * query).sum(axis=1)[:, None] + (base * base).sum(axis=1)[None, :]
+        room = _SLACK * rough
+        rough = rough - 2.0 * (query @ base.T)
+    else:
+        rough = _all_distances(query, base, metric, p)
+        room = np.zeros(1)
+    if barred is not None:
+        rough[barred] = np.inf
+    finite = np.isfinite(rough)
+    if k < rough.shape[1]:
+        kth = np.partition(np.where(finite, rough + room, np.inf), k - 1, axis=1)[:, k - 1]
+        finite &= rough - room <= kth[:, None]
+    q, b = np.nonzero(finite)
+    d = _distances(query[q], base[b], metric, p) if euclidean else rough[q, b]
+    order = np.lexsort((b, d, q))
+    q, b, d = q[order], b[order], d[order]
+    place = np.arange(len(q)) - np.searchsorted(q, q)
+    kept = place < k
+    return q[kept], b[kept], d[kept]
+
+
+def _matrix(column: pd.Series) -> np.ndarray:
+    return np.stack(column.to_numpy()).astype(float)
+
+
+def _search(query: pd.DataFrame, train: pd.DataFrame, k: int, metric: str, p: float, by_fold: bool):
+    """The k nearest training rows (sorted by id) of each query row: query row, training row, distance."""
+    parts = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0))]
+    if len(train) and len(query):
+        base, points = _matrix(train["features"]), _matrix(query["features"])
+        width = base.shape[0] if metric == "euclidean" else base.size
+        for part in _chunks(len(points), width):
+            barred = query["fold"].to_numpy()[part, None] == train["fold"].to_numpy()[None, :] if by_fold else None
+            q, b, d = _best(points[part], base, k, metric, p, barred)
+            parts.append((q + part.start, b, d))
+    return tuple(map(np.concatenate, zip(*parts)))
+
+
+class _Cells:
+    """Pivots with what is known of their cells; small enough to travel with every task."""
+
+    def __init__(self, pivots: np.ndarray, metric: str, p: float, block_rows: int):
+        self.pivots, self.metric, self.p, self.block_rows = pivots, metric, p, block_rows
+        n = len(pivots)
+        self.rows, self.low, self.high, self.queries = np.zeros(n, int), np.zeros(n), np.zeros(n), np.zeros(n, int)
+
+    def own(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Nearest pivot of each row and the distance to it."""
+        cell, distance = np.zeros(len(points), np.int32), np.zeros(len(points))
+        for part in _chunks(len(points), self.pivots.size):
+            d = _all_distances(points[part], self.pivots, self.metric, self.p)
+            cell[part] = d.argmin(axis=1)
+            distance[part] = d[np.arange(len(d)), cell[part]]
+        return cell, distance
+
+    def learn(self, stats) -> None:
+        for r in stats:
+            if r["side"]:
+                self.queries[r["cell"]] = r["n"]
+            else:
+                self.rows[r["cell"]], self.low[r["cell"]], self.high[r["cell"]] = r["n"], r["low"], r["high"]
+
+    def blocks(self) -> list[int]:
+        """Training blocks of every cell."""
+        return np.maximum(1, -(-self.rows // self.block_rows)).tolist()
+
+    def query_blocks(self, visits: np.ndarray) -> list[int]:
+        return np.maximum(1, -(-visits // self.block_rows)).tolist()
+
+    def to_visit(self, points: np.ndarray, kth: np.ndarray, k: int, by_fold: bool) -> list[np.ndarray]:
+        """Cells that can hold a row at most as far as the k-th distance found so far (inf if fewer were found)."""
+        out = []
+        is_metric = self.metric != "minkowski" or self.p >= 1
+        held = self.rows > 0
+        for part in _chunks(len(points), self.pivots.size):
+            d = _all_distances(points[part], self.pivots, self.metric, self.p)
+            least = np.maximum(np.maximum(d - self.high, self.low - d), (d - d.min(axis=1)[:, None]) / 2)
+            least = least - _SLACK * (d + self.high)
+            bound = kth[part]
+            if is_metric and not by_fold:
+                # Enough whole cells within reach bound the k-th distance too.
+                reach = np.where(held, d + self.high, np.inf)
+                order = reach.argsort(axis=1, kind="stable")
+                enough = (np.cumsum(self.rows[order], axis=1) < k).sum(axis=1)
+                ends = np.take_along_axis(reach, order, axis=1)
+                last = np.minimum(enough, len(self.rows) - 1)
+                bound = np.minimum(bound, np.where(enough < len(self.rows), ends[np.arange(len(d)), last], np.inf))
+            bound = bound * (1 + _SLACK)
+            wanted = held[None, :] & (least <= bound[:, None]) if is_metric else np.broadcast_to(held, d.shape)
+            out.extend(np.flatnonzero(row).astype(np.int32) for row in wanted)
+        return out
+
+
+def _celled(df: DataFrame, cells: _Cells) -> DataFrame:
+    """Add each row's cell; rows without a finite distance to it have no neighbours and are nobody's."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                batch["cell"], batch["away"] = cells.own(_matrix(batch["features"]))
+                yield batch[np.isfinite(batch["away"])]
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
+    return df.where(F.col("features").isNotNull()).mapInPandas(run, f"{fields}, cell int, away double")
+
+
+def _pick(values: Sequence[int], at: str) -> Column:
+    return F.get(F.array(*map(F.lit, values)), F.col(at))
+
+
+def _hashed(n: Column, seed: int) -> Column:
+    return F.pmod(F.xxhash64("id", F.lit(seed)), n).cast("int")
+
 
+def _shaped(df: DataFrame, id_col: str, features: str, label: str, fold: str | None) -> DataFrame:
+    return df.select(
+        F.col(id_col).alias("id"), F.col(features).cast("array<double>").alias("features"),
+        F.col(label).cast("int").alias("label"), (F.col(fold) if fold else F.lit(0)).cast("int").alias("fold"),
+    )
+
+
+def _cells_of(train: DataFrame, test: DataFrame, metric: str, p: float, block_rows: int) -> _Cells | None:
+    """Pivots by lowest hash of the id, and the statistics of their cells; None without a training row."""
+    n = train.count()
+    most = min(MOST_PIVOTS, max(1, n // min(_CELL_ROWS, block_rows)))
+    # At most MOST_PIVOTS rows reach the driver; each task keeps as many.
+    drawn = train.where(F.col("features").isNotNull()).orderBy(F.xxhash64("id"), "id").limit(most).select("features").collect()
+    pivots = np.array([r["features"] for r in drawn], float)
+    pivots = np.unique(pivots[np.isfinite(pivots).all(axis=1)], axis=0) if len(pivots) else pivots
+    if not len(pivots):
+        return None
+    cells = _Cells(pivots, metric, p, block_rows)
+    both = _celled(train.select("features", F.lit(0).alias("side")).unionByName(test.select("features", F.lit(1).alias("side"))), cells)
+    cells.learn(both.groupBy("side", "cell").agg(
+        F.count(F.lit(1)).alias("n"), F.min("away").alias("low"), F.max("away").alias("high")).collect())
+    return cells
+
+
+def _own_cell_search(train: DataFrame, test: DataFrame, k: int, cells: _Cells, by_fold: bool, kinds: list[str]) -> DataFrame:
+    """One row per query: candidates from a block of its own cell, and the cells still to be visited."""
+    blocks, parts = cells.blocks(), cells.query_blocks(cells.queries)
+    left = _celled(train, cells).select(
+        "*", _hashed(_pick(blocks, "cell"), 1).alias("tb"), F.explode(F.sequence(F.lit(0), _pick(parts, "cell") - 1)).alias("qb"))
+    right = _celled(test, cells).select(
+        "*", _hashed(_pick(blocks, "cell"), 2).alias("tb"), _hashed(_pick(parts, "cell"), 3).alias("qb"))
 
-def _block_search(k: int, metric: str, p: float, by_fold: bool):
     def search(train: pd.DataFrame, test: pd.DataFrame) -> pd.DataFrame:
-        columns = ["query_id", "query_label", "id", "label", "distance"]
-        if train.empty or test.empty:
-            return pd.DataFrame(columns=columns)
+        if test.empty:
+            return pd.DataFrame({c: pd.Series([], dtype=object) for c in ("id", "features", "label", "fold", "own", "block", "near", "visits")})
         train = train.sort_values("id", kind="stable")
-        base = np.stack(train["features"].to_numpy()).astype(float)
+        q, b, d = _search(test, train, k, cells.metric, cells.p, by_fold)
         ids, labels = train["id"].to_numpy(), train["label"].to_numpy()
-        step = max(1, _CELLS // max(1, base.size))
-        parts = []
-        for at in range(0, len(test), step):
-            chunk = test.iloc[at:at + step]
-            d = _distances(np.stack(chunk["features"].to_numpy()).astype(float), base, metric, p)
-            if by_fold:
-                d[chunk["fold"].to_numpy()[:, None] == train["fold"].to_numpy()[None, :]] = np.inf
-            best = np.argsort(d, axis=1, kind="stable")[:, :k]
-            near = np.take_along_axis(d, best, axis=1)
-            rows = np.repeat(np.arange(len(chunk)), best.shape[1])
-            parts.append(pd.DataFrame({
-                "query_id": chunk["id"].to_numpy()[rows], "query_label": chunk["label"].to_numpy()[rows],
-                "id": ids[best.ravel()], "label": labels[best.ravel()], "distance": near.ravel(),
-            }))
-        out = pd.concat(parts)
-        return out[np.isfinite(out["distance"])]
-
-    return search
-
-
-def _blocked(df: DataFrame, own: str, blocks: int, other: str, other_blocks: int) -> DataFrame:
-    return df.select(
-        "*", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias(own),
-        F.explode(F.sequence(F.lit(0), F.lit(other_blocks - 1))).alias(other),
-    )
+        ends = np.searchsorted(q, np.arange(len(test) + 1))
+        kth = np.full(len(test), np.inf)
+        full = np.diff(ends) == k
+        kth[full] = d[ends[1:][full] - 1]
+        out = test[["id", "features", "label", "fold"]].copy()
+        out["own"], out["block"] = test["cell"], test["tb"]
+        out["near"] = [
+            [{"id": ids[j], "label": labels[j], "distance": x} for j, x in zip(b[s:e], d[s:e])] for s, e in zip(ends, ends[1:])]
+        out["visits"] = cells.to_visit(_matrix(test["features"]), kth, k, by_fold)
+        return out
+
+    return left.groupBy("cell", "tb", "qb").cogroup(right.groupBy("cell", "tb", "qb")).applyInPandas(
+        search, f"id {kinds[0]}, features array<double>, label int, fold int, own int, block int, "
+        f"near array<struct<id:{kinds[1]},label:int,distance:double>>, visits array<int>")
+
+
+def _other_cells_search(train: DataFrame, home: DataFrame, k: int, cells: _Cells, by_fold: bool, kinds: list[str]) -> DataFrame:
+    blocks, visits = cells.blocks(), np.zeros(len(cells.rows), int)
+    for r in home.select(F.explode("visits").alias("cell")).groupBy("cell").count().collect():  # at most one row a cell
+        visits[r["cell"]] = r["count"]
+    parts = cells.query_blocks(visits)
+    left = _celled(train, cells).select(
+        "*", _hashed(_pick(blocks, "cell"), 1).alias("tb"), F.explode(F.sequence(F.lit(0), _pick(parts, "cell") - 1)).alias("qb"))
+    right = home.select("id", "features", "label", "fold", "own", "block", F.explode("visits").alias("cell"))
+    right = right.select("*", F.explode(F.sequence(F.lit(0), _pick(blocks, "cell") - 1)).alias("tb"),
+                         _hashed(_pick(parts, "cell"), 3).alias("qb"))
+    right = right.where((F.col("cell") != F.col("own")) | (F.col("tb") != F.col("block")))
+
+    def search(train: pd.DataFrame, test: pd.DataFrame) -> pd.DataFrame:
+        train = train.sort_values("id", kind="stable")
+        q, b, d = _search(test, train, k, cells.metric, cells.p, by_fold)
+        return pd.DataFrame({
+            "query_id": test["id"].to_numpy()[q], "query_label": test["label"].to_numpy()[q],
+            "id": train["id"].to_numpy()[b], "label": train["label"].to_numpy()[b], "distance": d,
+        })
+
+    return left.groupBy("cell", "tb", "qb").cogroup(right.groupBy("cell", "tb", "qb")).applyInPandas(
+        search, f"query_id {kinds[0]}, query_label int, id {kinds[1]}, label int, distance double")
 
 
 def nearest(
@@ -72,27 +260,36 @@ def nearest(
 ) -> DataFrame:
     """The k nearest training rows of every test row, ties broken by training id.
 
-    With `fold`, a training row of the query's own fold is not a candidate.
+    With `fold`, a training row of the query's own fold is not a candidate. Rows without features
+    have no neighbours and are nobody's.
     """
-    def shape(df: DataFrame) -> DataFrame:
-        return df.select(
-            F.col(id_col).alias("id"), F.col(features).cast("array<double>").alias("features"),
-            F.col(label).cast("int").alias("label"), (F.col(fold) if fold else F.lit(0)).cast("int").alias("fold"),
-        )
-
-    n_train, n_test = train.count(), test.count()
-    spare = train.sparkSession.sparkContext.defaultParallelism
-    train_blocks = max(1, -(-n_train // block_rows), min(spare, n_train // _FEW_ROWS))
-    test_blocks = max(1, -(-n_test // block_rows))
-    left = _blocked(shape(train), "tb", train_blocks, "qb", test_blocks)
-    right = _blocked(shape(test), "qb", test_blocks, "tb", train_blocks)
     kinds = [df.schema[id_col].dataType.simpleString() for df in (test, train)]
-    schema = f"query_id {kinds[0]}, query_label int, id {kinds[1]}, label int, distance double"
-    local = left.groupBy("tb", "qb").cogroup(right.groupBy("tb", "qb")).applyInPandas(
-        _block_search(k, metric, p, fold is not None), schema
-    )
+    train, test = (_shaped(df, id_col, features, label, fold) for df in (train, test))
+    cells = _cells_of(train, test, metric, p, block_rows)
+    schema = f"query_id {kinds[0]}, query_label int, id {kinds[1]}, label int, distance double, rank int"
+    if cells is None:
+        return train.sparkSession.createDataFrame([], schema)
+    # Stored, because the second search and the result both read it.
+    home = materialise(_own_cell_search(train, test, k, cells, fold is not None, kinds))
+    found = home.select(F.col("id").alias("query_id"), F.col("label").alias("query_label"), F.inline("near"))
+    found = found.unionByName(_other_cells_search(train, home, k, cells, fold is not None, kinds))
     order = W.partitionBy("query_id").orderBy("distance", "id")
-    return local.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def visited_share(
+    train: DataFrame, test: DataFrame, k: int, id_col: str, features: str, metric: str = "euclidean", p: float = 2.0,
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """One row: pairs of test and training rows that `nearest` compares, all pairs, and the share."""
+    kinds = [df.schema[id_col].dataType.simpleString() for df in (test, train)]
+    train, test = (_shaped(df.withColumn("__y", F.lit(0)), id_col, features, "__y", None) for df in (train, test))
+    cells = _cells_of(train, test, metric, p, block_rows)
+    home = _own_cell_search(train, test, k, cells, False, kinds)
+    visited = F.aggregate(F.array_union("visits", F.array("own")), F.lit(0).cast("long"), lambda a, c: a + F.get(
+        F.array(*[F.lit(int(n)) for n in cells.rows]), c))
+    pairs = home.agg(F.sum(visited).alias("compared"), (F.count(F.lit(1)) * int(cells.rows.sum())).alias("all_pairs"))
+    return pairs.withColumn("share", F.col("compared") / F.col("all_pairs"))
 
 
 def vote(near: DataFrame, settings: Sequence[tuple[int, str]]) -> DataFrame:
@@ -122,6 +319,37 @@ def evaluation_grid(near: DataFrame, ks: Sequence[int], weights: Sequence[str])
     return voted.groupBy("k", "weights").agg(F.avg(hit).alias("accuracy"))
 
 
+def grid_counts(
+    train: DataFrame, test: DataFrame, ks: Sequence[int], metrics: Sequence[str], weights: Sequence[str], id_col: str,
+    features: str, label: str, p: float = 2.0,
+) -> DataFrame:
+    """Rows by actual and predicted class for every (side, metric, k, weighting): training and test side.
+
+    One neighbour search with the largest k serves a metric and side. On the training side a row is
+    its own nearest neighbour, as it is for a classifier that scores its training rows.
+    """
+    out = None
+    for metric in metrics:
+        for side, rows in (("train", train), ("test", test)):
+            near = nearest(train, rows, max(ks), id_col, features, label, metric, p)
+            voted = vote(near, [(k, w) for k in ks for w in weights])
+            counts = voted.groupBy("k", "weights", F.col("query_label").alias("actual"), "predicted").agg(F.count(F.lit(1)).alias("n"))
+            counts = counts.select(F.lit(side).alias("side"), F.lit(metric).alias("metric"), "*")
+            out = counts if out is None else out.unionByName(counts)
+    return out
+
+
+def grid_accuracy(counts: DataFrame) -> DataFrame:
+    """Training and test accuracy of every (metric, k, weighting) from the counts of `grid_counts`."""
+    hit = F.col("actual") == F.col("predicted")
+
+    def share(side: str) -> Column:
+        here = F.col("side") == side
+        return F.sum(F.when(here & hit, F.col("n")).otherwise(F.lit(0))) / F.sum(F.when(here, F.col("n")))
+
+    return counts.groupBy("metric", "k", "weights").agg(share("train").alias("training_acc"), share("test").alias("test_acc"))
+
+
 def cross_validated_accuracy(
     df: DataFrame, ks: Sequence[int], folds: int, id_col: str, features: str, label: str, seed: int = 0,
     metric: str = "euclidean",

@@ -7,7 +7,8 @@ import pytest
 from helpers import rows
 from pyspark.sql import functions as F
 
-from panelkit.operators.neighbours import cross_validated_accuracy, nearest, vote
+from panelkit.operators import neighbours
+from panelkit.operators.neighbours import cross_validated_accuracy, nearest, visited_share, vote
 from panelkit.plans.models import (
     assemble,
     estimator,
@@ -43,6 +44,44 @@ def test_nearest_is_exact_over_many_blocks(points, metric, p):
         assert found[q] == list(np.lexsort((np.arange(200), np.round(d, 9)))[:5])
 
 
+def _clustered(spark, n=1500, dims=4, centres=30):
+    rng = np.random.default_rng(7)
+    x = rng.uniform(-100, 100, (centres, dims))[rng.integers(0, centres, n)] + rng.normal(0, 1, (n, dims))
+    x[:60] = x[0]  # one place holds many rows
+    return x, spark.createDataFrame([(i, [float(v) for v in x[i]], i % 2) for i in range(n)], "id long, v array<double>, label int").repartition(5)
+
+
+@pytest.mark.parametrize("metric, p, block_rows", [("euclidean", 2.0, 40), ("manhattan", 1.0, 100_000), ("minkowski", 3.0, 40), ("minkowski", 0.5, 40)])
+def test_pruned_search_equals_all_pairs(spark, metric, p, block_rows):
+    x, df = _clustered(spark, 700)
+    got = nearest(df.where("id >= 100"), df.where("id < 150"), 9, "id", "v", "label", metric, p, block_rows=block_rows)
+    found = {}
+    for r in got.orderBy("query_id", "rank").collect():
+        found.setdefault(r.query_id, []).append((r.id, r.distance))
+    assert len(found) == 150
+    for q in range(150):
+        gap = np.abs(x[100:] - x[q])
+        d = gap.sum(axis=1) if metric == "manhattan" else np.sqrt((gap * gap).sum(axis=1)) if p == 2 else (gap**p).sum(axis=1) ** (1 / p)
+        best = np.lexsort((np.arange(len(d)), d))[:9]
+        assert found[q] == [(int(i) + 100, d[i]) for i in best]
+
+
+def test_few_pairs_are_compared_where_rows_cluster(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "_CELL_ROWS", 20)
+    _, df = _clustered(spark)
+    row = visited_share(df, df.where("id % 10 = 0"), 5, "id", "v").first()
+    assert row.all_pairs == 1500 * 150 and row.share < 0.15
+
+
+def test_neighbours_of_nothing_and_of_rows_without_features(spark):
+    schema = "id long, v array<double>, label int"
+    some = spark.createDataFrame([(1, [0.0], 1), (2, None, 0), (3, [float("nan")], 0), (4, [1.0], 0)], schema)
+    assert nearest(some.limit(0), some, 3, "id", "v", "label").count() == 0
+    assert nearest(some, some.limit(0), 3, "id", "v", "label").count() == 0
+    got = rows(nearest(some, some, 3, "id", "v", "label"), "query_id", "id", "rank")
+    assert got == [(1, 1, 1), (1, 4, 2), (4, 1, 2), (4, 4, 1)]
+
+
 def test_votes(spark):
     near = spark.createDataFrame(
         [(1, 0, 10, 1, 0.0, 1), (1, 0, 11, 0, 1.0, 2), (1, 0, 12, 0, 1.0, 3), (2, 1, 13, 1, 1.0, 1), (2, 1, 14, 0, 4.0, 2)],

@@ -8,7 +8,14 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from panelkit.operators.clean import fill_median
-from panelkit.operators.neighbours import cross_validated_accuracy, evaluation_grid, nearest, vote
+from panelkit.operators.neighbours import (
+    cross_validated_accuracy,
+    evaluation_grid,
+    grid_accuracy,
+    grid_counts,
+    nearest,
+    vote,
+)
 from panelkit.operators.panel import feature_batch, lag_bundle
 from panelkit.operators.labels import increase_label, lagged_labels
 from panelkit.operators.metrics import TOP_PERCENTS, confusion_counts
@@ -73,6 +80,42 @@ def knn_grid(spark, folder):
     return rounded(evaluation_grid(_near(spark, folder, 25), [5, 10, 25], ["uniform", "distance"]), "accuracy")
 
 
+_FULL_K, _FULL_METRICS = [1, 5, 10], {"euclidean": "list_distance(q.v, t.v)", "manhattan": "list_sum([abs(q.v[i] - t.v[i]) FOR i IN range(1, 65)])"}
+
+
+def _full_grid_sql():
+    """Counts by side, metric, k, weighting, actual and predicted class; the exact match takes all the weight."""
+    sides = " UNION ALL ".join(
+        f"SELECT '{side}' AS side, '{m}' AS metric, q.vec_id AS qid, q.label AS ql, t.vec_id AS tid, t.label AS tl, {d} AS dist FROM x q JOIN x t ON t.u < 0.8 AND q.u {cond}"
+        for m, d in _FULL_METRICS.items() for side, cond in (("train", "< 0.8"), ("test", ">= 0.8")))
+    grid = ", ".join(f"({k}, '{w}')" for k in _FULL_K for w in ("uniform", "distance"))
+    return f"""WITH x AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v, {_HASH.format(seed=11)} AS u FROM embeddings),
+ r AS (SELECT *, row_number() OVER (PARTITION BY side, metric, qid ORDER BY dist, tid) AS rn FROM ({sides}) QUALIFY rn <= {max(_FULL_K)}),
+ w AS (SELECT r.*, g.k, g.weights, CASE WHEN g.weights = 'uniform' THEN 1.0 WHEN bool_or(dist = 0) OVER (PARTITION BY side, metric, qid, k, weights)
+  THEN CAST(dist = 0 AS DOUBLE) ELSE 1.0 / dist END AS w FROM r JOIN (VALUES {grid}) g(k, weights) ON r.rn <= g.k),
+ v AS (SELECT side, metric, k, weights, qid, ql, tl, sum(w) AS w FROM w GROUP BY ALL),
+ p AS (SELECT side, metric, k, weights, qid, ql, tl AS predicted FROM v QUALIFY row_number() OVER (PARTITION BY side, metric, k, weights, qid ORDER BY round(w, 12) DESC, tl) = 1)"""
+
+
+def _full_grid(spark, folder):
+    rows = vectors(spark, folder)
+    return grid_counts(rows.where(F.col("part") == "train"), rows.where(F.col("part") == "test"), _FULL_K, list(_FULL_METRICS),
+                       ["uniform", "distance"], "vec_id", "embedding", "label")
+
+
+@query("knn_grid_confusion", _full_grid_sql() + """ SELECT side, metric, CAST(k AS INTEGER) AS k, weights, ql AS actual, predicted, count(*) AS n
+ FROM p GROUP BY ALL""")
+def knn_grid_confusion(spark, folder):
+    return _full_grid(spark, folder)
+
+
+@query("knn_grid_sides", _full_grid_sql() + """ SELECT metric, CAST(k AS INTEGER) AS k, weights,
+ round(avg(CAST(predicted = ql AS DOUBLE)) FILTER (WHERE side = 'train'), 6) AS training_acc,
+ round(avg(CAST(predicted = ql AS DOUBLE)) FILTER (WHERE side = 'test'), 6) AS test_acc FROM p GROUP BY 1, 2, 3""")
+def knn_grid_sides(spark, folder):
+    return rounded(grid_accuracy(_full_grid(spark, folder)), "training_acc", "test_acc")
+
+
 @query("cv_accuracy", _ranked_sql(9, "true", "true", "AND t.fold <> q.fold", seed=2) + _vote_sql([(k, "uniform") for k in (3, 5, 9)])
        + """, f AS (SELECT k, fold, avg(CAST(predicted = ql AS DOUBLE)) AS a FROM p GROUP BY 1, 2)
  SELECT CAST(k AS INTEGER) AS k, round(avg(a), 6) AS accuracy FROM f GROUP BY 1""")
