@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelkit.operators.joins import null_safe_join
-from panelkit.operators.order import assign_ranks, running_totals
+from panelkit.operators.order import assign_ranks, flag_first, running_totals
 from panelkit.session import names, with_row
 
 # The population percentages at which precision, recall and F1 are reported.
@@ -109,9 +109,8 @@ def accuracy(df: DataFrame, label: str, predicted: str, by: str | Sequence[str]
 def flag_top(df: DataFrame, score: str, key: str | Sequence[str], k: int, name: str = "pred") -> DataFrame:
     """1 for the k highest scores (ties by key), 0 below; missing and NaN scores come last.
 
-    Ranks are counted over range partitions, so no task holds more than its share for any k.
+    Rows are compared with the k-th one, so they are neither ranked nor exchanged.
     """
     x = F.col(score)
     last = x.isNull() | F.isnan(x.cast("double"))
-    ranked = assign_ranks(df, [last.asc(), x.desc(), *names(key)], name="__rank")
-    return ranked.withColumn(name, (F.col("__rank") <= k).cast("int")).drop("__rank")
+    return flag_first(df, [last.asc(), x.desc(), *names(key)], k, name)

@@ -38,13 +38,56 @@ def skewed(spark):
     return spark.createDataFrame(data, "id int, g string, x double, y int").repartition(7).cache()
 
 
-def test_no_rank_is_a_single_task_window(spark, skewed):
-    """The plan is the distributed one for a handful of rows and for an exploded frame alike."""
+@pytest.fixture(autouse=True)
+def small_ranges(monkeypatch):
+    """Many ranges, so that every plan here is the one of a large frame."""
+    monkeypatch.setattr(order, "RANGE_ROWS", 150)
+
+
+def test_rank_windows_are_dealt_by_range(spark, skewed):
+    """One exchange of the rows by (group, range), and no range holds more than its share."""
     exploded = spark.range(3).select(F.explode(F.sequence(F.lit(1), F.lit(1000))).alias("x"), F.col("id"))
     joined = skewed.join(skewed.select("id", F.col("y").alias("z")), "id")
-    for df in (skewed.limit(5), exploded, joined):
+    for df in (exploded, joined):
         plan = assign_ranks(df, [F.desc("x"), "id"])._jdf.queryExecution().optimizedPlan().toString()
-        assert "row_number" not in plan
+        windows = [line for line in plan.splitlines() if "row_number" in line and "Window" in line]
+        assert windows and all("[__at" in line for line in windows)
+    ranges = order._Ranges(skewed, nulls_first())
+    sizes = [r["count"] for r in skewed.groupBy("g", ranges.of(skewed).alias("r")).count().collect()]
+    assert max(sizes) < 500 and len(ranges.bounds) == 19
+
+
+def test_running_totals_exchange_rows_once(spark, skewed):
+    out = running_totals(skewed, ["id"], {"cum": "y"}, "g")
+    out.write.format("noop").mode("overwrite").save()
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Window") == 2  # one over the rows, one over the subtotals
+    executed = out._jdf.queryExecution().executedPlan().toString()
+    assert executed.count("hashpartitioning(__at") <= 2  # the rows and their subtotals
+
+
+def test_ranges_follow_every_direction_and_type(spark):
+    rng = random.Random(8)
+    data = [(i, rng.choice(["a", "b", None, "é"]), rng.choice([None, float("nan"), -0.0, 0.0, 1.5, float("-inf")]), rng.random() < 0.5)
+            for i in range(900)]
+    df = spark.createDataFrame(data, "id int, s string, x double, b boolean")
+    df = df.withColumn("t", F.timestamp_seconds(F.col("id") % 97)).withColumn("d", F.date_add(F.lit("2020-01-01").cast("date"), F.col("id") % 13))
+    df = df.withColumn("m", (F.col("id") % 31).cast("decimal(12,2)"))
+    for keys in (["s", "id"], [F.desc("s"), "id"], [F.col("s").asc_nulls_last(), F.desc("id")], [F.col("x").desc_nulls_first(), "id"],
+                 [F.col("x").asc(), F.col("s").desc(), "id"], [F.desc("t"), "id"], ["d", F.desc("m"), "id"], [F.col("b").desc(), (F.col("id") * 7 % 901).desc()]):
+        truth = df.withColumn("r", F.row_number().over(W.orderBy(*keys)).cast("long"))
+        assert rows(assign_ranks(df, keys, name="r"), "id", "r") == rows(truth, "id", "r")
+        want = sorted(r.id for r in truth.where("r <= 333").collect())
+        assert sorted(r.id for r in top_share(df, keys, 0.37).collect()) == want
+        assert sorted(r.id for r in order.flag_first(df, keys, 333, "f").where("f = 1").collect()) == want
+
+
+def test_empty_frames(spark, skewed):
+    none = skewed.limit(0)
+    assert assign_ranks(none, ["id"], total="n").count() == running_totals(none, ["id"], {"c": "y"}).count() == 0
+    assert top_share(none, ["id"], 0.5).count() == flag_top(none, "x", "id", 3).count() == 0
+    assert exact_quantiles(none, "x", [0.5], "g").count() == 0
+    assert [r.pred for r in flag_top(skewed.limit(2), "x", "id", 0).collect()] == [0, 0]
 
 
 def test_ranks(spark, skewed):
@@ -88,23 +131,24 @@ def test_quantiles(spark, skewed):
             assert got[key] is None if q is None else q == pytest.approx(got[key])
 
 
-def test_quantiles_by_range_when_a_bracket_misses(spark, skewed, monkeypatch):
+def test_quantiles_when_a_bracket_misses(spark, skewed, monkeypatch):
     plain = {r.g: r.quantiles for r in exact_quantiles(skewed, "x", [0.1, 0.5], "g").collect()}
+    real = order._bracketed_counts
 
-    def miss(slim, columns, probs, by):
-        nothing = F.lit(None).cast("double")
-        return slim.groupBy(*by).agg(F.array(nothing, nothing).alias("quantiles"))
+    def miss(*args):
+        return real(*args).withColumn("single", F.lit(False))
 
-    monkeypatch.setattr(order, "_quantiles_by_bracket", miss)
+    monkeypatch.setattr(order, "_bracketed_counts", miss)
     large = {r.g: r.quantiles for r in exact_quantiles(skewed, "x", [0.1, 0.5], "g").collect()}
     assert plain.keys() == large.keys() and all(q == pytest.approx(large[g]) for g, q in plain.items())
 
 
 def test_brackets_keep_few_values(spark):
     df = spark.range(200_000).select((F.col("id") * 7919 % 200_003).cast("double").alias("x"))
-    found = order._quantiles_by_bracket(df, ["x"], [0.25, 0.5], [])
+    counts = order._bracketed_counts(df, ["x"], [0.25, 0.5], [])
+    assert counts.count() < 2_500 and counts.agg(F.sum("times")).first()[0] == 200_000
     truth = df.agg(F.percentile("x", F.array(F.lit(0.25), F.lit(0.5)))).first()[0]
-    assert found.first().quantiles == pytest.approx(truth)
+    assert exact_quantiles(df, "x", [0.25, 0.5]).first().quantiles == pytest.approx(truth)
 
 
 def test_top_share(spark, skewed):
