@@ -33,9 +33,10 @@ def top_tile_labels(
     if end is not None:
         out = out.where(F.col(period) < end)
     out = out.select(entity, period, *dict.fromkeys([*labels.values(), *keep]))
+    plain = out
     for name, measure in labels.items():
         order = [F.col(measure).desc_nulls_first(), F.col(entity)]
-        out = assign_tiles(out, order, tiles, period, "__tile")
+        out = assign_tiles(out, order, tiles, period, "__tile", plain)
         out = out.withColumn(name, (F.col("__tile") == 1).cast("int")).drop("__tile")
     return out.select(entity, period, *labels, *keep)
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from panelkit.operators.joins import null_safe_join
 from panelkit.operators.order import assign_ranks, flag_first, running_totals
-from panelkit.session import names, with_row
+from panelkit.session import materialise, names, with_row
 
 # The population percentages at which precision, recall and F1 are reported.
 TOP_PERCENTS = [1, 2, 5, 10, 20, 30, 50]
@@ -57,7 +57,8 @@ def score_counts(df: DataFrame, score: str, label: str, by: Sequence[str]) -> Da
 def roc_auc(df: DataFrame, score: str, label: str, by: str | Sequence[str] = ()) -> DataFrame:
     """Area under the ROC curve, ties counted half; null when one class is missing."""
     by = names(by)
-    counts = running_totals(score_counts(df, score, label, by), [F.col(score).asc()], {"below": "neg"}, by)
+    # Stored, as it is much smaller than the rows and read more than once.
+    counts = running_totals(materialise(score_counts(df, score, label, by)), [F.col(score).asc()], {"below": "neg"}, by)
     won = F.col("pos").cast("double") * (F.col("below") - F.col("neg") / 2)
     return counts.groupBy(*by).agg(
         F.try_divide(F.sum(won), F.sum("pos").cast("double") * F.sum("neg").cast("double")).alias("auc")
@@ -67,7 +68,7 @@ def roc_auc(df: DataFrame, score: str, label: str, by: str | Sequence[str] = ())
 def pr_curve(df: DataFrame, score: str, label: str, by: str | Sequence[str] = ()) -> DataFrame:
     """Precision, recall and share of the population at or above every distinct score."""
     by = names(by)
-    counts = score_counts(df, score, label, by).withColumn("n", F.col("pos") + F.col("neg"))
+    counts = materialise(score_counts(df, score, label, by).withColumn("n", F.col("pos") + F.col("neg")))
     totals = counts.groupBy(*by).agg(F.sum("pos").alias("__p"), F.sum("n").alias("__n"))
     cum = running_totals(counts, [F.col(score).desc()], {"tp": "pos", "above": "n"}, by)
     if by:

@@ -25,14 +25,15 @@ from pyspark.sql.classic.column import Column as ClassicColumn
 
 from panelkit.functions.scalars import col, hash_uniform
 from panelkit.operators.joins import null_safe_join
-from panelkit.session import materialise, names, with_row
+from panelkit.session import RANGE_ROWS_KEY, conf_int, materialise, names, with_row
 
 # Rows that a range is meant to hold, the most ranges, and sampled keys per range.
-RANGE_ROWS = 100_000
+RANGE_ROWS = 500_000
 MOST_RANGES = 2048
 SAMPLES_PER_RANGE = 16
-# Rank error of the quantile sketch is at most 1 / accuracy; brackets reach twice as far.
-SKETCH_ACCURACY = 2000
+# Size of the quantile sketches, and how far brackets reach to both sides: twice their error at 99 percent.
+SKETCH_SIZE = 4000
+MARGIN = 0.003
 _AT, _RANGE = "__at", "__range"
 
 
@@ -54,7 +55,7 @@ class _Ranges:
         slim = df.select(*[self._plain(df, v).alias(f"k{i}") for i, (v, _, _) in enumerate(self.keys)])
         self.types = [f.dataType for f in slim.schema]
         self.rows = slim.count()
-        wanted = min(MOST_RANGES, -(-self.rows // RANGE_ROWS))
+        wanted = min(MOST_RANGES, -(-self.rows // conf_int(df.sparkSession, RANGE_ROWS_KEY, RANGE_ROWS)))
         self.bounds: list = []
         if wanted > 1:
             # The sample is bounded by MOST_RANGES * SAMPLES_PER_RANGE keys, whatever the number of rows.
@@ -153,13 +154,16 @@ def assign_ranks(
     by: str | Sequence[str] = (),
     name: str = "rank",
     total: str | None = None,
+    source: DataFrame | None = None,
 ) -> DataFrame:
     """Add each row's 1-based position within its group and, if named, the group's row count.
 
-    `order` must end in a unique key so that positions are repeatable.
+    `order` must end in a unique key so that positions are repeatable. Boundaries and subtotals are
+    read from `source` if given: the same rows before other columns were added to them.
     """
     by, order = names(by), [col(c) for c in order]
-    ranges = _Ranges(df, order)
+    source = df if source is None else source
+    ranges = _Ranges(source, order)
     placed = _placed(df, ranges, by)
     here = W.partitionBy(_AT)
     out = placed.withColumn(name, F.row_number().over(here.orderBy(*order)).cast("long"))
@@ -167,7 +171,7 @@ def assign_ranks(
         if total:
             out = out.withColumn(total, F.count(F.lit(1)).over(here))
     else:
-        out = out.join(_offsets(placed, by, {"__n": F.count(F.lit(1))}), _AT)
+        out = out.join(_offsets(_placed(source, ranges, by), by, {"__n": F.count(F.lit(1))}), _AT)
         out = out.withColumn(name, F.col(name) + F.coalesce("__n__before", F.lit(0)))
         if total:
             out = out.withColumn(total, F.col("__n__all"))
@@ -184,10 +188,11 @@ def tile_of(rank: Column, total: Column, n: int) -> Column:
 
 
 def assign_tiles(
-    df: DataFrame, order: Sequence[str | Column], n: int, by: str | Sequence[str] = (), name: str = "tile"
+    df: DataFrame, order: Sequence[str | Column], n: int, by: str | Sequence[str] = (), name: str = "tile",
+    source: DataFrame | None = None,
 ) -> DataFrame:
-    """SQL ntile(n) per group."""
-    ranked = assign_ranks(df, order, by, "__rank", "__total")
+    """SQL ntile(n) per group; `source` as in `assign_ranks`."""
+    ranked = assign_ranks(df, order, by, "__rank", "__total", source)
     tile = tile_of(F.col("__rank"), F.col("__total"), n).cast("int")
     return ranked.withColumn(name, tile).drop("__rank", "__total")
 
@@ -223,7 +228,9 @@ def exact_quantiles(
     by, columns = names(by), names(columns)
     slim = df.select(*by, *[F.col(c).cast("double").alias(c) for c in columns])
     counts = _bracketed_counts(slim, columns, probs, by)
-    found = materialise(_values_at(counts, probs, by))
+    found = _values_at(counts, probs, by)
+    # Without groups it is a row per column.
+    found = materialise(found) if by else slim.sparkSession.createDataFrame(found.collect(), found.schema)
     # A position that fell between the brackets (the sketch's error is bounded only with high probability).
     missed = found.where(F.exists("quantiles", lambda q: q.isNull())).limit(1).count()
     if missed:
@@ -236,25 +243,27 @@ def _bracketed_counts(slim: DataFrame, columns: list[str], probs: Sequence[float
 
     A group without values has one row of zero times.
     """
-    margin = 2.0 / SKETCH_ACCURACY
-    lows, highs = [max(p - margin, 0.0) for p in probs], [min(p + margin, 1.0) for p in probs]
+    lows, highs = [max(p - MARGIN, 0.0) for p in probs], [min(p + MARGIN, 1.0) for p in probs]
     sketched = slim.groupBy(*by).agg(*[
-        F.struct(F.min(c).alias("min"), F.max(c).alias("max"),
-                 F.percentile_approx(c, F.array(*map(F.lit, lows + highs)), F.lit(SKETCH_ACCURACY)).alias("at")).alias(c)
+        F.struct(F.min(c).alias("min"), F.max(c).alias("max"), F.kll_sketch_agg_double(c, F.lit(SKETCH_SIZE)).alias("sketch")).alias(c)
         for c in columns
     ])
 
     def bracket(c: str) -> Column:
-        at, n = F.col(c)["at"], len(probs)
+        # The sketch leaves NaN out; one without values cannot be asked.
+        known = F.col(c)["min"].isNotNull() & ~F.isnan(F.col(c)["min"])
+        wanted = F.array(*[F.lit(float(p)) for p in lows + highs])
+        at, n = F.when(known, F.kll_sketch_get_quantile_double(F.col(c)["sketch"], wanted)), len(probs)
         lo = [F.col(c)["min"] if p == 0.0 else at[i] for i, p in enumerate(lows)]
         hi = [F.col(c)["max"] if p == 1.0 else at[n + i] for i, p in enumerate(highs)]
         return F.struct(F.array(*lo).alias("lo"), F.array(*hi).alias("hi"))
 
-    brackets = materialise(sketched.select(*by, *[bracket(c).alias(f"__b_{c}") for c in columns]))
+    brackets = sketched.select(*by, *[bracket(c).alias(f"__b_{c}") for c in columns])
     if by:
-        rows = null_safe_join(slim, brackets, by, "inner")
+        rows = null_safe_join(slim, materialise(brackets), by, "inner")
     else:
-        rows = with_row(slim, brackets, "__b").select("*", "__b.*")
+        # One row, fixed by making it a local one.
+        rows = with_row(slim, slim.sparkSession.createDataFrame([brackets.first()], brackets.schema), "__b").select("*", "__b.*")
 
     def entry(c: str) -> Column:
         x, b = F.col(c), F.col(f"__b_{c}")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+from pyspark.ml.functions import array_to_vector
+from pyspark.mllib.linalg.distributed import RowMatrix
+from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,8 +16,6 @@ from panelkit.operators.joins import attribute_join, null_safe_join
 from panelkit.operators.order import exact_quantiles
 from panelkit.session import names, with_row
 
-_SUMS = ["n", "sx", "sy", "sxx", "syy", "sxy"]
-
 
 def _tall(wide: DataFrame, columns: Sequence[str], fields: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Turn one struct column per variable into one row per variable."""
@@ -128,51 +128,61 @@ def condition_share(df: DataFrame, condition: Column, by: str | Sequence[str] =
     )
 
 
-def _pair_sums(columns: Sequence[str]):
-    names_ = np.array(columns)
+def _pearson(x: Column, y: Column) -> Column:
+    """Pearson correlation over the rows where both are known; null if either is constant there."""
+    both = x.isNotNull() & y.isNotNull()
+    x, y = F.when(both, x), F.when(both, y)
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        totals = None
-        for batch in batches:
-            x = batch.to_numpy(dtype=float, na_value=np.nan)
-            known = (~np.isnan(x)).astype(float)
-            x = np.nan_to_num(x)
-            sums = np.stack([known.T @ known, x.T @ known, known.T @ x, (x * x).T @ known, known.T @ (x * x), x.T @ x])
-            totals = sums if totals is None else totals + sums
-        if totals is not None:
-            i, j = np.indices(totals.shape[1:])
-            data = dict(zip(_SUMS, totals.reshape(6, -1)))
-            yield pd.DataFrame({"a": names_[i.ravel()], "b": names_[j.ravel()], **data})
 
-    return run
+def _pair_moments(df: DataFrame, columns: Sequence[str]) -> np.ndarray:
+    """Six sums of every pair over the rows where both are known: 1, x, y, xx, yy and xy, as matrices.
 
+    A row becomes one vector (values, squares, flags of known values) with zeros for nulls; the sums
+    are blocks of its Gramian, which the JVM adds up over tasks as a tree. Values are centred on the
+    column mean first, so the sums stay well conditioned. What reaches the driver depends on the
+    number of columns only.
+    """
+    means = df.agg(*[F.avg(_num(c)).alias(c) for c in columns]).first()
+    known = [_num(c).isNotNull() & ~F.isnan(_num(c)) for c in columns]
+    x = [F.when(k, _num(c) - F.lit(means[c])).otherwise(F.lit(0.0)) for c, k in zip(columns, known)]
+    flags = [k.cast("double") for k in known]
+    vector = array_to_vector(F.array(*x, *[v * v for v in x], *flags)).alias("v")
+    gram = RowMatrix(MLUtils.convertVectorColumnsFromML(df.select(vector), "v")).computeGramianMatrix().toArray()
+    n = len(columns)
+    xs, squares, ones = (slice(i * n, (i + 1) * n) for i in range(3))
+    return np.stack([gram[ones, ones], gram[xs, ones], gram[ones, xs], gram[squares, ones], gram[ones, squares], gram[xs, xs]])
 
-def _wide_correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """All pairs of many columns: each task adds up matrix products, and the pair sums are merged.
 
-    Values are centred on the column mean first, so the sums stay well conditioned.
-    """
-    means = df.agg(*[F.avg(_num(c)).alias(c) for c in columns])
-    known = with_row(df.select(*columns), means, "__m")
-    centred = known.select(*[(_num(c) - F.col("__m")[c]).alias(c) for c in columns])
-    schema = "a string, b string, " + ", ".join(f"{s} double" for s in _SUMS)
-    merged = centred.mapInPandas(_pair_sums(columns), schema).groupBy("a", "b").agg(*[F.sum(s).alias(s) for s in _SUMS])
-    n, sx, sy, sxx, syy, sxy = [F.col(s) for s in _SUMS]
-    spread = F.sqrt(F.greatest(n * sxx - sx * sx, F.lit(0.0))) * F.sqrt(F.greatest(n * syy - sy * sy, F.lit(0.0)))
-    return merged.select("a", "b", F.try_divide(n * sxy - sx * sy, spread).alias("r"))
+# Most pairs that are written as aggregates of their own; the Gramian serves wider tables.
+_PLAIN_PAIRS = 100
 
 
 def correlation_pairs(df: DataFrame, columns: Sequence[str], full: bool = False) -> DataFrame:
-    """Pearson correlation of column pairs, nulls dropped pair by pair.
+    """Pearson correlation of column pairs, nulls dropped pair by pair, one row per pair.
 
-    The lower triangle by default; `full` adds the diagonal and the mirrored pairs. Either way a task
-    sends one partial row per pair.
+    The lower triangle by default; `full` adds the diagonal and the mirrored pairs. Everything is
+    added up on the JVM and a task sends one partial result.
     """
+    spark = df.sparkSession
     pairs = [(a, b) for i, b in enumerate(columns) for a in columns[i + 1:]]
     if full:
         pairs += [(c, c) for c in columns]
-    wanted = df.sparkSession.createDataFrame(pairs, "a string, b string")
-    out = wanted.join(_wide_correlations(df, columns), ["a", "b"], "left")
+    if len(pairs) <= _PLAIN_PAIRS:
+        known = {c: F.when(~F.isnan(_num(c)), _num(c)) for c in columns}
+        wide = df.agg(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), _pearson(known[a], known[b]).alias("r")).alias(f"p{i}")
+                        for i, (a, b) in enumerate(pairs)])
+        out = wide.select(F.inline(F.array(*wide.columns)))
+    elif df.isEmpty():
+        out = spark.createDataFrame([(a, b, None) for a, b in pairs], "a string, b string, r double")
+    else:
+        n, sx, sy, sxx, syy, sxy = _pair_moments(df, columns)
+        spread = np.sqrt(np.maximum(n * sxx - sx * sx, 0.0)) * np.sqrt(np.maximum(n * syy - sy * sy, 0.0))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            r = (n * sxy - sx * sy) / spread
+        at = {c: i for i, c in enumerate(columns)}
+        rows = [(a, b, float(r[at[a], at[b]]) if spread[at[a], at[b]] > 0 else None) for a, b in pairs]
+        out = spark.createDataFrame(rows, "a string, b string, r double")
     if not full:
         return out
     mirrored = F.when(F.col("a") == F.col("b"), F.array(F.struct("a", "b"))).otherwise(
@@ -183,12 +193,7 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str], full: bool = False)
 
 def correlation_with(df: DataFrame, columns: Sequence[str], target: str, above: float | None = None) -> DataFrame:
     """Correlation of each column with one target, optionally only those above a (signed) threshold."""
-    def pearson(c: str) -> Column:
-        both = _num(c).isNotNull() & _num(target).isNotNull()
-        x, y = F.when(both, _num(c)), F.when(both, _num(target))
-        return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))  # null for a constant column
-
-    wide = df.agg(*[pearson(c).alias(c) for c in columns])
+    wide = df.agg(*[_pearson(_num(c), _num(target)).alias(c) for c in columns])
     out = wide.unpivot([], list(columns), "variable", "r")
     return out if above is None else out.where(F.col("r") > above)
 

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SALTS_KEY = "spark.panelkit.salts"
+# Rows that a range of ordered rows is meant to hold; the default is in operators/order.py.
+RANGE_ROWS_KEY = "spark.panelkit.rangeRows"
 
 SALTS_DEFAULT = 16
 

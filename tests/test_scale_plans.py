@@ -233,6 +233,21 @@ def test_wide_correlations_drop_nulls_by_pair(spark, skewed):
         assert got[tuple(key.split("|"))] == pytest.approx(value, abs=1e-9)
 
 
+def test_correlations_stay_on_the_jvm(spark, skewed, monkeypatch):
+    from panelkit.operators import profile
+
+    df = skewed.select("x", "y", (F.col("x") * 2 + F.col("id")).alias("z"), F.lit(3.0).alias("one"), F.col("id").alias("w"))
+    plain = correlation_pairs(df, df.columns, full=True)
+    assert "Python" not in plain._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(profile, "_PLAIN_PAIRS", 0)
+    wide = {(r.a, r.b): r.r for r in correlation_pairs(df, df.columns, full=True).collect()}
+    got = {(r.a, r.b): r.r for r in plain.collect()}
+    assert got.keys() == wide.keys() and len(got) == 25
+    for key, value in got.items():
+        assert wide[key] is None if value is None else wide[key] == pytest.approx(value)
+    assert all(r.r is None for r in correlation_pairs(df.limit(0), df.columns).collect())
+
+
 def test_sample_keeps_whole_entities(spark, skewed):
     out = sample_entities(skewed, "g", 2, 9)
     kept = {r.g for r in out.select("g").distinct().collect()}

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelkit.operators.panel import densify, period_bounds
+from panelkit.session import RANGE_ROWS_KEY
 from panelkit.sources.files import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +28,17 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@contextmanager
+def many_ranges(spark: SparkSession, rows: int = 2000):
+    """Orders by many small ranges while a plan is built, as for a frame of many more rows."""
+    before = spark.conf.get(RANGE_ROWS_KEY, None)
+    spark.conf.set(RANGE_ROWS_KEY, rows)
+    try:
+        yield
+    finally:
+        spark.conf.unset(RANGE_ROWS_KEY) if before is None else spark.conf.set(RANGE_ROWS_KEY, before)
+
+
 def r6(c: str | Column) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, 6)
 

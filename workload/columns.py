@@ -37,7 +37,7 @@ from panelkit.operators.clean import (
 from panelkit.operators.joins import lookup_join, membership_flag
 from panelkit.operators.order import sample_entities
 from panelkit.sources.files import stack, table
-from workload.base import CY, GRID, cents, customer_grid, customer_years, query, rounded
+from workload.base import CY, GRID, cents, customer_grid, customer_years, many_ranges, query, rounded
 
 IN_STATES = ", ".join(f"'{s}'" for s in SAMPLE_STATES)
 
@@ -291,7 +291,8 @@ def q_fill_median(spark, folder):
 
 @query("fill_median_large", _MEDIANS)
 def fill_median_large(spark, folder):
-    return q_fill_median(spark, folder)
+    with many_ranges(spark):
+        return q_fill_median(spark, folder)
 
 
 @query("fill_median_from_train", f"""WITH g AS ({GRID}), m AS (SELECT quantile_cont(CAST(cents AS DOUBLE), 0.5) AS a FROM g WHERE year < 1999)
@@ -372,7 +373,8 @@ def q_quantile_bins(spark, folder):
 
 @query("quantile_bins_large", _QBINS)
 def quantile_bins_large(spark, folder):
-    return q_quantile_bins(spark, folder)
+    with many_ranges(spark):
+        return q_quantile_bins(spark, folder)
 
 
 @query("feature_target_split", f"SELECT custkey, year, n_orders, urgent, cents FROM ({CY})")

@@ -24,6 +24,7 @@ from panelkit.operators.panel import (
 )
 from panelkit.sources.files import table
 from workload.base import (
+    many_ranges,
     CY,
     GRID,
     LABELS,
@@ -95,7 +96,8 @@ def panel_sentinel_repair(spark, folder):
 
 @query("panel_sentinel_repair_large", REPAIR)
 def panel_sentinel_repair_large(spark, folder):
-    return panel_sentinel_repair(spark, folder)
+    with many_ranges(spark):
+        return panel_sentinel_repair(spark, folder)
 
 
 @query("panel_lag_bundle", f"""WITH cy AS ({CY})
@@ -228,7 +230,8 @@ def label_top_quintile(spark, folder):
 
 @query("label_top_quintile_large", QUINTILES)
 def label_top_quintile_large(spark, folder):
-    return label_top_quintile(spark, folder)
+    with many_ranges(spark):
+        return label_top_quintile(spark, folder)
 
 
 @query("label_ntile4", f"""SELECT custkey, year, ntile(4) OVER (ORDER BY cents DESC NULLS FIRST, custkey)::INTEGER AS cents_4tiles

@@ -22,7 +22,7 @@ from panelkit.operators.profile import (
     value_counts,
 )
 from panelkit.sources.files import table
-from workload.base import CY, GRID, LABELS, cents, customer_grid, customer_years, query, rounded
+from workload.base import CY, GRID, LABELS, cents, customer_grid, customer_years, many_ranges, query, rounded
 from workload.panel import MEASURES, labelled
 
 LINE = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -87,7 +87,8 @@ def describe_by_group(spark, folder):
 
 @query("describe_by_group_large", DESCRIBE_BY)
 def describe_by_group_large(spark, folder):
-    return describe_by_group(spark, folder)
+    with many_ranges(spark):
+        return describe_by_group(spark, folder)
 
 
 _PROFILE = [("c_custkey", "bigint", True), ("c_name", "string", False), ("c_nationkey", "int", True),
@@ -214,14 +215,13 @@ def corr_matrix(spark, folder):
     return rounded(correlation_pairs(table(spark, folder, "lineitem"), LINE, full=True), "r")
 
 
-_WIDE = [f"e{i}" for i in range(1, 15)]
+_WIDE = [f"e{i}" for i in range(1, 65)]
 
 
-@query("corr_matrix_wide", "WITH v AS (SELECT " + ", ".join(f"CAST(embedding[{c[1:]}] AS DOUBLE) AS {c}" for c in _WIDE)
-       + " FROM embeddings) " + " UNION ALL ".join(
-    f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS r FROM v" for i, b in enumerate(_WIDE) for a in _WIDE[i + 1:]))
+@query("corr_matrix_wide", """WITH u AS (SELECT vec_id, unnest(range(1, 65)) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings)
+ SELECT 'e' || a.i AS a, 'e' || b.i AS b, round(corr(a.x, b.x), 6) AS r FROM u a JOIN u b ON a.vec_id = b.vec_id AND a.i > b.i GROUP BY a.i, b.i""")
 def corr_matrix_wide(spark, folder):
-    vectors = table(spark, folder, "embeddings").select(*[F.col("embedding")[int(c[1:]) - 1].alias(c) for c in _WIDE])
+    vectors = table(spark, folder, "embeddings").select(*[F.col("embedding")[i].alias(c) for i, c in enumerate(_WIDE)])
     return rounded(correlation_pairs(vectors, _WIDE), "r")
 
 

@@ -29,7 +29,7 @@ from panelkit.plans.splits import apply_split, hash_folds, hash_split, rolling_s
 from panelkit.functions.scalars import year_start
 from panelkit.session import materialise
 from panelkit.sources.files import table
-from workload.base import CY, LABELS, customer_years, query, rounded
+from workload.base import CY, LABELS, customer_years, many_ranges, query, rounded
 from workload.panel import MEASURES, labelled
 
 SCORED = f"""SELECT a.custkey, a.year, a.top20 AS label, b.n_orders * 3 + b.urgent AS score, a.n_orders, a.urgent, a.finished, b.top20 AS lagged
@@ -59,7 +59,8 @@ def top_pct(spark, folder):
 @query("top_pct_large", """SELECT o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS rn, count(*) OVER () AS n
  FROM orders) WHERE rn <= floor(n * 0.2)""")
 def top_pct_large(spark, folder):
-    return top_pct(spark, folder)
+    with many_ranges(spark):
+        return top_pct(spark, folder)
 
 
 @query("top_pct_compare", """WITH c AS (SELECT c_custkey, c_nationkey, c_acctbal, (SELECT count(*) FROM customer) AS n FROM customer),
@@ -257,13 +258,15 @@ METRICS = f"WITH s AS ({SCORED}), r AS (SELECT *, row_number() OVER (PARTITION B
 
 @query("metrics_at_k", METRICS)
 def q_metrics_at_k(spark, folder):
-    out = metrics_at_k(scored(spark, folder), "score", "label", "custkey", by="year")
+    # The scored rows are read for the number, the ranges and the ranks, so they are written once first.
+    out = metrics_at_k(materialise(scored(spark, folder)), "score", "label", "custkey", by="year")
     return rounded(out, "precision", "recall", "f1")
 
 
 @query("metrics_at_k_large", METRICS)
 def metrics_at_k_large(spark, folder):
-    return q_metrics_at_k(spark, folder)
+    with many_ranges(spark):
+        return q_metrics_at_k(spark, folder)
 
 
 AUC = f"""WITH s AS ({SCORED}), r AS (SELECT year, label, rank() OVER (PARTITION BY year ORDER BY score)
@@ -279,7 +282,8 @@ def q_roc_auc(spark, folder):
 
 @query("roc_auc_large", AUC)
 def roc_auc_large(spark, folder):
-    return q_roc_auc(spark, folder)
+    with many_ranges(spark):
+        return q_roc_auc(spark, folder)
 
 
 CURVE = f"""WITH s AS ({SCORED}) SELECT CAST(t.score AS BIGINT) AS threshold, round(CAST(sum(label) AS DOUBLE) / count(*), 6) AS precision,
@@ -296,7 +300,8 @@ def q_pr_curve(spark, folder):
 
 @query("pr_curve_large", CURVE)
 def pr_curve_large(spark, folder):
-    return q_pr_curve(spark, folder)
+    with many_ranges(spark):
+        return q_pr_curve(spark, folder)
 
 
 @query("confusion", f"""WITH s AS ({SCORED}) SELECT count(*) FILTER (WHERE label = 1 AND lagged = 1) AS tp, count(*) FILTER (WHERE label = 0 AND lagged = 1) AS fp,
