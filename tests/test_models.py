@@ -2,15 +2,18 @@
 
 import datetime as dt
 
+import duckdb
 import numpy as np
 import pytest
 from helpers import rows
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from panelkit.operators import neighbours
 from panelkit.operators.neighbours import cross_validated_accuracy, nearest, visited_share, vote
 from panelkit.plans.models import (
     assemble,
+    class1_score,
     estimator,
     fit_score,
     importance_table,
@@ -19,6 +22,7 @@ from panelkit.plans.models import (
 )
 from panelkit.plans.runs import BASELINES, plan_frame, plan_runs, run_models, run_phases
 from panelkit.plans.splits import hash_folds, hash_split, rolling_splits
+from panelkit.plans.trees import node_table, path_sql, score_by_nodes
 from panelkit.session import scratch_path
 
 
@@ -147,6 +151,24 @@ def test_importance_and_tree(spark, frames):
     assert leaves.agg(F.sum("samples")).first()[0] == 200
 
 
+@pytest.mark.parametrize("key, params, depth", [
+    ("RF", {"n_estimators": 7, "max_depth": 4}, 4), ("GB", {"n_estimators": 4, "max_depth": 3}, 3), ("DT", {"max_depth": 6}, 6),
+])
+def test_node_tables_score_in_frames_and_in_sql(spark, frames, key, params, depth):
+    train, test = frames
+    model = estimator(key, params, 200, 3).fit(train)
+    nodes = node_table(spark, model, ["f0", "f1", "f2"])
+    scored = class1_score(key, model.transform(test), "fitted").withColumn("v", vector_to_array("features"))
+    got = score_by_nodes(scored, nodes, "v", depth, key == "GB").select("id", "v", "fitted", "score").collect()
+    assert len(got) == 40 and all(r.score == pytest.approx(r.fitted, abs=1e-12) for r in got)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (id BIGINT, f0 DOUBLE, f1 DOUBLE, f2 DOUBLE)")
+    con.executemany("INSERT INTO t VALUES (?, ?, ?, ?)", [[r.id, *r.v] for r in got])
+    replayed = dict(con.execute(f"SELECT id, {path_sql(nodes, key == 'GB')} FROM t").fetchall())
+    assert all(replayed[r.id] == pytest.approx(r.fitted, abs=1e-12) for r in got)
+    assert nodes.where("left_child is null").agg(F.sum("samples")).first()[0] > 0
+
+
 def test_random_baseline_share(spark):
     df = spark.range(4000).select("id", (F.col("id") % 4 == 0).cast("int").alias("y"))
     share = random_baseline(df, df, "y", ["id"], 1).agg(F.avg("score")).first()[0]

@@ -19,9 +19,19 @@ from panelkit.operators.neighbours import (
 from panelkit.operators.panel import feature_batch, lag_bundle
 from panelkit.operators.labels import increase_label, lagged_labels
 from panelkit.operators.metrics import TOP_PERCENTS, confusion_counts
-from panelkit.plans.models import GRIDS, assemble, estimator, fit_score, importance_table, parameter_grid, tree_table
+from panelkit.plans.models import (
+    GRIDS,
+    assemble,
+    class1_score,
+    estimator,
+    fit_score,
+    importance_table,
+    parameter_grid,
+    tree_table,
+)
 from panelkit.plans.runs import BASELINES, PHASES, run_phases
 from panelkit.plans.splits import hash_split
+from panelkit.plans.trees import node_table, score_by_nodes
 from panelkit.session import materialise
 from panelkit.sources.files import table
 from workload.base import LABELS, customer_years, query, r6, rounded
@@ -219,6 +229,127 @@ def gnb(spark, folder):
     return scored.select("custkey", "label", F.round("score", 5).alias("score"))
 
 
+# --- a tree of depth two, found anew in SQL by trying every split
+
+_TREE_ROWS = f"""l AS ({LABELS}), w AS (SELECT a.custkey, a.year, CAST(a.finished > 0 AS INTEGER) AS label, a.year = {LAST_YEAR} AS test, CAST(b.n_orders AS DOUBLE) AS n_orders_lag,
+ CAST(b.urgent AS DOUBLE) AS urgent_lag, CAST(b.finished AS DOUBLE) AS finished_lag FROM l a LEFT JOIN l b ON a.custkey = b.custkey AND b.year = a.year - 1),
+ md AS (SELECT test, {', '.join(f'median({c}) AS d_{c}' for c in _NB_FEATURES)} FROM w GROUP BY 1),
+ r AS (SELECT custkey, label, w.test, [{', '.join(f'coalesce({c}, d_{c})' for c in _NB_FEATURES)}] AS x FROM w JOIN md ON w.test = md.test),
+ t AS (SELECT * FROM r WHERE NOT test)"""
+
+
+def _gini(n, p):
+    return f"(1 - power(CAST({p} AS DOUBLE) / {n}, 2) - power(CAST({n} - {p} AS DOUBLE) / {n}, 2))"
+
+
+def _split_sql(name, rows):
+    """Best gini split of some rows: every midpoint of neighbouring values of every feature."""
+    gain = f"{_gini('n', 'p')} - CAST(nl AS DOUBLE) / n * {_gini('nl', 'pl')} - CAST(n - nl AS DOUBLE) / n * {_gini('(n - nl)', '(p - pl)')}"
+    return f"""{name}_v AS (SELECT f, x[f] AS v, count(*) AS n, sum(label) AS p FROM ({rows}), (VALUES (1), (2), (3)) g(f) GROUP BY 1, 2),
+ {name}_c AS (SELECT f, (v + lead(v) OVER (PARTITION BY f ORDER BY v)) / 2 AS t, sum(n) OVER (PARTITION BY f ORDER BY v) AS nl,
+ sum(p) OVER (PARTITION BY f ORDER BY v) AS pl, sum(n) OVER (PARTITION BY f) AS n, sum(p) OVER (PARTITION BY f) AS p FROM {name}_v),
+ {name} AS (SELECT f, t, nl, pl, n, p, {gain} AS gain FROM {name}_c WHERE t IS NOT NULL AND {gain} > 0 ORDER BY gain DESC, f, t LIMIT 1)"""
+
+
+def _side(node, op):
+    return f"(SELECT t.* FROM t, {node} s WHERE t.x[s.f] {op} s.t)"
+
+
+# Share of class 1 in the leaf of a side; leaves that predict the same class are one leaf.
+def _side_sql(node, name, op):
+    rows = _side(node, op)
+    return f"""{_split_sql(name, 'SELECT * FROM ' + rows)},
+ {name}_leaf AS (SELECT (SELECT CAST(sum(label) AS DOUBLE) / count(*) FROM {rows}) AS share, (SELECT 2 * sum(label) > count(*) FROM {rows}) AS ones,
+ (SELECT f FROM {name} WHERE (2 * pl > nl) <> (2 * (p - pl) > n - nl)) AS f, (SELECT t FROM {name}) AS t,
+ (SELECT CAST(pl AS DOUBLE) / nl FROM {name}) AS low, (SELECT CAST(p - pl AS DOUBLE) / (n - nl) FROM {name}) AS high)"""
+
+
+def _tree_rows(spark, folder, features=_NB_FEATURES):
+    panel = model_panel(spark, folder).withColumn("label", (F.col("finished") > 0).cast("int"))
+    panel = materialise(panel.select("custkey", "year", "label", *_NB_FEATURES))
+    return [assemble(fill_median(half, _NB_FEATURES), features, "label", ["custkey"]) for half in split_halves(spark, folder, panel)]
+
+
+@query("gbt_root", f"""WITH {_TREE_ROWS}, {_split_sql('s', 'SELECT * FROM t')}
+ SELECT [{', '.join(f"'{c}'" for c in _NB_FEATURES)}][f] AS feature, t AS threshold, CAST(n AS BIGINT) AS samples, CAST(nl AS BIGINT) AS left_samples,
+ round(2 * CAST(pl AS DOUBLE) / nl - 1, 9) AS left_value, round(2 * CAST(p - pl AS DOUBLE) / (n - nl) - 1, 9) AS right_value FROM s""")
+def gbt_root(spark, folder):
+    """The first boosted tree, of depth one: variance of a label of -1 and 1 splits as the gini impurity does."""
+    train, _ = _tree_rows(spark, folder)
+    model = estimator("GB", {"n_estimators": 1, "max_depth": 1}, 0, 1).fit(train)
+    nodes = materialise(node_table(spark, model, _NB_FEATURES))
+    left, right = (nodes.where(F.col("id") == i).select("samples", "value") for i in (1, 2))
+    return nodes.where(F.col("id") == 0).select(
+        "feature", "threshold", "samples", left.select("samples").scalar().alias("left_samples"),
+        F.round(left.select("value").scalar(), 9).alias("left_value"), F.round(right.select("value").scalar(), 9).alias("right_value"))
+
+
+@query("dtree_values", f"""WITH {_TREE_ROWS}, {_split_sql('s', 'SELECT * FROM t')}, {_side_sql('s', 'a', '<=')}, {_side_sql('s', 'b', '>')},
+ merged AS (SELECT a.f IS NULL AND b.f IS NULL AND a.ones = b.ones AS whole, (SELECT CAST(sum(label) AS DOUBLE) / count(*) FROM t) AS share FROM a_leaf a, b_leaf b)
+ SELECT custkey, label, round(CASE WHEN m.whole THEN m.share
+ WHEN r.x[s.f] <= s.t THEN CASE WHEN a.f IS NULL THEN a.share WHEN r.x[a.f] <= a.t THEN a.low ELSE a.high END
+ ELSE CASE WHEN b.f IS NULL THEN b.share WHEN r.x[b.f] <= b.t THEN b.low ELSE b.high END END, 9) AS score
+ FROM r, s, a_leaf a, b_leaf b, merged m WHERE r.test""")
+def dtree_values(spark, folder):
+    """Scores of a tree of depth two, which SQL finds by trying every split."""
+    train, test = _tree_rows(spark, folder)
+    _, scored = fit_score("BASELINE_DT", {"max_depth": 2}, train, test, "custkey", 0)
+    return scored.select("custkey", "label", F.round("score", 9).alias("score"))
+
+
+# --- a logistic regression, solved anew in SQL
+
+_LR_C, _STEPS = 0.01, 8
+
+
+def _newton_sql():
+    """Newton steps for the mean log loss plus half the penalty times the squared weights (not the intercept)."""
+    zero = "z0 AS (SELECT 0.0::DOUBLE AS w1, 0.0::DOUBLE AS w2, 0.0::DOUBLE AS b)"
+    steps = [zero]
+    for i in range(_STEPS):
+        m = "(1 / (1 + exp(-(w1 * x[1] + w2 * x[2] + b))))"
+        sums = ", ".join(f"avg({m} * (1 - {m}) * {e}) + {lam} AS {n}" for n, e, lam in (
+            ("a", "x[1] * x[1]", "any_value(l)"), ("d", "x[2] * x[2]", "any_value(l)"), ("f", "1", 0), ("bb", "x[1] * x[2]", 0), ("c", "x[1]", 0), ("e", "x[2]", 0)))
+        steps.append(f"""g{i} AS (SELECT any_value(w1) AS w1, any_value(w2) AS w2, any_value(b) AS b, {sums},
+ avg(({m} - label) * x[1]) + any_value(l * w1) AS g1, avg(({m} - label) * x[2]) + any_value(l * w2) AS g2, avg({m} - label) AS g3 FROM t, z{i}, lam),
+ h{i} AS (SELECT *, a * (d * f - e * e) - bb * (bb * f - e * c) + c * (bb * e - d * c) AS det FROM g{i}),
+ z{i + 1} AS (SELECT w1 - (g1 * (d * f - e * e) - bb * (g2 * f - e * g3) + c * (g2 * e - d * g3)) / det AS w1,
+ w2 - (a * (g2 * f - g3 * e) - g1 * (bb * f - e * c) + c * (bb * g3 - g2 * c)) / det AS w2,
+ b - (a * (d * g3 - e * g2) - bb * (bb * g3 - g2 * c) + g1 * (bb * e - d * c)) / det AS b FROM h{i})""")
+    return "lam AS (SELECT 1.0 / (" + str(_LR_C) + " * count(*)) AS l FROM t), " + ", ".join(steps)
+
+
+@query("lr_values", f"""WITH {_TREE_ROWS}, {_newton_sql()}
+ SELECT custkey, label, round(1 / (1 + exp(-(w1 * x[1] + w2 * x[2] + b))), 4) AS score FROM r, z{_STEPS} WHERE test""")
+def lr_values(spark, folder):
+    """Scores of a penalised logistic regression on two features."""
+    train, test = _tree_rows(spark, folder, _NB_FEATURES[:2])
+    train = materialise(train)
+    _, scored = fit_score("LR", {"penalty": "l2", "C": _LR_C}, train, test, "custkey", train.count())
+    return scored.select("custkey", "label", F.round("score", 4).alias("score"))
+
+
+_REPLAYED = {"RF": ({"n_estimators": 10, "max_depth": 5}, 5), "GB": ({"n_estimators": 5, "learning_rate": 0.5, "max_depth": 3}, 3), "BASELINE_DT": ({"max_depth": 3}, 3)}
+
+
+@query("tree_replay", f"""SELECT model_key, count(*) AS n, count(*) AS n_equal FROM ({LABELS}), (VALUES """
+       + ", ".join(f"('{k}')" for k in _REPLAYED) + f") m(model_key) WHERE year = {LAST_YEAR} GROUP BY 1")
+def tree_replay(spark, folder):
+    """Test rows whose score the stored nodes give too, for a forest, a boosted ensemble and a tree."""
+    train, test = train_test(spark, folder)
+    test = test.withColumn("x", vector_to_array("features"))
+    out = None
+    for key, (params, depth) in _REPLAYED.items():
+        model = estimator(key, params, 0, 1).fit(train)
+        nodes = materialise(node_table(spark, model, FEATURES))
+        scored = class1_score(key, model.transform(test), "fitted").select("x", "fitted")
+        scored = score_by_nodes(scored, nodes, "x", depth, key == "GB")
+        one = scored.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.abs(F.col("fitted") - F.col("score")) < 1e-12).alias("n_equal"))
+        one = one.select(F.lit(key).alias("model_key"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("class1_probability", f"SELECT CAST(custkey * 10000 + year AS BIGINT) AS id, 1.0::DOUBLE AS total, true AS in_bounds FROM ({LABELS}) WHERE year = {LAST_YEAR}")
 def class1_probability(spark, folder):
     train, test = train_test(spark, folder)
