@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 from pyspark.ml.functions import array_to_vector
@@ -93,22 +94,50 @@ def describe_exact(df: DataFrame, columns: Sequence[str], by: str | Sequence[str
     return null_safe_join(moments, quartiles, [*by, "variable"])
 
 
+# Buckets of the distinct-count sketches, as a power of two: a relative error of 1.04 / sqrt(2^12), 1.6 percent.
+HLL_LG_K = 12
+
+
 def dataset_profile(df: DataFrame, approximate: bool = False) -> DataFrame:
-    """Type, row count, null count, distinct count, and numeric min, max and mean of every column."""
-    distinct = F.approx_count_distinct if approximate else F.count_distinct
+    """Type, row count, null count, distinct count, and numeric min, max and mean of every column.
+
+    Exact distinct counts are one aggregate per column, which reads that column only and drops
+    repeats before the shuffle; no row is written out once per column. `approximate` counts by
+    sketch within the one scan of the other figures.
+    """
     numeric = {f.name: isinstance(f.dataType, T.NumericType) for f in df.schema}
     none = F.lit(None).cast("double")
     wide = df.agg(*[
         F.struct(
             F.lit(f.dataType.simpleString()).alias("type"), F.count(F.lit(1)).alias("rows"),
-            F.count_if(F.col(f.name).isNull()).alias("nulls"), distinct(F.col(f.name)).alias("distinct"),
+            F.count_if(F.col(f.name).isNull()).alias("nulls"),
+            *([F.approx_count_distinct(f.name, 1.04 / 2 ** (HLL_LG_K / 2)).alias("distinct")] if approximate else []),
             (F.min(_num(f.name)) if numeric[f.name] else none).alias("min"),
             (F.max(_num(f.name)) if numeric[f.name] else none).alias("max"),
             (F.avg(_num(f.name)) if numeric[f.name] else none).alias("mean"),
         ).alias(f.name)
         for f in df.schema
     ])
-    return _tall(wide, df.columns, ["type", "rows", "nulls", "distinct", "min", "max", "mean"])
+    fields = ["type", "rows", "nulls", "distinct", "min", "max", "mean"]
+    if approximate:
+        return _tall(wide, df.columns, fields)
+    counts = reduce(DataFrame.unionAll, [
+        df.agg(F.count_distinct(F.col(c)).alias("distinct")).select(F.lit(c).alias("variable"), "distinct") for c in df.columns])
+    out = _tall(wide, df.columns, [f for f in fields if f != "distinct"]).join(counts, "variable")
+    return out.select("variable", *fields)
+
+
+def distinct_sketches(df: DataFrame, by: str | Sequence[str] = ()) -> DataFrame:
+    """A mergeable sketch of the distinct values of every column that is no key, per group: one row per (group, variable)."""
+    by = names(by)
+    columns = [c for c in df.columns if c not in by]
+    wide = df.groupBy(*by).agg(*[F.hll_sketch_agg(F.col(c).cast("string"), F.lit(HLL_LG_K)).alias(c) for c in columns])
+    return wide.unpivot(by, columns, "variable", "sketch")
+
+
+def merged_distincts(sketches: DataFrame, by: str | Sequence[str] = ()) -> DataFrame:
+    """Distinct counts (within the sketch error) of merged sketches, over all groups or those that `by` keeps."""
+    return sketches.groupBy(*names(by), "variable").agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("distinct"))
 
 
 def null_share(df: DataFrame, column: str, by: str | Sequence[str]) -> DataFrame:

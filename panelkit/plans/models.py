@@ -6,6 +6,8 @@ import hashlib
 import itertools
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
     GBTClassifier,
@@ -23,6 +25,7 @@ from panelkit.functions.scalars import hash_uniform
 from panelkit.operators.clean import min_max_scale
 from panelkit.operators.neighbours import nearest, vote
 from panelkit.operators.order import assign_ranks
+from panelkit.plans.trees import score_by_nodes
 from panelkit.session import materialise, scratch_path
 
 # The parameter grids of the three phases.
@@ -110,7 +113,7 @@ def fit_score(
     """Fit one model; return it with the test rows (id, label, score)."""
     if key == "BAG":
         models = fit_bagging(train, id_col, params, seed)
-        return models, score_bagging(models, test).select(id_col, "label", "score")
+        return models, score_bagging(models, test, params.get("max_samples", 5) - 1).select(id_col, "label", "score")
     if key == "KNN":
         k, weights = params.get("n_neighbors", 5), params.get("weights", "uniform")
         plain = [df.select(id_col, "label", vector_to_array("features").alias("v")) for df in (train, test)]
@@ -121,50 +124,86 @@ def fit_score(
     return model, class1_score(key, model.transform(test)).select(id_col, "label", "score")
 
 
-def fit_bagging(train: DataFrame, id_col: str, params: Mapping, seed: int = 0) -> list[tuple[list[int], object]]:
-    """Trees on tiny bootstrap samples: an absolute number of rows and of (repeatable) features each.
+_BAG_SCHEMA = ("tree int, id int, feature_index int, threshold double, left_child int, right_child int, value double, "
+               "samples long, weight double")
 
-    Every draw is a hashed row position, so rows are drawn with replacement from all training rows.
-    Rows that reach a tree are at most n_estimators * max_samples.
-    """
-    trees, rows, width = (params.get(k, d) for k, d in (("n_estimators", 10), ("max_samples", 5), ("max_features", 3)))
+
+def bagging_draws(train: DataFrame, id_col: str, trees: int, rows: int, seed: int = 0) -> DataFrame:
+    """Rows drawn with replacement from all training rows, by hashed position: tree, draw, features as `v`, label."""
     placed = assign_ranks(train.select(id_col, "features", "label"), [F.col(id_col)], name="__at")
     n = train.agg(F.count(F.lit(1))).scalar()
     draws = train.sparkSession.range(trees * rows).select(
         F.col("id").alias("draw"), (F.floor(hash_uniform(["id"], f"{seed}:row") * n) + 1).cast("long").alias("__at"))
-    drawn = materialise(placed.join(F.broadcast(draws), "__at").select(
-        "draw", vector_to_array("features").alias("v"), "label"))
-    size = drawn.select(F.max(F.size("v"))).first()[0]
-    models = []
-    for t in range(trees):
-        chosen = [_hash_position(f"{seed}:{t}:{j}", size) for j in range(width)]
-        sample = drawn.where(F.floor(F.col("draw") / rows) == t)
-        sample = _pick_features(sample, chosen)
-        models.append((chosen, DecisionTreeClassifier(featuresCol="picked", seed=seed).fit(sample)))
-    return models
+    # The draws are trees * rows numbers.
+    return placed.join(F.broadcast(draws), "__at").select(
+        F.floor(F.col("draw") / rows).cast("int").alias("tree"), "draw", vector_to_array("features").alias("v"), "label")
 
 
-def _hash_position(text: str, size: int) -> int:
-    return int.from_bytes(hashlib.md5(text.encode()).digest()[:8], "big") % size
+def grow_tree(x: np.ndarray, y: np.ndarray, chosen: Sequence[int]) -> list[tuple]:
+    """All nodes of a full tree by exact gini splits: (id, feature, threshold, left, right, share of class 1, rows).
+
+    Of equal splits the first feature in the order chosen and then the lowest threshold is taken.
+    """
+    nodes: list = []
+
+    def grow(at: np.ndarray) -> int:
+        me, n, ones = len(nodes), len(at), int(y[at].sum())
+        nodes.append((me, None, None, None, None, ones / n, n))
+        best = None
+        if 0 < ones < n:
+            for f in chosen:
+                order = at[np.argsort(x[at, f], kind="stable")]
+                v, hits = x[order, f], np.cumsum(y[order])[:-1]
+                left = np.arange(1, n)
+                right_hits, right = ones - hits, n - left
+                impurity = 2 * (hits * (left - hits) / left + right_hits * (right - right_hits) / right)
+                impurity = np.where(v[1:] > v[:-1], impurity, np.inf)
+                i = int(impurity.argmin())
+                if np.isfinite(impurity[i]) and (best is None or impurity[i] < best[0] - 1e-12):
+                    best = impurity[i], f, (v[i] + v[i + 1]) / 2
+        if best:
+            _, f, threshold = best
+            low = x[at, f] <= threshold
+            left_id = grow(at[low])
+            right_id = grow(at[~low])
+            nodes[me] = (me, int(f), float(threshold), left_id, right_id, ones / n, n)
+        return me
+
+    grow(np.arange(len(y)))
+    return nodes
+
+
+def chosen_features(seed: int, tree: int, width: int, size: int) -> list[int]:
+    return [_hash_position(f"{seed}:{tree}:{j}", size) for j in range(width)]
+
+
+def fit_bagging(train: DataFrame, id_col: str, params: Mapping, seed: int = 0) -> DataFrame:
+    """Trees on tiny bootstrap samples, as a node table: an absolute number of rows and of (repeatable) features each.
+
+    All trees are grown by one grouped job over the tree number; a group has `max_samples` rows.
+    """
+    trees, rows, width = (params.get(k, d) for k, d in (("n_estimators", 10), ("max_samples", 5), ("max_features", 3)))
 
+    def grow(sample: pd.DataFrame) -> pd.DataFrame:
+        sample = sample.sort_values("draw")
+        tree = int(sample["tree"].iloc[0])
+        x = np.stack(sample["v"].to_numpy()).astype(float)
+        found = grow_tree(x, sample["label"].to_numpy().astype(int), chosen_features(seed, tree, width, x.shape[1]))
+        columns = ["id", "feature_index", "threshold", "left_child", "right_child", "value", "samples"]
+        out = pd.DataFrame(found, columns=columns).astype({c: "Int32" for c in ("feature_index", "left_child", "right_child")})
+        return out.assign(tree=tree, weight=1.0)[[f.split()[0] for f in _BAG_SCHEMA.split(", ")]]
 
-def _pick_features(df: DataFrame, chosen: Sequence[int]) -> DataFrame:
-    wide = df.select("*", *[F.col("v")[i].alias(f"__f{j}") for j, i in enumerate(chosen)])
-    cols = [f"__f{j}" for j in range(len(chosen))]
-    return VectorAssembler(inputCols=cols, outputCol="picked").transform(wide).drop(*cols)
+    return materialise(bagging_draws(train, id_col, trees, rows, seed).groupBy("tree").applyInPandas(grow, _BAG_SCHEMA))
 
 
-def score_bagging(models: Sequence[tuple[list[int], object]], test: DataFrame) -> DataFrame:
-    """Mean class-1 probability over the trees."""
-    out = test.withColumn("v", vector_to_array("features")).withColumn("score", F.lit(0.0))
-    for chosen, model in models:
-        scored = model.transform(_pick_features(out, chosen))
-        proba = vector_to_array("probability")
-        one = F.when(F.size(proba) > 1, F.get(proba, F.lit(1))).otherwise(F.lit(0.0))
-        out = scored.withColumn("score", F.col("score") + one / len(models)).drop(
-            "picked", "rawPrediction", "probability", "prediction"
-        )
-    return out.drop("v")
+def _hash_position(text: str, size: int) -> int:
+    return int.from_bytes(hashlib.md5(text.encode()).digest()[:8], "big") % size
+
+
+def score_bagging(nodes: DataFrame, test: DataFrame, depth: int) -> DataFrame:
+    """Mean class-1 share over the trees; `depth` is at most the rows of a tree less one."""
+    rows = test.withColumn("__v", vector_to_array("features"))
+    return score_by_nodes(rows, nodes, "__v", depth).drop("__v")
 
 
 def importance_table(spark: SparkSession, model, features: Sequence[str], key: str) -> DataFrame:

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
+import json
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelkit.functions.scalars import year_start
-from panelkit.operators.clean import fill_median
+from panelkit.operators.clean import fill_median_halves
 from panelkit.operators.fairness import audit_input
 from panelkit.operators.metrics import TOP_PERCENTS, metrics_at_k, pr_curve, roc_auc
 from panelkit.plans.models import (
@@ -25,6 +28,7 @@ from panelkit.plans.models import (
     tree_table,
 )
 from panelkit.plans.splits import Split, apply_split, rolling_splits
+from panelkit.session import scratch_path
 from panelkit.sources.files import write_csv
 
 BASELINES = ("BASELINE_RAND", "BASELINE_PRIOR")
@@ -45,6 +49,34 @@ RESULT_SCHEMA = (
 )
 
 
+class Ledger:
+    """Results of finished runs, one stored row each under the hash of all that decides it.
+
+    A row is visible only when its write is committed, and each has a folder of its own, so runs may
+    finish side by side and a batch that was stopped goes on where it was.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def rows(self) -> DataFrame:
+        """All stored results with their `run` hash."""
+        schema = f"{RESULT_SCHEMA}, run string"
+        try:
+            return self.spark.read.schema(schema).parquet(self.path)
+        except AnalysisException:  # nothing is stored yet
+            return self.spark.createDataFrame([], schema)
+
+    def finished(self) -> set[str]:
+        """Hashes of the runs that need not be made again; failed ones are."""
+        failed = F.coalesce(F.col("model_result").startswith("failed:"), F.lit(False))
+        return {r["run"] for r in self.rows().where(~failed).select("run").collect()}
+
+    def add(self, run: str, row: tuple) -> None:
+        frame = self.spark.createDataFrame([row], RESULT_SCHEMA)
+        frame.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/run={run}")
+
+
 @dataclass(frozen=True)
 class Run:
     """One row of the run plan."""
@@ -56,6 +88,12 @@ class Run:
     model: str
     params: dict = field(hash=False)
 
+    def key(self, *context) -> str:
+        """Hash of the run and of what else decides its result."""
+        spans = [str(d) for d in (self.split.train_start, self.split.train_end, self.split.test_start, self.split.test_end)]
+        text = json.dumps([spans, self.labels, self.features, self.outcome, self.model, sorted(self.params.items()), context], default=str)
+        return hashlib.md5(text.encode()).hexdigest()
+
 
 def plan_runs(
     splits: Sequence[Split], feature_subsets: Sequence[Mapping], outcomes: Sequence[str], models: Sequence[str],
@@ -114,10 +152,14 @@ def store_outputs(
 
 def run_models(
     panel: DataFrame, runs: Sequence[Run], entity: str, period: str, seed: int = 0, parallel: int = 2,
-    output: str | None = None, bias_attributes: Sequence[str] = (),
+    output: str | None = None, bias_attributes: Sequence[str] = (), ledger: str | None = None,
 ) -> DataFrame:
     """Fit and score every planned run; one result row each.
 
+    Results are stored in the `ledger` folder as they come (a fresh one if none is given), so nothing
+    is held on the driver, and runs that it already has for the same plan and seed are not made
+    again. Give the same ledger only for the same panel. A query that Spark rejects stops the batch.
+
     With `output`, every fitted run also stores its importances or tree, its precision-recall table,
     the scored features by entity and period, and (runs with all feature sets) the binned audit input.
     Training rows of one class are not fitted: every test row gets that class as its score. A run that
@@ -133,27 +175,34 @@ def run_models(
     groups: dict = {}
     for r in runs:
         groups.setdefault((r.split, r.outcome), []).append(r)
-    rows: list = [None] * len(runs)
+    book = Ledger(spark, ledger or scratch_path(spark, "ledger"))
     position = {id(r): i for i, r in enumerate(runs)}
+    keys = {id(r): r.key(entity, period, seed) for r in runs}
+    finished = book.finished() if ledger else set()
     for (split, outcome), members in groups.items():
+        members = [r for r in members if keys[id(r)] not in finished]
+        if not members:
+            continue
         needed = list(dict.fromkeys(f for r in members for f in r.features))
         lag = [f"{outcome}_lag"] if any(r.model == "BASELINE_PRIOR" for r in members) else []
         columns = list(dict.fromkeys(["__id", entity, period, outcome, *needed, *lag]))
         train, test = apply_split(dated, split, "__date", outcome, columns)
-        train, test = fill_median(train, needed).cache(), fill_median(test, needed).cache()
+        train, test = (half.cache() for half in fill_median_halves(train, test, needed))
         n_train, ones = train.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col(outcome).cast("long")), F.lit(0))).first()
         spans = (split.train_start, split.train_end), (split.test_start, split.test_end)
 
         def record(r: Run, model, stored: str | None, m: Mapping) -> None:
-            rows[position[id(r)]] = (
+            book.add(keys[id(r)], (
                 *spans, r.model, type(model).__name__ if model is not None else r.model,
                 {k: str(v) for k, v in r.params.items()}, list(r.labels), outcome, stored, m.get("auc_roc"),
                 *[m.get(c) for c in _AT],
-            )
+            ))
 
         def one(r: Run):
             try:
                 fit(r)
+            except AnalysisException:  # a wrong column or type is the caller's mistake in every run
+                raise
             except Exception as e:  # the run is recorded as failed
                 record(r, None, f"failed: {type(e).__name__}: {str(e)[:200]}", {})
 
@@ -184,13 +233,14 @@ def run_models(
             list(pool.map(one, members))
         train.unpersist()
         test.unpersist()
-    return spark.createDataFrame(rows, RESULT_SCHEMA)
+    wanted = spark.createDataFrame([(keys[id(r)],) for r in runs], "run string").distinct()
+    return book.rows().join(wanted, "run", "left_semi").drop("run")
 
 
 def run_phase(
     panel: DataFrame, phase: Mapping, start: dt.date, end: dt.date, window: int | Sequence[int], feature_subsets: Sequence[Mapping],
     outcomes: Sequence[str], entity: str, period: str, seed: int = 0, parallel: int = 2,
-    output: str | None = None, bias_attributes: Sequence[str] = (),
+    output: str | None = None, bias_attributes: Sequence[str] = (), ledger: str | None = None,
 ) -> DataFrame:
     """One phase: its models over all splits of every window and all feature sets, then the two baselines."""
     windows = [window] if isinstance(window, int) else window
@@ -199,7 +249,7 @@ def run_phase(
     prior = [{"labels": ["prior_year"], "features": [f"{y}_lag" for y in outcomes]}]
     runs += plan_runs(splits, prior, outcomes, BASELINES, phase["grid"])
     out = output if phase["latest"] else None
-    return run_models(panel, runs, entity, period, seed, parallel, out, bias_attributes)
+    return run_models(panel, runs, entity, period, seed, parallel, out, bias_attributes, ledger)
 
 
 def run_phases(panel: DataFrame, phases: Sequence[Mapping] = PHASES, **kwargs) -> DataFrame:

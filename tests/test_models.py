@@ -13,6 +13,8 @@ from panelkit.operators import neighbours
 from panelkit.operators.neighbours import cross_validated_accuracy, nearest, visited_share, vote
 from panelkit.plans.models import (
     assemble,
+    bagging_draws,
+    chosen_features,
     class1_score,
     estimator,
     fit_score,
@@ -20,7 +22,7 @@ from panelkit.plans.models import (
     random_baseline,
     tree_table,
 )
-from panelkit.plans.runs import BASELINES, plan_frame, plan_runs, run_models, run_phases
+from panelkit.plans.runs import BASELINES, Ledger, plan_frame, plan_runs, run_models, run_phases
 from panelkit.plans.splits import hash_folds, hash_split, rolling_splits
 from panelkit.plans.trees import node_table, path_sql, score_by_nodes
 from panelkit.session import scratch_path
@@ -135,10 +137,56 @@ def test_models_learn(frames, key, params):
 def test_bagging(frames):
     train, test = frames
     models, scored = fit_score("BAG", {"n_estimators": 3, "max_samples": 5, "max_features": 2}, train, test, "id", 200)
-    assert len(models) == 3 and all(len(c) == 2 for c, _ in models)
+    assert models.select("tree").distinct().count() == 3
+    assert all(r.n <= 2 for r in models.groupBy("tree").agg(F.count_distinct("feature_index").alias("n")).collect())
     assert scored.where("score between 0 and 1").count() == 40
 
 
+def _brute_tree(rows, chosen):
+    """A full tree as nested tuples: every split of every chosen feature is tried."""
+    ones = sum(y for _, y in rows)
+
+    def gini(part):
+        k = sum(y for _, y in part)
+        return 2 * k * (len(part) - k) / len(part)
+
+    splits = []
+    if 0 < ones < len(rows):
+        for place, f in enumerate(chosen):
+            values = sorted({x[f] for x, _ in rows})
+            for a, b in zip(values, values[1:]):
+                t = (a + b) / 2
+                sides = [[r for r in rows if r[0][f] <= t], [r for r in rows if r[0][f] > t]]
+                splits.append((round(sum(map(gini, sides)), 9), place, t, f, sides))
+    if not splits:
+        return ones / len(rows)
+    _, _, t, f, sides = min(splits, key=lambda s: s[:3])
+    return f, t, _brute_tree(sides[0], chosen), _brute_tree(sides[1], chosen)
+
+
+def test_bagged_trees_and_scores_equal_brute_force(frames):
+    train, test = frames
+    trees, rows_, width = 100, 10, 2
+    params = {"n_estimators": trees, "max_samples": rows_, "max_features": width}
+    nodes, scored = fit_score("BAG", params, train, test, "id", 200, seed=4)
+    samples = {}
+    for r in bagging_draws(train, "id", trees, rows_, 4).orderBy("draw").collect():
+        samples.setdefault(r.tree, []).append((r.v, r.label))
+    assert {len(s) for s in samples.values()} == {rows_} and len(samples) == trees
+    want = {t: _brute_tree(s, chosen_features(4, t, width, 3)) for t, s in samples.items()}
+
+    def value(tree, x):
+        while isinstance(tree, tuple):
+            tree = tree[2] if x[tree[0]] <= tree[1] else tree[3]
+        return tree
+
+    by = {r.id: r.v for r in test.select("id", vector_to_array("features").alias("v")).collect()}
+    for r in scored.collect():
+        assert r.score == pytest.approx(sum(value(t, by[r.id]) for t in want.values()) / trees)
+    roots = {r.tree: r.feature_index for r in nodes.where("id = 0").collect()}
+    assert roots == {t: tree[0] if isinstance(tree, tuple) else None for t, tree in want.items()}
+
+
 def test_importance_and_tree(spark, frames):
     train, _ = frames
     table = importance_table(spark, estimator("RF", {}, 200).fit(train), ["f0", "f1", "f2"], "RF")
@@ -209,6 +257,43 @@ def test_run_models_writes_results_and_outputs(spark, small_panel):
     assert set(bias.columns) == {"x_bins", "label_value", "score"} and bias.count() == 60
 
 
+def test_a_stopped_batch_goes_on_from_its_ledger(spark, small_panel, monkeypatch):
+    import panelkit.plans.runs as module
+
+    splits = rolling_splits(dt.date(2000, 1, 1), dt.date(2005, 1, 1), 12)
+    runs = plan_runs(splits, [{"labels": ["a"], "features": ["x", "z"]}], ["top"], ["NB", *BASELINES], 0)
+    path, fitted, real = scratch_path(spark, "ledger"), [], module.score_metrics
+    state = {"stop": 4}
+
+    def counted(scored, key):
+        fitted.append(1)
+        if len(fitted) > state["stop"]:
+            raise KeyboardInterrupt
+        return real(scored, key)
+
+    monkeypatch.setattr(module, "score_metrics", counted)
+    with pytest.raises(KeyboardInterrupt):
+        run_models(small_panel, runs, "g", "year", parallel=1, ledger=path)
+    done = len(Ledger(spark, path).finished())
+    assert done == 4
+    state["stop"] = 10**9
+    fitted.clear()
+    out = run_models(small_panel, runs, "g", "year", parallel=2, ledger=path)
+    assert len(fitted) == len(runs) - done
+    whole = run_models(small_panel, runs, "g", "year")
+    assert rows(out, "testing_dates", "model_key", "auc_roc", "p_at_10") == rows(whole, "testing_dates", "model_key", "auc_roc", "p_at_10")
+    assert out.count() == len(runs)
+    # Another seed is another run; a failed one is made again.
+    fitted.clear()
+    run_models(small_panel, runs[:1], "g", "year", seed=9, ledger=path)
+    assert len(fitted) == 1
+    monkeypatch.setattr(module, "score_metrics", lambda *a: 1 / 0)
+    failed = scratch_path(spark, "ledger")
+    assert run_models(small_panel, runs[:1], "g", "year", ledger=failed).first().model_result.startswith("failed")
+    monkeypatch.setattr(module, "score_metrics", real)
+    assert run_models(small_panel, runs[:1], "g", "year", ledger=failed).first().model_result is None
+
+
 def test_phases(spark, small_panel):
     plan = [{"name": "p1", "models": ["NB"], "grid": 0, "latest": False}, {"name": "p3", "models": ["BASELINE_DT"], "grid": 2, "latest": True}]
     out = run_phases(small_panel, plan, start=dt.date(2002, 1, 1), end=dt.date(2005, 1, 1), window=12,
@@ -265,5 +350,4 @@ def test_bagging_draws_any_row(frames):
     train, _ = frames
     params = {"n_estimators": 2, "max_samples": 5, "max_features": 2}
     first, again = (fit_score("BAG", params, t, t, "id", 200)[0] for t in (train, train.repartition(3)))
-    assert [c for c, _ in first] == [c for c, _ in again]
-    assert [m.toDebugString.split("\n", 1)[1] for _, m in first] == [m.toDebugString.split("\n", 1)[1] for _, m in again]
+    assert rows(first) == rows(again)

@@ -7,7 +7,7 @@ from operator import and_
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from panelkit.operators.clean import fill_median
+from panelkit.operators.clean import fill_median_halves
 from panelkit.operators.neighbours import (
     cross_validated_accuracy,
     evaluation_grid,
@@ -154,7 +154,7 @@ def train_test(spark, folder):
     # Medians, training and test rows all read the panel, so it is written once first.
     panel = materialise(panel.withColumn("id", F.col("custkey") * 10000 + F.col("year")))
     # Learners read the training rows many times over.
-    train, test = (materialise(fill_median(half, FEATURES)) for half in split_halves(spark, folder, panel))
+    train, test = (materialise(half) for half in fill_median_halves(*split_halves(spark, folder, panel), FEATURES))
     return assemble(train, FEATURES, "top20", ["id"]), assemble(test, FEATURES, "top20", ["id"])
 
 
@@ -223,8 +223,8 @@ _PDF = " + ".join(
  SELECT custkey, label, round(1 / (1 + exp(max(lp) FILTER (WHERE c = 0) - max(lp) FILTER (WHERE c = 1))), 5) AS score FROM s GROUP BY 1, 2""")
 def gnb(spark, folder):
     panel = materialise(model_panel(spark, folder).select("custkey", "year", "top20", *_NB_FEATURES))
-    train, test = (assemble(fill_median(half, _NB_FEATURES), _NB_FEATURES, "top20", ["custkey"])
-                   for half in split_halves(spark, folder, panel))
+    train, test = (assemble(half, _NB_FEATURES, "top20", ["custkey"])
+                   for half in fill_median_halves(*split_halves(spark, folder, panel), _NB_FEATURES))
     _, scored = fit_score("NB", {}, train, test, "custkey", 0)
     return scored.select("custkey", "label", F.round("score", 5).alias("score"))
 
@@ -267,7 +267,8 @@ def _side_sql(node, name, op):
 def _tree_rows(spark, folder, features=_NB_FEATURES):
     panel = model_panel(spark, folder).withColumn("label", (F.col("finished") > 0).cast("int"))
     panel = materialise(panel.select("custkey", "year", "label", *_NB_FEATURES))
-    return [assemble(fill_median(half, _NB_FEATURES), features, "label", ["custkey"]) for half in split_halves(spark, folder, panel)]
+    halves = fill_median_halves(*split_halves(spark, folder, panel), _NB_FEATURES)
+    return [assemble(half, features, "label", ["custkey"]) for half in halves]
 
 
 @query("gbt_root", f"""WITH {_TREE_ROWS}, {_split_sql('s', 'SELECT * FROM t')}
