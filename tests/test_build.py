@@ -5,7 +5,7 @@ from helpers import rows
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelkit.plans.build import build_panel
+from panelkit.plans.build import build_panel, build_periods, extend_panel
 from panelkit.plans.catalogue import feature_sets
 from panelkit.session import checkpoint_dir, scratch_path
 from panelkit.sources.files import (
@@ -41,14 +41,19 @@ def _panel(spark, codes):
     return spark.createDataFrame(data, PANEL_SCHEMA)
 
 
-@pytest.fixture(scope="module")
-def built(spark):
+def _inputs(spark):
     tracts = _panel(spark, sorted({c[:11] for c in GROUPS}))
     permits = spark.createDataFrame(
         [(y, "17", "031", "2", "3", 5 * (y - 1999), 7, 9.0, "17031") for y in YEARS], PERMIT_SCHEMA)
-    homes = spark.createDataFrame([(2004, GROUPS[0], 2.5)], HOUSEHOLD_SCHEMA)
+    homes = spark.createDataFrame(
+        [(2004, GROUPS[0], 2.5), (2002, GROUPS[0], 2.0), (1999, GROUPS[0], 1.0), (2004, GROUPS[1], 3.5), (2007, GROUPS[0], 4.0)], HOUSEHOLD_SCHEMA)
     urban = spark.createDataFrame([(1, 17, 31, 17031)], URBAN_SCHEMA)
-    return build_panel(_panel(spark, GROUPS), tracts, permits, homes, urban).cache()
+    return _panel(spark, GROUPS), tracts, permits, homes, urban
+
+
+@pytest.fixture(scope="module")
+def built(spark):
+    return build_panel(*_inputs(spark)).cache()
 
 
 def test_panel_has_every_catalogued_feature(built):
@@ -89,6 +94,29 @@ def test_panel_label_share(built):
         assert r.top == -(-r.n // 5)
 
 
+def test_household_features_and_moves(built):
+    r = {y: built.where(f"geo_id = '{GROUPS[0]}' and year = {y}").first() for y in (2004, 2007)}
+    assert (r[2004].avg_hh_size_tr, r[2007].avg_hh_size_tr) == (3.0, 4.0)
+    assert r[2007].avg_hh_size_avg_5yr == pytest.approx((2.0 + 2.5) / 2) and r[2007].avg_hh_size_pct_change_5yr == pytest.approx(100.0)
+    assert r[2007].avg_hh_size_avg_5yr_tr == pytest.approx((2.0 + 3.0) / 2)
+    moves = built.where("top20_num_lag is not null").select((F.col("top20_num") - F.col("top20_num_lag")).alias("d"), "top20_num_01", "top20_num_10")
+    assert all((m.top20_num_01, m.top20_num_10) == (int(m.d == 1), int(m.d == -1)) for m in moves.collect())
+    assert built.where("top20_num_lag is null and top20_num_01 is not null").count() == 0
+
+
+def test_incremental_builds_equal_the_whole_one(spark, built):
+    inputs = _inputs(spark)
+    columns = sorted(built.columns)
+    part = build_periods(*inputs, 2005)
+    assert rows(part, *columns) == rows(built.where("year > 2005"), *columns)
+    path = scratch_path(spark, "panel")
+    early = [df.where("year <= 2003") for df in inputs[:4]]
+    extend_panel(path, *early, inputs[4])
+    assert extend_panel(path, *inputs).count() == built.count()
+    stored = extend_panel(path, *inputs)  # nothing new
+    assert rows(stored, *columns) == rows(built, *columns)
+
+
 def test_csv_sources(spark):
     df = spark.createDataFrame([(1, "a,b", None), (2, 'q"t', 2.5)], "k int, s string, x double")
     path = scratch_path(spark, "csv")

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from panelkit.functions.scalars import SAMPLE_STATES
-from panelkit.plans.build import build_panel
+from panelkit.plans.build import build_panel, build_periods
 from panelkit.plans.catalogue import SLOW_MEASURES
 from panelkit.sources.files import table
 from workload.base import CY, customer_keys, customer_years, query, rounded
@@ -32,8 +32,8 @@ FULL = f"""WITH g AS (SELECT lpad(CAST(c_nationkey AS VARCHAR), 2, '0') || lpad(
  JOIN lab ON lab.geo_id = f.geo_id AND lab.year = f.year LEFT JOIN lab lb ON lb.geo_id = f.geo_id AND lb.year = f.year - 1"""
 
 
-@query("full_panel", FULL)
-def full_panel(spark, folder):
+def panel_inputs(spark, folder):
+    """Block groups, tracts, permits, household sizes and urban counties, made from the order tables."""
     key = F.col("custkey")
     block = F.floor(key / 4)
     code = F.concat(
@@ -55,7 +55,45 @@ def full_panel(spark, folder):
     )
     homes = groups.select("geo_id", "year", F.col("eviction_filings").alias("avg_size"))
     urban = table(spark, folder, "nation").select((F.col("n_nationkey") * 1000 + 3).alias("GEOID"))
-    out = build_panel(groups, tracts, permits, homes, urban)
+    return groups, tracts, permits, homes, urban
+
+
+@query("full_panel", FULL)
+def full_panel(spark, folder):
+    out = build_panel(*panel_inputs(spark, folder))
+    made = ["evictions_avg_3yr_lag", "evictions_pct_change_1yr_lag"]
+    return rounded(out, *made).select(
+        "geo_id", "year", "evictions_lag", *made, "population_tr", "evictions_lag_tr", "avg_hh_size", "total_bldg", "urban",
+        "div_sa", "top20_num", "e_num_inc_20pct", "top20_num_lag",
+    )
+
+
+_HOME = FULL[:FULL.index(" SELECT f.geo_id, f.year, p.ev")] + f""",
+ hm AS (SELECT a.geo_id, a.year, a.tract, a.fil, (SELECT avg(m.fil) FROM k m WHERE m.geo_id = a.geo_id AND m.year BETWEEN a.year - 5 AND a.year - 1) AS mean5,
+ {change_sql('a.fil', 'b.fil')} AS ch5 FROM k a LEFT JOIN k b ON b.geo_id = a.geo_id AND b.year = a.year - 5),
+ th AS (SELECT substr(geo_id, 1, 11) AS tract, year, avg(fil) AS fil FROM g GROUP BY 1, 2),
+ tm AS (SELECT a.tract, a.year, a.fil, (SELECT avg(m.fil) FROM th m WHERE m.tract = a.tract AND m.year BETWEEN a.year - 5 AND a.year - 1) AS mean5 FROM th a),
+ allrows AS (SELECT hm.geo_id, hm.year, hm.mean5 AS avg_hh_size_avg_5yr, hm.ch5 AS avg_hh_size_pct_change_5yr, tm.fil AS avg_hh_size_tr,
+ tm.mean5 AS avg_hh_size_avg_5yr_tr, CAST(lab.top20_num - lb.top20_num = 1 AS INTEGER) AS top20_num_01, CAST(lab.top20_num - lb.top20_num = -1 AS INTEGER) AS top20_num_10
+ FROM hm LEFT JOIN tm ON tm.tract = hm.tract AND tm.year = hm.year JOIN lab ON lab.geo_id = hm.geo_id AND lab.year = hm.year
+ LEFT JOIN lab lb ON lb.geo_id = hm.geo_id AND lb.year = hm.year - 1)
+ SELECT geo_id, year, round(avg_hh_size_avg_5yr, 6) AS avg_hh_size_avg_5yr, round(avg_hh_size_pct_change_5yr, 6) AS avg_hh_size_pct_change_5yr,
+ round(avg_hh_size_tr, 6) AS avg_hh_size_tr, round(avg_hh_size_avg_5yr_tr, 6) AS avg_hh_size_avg_5yr_tr, top20_num_01, top20_num_10 FROM allrows"""
+_HOME_COLUMNS = ["avg_hh_size_avg_5yr", "avg_hh_size_pct_change_5yr", "avg_hh_size_tr", "avg_hh_size_avg_5yr_tr", "top20_num_01", "top20_num_10"]
+_AFTER = 1996
+
+
+@query("full_panel_homes", _HOME)
+def full_panel_homes(spark, folder):
+    """Household-size features of both levels and the moves of the label, of the whole panel."""
+    out = build_panel(*panel_inputs(spark, folder))
+    return rounded(out, *_HOME_COLUMNS[:4]).select("geo_id", "year", *_HOME_COLUMNS)
+
+
+@query("full_panel_since", f"{FULL.replace(' SELECT f.geo_id, f.year, p.ev', ', whole AS (SELECT f.geo_id, f.year, p.ev')}) SELECT * FROM whole WHERE year > {_AFTER}")
+def full_panel_since(spark, folder):
+    """The periods after a watermark, built from the periods they look back to."""
+    out = build_periods(*panel_inputs(spark, folder), _AFTER)
     made = ["evictions_avg_3yr_lag", "evictions_pct_change_1yr_lag"]
     return rounded(out, *made).select(
         "geo_id", "year", "evictions_lag", *made, "population_tr", "evictions_lag_tr", "avg_hh_size", "total_bldg", "urban",
