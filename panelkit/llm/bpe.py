@@ -34,7 +34,10 @@ from panelkit.llm.wordcache import ChunkCache, slices
 _END = "\ue000"
 _NEVER = 1 << 60
 CACHED = 200_000
-PAIRS_KEPT = 1_000_000
+PAIRS_KEPT = 300_000
+PIECES_KEPT = 200_000
+# Chunks are prepared in one text, parted by this character where they do not hold it.
+_PART = "\x01"
 
 
 class PrefixBpe:
@@ -65,7 +68,10 @@ class PrefixBpe:
             if body:
                 self.automaton.add_word(body + _END if ends else body, (i, len(body)))
         self.automaton.make_automaton()
+        # Pieces that are the text of one token.
+        self.whole = {s[:len(s) - len(self.suffix)]: i for s, i in vocab.items() if s.endswith(self.suffix)}
         self.fits: dict[tuple[int, int], bool] = {}
+        self.known: dict[str, tuple[bytes, bytes]] = {}
         self.sound: dict[int, bool] = {}
         from tokenizers import Tokenizer
 
@@ -119,6 +125,9 @@ class PrefixBpe:
 
     def encode_piece(self, piece: str) -> list[int]:
         """Ids of one pre-token."""
+        whole = self.whole.get(piece)
+        if whole is not None and self.is_sound(whole):
+            return [whole]  # it is the last token of the whole piece, and nothing stands before it
         n = len(piece)
         last = [-1] * (n + 1)
         start_of = [0] * (n + 1)
@@ -151,6 +160,36 @@ class PrefixBpe:
                     out.extend(self.encode_piece(piece))
         return out
 
+    def packed_piece(self, piece: str) -> tuple[bytes, bytes]:
+        """Packed ids and decoded text of one pre-token; many chunks share their pieces."""
+        found = self.known.get(piece)
+        if found is None:
+            if len(self.known) > PIECES_KEPT:
+                self.known.clear()
+            ids = self.encode_piece(piece)
+            found = self.known[piece] = np.array(ids, "<u4").tobytes(), self.decode(ids).encode("utf-8")
+        return found
+
+    def packed_chunks(self, chunks: list[str]) -> list[tuple[bytes, bytes]]:
+        """Packed ids and decoded text of white-space separated chunks, normalised and split in one text."""
+        part = [p for p, _ in self.pieces(self.normalise(_PART))]
+        found: dict[str, tuple[bytes, bytes]] = {}
+        plain = [c for c in chunks if _PART not in c and not (self.cut and self.cut.search(c))] if len(part) == 1 else []
+        if plain:
+            text, held, at = f" {_PART} ".join(plain), [], 0
+            for piece, _ in self.pieces(self.normalise(text)):
+                if piece == part[0]:
+                    found[plain[at]] = b"".join([h[0] for h in held]), b" ".join([h[1] for h in held])
+                    held, at = [], at + 1
+                else:
+                    held.append(self.known.get(piece) or self.packed_piece(piece))
+            found[plain[at]] = b"".join([h[0] for h in held]), b" ".join([h[1] for h in held])
+        for c in chunks:
+            if c not in found:
+                ids = self.encode(c)
+                found[c] = np.array(ids, "<u4").tobytes(), self.decode(ids).encode("utf-8")
+        return [found[c] for c in chunks]
+
     def decode(self, ids: list[int]) -> str:
         return " ".join([self.strings[i] for i in ids])
 
@@ -165,8 +204,7 @@ def chunk_cache(tokenizer: str) -> ChunkCache:
         codec = PrefixBpe(tokenizer_file(tokenizer))
 
         def encode(chunks: list[bytes]) -> list[tuple[bytes, bytes]]:
-            found = [codec.encode(c.decode("utf-8")) for c in chunks]
-            return [(np.array(ids, "<u4").tobytes(), codec.decode(ids).encode("utf-8")) for ids in found]
+            return codec.packed_chunks([c.decode("utf-8") for c in chunks])
 
         _CODECS[tokenizer] = ChunkCache(encode, CACHED)
     return _CODECS[tokenizer]

@@ -2,6 +2,7 @@
 
 import functools
 import hashlib
+import random
 import zlib
 
 import numpy as np
@@ -102,3 +103,15 @@ def test_row_groups_have_page_indexes(spark, tmp_path):
     tokens.write_tokens(docs(spark), str(path))
     column = pq.ParquetFile(next(path.glob("*.parquet"))).metadata.row_group(0).column(0)
     assert column.has_offset_index and column.has_column_index
+
+
+def test_chunks_prepared_together_equal_the_library():
+    library, codec = both()
+    rng = random.Random(12)
+    alphabet = ["a", "B", "the", "ing", "é", "e\u0301", "ß", "漢", "😀", "1", "23", "-", "'s", ".", "\x01", "\u00a0", "\u2028", "\x00", "_", *list(codec.special)[:3]]
+    chunks = list(dict.fromkeys("".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 9))) for _ in range(3000)))
+    for chunk, (ids, text) in zip(chunks, codec.packed_chunks(chunks)):
+        want = library.encode(chunk, add_special_tokens=False).ids
+        assert np.frombuffer(ids, "<u4").tolist() == want, chunk
+        assert text.decode("utf-8") == library.decode(want, skip_special_tokens=False)
+    assert codec.packed_chunks([]) == []
