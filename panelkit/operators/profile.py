@@ -172,12 +172,15 @@ def _pair_moments(df: DataFrame, columns: Sequence[str]) -> np.ndarray:
     column mean first, so the sums stay well conditioned. What reaches the driver depends on the
     number of columns only.
     """
-    means = df.agg(*[F.avg(_num(c)).alias(c) for c in columns]).first()
-    known = [_num(c).isNotNull() & ~F.isnan(_num(c)) for c in columns]
-    x = [F.when(k, _num(c) - F.lit(means[c])).otherwise(F.lit(0.0)) for c, k in zip(columns, known)]
-    flags = [k.cast("double") for k in known]
-    vector = array_to_vector(F.array(*x, *[v * v for v in x], *flags)).alias("v")
-    gram = RowMatrix(MLUtils.convertVectorColumnsFromML(df.select(vector), "v")).computeGramianMatrix().toArray()
+    means = df.agg(*[F.avg(F.when(~F.isnan(_num(c)), _num(c))).alias(c) for c in columns]).first()
+    # One array per row keeps the generated code small for many columns.
+    centred = F.zip_with(F.array(*map(_num, columns)), F.array(*[F.lit(means[c]).cast("double") for c in columns]), lambda a, m: a - m)
+    known = F.transform(centred, lambda a: F.when(F.isnan(a), F.lit(None)).otherwise(a))
+    rows = df.select(known.alias("x"))
+    x = F.transform("x", lambda a: F.coalesce(a, F.lit(0.0)))
+    flags = F.transform("x", lambda a: a.isNotNull().cast("double"))
+    vector = array_to_vector(F.concat(x, F.transform(x, lambda a: a * a), flags)).alias("v")
+    gram = RowMatrix(MLUtils.convertVectorColumnsFromML(rows.select(vector), "v")).computeGramianMatrix().toArray()
     n = len(columns)
     xs, squares, ones = (slice(i * n, (i + 1) * n) for i in range(3))
     return np.stack([gram[ones, ones], gram[xs, ones], gram[ones, xs], gram[squares, ones], gram[ones, squares], gram[xs, xs]])
