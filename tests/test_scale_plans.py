@@ -254,3 +254,18 @@ def test_sample_keeps_whole_entities(spark, skewed):
     assert len(kept) <= 2
     assert out.count() == skewed.where(F.col("g").isin([k for k in kept if k])).count()
     assert rows(out) == rows(sample_entities(skewed.repartition(3), "g", 2, 9))
+
+
+def test_profile_counts_distincts_exactly_and_by_merged_sketches(spark, skewed):
+    from panelkit.operators.profile import dataset_profile, distinct_sketches, merged_distincts
+
+    truth = {c: skewed.select(c).where(F.col(c).isNotNull()).distinct().count() for c in skewed.columns}
+    profile = dataset_profile(skewed)
+    assert {r.variable: r.distinct for r in profile.collect()} == truth
+    # The one that is there turns the single row of results into rows; none stands below an aggregate.
+    assert profile._jdf.queryExecution().optimizedPlan().toString().count("Expand [") == 1
+    merged = merged_distincts(distinct_sketches(skewed, "g")).collect()
+    assert {r.variable for r in merged} == {"id", "x", "y"}
+    assert all(abs(r.distinct - truth[r.variable]) <= 0.05 * truth[r.variable] for r in merged)
+    approximate = {r.variable: r.distinct for r in dataset_profile(skewed, approximate=True).collect()}
+    assert all(abs(approximate[c] - truth[c]) <= max(1, 0.06 * truth[c]) for c in truth)
