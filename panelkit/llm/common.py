@@ -66,3 +66,9 @@ def fresh(df: DataFrame, name: str) -> str:
     while name in df.columns:
         name = f"_{name}"
     return name
+
+
+def hash_bound(n: int, most: int) -> int:
+    """A 64-bit hash under which at least `most` of `n` rows lie, and few more: ten standard deviations are added."""
+    wanted = most + 10 * most ** 0.5 + 100
+    return (1 << 63) - 1 if wanted >= n else int(-(1 << 63) + wanted / n * (1 << 64))

@@ -18,7 +18,7 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelkit.llm.common import SPACES, WORD_GAP, fresh, let, pin
+from panelkit.llm.common import SPACES, WORD_GAP, fresh, hash_bound, let, pin
 
 # Hash buckets of the n-grams: the width of the two multinomials.
 BUCKETS = 1 << 14
@@ -44,9 +44,13 @@ def ngram_hashes(text: Column) -> Column:
 
 
 def trusted_ids(labels: DataFrame, most: int = TRUSTED_ROWS) -> DataFrame:
-    """Ids labelled as good, at most `most` of them, chosen by hash; bounded, so safe to broadcast."""
+    """Ids labelled as good, at most `most` of them, chosen by hash; bounded, so safe to broadcast.
+
+    The ids are counted first, so that only those under a hash bound, hardly more than `most`, are ordered.
+    """
     good = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    h = F.xxhash64("doc_id")
+    return good.where(h <= F.lit(hash_bound(good.count(), most))).orderBy(h, "doc_id").limit(most)
 
 
 def fit_ratio(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, id_col: str = "doc_id",
@@ -111,7 +115,7 @@ def annotate(df: DataFrame, weights: DataFrame, into: str, text_col: str = "text
 
     `into` must not be a column of the frame.
     """
-    text, w, g = f"__{into}_text", f"__{into}_w", f"__{into}_g"
+    text, w, g = (fresh(df, f"__{into}_{n}") for n in ("text", "w", "g"))
     out = df.withColumn(text, F.coalesce(F.col(text_col), F.lit("")))
     out = out.withColumns({
         w: F.array_remove(F.split(F.col(text), WORD_GAP, -1), ""), g: ngram_hashes(F.col(text)),
