@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelkit.llm.common import encoded
+from panelkit.llm.common import encoded, hash_bound
 from panelkit.llm.near_dedup import hashed_words
 
 SAMPLE_PAGES = 256
@@ -33,6 +33,8 @@ PATH_WIDTH = 512
 WORD_WIDTH = 32
 MEASURES = 5
 HIDDEN = 16
+# Most padded blocks of the pages that are labelled side by side, and of a piece of one long page.
+CELLS = 1 << 14
 TRAIN_STEPS = 240
 BATCH = 16
 
@@ -199,14 +201,21 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def _inputs(batch: Batch, model, d: str) -> np.ndarray:
-    paths = np.add.reduceat(model[f"path_{d}"][batch.flat], batch.starts, axis=0) if len(batch.starts) else np.zeros((0, 4 * HIDDEN), np.float32)
-    return paths + batch.dense @ model[f"dense_{d}"]
+def _inputs(batch: Batch, model, d: str, blocks: slice = slice(None)) -> np.ndarray:
+    """Gate inputs of all blocks, or of a run of them."""
+    starts = batch.starts[blocks]
+    if not len(starts):
+        return np.zeros((0, 4 * HIDDEN), np.float32)
+    end = len(batch.flat) if blocks.stop is None or blocks.stop >= len(batch.starts) else batch.starts[blocks.stop]
+    paths = np.add.reduceat(model[f"path_{d}"][batch.flat[starts[0]:end]], starts - starts[0], axis=0)
+    return paths + batch.dense[blocks] @ model[f"dense_{d}"]
 
 
-def _scan(x: np.ndarray, mask: np.ndarray, back: np.ndarray, keep: list | None) -> np.ndarray:
-    """LSTM over x [time, page, 4 * HIDDEN]; a masked step leaves the state as it is."""
+def _scan(x: np.ndarray, mask: np.ndarray, back: np.ndarray, keep: list | None, state=None) -> np.ndarray:
+    """LSTM over x [time, page, 4 * HIDDEN]; a masked step leaves the state as it is. `state` (h, c) is carried on in place."""
     h = c = np.zeros((x.shape[1], HIDDEN), np.float32)
+    if state is not None:
+        h, c = state
     out = np.zeros((x.shape[0], x.shape[1], HIDDEN), np.float32)
     for t in range(x.shape[0]):
         z = x[t] + h @ back
@@ -219,6 +228,8 @@ def _scan(x: np.ndarray, mask: np.ndarray, back: np.ndarray, keep: list | None)
             keep.append((h, c, i, f, o, g, c2, m))
         c, h = np.where(m, c2, c), np.where(m, h2, h)
         out[t] = h
+    if state is not None:
+        state[:] = h, c
     return out
 
 
@@ -232,19 +243,45 @@ def _padded(batch: Batch, rows: np.ndarray):
 
 
 def probabilities(batch: Batch, model) -> np.ndarray:
-    """Probability of content of every block, pages of like length side by side."""
+    """Probability of content of every block.
+
+    Pages of like length go side by side, at most 64 of them and CELLS padded blocks; a page of more blocks
+    than that goes alone, in pieces that carry the state on.
+    """
     out = np.zeros(sum(batch.sizes), np.float32)
-    order = [i for i in np.argsort(batch.sizes, kind="stable") if batch.sizes[i]]
-    forward, backward = _inputs(batch, model, "f"), _inputs(batch, model, "b")
-    for i in range(0, len(order), 64):
-        at, mask = _padded(batch, np.array(order[i:i + 64]))
+    first = np.concatenate(([0], np.cumsum(batch.sizes))).astype(np.int64)
+    short = [i for i in np.argsort(batch.sizes, kind="stable").tolist() if 0 < batch.sizes[i] <= CELLS]
+    forward, backward = ((_inputs(batch, model, d) for d in "fb") if short else (None, None))
+    i = 0
+    while i < len(short):
+        j = i + 1
+        while j < len(short) and j - i < 64 and (j + 1 - i) * batch.sizes[short[j]] <= CELLS:
+            j += 1
+        at, mask = _padded(batch, np.array(short[i:j]))
         hf = _scan(forward[at], mask, model["back_f"], None)
         hb = _scan(backward[at][::-1], mask[::-1], model["back_b"], None)[::-1]
         p = _sigmoid(np.concatenate((hf, hb), axis=2) @ model["out"] + model["bias"])
         out[at[mask]] = p[mask]
+        i = j
+    for page in np.flatnonzero(np.array(batch.sizes) > CELLS).tolist():
+        out[first[page]:first[page + 1]] = _long_page(batch, model, int(first[page]), int(first[page + 1]))
     return out
 
 
+def _long_page(batch: Batch, model, start: int, end: int) -> np.ndarray:
+    """Probabilities of one page's blocks, CELLS at a time in both directions."""
+    logits = np.zeros(end - start, np.float32)
+    cuts = list(range(start, end, CELLS))
+    for d, pieces, step in (("f", cuts, 1), ("b", cuts[::-1], -1)):
+        state = [np.zeros((1, HIDDEN), np.float32)] * 2
+        part = model["out"][:HIDDEN] if d == "f" else model["out"][HIDDEN:]
+        for at in pieces:
+            x = _inputs(batch, model, d, slice(at, min(at + CELLS, end)))[::step][:, None, :]
+            h = _scan(x, np.ones((len(x), 1), bool), model[f"back_{d}"], None, state)
+            logits[at - start:at - start + len(x)] += (h[:, 0] @ part)[::step]
+    return _sigmoid(logits + model["bias"])
+
+
 def _scan_back(d_out, keep, back):
     """Gradients of inputs and of the recurrent weights."""
     steps = len(keep)
@@ -376,8 +413,12 @@ def train(pages: list[str], steps: int = TRAIN_STEPS, seed: int = 11) -> dict[st
 def fit(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> dict[str, np.ndarray]:
     """Train on a bounded sample of the pages."""
     rows = pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("html"))
+    # Repeated pages count once. Hashes alone are ordered, then the pages of the lowest ones are fetched.
+    h = F.xxhash64("url", "html")
     rows = rows.where(F.col("html").isNotNull() & (F.length("html") <= SAMPLE_CHARS))
-    sample = rows.orderBy(F.xxhash64("url", "html")).limit(SAMPLE_PAGES).collect()
+    kinds = rows.select(h.alias("h")).distinct()
+    lowest = [r["h"] for r in kinds.where(F.col("h") <= F.lit(hash_bound(kinds.count(), SAMPLE_PAGES))).orderBy("h").limit(SAMPLE_PAGES).collect()]
+    sample = rows.where(h.isin(lowest)).groupBy(h.alias("h")).agg(F.first("html").alias("html")).orderBy("h").collect() if lowest else []
     return train([r["html"] for r in sample])
 
 

@@ -100,3 +100,37 @@ def test_captions_formulas_and_drawings(model):
         ("a", True, False), ("b", True, True), ("c", True, False), ("d", True, False)]
     caption = h.blocks_of("<main><figure><figcaption>x</figcaption></figure></main>")[0]
     assert h.teacher(caption) == 1.0
+
+
+def test_long_pages_in_pieces_equal_pages_side_by_side(monkeypatch):
+    rng = np.random.default_rng(5)
+    model = h.new_model()
+    pages = [[b for _ in range(k) for b in h._assembled(rng, ["some words here.", "more", "Other text"])[0]] for k in (1, 7, 2, 30)] + [[]]
+    batch = h.Batch(pages)
+    want = h.probabilities(batch, model)
+    for cells in (1, 7, 64):
+        monkeypatch.setattr(h, "CELLS", cells)
+        np.testing.assert_allclose(h.probabilities(batch, model), want, atol=2e-6)
+
+
+def test_a_very_long_page_beside_short_ones(model):
+    """One page of 60,000 blocks among 63 short pages takes memory for its blocks, not for 64 times as many."""
+    import tracemalloc
+
+    page = "<article>" + "".join(f"<p>word{i} is here.</p>" for i in range(60_000)) + "</article>"
+    tracemalloc.start()
+    out = h.texts_of([page] + ["<article><p>Short.</p></article>"] * 63, model)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(out) == 64 and len(out[0]) > 0 and peak < 400_000_000
+
+
+def test_the_sample_counts_repeated_pages_once(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(h, "train", lambda pages: seen.append(pages) or h.new_model())
+    monkeypatch.setattr(h, "SAMPLE_PAGES", 20)
+    rows = [(1, "hot", PAGE)] * 500 + [(i, f"u{i}", f"<p>page {i}</p>") for i in range(300)] + [(9, "none", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(6)
+    h.fit(pages)
+    h.fit(pages.repartition(3))
+    assert len(seen[0]) == len(set(seen[0])) == 20 and seen[0] == seen[1]
