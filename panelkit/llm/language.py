@@ -31,6 +31,8 @@ SMOOTHING = 0.5
 # Languages in one block of the model, and in the counts that a task holds at once.
 LANGUAGE_BLOCK = 64
 EM_STEPS = 8
+# Words, and bytes, that are worked on at a time, so that a long text takes memory for its words only once.
+SLICE = 1 << 15
 # Penalty of one more language, times the log of the number of words.
 PENALTY = 2.0
 # Least proportion of the predicted language in a document that the pipeline keeps.
@@ -136,23 +138,55 @@ def _runs(texts: list[str], most: int = 1_000_000) -> Iterator[list[str]]:
         yield held
 
 
-def _em(likelihood: np.ndarray, owner: np.ndarray, first: np.ndarray, counts: np.ndarray, allowed: np.ndarray
-        ) -> tuple[np.ndarray, np.ndarray]:
+def _per_text(value, likelihood: np.ndarray, share: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Sums by text of value(likelihood, share) over its words, SLICE words at a time; a text may go on in the next slice."""
+    total = None
+    for at in range(0, len(owner), SLICE):
+        texts = owner[at:at + SLICE]
+        part = value(likelihood[at:at + SLICE], share[texts])
+        first = np.flatnonzero(np.concatenate(([True], texts[1:] != texts[:-1])))
+        if total is None:
+            total = np.zeros((len(share), *part.shape[1:]))
+        total[texts[first]] += np.add.reduceat(part, first, axis=0)
+    return total
+
+
+def _expected(likelihood: np.ndarray, share: np.ndarray) -> np.ndarray:
+    joint = likelihood * share
+    joint /= joint.sum(axis=1, keepdims=True)
+    return joint
+
+
+def _log_mixed(likelihood: np.ndarray, share: np.ndarray) -> np.ndarray:
+    return np.log((likelihood * share).sum(axis=1))
+
+
+def _em(likelihood: np.ndarray, owner: np.ndarray, counts: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Proportions and log-likelihood of each text; `allowed` marks the languages of its set."""
     share = allowed / allowed.sum(axis=1, keepdims=True)
     for _ in range(EM_STEPS):
-        joint = likelihood * share[owner]
-        joint /= joint.sum(axis=1, keepdims=True)
-        share = np.add.reduceat(joint, first, axis=0) / counts[:, None]
-    total = np.log((likelihood * share[owner]).sum(axis=1))
-    return share, np.add.reduceat(total, first)
+        share = _per_text(_expected, likelihood, share, owner) / counts[:, None]
+    return share, _per_text(_log_mixed, likelihood, share, owner)
 
 
-def _most_likelihood(likelihood: np.ndarray, owner: np.ndarray, first: np.ndarray, counts: np.ndarray, share: np.ndarray) -> np.ndarray:
+def _most_likelihood(likelihood: np.ndarray, owner: np.ndarray, counts: np.ndarray, share: np.ndarray) -> np.ndarray:
     """A bound that no mixture's log-likelihood of a text exceeds, as that is concave in the proportions."""
-    mixed = (likelihood * share[owner]).sum(axis=1)
-    slope = np.add.reduceat(likelihood / mixed[:, None], first, axis=0).max(axis=1)
-    return np.add.reduceat(np.log(mixed), first) + slope - counts
+    slope = _per_text(lambda x, s: x / (x * s).sum(axis=1, keepdims=True), likelihood, share, owner).max(axis=1)
+    return _per_text(_log_mixed, likelihood, share, owner) + slope - counts
+
+
+def _word_sums(table: np.ndarray, grams: np.ndarray, starts: np.ndarray, out: np.ndarray) -> None:
+    """Add to each word the log-probabilities of its n-grams, runs of words of about SLICE bytes at a time."""
+    ends = np.append(starts[1:], len(grams))
+    a = 0
+    while a < len(starts):
+        b = max(a + 1, int(np.searchsorted(ends, starts[a] + SLICE, side="right")))
+        if ends[b - 1] - starts[a] <= SLICE:
+            out[a:b] += np.add.reduceat(table[grams[starts[a]:ends[b - 1]]], starts[a:b] - starts[a], axis=0)
+        else:  # one word longer than a slice
+            for at in range(starts[a], ends[a], SLICE):
+                out[a] += table[grams[at:min(at + SLICE, ends[a])]].sum(axis=0)
+        a = b
 
 
 def infer(texts: list[str], model: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -166,21 +200,23 @@ def infer(texts: list[str], model: list[np.ndarray]) -> tuple[np.ndarray, np.nda
     at = 0
     for block in model:
         for k, g in enumerate(grams):
-            words[:, at:at + block.shape[2]] += np.add.reduceat(block[k][g], starts, axis=0)
+            _word_sums(block[k], g, starts, words[:, at:at + block.shape[2]])
         at += block.shape[2]
     words /= len(grams)
     # Likelihoods relative to the best language of the word, floored so that no word decides alone.
     best = words.max(axis=1, keepdims=True)
-    likelihood = np.exp(np.maximum(words - best, -30.0))
-    there, first, counts = np.unique(owner, return_index=True, return_counts=True)
+    likelihood = words
+    likelihood -= best
+    np.exp(np.maximum(likelihood, -30.0, out=likelihood), out=likelihood)
+    there, counts = np.unique(owner, return_counts=True)
     local = np.repeat(np.arange(len(there)), counts)
     every = np.ones((len(there), n_lang))
-    share, _ = _em(likelihood, local, first, counts, every)
+    share, _ = _em(likelihood, local, counts, every)
     order = np.argsort(-share, axis=1, kind="stable")
     chosen = np.zeros_like(share)
     value = np.full(len(there), -np.inf)
-    floored = np.maximum(likelihood, 1e-13)
-    most = _most_likelihood(floored, local, first, counts, share)
+    floored = np.maximum(likelihood, 1e-13, out=likelihood)
+    most = _most_likelihood(floored, local, counts, share)
     for size in range(1, n_lang + 1):
         # A larger set is tried only where the full mixture gives its last language some weight and the penalty lets it win.
         todo = np.arange(len(there)) if size == 1 else np.flatnonzero(
@@ -191,10 +227,8 @@ def infer(texts: list[str], model: list[np.ndarray]) -> tuple[np.ndarray, np.nda
         np.put_along_axis(allowed, order[todo, :size], 1.0, axis=1)
         mask = np.zeros(len(there), bool)
         mask[todo] = True
-        rows = mask[local]
         c = counts[todo]
-        f = np.concatenate(([0], np.cumsum(c)[:-1]))
-        part, log_lik = _em(floored[rows], np.repeat(np.arange(len(todo)), c), f, c, allowed)
+        part, log_lik = _em(floored if mask.all() else floored[mask[local]], np.repeat(np.arange(len(todo)), c), c, allowed)
         score = log_lik - PENALTY * size * np.log(c + 1)
         better = score > value[todo]
         value[todo[better]] = score[better]

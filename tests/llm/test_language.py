@@ -1,6 +1,9 @@
 """Language ID: held-out accuracy, mixtures, defined results."""
 
+import math
+
 import numpy as np
+import pytest
 
 from panelkit.llm import language
 from panelkit.llm.common import load
@@ -70,3 +73,60 @@ def test_more_languages_than_a_block(spark):
     out = language.predict(docs, (langs, model)).collect()
     assert len(out) == 300 and all(r["lang_pred"] == f"l{r['doc_id']:03}" for r in out)
     assert language.keep_dominant(docs, (langs, model)).count() == 300
+
+
+def plain_inference(text, model):
+    """Proportions of a text by the same rules in plain Python: word likelihoods, mixtures, penalised sets."""
+    raw = language.letters(text).encode("utf-8", "surrogatepass")
+    data = list(raw) + [32] * 4
+    tables = [np.concatenate([block[k] for block in model], axis=1) for k in range(len(language.ORDERS))]
+    starts = [i for i in range(len(raw) - 1) if raw[i] == 32]
+    words = []
+    for a, b in zip(starts, starts[1:] + [len(raw)]):
+        score = np.zeros(tables[0].shape[1])
+        for k, order in enumerate(language.ORDERS):
+            for i in range(a, b):
+                x = 0
+                for j in range(order):
+                    x = (x + data[i + j] * language._MULTIPLIERS[j]) % 2**32
+                x ^= x >> 15
+                score += tables[k][(x * 0x2C1B3C6D % 2**32) >> 18]
+        score /= len(language.ORDERS)
+        words.append([max(math.exp(max(v, -30.0)), 1e-13) for v in score - score.max()])
+
+    def mixture(langs):
+        share = {x: 1 / len(langs) for x in langs}
+        for _ in range(language.EM_STEPS):
+            new = dict.fromkeys(langs, 0.0)
+            for w in words:
+                total = sum(w[x] * share[x] for x in langs)
+                for x in langs:
+                    new[x] += w[x] * share[x] / total / len(words)
+            share = new
+        return share, sum(math.log(sum(w[x] * share[x] for x in langs)) for w in words)
+
+    every = list(range(tables[0].shape[1]))
+    full, _ = mixture(every)
+    order = sorted(every, key=lambda x: -full[x])
+    best = None
+    for size in range(1, len(every) + 1):
+        if size > 1 and full[order[size - 1]] <= 0.5 / len(words):
+            break
+        share, fit = mixture(order[:size])
+        value = fit - language.PENALTY * size * math.log(len(words) + 1)
+        if best is None or value > best[0]:
+            best = value, share
+    return [best[1].get(x, 0.0) for x in every]
+
+
+@pytest.mark.parametrize("slice_size", [language.SLICE, 5])
+def test_proportions_and_sets_equal_plain_python(spark, monkeypatch, slice_size):
+    monkeypatch.setattr(language, "SLICE", slice_size)
+    docs = load(spark, "/root/testdata/sf0.001", "documents")
+    _, model = language.fit(docs)
+    rows = docs.where("text is not null and length(text) < 600").orderBy("doc_id").limit(18).collect()
+    texts = [r["text"] for r in rows] + [rows[0]["text"] + " " + rows[3]["text"] + " " + rows[7]["text"], "Donaudampfschifffahrt" * 9]
+    texts = [t for t in texts if language.has_letter(t)]
+    share, _ = language.infer(texts, model)
+    for got, text in zip(share, texts, strict=True):
+        np.testing.assert_allclose(got, plain_inference(text, model), atol=1e-6)
