@@ -8,10 +8,12 @@
    What remains outside a bucket's main component is then compared, in broadcast blocks, with all
    members of the bucket. So each pair of a bucket is compared, or already lies in one component.
 4. A pair is confirmed on the two full sets, after a signature estimate far below the threshold
-   has been ruled out (4.5 standard deviations of HASHES minima).
+   has been ruled out (6 standard deviations of HASHES minima).
 5. Components of the links: alternating large-star and small-star until nothing changes.
 
-A pair at the threshold of 0.8 shares a band but for 1 in 3 million.
+A pair at the threshold of 0.8 shares a band but for 1 in 4 million (2.5e-7), and passes the signature
+estimate but for 1 in 120 million. Equal sets are told by their size and a fingerprint of 128 bits; sets of
+64-bit hashes stand for sets of shingles.
 
 Defined results: null and empty texts have empty sets and are linked with nothing; rows with a null
 id take no part in links and are kept; repeated rows share a class and, with the same id, are all
@@ -34,7 +36,7 @@ BANDS = 50
 HASHES = ROWS * BANDS
 SIMILARITY_PERCENT = 80
 # Signature estimates below this rule a pair out.
-SCREEN = 0.8 - 4.5 * (0.8 * 0.2 / HASHES) ** 0.5
+SCREEN = 0.8 - 6 * (0.8 * 0.2 / HASHES) ** 0.5
 # Most outsiders, and about the most shingles of them, in one broadcast block.
 BLOCK_MEMBERS = 4096
 BLOCK_SHINGLES = 2_000_000
@@ -313,15 +315,6 @@ def classify(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col:
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def keep_one(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that represent their group, all columns kept."""
-    drop = classify(docs, words, id_col, text_col).where(~F.col("kept")).select("doc_id", "th").distinct()
-    a, b = fresh(docs, "drop_id"), fresh(docs, "drop_th")
-    drop = drop.withColumnsRenamed({"doc_id": a, "th": b})
-    same = (docs[id_col] == F.col(a)) & (F.xxhash64(docs[text_col]) == F.col(b))
-    return docs.join(drop, same, "left_anti")
-
-
 def keep_single(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Exactly one row of each group, all columns kept: the smallest id, nulls last, then the smallest row key.
 

@@ -71,19 +71,10 @@ def test_components(spark, words):
     assert got == want
 
 
-def test_keep_one(spark):
-    rows = corpus()
-    docs = spark.createDataFrame([(i, t, 1, "c") for i, t in rows], "doc_id long, text string, n int, __id string")
-    kept = near_dedup.keep_one(docs, 5)
-    assert kept.columns == docs.columns
-    want = sorted((str(r) for r, c in zip(rows, brute(rows, 5)) if c == r[0]))
-    assert sorted(str((r["doc_id"], r["text"])) for r in kept.collect()) == want
-
-
 def test_no_rows(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert near_dedup.classify(docs).count() == 0
-    assert near_dedup.keep_one(docs).count() == 0
+    assert near_dedup.keep_single(docs).count() == 0
 
 
 def test_star_components(spark):
