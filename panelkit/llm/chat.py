@@ -130,19 +130,20 @@ def render(roles: list[int], texts: list[str | None], given: list[int], before:
 
 
 def _runs(batches: Iterator[pa.RecordBatch]):
-    """Consecutive rows of one conversation inside a partition: (part, id, first row, columns)."""
-    current, held = None, ([], [], [])
+    """Consecutive rows of one conversation inside a partition: (part, id), columns turn, role, text and line."""
+    current, held = None, ([], [], [], [])
     for batch in batches:
         d = batch.to_pydict()
-        for part, cid, turn, role, text in zip(d["part"], d["conv_id"], d["turn"], d["role"], d["text"]):
+        for part, cid, turn, role, text, line in zip(d["part"], d["conv_id"], d["turn"], d["role"], d["text"], d["line"]):
             key = (part, cid)
             if key != current:
                 if current is not None:
                     yield current, held
-                current, held = key, ([], [], [])
+                current, held = key, ([], [], [], [])
             held[0].append(turn)
             held[1].append(role)
             held[2].append(text)
+            held[3].append(line)
     if current is not None:
         yield current, held
 
@@ -151,7 +152,11 @@ _CODE = {name: i + 1 for i, name in enumerate(ROLES)}
 
 
 def repair(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """One row per input turn: conversation, turn, place, given role, action, empty turns put in, and its piece of text."""
+    """One row per input turn: conversation, turn, place, given role, action, empty turns put in, and its piece of text.
+
+    `place` is unique and rises along a conversation, also over equal and null turns: its pieces, joined in order of
+    place, are the rendered text.
+    """
     spark = turns.sparkSession
     rows = turns.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
     # The last key spreads repeated rows too.
@@ -164,7 +169,7 @@ def repair(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: st
     def edges(batches):
         """First and last run of a partition, of which alone the conversation may go on elsewhere."""
         ends: dict = {}
-        for (part, cid), (_, names, _) in _runs(batches):
+        for (part, cid), (_, names, _, _) in _runs(batches):
             entry = (cid, [_CODE.get(r, 0) for r in names])
             ends[part] = (ends.get(part, (entry,))[0], entry)
         out = []
@@ -195,25 +200,25 @@ def repair(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: st
     shared = spark.sparkContext.broadcast(states)
 
     def resolve(batches):
-        size, cols = 0, [[] for _ in range(7)]
-        for (part, cid), (numbers, names, texts) in _runs(batches):
+        size, cols = 0, [[] for _ in range(8)]
+        for (part, cid), (numbers, names, texts, lines) in _runs(batches):
             roles = [_CODE.get(r, 0) for r in names]
             before, after, last = shared.value.get((part, cid), (START, None, True))
             if after is None:
                 after = chain([run_matrix(roles)])[-1]
             given = solve(roles, before, after)
             for k, (action, put_in, piece) in enumerate(render(roles, texts, given, before, last)):
-                for c, v in zip(cols, (cid, numbers[k], names[k], ROLES[given[k] - 1], action, put_in, piece)):
+                for c, v in zip(cols, (cid, numbers[k], lines[k], names[k], ROLES[given[k] - 1], action, put_in, piece)):
                     c.append(v)
                 size += len(piece)
                 if size > 4_000_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names_out)
-                    size, cols = 0, [[] for _ in range(7)]
+                    size, cols = 0, [[] for _ in range(8)]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names_out)
 
     turn_kind, role_kind = rows.schema["turn"].dataType, rows.schema["role"].dataType
-    types = [conv_type, to_arrow_type(turn_kind), to_arrow_type(role_kind), pa.string(), pa.string(), pa.int64(), pa.string()]
-    names_out = ["conv_id", "turn", "role", "role_out", "action", "n_inserted", "piece"]
+    types = [conv_type, to_arrow_type(turn_kind), pa.int64(), to_arrow_type(role_kind), pa.string(), pa.string(), pa.int64(), pa.string()]
+    names_out = ["conv_id", "turn", "place", "role", "role_out", "action", "n_inserted", "piece"]
     return sorted_rows.mapInArrow(
-        resolve, f"conv_id {kind.simpleString()}, turn {turn_kind.simpleString()}, role {role_kind.simpleString()}, "
+        resolve, f"conv_id {kind.simpleString()}, turn {turn_kind.simpleString()}, place long, role {role_kind.simpleString()}, "
         "role_out string, action string, n_inserted long, piece string")

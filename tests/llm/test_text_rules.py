@@ -218,3 +218,32 @@ def test_the_quality_stage_keeps_what_the_operator_keeps_without_a_filter_on_wor
     assert ids[0] == ids[1] and ids[0]
     plan = kept._jdf.queryExecution().optimizedPlan().toString()
     assert not [line for line in plan.split("\n") if "Filter" in line.split("(")[0] and "split" in line]
+
+
+def test_the_quality_stage_keeps_columns_named_like_its_own(spark):
+    text = "the quick brown fox jumps over a lazy dog and runs home again today " + " ".join(f"w{j}" for j in range(60))
+    docs = spark.createDataFrame([(0, text, "a", "b", "c", "d")],
+                                 "doc_id long, text string, __quality_text string, __quality_w string, __quality_g string, quality string")
+    kept = quality.keep_good(docs, quality.fit_ratio(docs, spark.createDataFrame([(0,)], "doc_id long")))
+    assert kept.columns == docs.columns and tuple(kept.first()) == (0, text, "a", "b", "c", "d")
+
+
+@pytest.mark.parametrize("most", [1, 50, 2000, 9000])
+def test_trusted_ids_are_the_lowest_hashes(spark, most):
+    labels = spark.range(6000).selectExpr("id as doc_id", "1 as quality").union(spark.range(6000, 6100).selectExpr("id", "0"))
+    got = [r["doc_id"] for r in quality.trusted_ids(labels.union(labels), most).collect()]
+    want = [r["doc_id"] for r in labels.where("quality = 1").selectExpr("doc_id", "xxhash64(doc_id) as h").orderBy("h").limit(most).collect()]
+    assert sorted(got) == sorted(want) and len(got) == min(most, 6000)
+
+
+def test_chat_pieces_in_order_of_place_are_the_text(spark):
+    """Equal and null turns and repeated rows: place alone gives the order, over several partitions too."""
+    rows = [(1, t % 3 if t % 4 else None, ["user", "assistant", "tool", None][t * 7 % 4], f"x{t % 50}") for t in range(900)]
+    rows += [(2, None, "user", "same")] * 5 + [(3, 7, "assistant", "b"), (3, 7, "assistant", "a"), (3, 7, "user", "c")]
+    out = chat.repair(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)).collect()
+    assert len({r["place"] for r in out}) == len(out) == len(rows)
+    for cid in (1, 2, 3):
+        mine = sorted((r for r in out if r["conv_id"] == cid), key=lambda r: r["place"])
+        given = [(-1 if r["turn"] is None else r["turn"], r["role"] or "") for r in mine]
+        assert given == sorted(given)
+        assert legal("".join(r["piece"] for r in mine))
