@@ -20,6 +20,7 @@ import hashlib
 import json
 import os
 import re
+from collections.abc import Iterable
 
 import ahocorasick
 import numpy as np
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelkit.llm.common import tokenizer_file
+from panelkit.llm.common import hold, tokenizer_file
 from panelkit.llm.wordcache import ChunkCache, slices
 
 # Stands for the mark of a word's end inside the automaton, as one character.
@@ -70,7 +71,8 @@ class PrefixBpe:
         self.automaton.make_automaton()
         # Pieces that are the text of one token.
         self.whole = {s[:len(s) - len(self.suffix)]: i for s, i in vocab.items() if s.endswith(self.suffix)}
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.span = max(vocab.values(), default=0) + 1
+        self.fits: dict[int, bool] = {}  # by left * span + right
         self.known: dict[str, tuple[bytes, bytes]] = {}
         self.sound: dict[int, bool] = {}
         from tokenizers import Tokenizer
@@ -116,11 +118,11 @@ class PrefixBpe:
         return known
 
     def compatible(self, left: int, right: int) -> bool:
-        known = self.fits.get((left, right))
+        known = self.fits.get(left * self.span + right)
         if known is None:
             if len(self.fits) > PAIRS_KEPT:
                 self.fits.clear()
-            known = self.fits[left, right] = self.is_sound(right) and self._border_free(left, right, _NEVER)
+            known = self.fits[left * self.span + right] = self.is_sound(right) and self._border_free(left, right, _NEVER)
         return known
 
     def encode_piece(self, piece: str) -> list[int]:
@@ -131,15 +133,29 @@ class PrefixBpe:
         n = len(piece)
         last = [-1] * (n + 1)
         start_of = [0] * (n + 1)
-        final = n if self.suffix else n - 1
-        for at, (token, size) in self.automaton.iter(piece + _END if self.suffix else piece):
-            if at == n - 1 and self.suffix:
-                continue  # the last letter only counts with the end mark
-            end = n if at == final else at + 1
+        marked, fits, sound, span = bool(self.suffix), self.fits, self.sound, self.span
+        for at, (token, size) in self.automaton.iter(piece + _END if marked else piece):
+            end = at + 1
+            if marked:
+                if end == n:
+                    continue  # the last letter only counts with the end mark
+                if end > n:
+                    end = n
             if last[end] >= 0:
                 continue
             start = end - size
-            if (self.is_sound(token) if start == 0 else last[start] >= 0 and self.compatible(last[start], token)):
+            if start:
+                before = last[start]
+                if before < 0:
+                    continue
+                good = fits.get(before * span + token)
+                if good is None:
+                    good = self.compatible(before, token)
+            else:
+                good = sound.get(token)
+                if good is None:
+                    good = self.is_sound(token)
+            if good:
                 last[end], start_of[end] = token, start
         if last[n] < 0:
             raise ValueError(f"no encoding of {piece!r}")
@@ -176,14 +192,14 @@ class PrefixBpe:
         found: dict[str, tuple[bytes, bytes]] = {}
         plain = [c for c in chunks if _PART not in c and not (self.cut and self.cut.search(c))] if len(part) == 1 else []
         if plain:
-            text, held, at = f" {_PART} ".join(plain), [], 0
+            text, held, at, mark, known = f" {_PART} ".join(plain), [], 0, part[0], self.known
             for piece, _ in self.pieces(self.normalise(text)):
-                if piece == part[0]:
-                    found[plain[at]] = b"".join([h[0] for h in held]), b" ".join([h[1] for h in held])
+                if piece == mark:
+                    found[plain[at]] = held[0] if len(held) == 1 else joined(held)
                     held, at = [], at + 1
                 else:
-                    held.append(self.known.get(piece) or self.packed_piece(piece))
-            found[plain[at]] = b"".join([h[0] for h in held]), b" ".join([h[1] for h in held])
+                    held.append(known.get(piece) or self.packed_piece(piece))
+            found[plain[at]] = joined(held)
         for c in chunks:
             if c not in found:
                 ids = self.encode(c)
@@ -194,11 +210,23 @@ class PrefixBpe:
         return " ".join([self.strings[i] for i in ids])
 
 
+def joined(values: Iterable[tuple[bytes, bytes]]) -> tuple[bytes, bytes]:
+    """Packed ids and decoded text of consecutive parts; a part without ids has no place in the text."""
+    sides = tuple(zip(*values))
+    if not sides:
+        return b"", b""
+    ids, texts = sides
+    if b"" in ids:
+        texts = [t for i, t in zip(ids, texts) if i]
+    return b"".join(ids), b" ".join(texts)
+
+
 _CODECS: dict = {}
 
 
 def chunk_cache(tokenizer: str) -> ChunkCache:
     """The worker's cache: chunk to (packed ids, decoded text)."""
+    hold("bpe", _CODECS.clear)
     if tokenizer not in _CODECS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         codec = PrefixBpe(tokenizer_file(tokenizer))
@@ -221,11 +249,10 @@ def digests(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", id_col: str =
             sizes, ids_sha, text_sha = [], [], []
             for texts in slices(batch.column(1)):
                 for values in cache.values(texts):
-                    values = [v for v in values if v[0]]
-                    ids = b"".join([v[0] for v in values])
+                    ids, decoded = joined(values)
                     sizes.append(len(ids) // 4)
                     ids_sha.append(hashlib.sha256(ids).hexdigest())
-                    text_sha.append(hashlib.sha256(b" ".join([v[1] for v in values])).hexdigest())
+                    text_sha.append(hashlib.sha256(decoded).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
@@ -244,9 +271,9 @@ def encode_documents(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", id_c
             ids, texts_out = [], []
             for texts in slices(batch.column(1)):
                 for values in cache.values(texts):
-                    values = [v for v in values if v[0]]
-                    ids.append(np.frombuffer(b"".join([v[0] for v in values]), "<i4"))
-                    texts_out.append(b" ".join([v[1] for v in values]).decode("utf-8"))
+                    packed, decoded = joined(values)
+                    ids.append(np.frombuffer(packed, "<i4"))
+                    texts_out.append(decoded.decode("utf-8"))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(texts_out, pa.string())],
                 names=["doc_id", "ids", "decoded"])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,3 +73,16 @@ def hash_bound(n: int, most: int) -> int:
     """A 64-bit hash under which at least `most` of `n` rows lie, and few more: ten standard deviations are added."""
     wanted = most + 10 * most ** 0.5 + 100
     return (1 << 63) - 1 if wanted >= n else int(-(1 << 63) + wanted / n * (1 << 64))
+
+
+_HELD: dict[str, Callable[[], None]] = {}
+
+
+def hold(owner: str, clear: Callable[[], None]) -> None:
+    """Called by a task before it fills a cache of its worker process: caches of other owners are dropped.
+
+    Worker processes are reused by later stages, so the caches of several stages would add up.
+    """
+    for other in [o for o in _HELD if o != owner]:
+        _HELD.pop(other)()
+    _HELD[owner] = clear

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelkit.llm.common import encoded, fresh, store
+from panelkit.llm.common import encoded, fresh, hold, store
 
 WINDOW = 13
 # Most windows in one broadcast block.
@@ -221,6 +221,7 @@ _CACHE: dict = {}
 
 def _machine(token: str, shared) -> Searcher:
     """The searcher of a broadcast block, built once per worker process; one is held at a time."""
+    hold("decontaminate", _CACHE.clear)
     if token not in _CACHE:
         _CACHE.clear()
         _CACHE[token] = Searcher(shared.value)

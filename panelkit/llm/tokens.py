@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelkit.llm.common import tokenizer_file
+from panelkit.llm.common import hold, tokenizer_file
 from panelkit.llm.wordcache import ChunkCache, slices
 from panelkit.session import scratch_path
 
@@ -41,6 +41,7 @@ _CACHES: dict = {}
 
 def chunk_cache(tokenizer: str) -> ChunkCache:
     """The worker's cache of packed ids, encoded by the tokenizers library."""
+    hold("tokens", _CACHES.clear)
     if tokenizer not in _CACHES:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
