@@ -40,6 +40,8 @@ SCREEN = 0.8 - 6 * (0.8 * 0.2 / HASHES) ** 0.5
 # Most outsiders, and about the most shingles of them, in one broadcast block.
 BLOCK_MEMBERS = 4096
 BLOCK_SHINGLES = 2_000_000
+# Members of a bucket that meet its hub in one task.
+BUCKET_PART = 256
 
 _U64 = np.uint64
 _GAP = np.zeros(256, bool)
@@ -204,10 +206,17 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _join_key(members: DataFrame, keys: DataFrame) -> DataFrame:
+    """Members (with the size n of their bucket) joined with one row per key; large buckets are dealt over several tasks."""
+    parts = F.ceil(F.col("n") / F.lit(BUCKET_PART)).cast("long")
+    dealt = members.withColumn("part", F.pmod(F.xxhash64("cls"), parts))
+    return dealt.join(keys.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("n"), ["key", "part"]).drop("part")
+
+
 def _hub_pairs(members: DataFrame) -> DataFrame:
     """Pairs of every member with its bucket's hub, the member of the largest weight."""
-    hubs = members.groupBy("key").agg(F.max(F.struct("w", -F.col("cls"))).alias("h"))
-    rows = members.join(hubs.select("key", (-F.col("h.col2")).alias("hub")), "key").where("cls <> hub")
+    hubs = members.groupBy("key").agg(F.max(F.struct("w", -F.col("cls"))).alias("h"), F.first("n").alias("n"))
+    rows = _join_key(members, hubs.select("key", "n", (-F.col("h.col2")).alias("hub"))).where("cls <> hub")
     return rows.select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")).distinct()
 
 
@@ -217,9 +226,9 @@ def _open_buckets(members: DataFrame, groups: DataFrame) -> DataFrame:
     A bucket of two is left out, as the hub has met its only other member.
     """
     rows = members.where("n > 2").join(groups.select(F.col("node").alias("cls"), "root"), "cls", "left")
-    rows = rows.select("key", "cls", F.coalesce("root", "cls").alias("comp"))
-    still = rows.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-    return rows.join(still, "key")
+    rows = rows.select("key", "cls", "n", F.coalesce("root", "cls").alias("comp"))
+    still = rows.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.first("n").alias("n")).where("x <> y").select("key", "n")
+    return _join_key(rows, still).drop("n")
 
 
 def _outsider_links(rows: DataFrame, classes: DataFrame, texts: DataFrame, words: int) -> list[DataFrame]:

@@ -62,8 +62,9 @@ def corpus():
     return [*zip(ids, texts), (None, texts[0]), (None, "lonely"), (ids[7], texts[7]), (ids[8], "another text under an id that was used")]
 
 
-@pytest.mark.parametrize("words", [2, 5])
-def test_components(spark, words):
+@pytest.mark.parametrize("words, part", [(2, near_dedup.BUCKET_PART), (5, near_dedup.BUCKET_PART), (5, 3)])
+def test_components(spark, monkeypatch, words, part):
+    monkeypatch.setattr(near_dedup, "BUCKET_PART", part)
     rows = corpus()
     docs = spark.createDataFrame([(i, t, 1, "c") for i, t in rows], "doc_id long, text string, n int, cls string").repartition(5)
     got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.classify(docs, words).collect()), key=str)
@@ -98,3 +99,21 @@ def test_stage_keeps_one_row_of_each_group(spark):
     for (i, _), g in zip(rows, group):
         best[g] = min(best.get(g, (True, 0)), (i is None, i or 0))
     assert all((r["doc_id"] is None, r["doc_id"] or 0) == best[group[r["n"]]] for r in kept.collect())
+
+
+def test_recall_of_near_copies(spark):
+    """Copies of 120 texts near the threshold, searched for every id divisible by 20 among all rows: all links are found."""
+    rng = random.Random(11)
+    rows = []
+    for k in range(120):
+        first = [f"r{k}w{rng.randrange(3000)}" for _ in range(160)]
+        for changes in (0, 1, 2, 3, 4):
+            copy = list(first)
+            for at in rng.sample(range(160), changes):
+                copy[at] = f"new{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(copy)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    component = {r["doc_id"]: r["component_id"] for r in near_dedup.classify(docs, 5).collect()}
+    sets = {i: shingles(t, 5) for i, t in rows}
+    links = [(i, j) for i in range(0, len(rows), 20) for j in sets if j != i and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    assert len(links) > 60 and all(component[i] == component[j] for i, j in links)
