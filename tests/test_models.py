@@ -9,7 +9,7 @@ from helpers import rows
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from panelkit.operators import neighbours
+from panelkit.operators import neighbours, order
 from panelkit.operators.neighbours import cross_validated_accuracy, nearest, visited_share, vote
 from panelkit.plans.models import (
     assemble,
@@ -351,3 +351,10 @@ def test_bagging_draws_any_row(frames):
     params = {"n_estimators": 2, "max_samples": 5, "max_features": 2}
     first, again = (fit_score("BAG", params, t, t, "id", 200)[0] for t in (train, train.repartition(3)))
     assert rows(first) == rows(again)
+
+
+def test_bagging_draws_are_the_same_over_many_ranges(frames, monkeypatch):
+    train, _ = frames
+    few = rows(bagging_draws(train, "id", 3, 4, 2), "tree", "draw", "label")
+    monkeypatch.setattr(order, "RANGE_ROWS", 20)
+    assert len(few) == 12 and rows(bagging_draws(train, "id", 3, 4, 2), "tree", "draw", "label") == few
