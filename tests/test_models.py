@@ -72,6 +72,27 @@ def test_pruned_search_equals_all_pairs(spark, metric, p, block_rows):
         assert found[q] == [(int(i) + 100, d[i]) for i in best]
 
 
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan"])
+def test_rows_are_sent_once_a_block_where_nothing_can_be_left_out(spark, monkeypatch, metric):
+    """Rows without clusters: a query goes to blocks, not to each of their many cells, and the result is that of all pairs."""
+    monkeypatch.setattr(neighbours, "_CELL_ROWS", 25)
+    x = np.random.default_rng(3).normal(size=(1200, 24)).astype(np.float32)
+    x[5], x[7] = 1e6, x[8]  # a far row, and two at one place
+    df = spark.createDataFrame([(i, x[i].tolist(), i % 3) for i in range(1200)], "id long, v array<float>, label int").repartition(4)
+    shaped = neighbours._shaped(df, "id", "v", "label", None)
+    cells, train, test = neighbours._cells_of(shaped, shaped, metric, 2.0, 400)
+    home = neighbours._own_cell_search(train, test, 4, cells, False, ["bigint", "bigint"])
+    sent = home.agg(F.max(F.size("visits")).alias("most"), F.avg("compared").alias("compared")).first()
+    assert len(cells.rows) == 48 and cells.blocks <= 6 and 1 < sent.most <= cells.blocks and sent.compared > 600
+    found = {}
+    for r in nearest(df, df.where("id < 90"), 4, "id", "v", "label", metric, block_rows=400).orderBy("query_id", "rank").collect():
+        found.setdefault(r.query_id, []).append((r.id, r.distance))
+    for q in range(90):
+        gap = np.abs(x.astype(float) - x[q].astype(float))
+        d = gap.sum(axis=1) if metric == "manhattan" else np.sqrt((gap * gap).sum(axis=1))
+        assert found[q] == [(int(i), d[i]) for i in np.lexsort((np.arange(1200), d))[:4]]
+
+
 def test_few_pairs_are_compared_where_rows_cluster(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "_CELL_ROWS", 20)
     _, df = _clustered(spark)
