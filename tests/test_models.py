@@ -278,6 +278,22 @@ def test_run_models_writes_results_and_outputs(spark, small_panel):
     assert set(bias.columns) == {"x_bins", "label_value", "score"} and bias.count() == 60
 
 
+def test_training_rows_are_spread_over_all_cores(spark, small_panel, monkeypatch):
+    import panelkit.plans.runs as module
+
+    seen, real = [], module.fit_score
+
+    def looked_at(key, params, train, *rest):
+        seen.append(train.rdd.getNumPartitions())
+        return real(key, params, train, *rest)
+
+    monkeypatch.setattr(module, "fit_score", looked_at)
+    split = rolling_splits(dt.date(2000, 1, 1), dt.date(2005, 1, 1), 12, latest=True)
+    runs = plan_runs(split, [{"labels": ["a"], "features": ["x", "z"]}], ["top"], ["BASELINE_DT"], 0)
+    out = run_models(small_panel.coalesce(1), runs, "g", "year").collect()
+    assert seen == [spark.sparkContext.defaultParallelism] and out[0].auc_roc is not None
+
+
 def test_a_stopped_batch_goes_on_from_its_ledger(spark, small_panel, monkeypatch):
     import panelkit.plans.runs as module
 
