@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelkit.operators.joins import attribute_join, null_safe_join
+from panelkit.operators.joins import attribute_join, group_join, null_safe_join
 from panelkit.operators.order import exact_quantiles
 from panelkit.session import names, with_row
 
@@ -246,7 +246,7 @@ def box_stats(df: DataFrame, column: str, by: str | Sequence[str] = (), reach: f
     )
     rows = df.select(*by, _num(column).alias("__x")).where(F.col("__x").isNotNull())
     if by:
-        rows = null_safe_join(rows, q, by, "inner")
+        rows = group_join(rows, q, by)
     else:
         rows = with_row(rows, q, "__q").select("*", "__q.*")
     iqr = F.col("q3") - F.col("q1")

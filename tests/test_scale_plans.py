@@ -7,8 +7,8 @@ from helpers import rows
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from panelkit.operators import order
-from panelkit.operators.joins import lookup_join
+from panelkit.operators import joins, order
+from panelkit.operators.joins import group_join, lookup_join
 from panelkit.operators.metrics import flag_top, metrics_at_k, pr_curve, roc_auc
 from panelkit.operators.order import (
     assign_ranks,
@@ -18,8 +18,10 @@ from panelkit.operators.order import (
     sample_entities,
     top_share,
 )
-from panelkit.operators.panel import trailing_mean
+from panelkit.operators.labels import top_tile_labels
+from panelkit.operators.panel import densify, trailing_mean
 from panelkit.operators.profile import box_stats, correlation_pairs, correlation_with, histogram
+from panelkit.session import materialise
 
 
 def nulls_first():
@@ -269,3 +271,39 @@ def test_profile_counts_distincts_exactly_and_by_merged_sketches(spark, skewed):
     assert all(abs(r.distinct - truth[r.variable]) <= 0.05 * truth[r.variable] for r in merged)
     approximate = {r.variable: r.distinct for r in dataset_profile(skewed, approximate=True).collect()}
     assert all(abs(approximate[c] - truth[c]) <= max(1, 0.06 * truth[c]) for c in truth)
+
+
+def test_rows_of_few_groups_stay_where_they_are(spark, skewed, monkeypatch):
+    figures = materialise(skewed.groupBy("g").agg(F.max("x").alias("m")))
+    few = group_join(skewed, figures, ["g"])
+    assert "hashpartitioning" not in few._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(joins, "FEW_GROUPS", 3)
+    many = group_join(skewed, figures, ["g"])
+    assert few.count() == 3000 and rows(few) == rows(many)
+    seen = []
+    monkeypatch.setattr(order, "group_join", lambda *a: seen.append(1) or group_join(*a))
+    exact_quantiles(skewed, "x", [0.5], "g")
+    assert seen
+
+
+def test_grids_are_never_broadcast(spark):
+    panel = spark.createDataFrame([(i % 40, 2000 + i // 40, i) for i in range(90)], "e int, t int, v int")
+    entities = spark.range(40).select(F.col("id").cast("int").alias("e"))
+    grid = densify(panel, entities, "e", "t", 2000, 2003)
+    assert grid.count() == 160
+    known = grid.where(F.col("v").isNotNull())
+    assert "BroadcastHashJoin" not in known._jdf.queryExecution().sparkPlan().toString() and known.count() == 90
+
+
+def test_labels_read_a_stored_panel(spark, skewed):
+    """Ranking counts, samples and places the rows of every label, so the work before is done once."""
+    done = spark.sparkContext.accumulator(0)
+
+    def slow(v):
+        done.add(1)
+        return v
+
+    rows_ = skewed.select("id", F.lit(1).alias("t"), F.udf(slow, "int")("y").alias("v"))
+    out = top_tile_labels(rows_, "id", "t", {"a": "v"}, "v")
+    out.write.format("noop").mode("overwrite").save()
+    assert done.value <= 2 * 3000  # the filter and the column may each ask once
