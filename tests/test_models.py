@@ -93,6 +93,28 @@ def test_rows_are_sent_once_a_block_where_nothing_can_be_left_out(spark, monkeyp
         assert found[q] == [(int(i), d[i]) for i in np.lexsort((np.arange(1200), d))[:4]]
 
 
+def test_blocks_shrink_with_the_pairs_and_are_searched_alike(spark, monkeypatch):
+    """Rows of one full block are dealt over many groups of bounded size, and columns of small integers lie in one piece."""
+    monkeypatch.setattr(neighbours, "_CELL_ROWS", 20)
+    monkeypatch.setattr(neighbours, "_LEAST_ROWS", 16)
+    x, df = _clustered(spark)
+    shaped = neighbours._shaped(df, "id", "v", "label", None)
+    cells, _, _ = neighbours._cells_of(shaped, shaped.where("id < 400"), "manhattan", 1.0, None)
+    assert cells.block_rows == cells.query_rows == 96 and cells.blocks >= 15
+    assert max(cells.query_parts(np.array([400] * cells.blocks))) == 5
+    few, _, _ = neighbours._cells_of(shaped.where("id < 40"), shaped.where("id < 40"), "manhattan", 1.0, None)
+    assert few.block_rows == 16
+    minima = neighbours._Minima(x[:9], x)
+    assert minima.left.flags.c_contiguous and minima.right.flags.c_contiguous
+    got = nearest(df, df.where("id < 60"), 30, "id", "v", "label", "manhattan", 1.0)
+    found = {}
+    for r in got.orderBy("query_id", "rank").collect():
+        found.setdefault(r.query_id, []).append((r.id, r.distance))
+    for q in range(60):
+        d = np.abs(x - x[q]).sum(axis=1)
+        assert found[q] == [(int(i), d[i]) for i in np.lexsort((np.arange(len(d)), d))[:30]]
+
+
 def test_few_pairs_are_compared_where_rows_cluster(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "_CELL_ROWS", 20)
     _, df = _clustered(spark)
