@@ -36,7 +36,7 @@ _END = "\ue000"
 _NEVER = 1 << 60
 CACHED = 200_000
 PAIRS_KEPT = 300_000
-PIECES_KEPT = 200_000
+PIECES_KEPT = 300_000
 # Chunks are prepared in one text, parted by this character where they do not hold it.
 _PART = "\x01"
 
@@ -212,13 +212,9 @@ class PrefixBpe:
 
 def joined(values: Iterable[tuple[bytes, bytes]]) -> tuple[bytes, bytes]:
     """Packed ids and decoded text of consecutive parts; a part without ids has no place in the text."""
-    sides = tuple(zip(*values))
-    if not sides:
-        return b"", b""
-    ids, texts = sides
-    if b"" in ids:
-        texts = [t for i, t in zip(ids, texts) if i]
-    return b"".join(ids), b" ".join(texts)
+    held = list(values)
+    ids = [v[0] for v in held]
+    return b"".join(ids), b" ".join([t for i, t in held if i] if b"" in ids else [v[1] for v in held])
 
 
 _CODECS: dict = {}

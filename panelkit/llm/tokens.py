@@ -60,12 +60,15 @@ def chunk_cache(tokenizer: str) -> ChunkCache:
             if len(part) != 1:
                 return [alone(c) for c in chunks]
             mark = _PART.encode()
-            plain = [c for c in chunks if mark not in c]
-            text = f" {_PART} ".join([c.decode("utf-8") for c in plain])
+            plain = [c for c in chunks if mark not in c] if mark in b"".join(chunks) else chunks
+            text = (b" " + mark + b" ").join(plain).decode("utf-8")
             ids = np.array(codec.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
             cuts = (np.flatnonzero(ids == part[0]) * 4).tolist()
             packed = ids.tobytes()
-            found = dict(zip(plain, [packed[a:b] for a, b in zip([0, *[c + 4 for c in cuts]], [*cuts, len(packed)])]))
+            values = [packed[a:b] for a, b in zip([0, *[c + 4 for c in cuts]], [*cuts, len(packed)])]
+            if len(plain) == len(chunks):
+                return values
+            found = dict(zip(plain, values))
             return [found[c] if c in found else alone(c) for c in chunks]
 
         _CACHES[tokenizer] = ChunkCache(encode, CACHED)

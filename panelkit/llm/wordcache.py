@@ -7,7 +7,9 @@ that come again; its size is bounded, and chunks over 64 bytes are never kept.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 
@@ -16,6 +18,18 @@ from panelkit.llm.common import encoded
 LONGEST = 64
 
 
+@contextmanager
+def uncollected():
+    """No search for reference cycles meanwhile: it would visit the many values of the cache again and again."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 class ChunkCache:
     """`encode` maps a list of chunks to a list of values; `limit` bounds each of two generations."""
 
@@ -36,9 +50,11 @@ class ChunkCache:
                 missing.append(c)
             else:
                 young[c] = kept
-        found = dict(zip(missing, self.encode(missing))) if missing else {}
-        long = {c: v for c, v in found.items() if len(c) > LONGEST}
-        young.update((c, v) for c, v in found.items() if len(c) <= LONGEST)
+        long: dict = {}
+        if missing:
+            with uncollected():
+                for c, v in zip(missing, self.encode(missing)):
+                    (young if len(c) <= LONGEST else long)[c] = v
         if not long:
             for chunks in chunks_of_texts:
                 yield map(young.__getitem__, chunks)

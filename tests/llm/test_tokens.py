@@ -115,3 +115,28 @@ def test_chunks_prepared_together_equal_the_library():
         assert np.frombuffer(ids, "<u4").tolist() == want, chunk
         assert text.decode("utf-8") == library.decode(want, skip_special_tokens=False)
     assert codec.packed_chunks([]) == []
+
+
+def test_new_chunks_are_kept_without_searches_for_cycles():
+    """While many values are made the collector rests, and works again after; long chunks are not kept."""
+    import gc
+
+    from panelkit.llm.wordcache import ChunkCache
+
+    seen = []
+
+    def encode(chunks):
+        seen.append(gc.isenabled())
+        return [c[::-1] for c in chunks]
+
+    cache = ChunkCache(encode, 10)
+    assert [list(v) for v in cache.values([[b"ab", b"x" * 70], [b"ab"]])] == [[b"ba", b"x" * 70], [b"ba"]]
+    assert seen == [False] and gc.isenabled() and set(cache.young) == {b"ab"}
+
+
+def test_chunks_that_hold_the_mark_between_chunks():
+    from panelkit.llm.tokens import chunk_cache
+
+    chunks = [b"one", b"a\x01b", b"two"]
+    cache = chunk_cache("word_bpe_49k.json")
+    assert cache.encode(chunks) == [cache.encode([c])[0] for c in chunks] and cache.encode([b"a\x01"]) != cache.encode([b"a"])
