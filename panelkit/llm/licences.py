@@ -151,14 +151,15 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", template
     fits = f"filter(t, x -> 2 * least(size(g), size(x.b)) >= {dice}D * (size(g) + size(x.b)))"
     pairs = f"transform({fits}, x -> struct(2D * size(array_intersect(g, x.b)) / (size(g) + size(x.b)) as d, x.name as name))"
     out = f"if(size(w) < 2 or size(array_distinct(w)) > {most} + 1, array(), {let(bigrams, 'g', pairs)})"
-    of_unit = let(words, "w", out)
     docs = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
-    docs = docs.withColumn("__units", units(F.col("__text")))
+    # No word goes over a line's end, so the words of the whole text are those of its lines.
+    docs = docs.withColumn("__lines", lines(F.col("__text"))).withColumn("__lines", F.expr(f"transform(__lines, u -> {words})"))
+    docs = docs.withColumn("__units", F.expr("if(size(__lines) > 1, array_append(__lines, flatten(__lines)), __lines)"))
     found = docs.withColumn("__t", F.expr(array)).withColumn(
-        "__p", F.expr(f"flatten({let('__t', 't', f'transform(__units, u -> {of_unit})')})"))
+        "__p", F.expr(f"flatten({let('__t', 't', f'transform(__units, w -> {out})')})"))
     # Spans of the whole text, where a word tells that a short template may match or the length that a long one may.
     every = [*templates, *(full_texts() if full is None else full)]
-    spans = let(words.replace("(u)", "(__text)"), "w", f"if(size(w) < 2, array(), {let(bigrams_in_order(), 'g', _spans(every, dice))})")
+    spans = let("flatten(__lines)", "w", f"if(size(w) < 2, array(), {let(bigrams_in_order(), 'g', _spans(every, dice))})")
     grams = [t for t in template_bigrams(every) if t[1]]
     edge = r"[^\\p{L}\\p{N}]"
     telling = "|".join(w if len(w) > 3 else f"(^|{edge}){w}({edge}|$)" for w in _telling_words([t for t in grams if len(t[1]) <= SHORT], dice))
@@ -183,8 +184,6 @@ def bigrams_in_order() -> str:
     return "zip_with(slice(w, 1, size(w) - 1), slice(w, 2, size(w) - 1), (p, q) -> concat(p, ' ', q))"
 
 
-def units(text: Column) -> Column:
-    """Lines with a letter or digit, and the whole text if it has more than one such line."""
-    lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[\p{L}\p{N}]"))
-    return F.transform(F.array(F.struct(lines.alias("l"), text.alias("t"))), lambda s: F.when(
-        F.size(s["l"]) > 1, F.concat(s["l"], F.array(s["t"]))).otherwise(s["l"]))[0]
+def lines(text: Column) -> Column:
+    """Lines with a letter or digit; these are the units, and the whole text if it has more than one."""
+    return F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[\p{L}\p{N}]"))

@@ -247,3 +247,12 @@ def test_chat_pieces_in_order_of_place_are_the_text(spark):
         given = [(-1 if r["turn"] is None else r["turn"], r["role"] or "") for r in mine]
         assert given == sorted(given)
         assert legal("".join(r["piece"] for r in mine))
+
+
+def test_words_of_a_line_are_made_once(spark):
+    """The whole text's words are those of its lines, so only lines are normalised, and the result is as before."""
+    plan = licences.scan(frame(spark, TEXTS))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") == 1
+    text = "Über uns\n--\nReleased under the\nMIT License. ΣΑΣ\nend"
+    row = licences.scan(frame(spark, [text])).first()
+    assert row.n_units == 5 and row.licences == "MIT"
