@@ -168,10 +168,11 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     shared, token = docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
 
     def run(batches):
-        machine = _machine(token, shared)
-        for batch in batches:
-            out = [_judge(machine, text) for text in batch.column(1).to_pylist()]
-            yield _verdicts([batch.column(0)], ["doc_id"], out)
+        with hold("decontaminate", _CACHE.clear):
+            machine = _machine(token, shared)
+            for batch in batches:
+                out = [_judge(machine, text) for text in batch.column(1).to_pylist()]
+                yield _verdicts([batch.column(0)], ["doc_id"], out)
 
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {_SCHEMA}")
 
@@ -191,9 +192,10 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     at = docs.columns.index(text_col)
 
     def run(batches):
-        machine = _machine(token, shared)
-        for batch in batches:
-            yield batch.filter(pa.array([not _judge(machine, text)[4] for text in batch.column(at).to_pylist()], pa.bool_()))
+        with hold("decontaminate", _CACHE.clear):
+            machine = _machine(token, shared)
+            for batch in batches:
+                yield batch.filter(pa.array([not _judge(machine, text)[4] for text in batch.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
@@ -221,11 +223,11 @@ _CACHE: dict = {}
 
 def _machine(token: str, shared) -> Searcher:
     """The searcher of a broadcast block, built once per worker process; one is held at a time."""
-    hold("decontaminate", _CACHE.clear)
-    if token not in _CACHE:
+    found = _CACHE.get(token)
+    if found is None:
         _CACHE.clear()
-        _CACHE[token] = Searcher(shared.value)
-    return _CACHE[token]
+        found = _CACHE[token] = Searcher(shared.value)
+    return found
 
 
 def _find_in_blocks(numbered: DataFrame, windows: DataFrame, most: int) -> DataFrame:

@@ -15,6 +15,7 @@ files; only the two named columns are read.
 from __future__ import annotations
 
 import itertools
+import json
 import os
 import uuid
 import zlib
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelkit.llm.common import hold, tokenizer_file
-from panelkit.llm.wordcache import ChunkCache, slices
+from panelkit.llm.wordcache import ChunkCache, TextCache, pieces_of_file, slices
 from panelkit.session import scratch_path
 
 END_ID = 1
@@ -33,16 +34,17 @@ WRITE = {
     "compression": "zstd", "parquet.enable.dictionary": "true", "parquet.writer.version": "PARQUET_2_0",
     "parquet.block.size": str(16 << 20), "parquet.page.size": str(256 << 10), "parquet.page.row.count.limit": "1000",
 }
-# Chunks that each of two cache generations of a worker may hold.
-CACHED = 300_000
+# Pieces, and chunks, that each of two cache generations of a worker may hold.
+PIECES_KEPT = 300_000
+CACHED = 100_000
 _PART = "\x01"
 _CACHES: dict = {}
 
 
-def chunk_cache(tokenizer: str) -> ChunkCache:
+def chunk_cache(tokenizer: str) -> TextCache:
     """The worker's cache of packed ids, encoded by the tokenizers library."""
-    hold("tokens", _CACHES.clear)
-    if tokenizer not in _CACHES:
+    found = _CACHES.get(tokenizer)
+    if found is None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -71,8 +73,22 @@ def chunk_cache(tokenizer: str) -> ChunkCache:
             found = dict(zip(plain, values))
             return [found[c] if c in found else alone(c) for c in chunks]
 
-        _CACHES[tokenizer] = ChunkCache(encode, CACHED)
-    return _CACHES[tokenizer]
+        # Pieces need no such character: each one's last token ends with the file's mark of a word's end.
+        with open(tokenizer_file(tokenizer), encoding="utf-8") as f:
+            suffix = json.load(f)["model"].get("end_of_word_suffix")
+        last = np.array([bool(suffix) and (codec.id_to_token(i) or "").endswith(suffix) for i in range(codec.get_vocab_size())], bool)
+
+        def encode_pieces(pieces: list[str]) -> list[bytes]:
+            ids = np.array(codec.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = ((np.flatnonzero(last[ids]) + 1) * 4).tolist()
+            if len(cuts) != len(pieces):
+                return [alone(p.encode()) for p in pieces]
+            packed = ids.tobytes()
+            return [packed[a:b] for a, b in zip([0, *cuts], cuts)]
+
+        found = _CACHES[tokenizer] = TextCache(
+            pieces_of_file(tokenizer_file(tokenizer)), ChunkCache(encode_pieces, PIECES_KEPT), ChunkCache(encode, CACHED))
+    return found
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k.json", end_id: int = END_ID,
@@ -85,21 +101,22 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k.json
     end = np.array([end_id], "<u4").tobytes()
 
     def encode(batches):
-        cache, before = chunk_cache(tokenizer), 0
-        for batch in batches:
-            at = 0
-            for run in slices(batch.column(1)):
-                packed = [b"".join(v) for v in cache.values(run)]
-                sizes = np.array([len(p) // 4 + 1 for p in packed], np.int64)
-                ids = np.frombuffer(b"".join(itertools.chain.from_iterable((p, end) for p in packed)), "<i4")
-                starts = np.concatenate(([0], np.cumsum(sizes)))
-                n = len(packed)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, n), batch.column(2).slice(at, n), pa.array(before + starts[:-1]), pa.array(sizes),
-                     pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(ids))],
-                    names=["doc_id", "part", "before", "n_tokens", "ids"])
-                before += int(starts[-1])
-                at += n
+        with hold("tokens", _CACHES.clear):
+            cache, before = chunk_cache(tokenizer), 0
+            for batch in batches:
+                at = 0
+                for run in slices(batch.column(1)):
+                    packed = [b"".join(v) for v in cache.values(run)]
+                    sizes = np.array([len(p) // 4 + 1 for p in packed], np.int64)
+                    ids = np.frombuffer(b"".join(itertools.chain.from_iterable((p, end) for p in packed)), "<i4")
+                    starts = np.concatenate(([0], np.cumsum(sizes)))
+                    n = len(packed)
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).slice(at, n), batch.column(2).slice(at, n), pa.array(before + starts[:-1]), pa.array(sizes),
+                         pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(ids))],
+                        names=["doc_id", "part", "before", "n_tokens", "ids"])
+                    before += int(starts[-1])
+                    at += n
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     out = rows.mapInArrow(encode, f"doc_id {kind}, part int, before long, n_tokens long, ids array<int>")

@@ -1,13 +1,17 @@
-"""Per-process cache of what white-space separated chunks of texts encode to.
+"""Per-process cache of what pieces or white-space separated chunks of texts encode to.
 
 No pre-token of this tokenizer spans white space, and neither NFC nor lower-casing reaches across it,
-so the ids of a text are the ids of its chunks in order. A cache of two generations keeps the chunks
-that come again; its size is bounded, and chunks over 64 bytes are never kept.
+so the ids of a text are the ids of its chunks in order. Texts of ASCII and Latin-1 letters are split
+into their pre-tokens right away, which come again more often than chunks; other texts, and those with
+special tokens, go by chunks. A cache of two generations keeps what comes again; its size is bounded,
+and chunks and pieces longer than 64 are never kept.
 """
 
 from __future__ import annotations
 
 import gc
+import json
+import re
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
@@ -17,6 +21,35 @@ from panelkit.llm.common import encoded
 
 LONGEST = 64
 
+# The rules that pieces_of_file knows. NFC changes none of the plain characters, and Python's lower case of them is Unicode's.
+_RULES = (
+    {"type": "Sequence", "normalizers": [
+        {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+)
+_PLAIN = re.compile(r"[\t-\r -~À-ÖØ-öø-ÿ]*")
+_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\t-\r a-zß-öø-ÿ0-9]+")
+
+
+def pieces_of_file(file: str) -> Callable[[str | None], list[str] | None]:
+    """A function that gives a text's pre-tokens (before bytes become letters), or None where the library has to split it."""
+    with open(file, encoding="utf-8") as f:
+        spec = json.load(f)
+    if (spec["normalizer"], spec["pre_tokenizer"]) != _RULES or any(t["normalized"] for t in spec["added_tokens"]):
+        return lambda text: None
+    special = [t["content"] for t in spec["added_tokens"]]
+
+    def split(text: str | None) -> list[str] | None:
+        if text is None:
+            return []
+        if not _PLAIN.fullmatch(text) or any(s in text for s in special):
+            return None
+        return _PIECE.findall(text.lower())
+
+    return split
+
 
 @contextmanager
 def uncollected():
@@ -63,14 +96,31 @@ class ChunkCache:
                 yield (long[c] if c in long else young[c] for c in chunks)
 
 
-def slices(column: pa.Array, most_bytes: int = 2_000_000) -> Iterator[list[list[bytes]]]:
-    """Chunks of the texts of a column, in runs of about so many bytes; a single text is never cut."""
+class TextCache:
+    """Values of the pieces of texts, or of their chunks where `split` gives no pieces."""
+
+    def __init__(self, split: Callable[[str | None], list[str] | None], pieces: ChunkCache, chunks: ChunkCache):
+        self.split, self.pieces, self.chunks = split, pieces, chunks
+
+    def encode(self, chunks: list[bytes]) -> list:
+        return self.chunks.encode(chunks)
+
+    def values(self, texts: list[str | None]) -> Iterator[Iterable]:
+        """The values of every text's pieces or chunks, text by text."""
+        split = [self.split(t) for t in texts]
+        pieces = self.pieces.values([s for s in split if s is not None])
+        chunks = self.chunks.values([encoded(t).split() for t, s in zip(texts, split) if s is None])
+        for s in split:
+            yield next(chunks if s is None else pieces)
+
+
+def slices(column: pa.Array, most: int = 2_000_000) -> Iterator[list[str | None]]:
+    """Texts of a column, in runs of about so many characters; a single text is never cut."""
     held, size = [], 0
     for text in column.to_pylist():
-        raw = encoded(text)
-        held.append(raw.split())
-        size += len(raw)
-        if size >= most_bytes:
+        held.append(text)
+        size += len(text or "")
+        if size >= most:
             yield held
             held, size = [], 0
     if held:

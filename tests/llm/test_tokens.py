@@ -140,3 +140,70 @@ def test_chunks_that_hold_the_mark_between_chunks():
     chunks = [b"one", b"a\x01b", b"two"]
     cache = chunk_cache("word_bpe_49k.json")
     assert cache.encode(chunks) == [cache.encode([c])[0] for c in chunks] and cache.encode([b"a\x01"]) != cache.encode([b"a"])
+
+
+PLAIN = st.text(alphabet="aBehnOrsT'.,-!?$019 \n\t\x0béÉßÿÀöØþ~@[`{", max_size=60)
+
+
+@settings(max_examples=600, deadline=None)
+@given(PLAIN)
+def test_pieces_of_plain_texts(text):
+    """Plain texts are split without the library, with the pieces that it makes."""
+    from panelkit.llm.wordcache import pieces_of_file
+
+    library, _ = both()
+    want = [text for text, _ in library.pre_tokenizer.pre_tokenize_str(library.normalizer.normalize_str(text))]
+    assert [p.encode("utf-8").decode("latin-1").translate(bpe._LETTERS) for p in pieces_of_file(FILE)(text)] == want
+
+
+def test_every_character_is_split_as_by_the_library_or_left_to_it():
+    from panelkit.llm.wordcache import pieces_of_file
+
+    library, split = both()[0], pieces_of_file(FILE)
+    for code in range(0x300):
+        text = f"a{chr(code)}1{chr(code)}'s{chr(code)}."
+        found = split(text)
+        if found is not None:
+            want = [t for t, _ in library.pre_tokenizer.pre_tokenize_str(library.normalizer.normalize_str(text))]
+            assert [p.encode("utf-8").decode("latin-1").translate(bpe._LETTERS) for p in found] == want, code
+    assert split(None) == [] and split("é à") == ["é", "à"] and split("a <|endoftext|>") is None and split("e\u0301") is None
+
+
+def test_pieces_encoded_in_order_equal_the_library():
+    """Pieces that share prefixes, in both caches."""
+    from panelkit.llm.tokens import chunk_cache
+
+    library, codec = both()
+    rng = random.Random(5)
+    pieces = sorted({"".join(rng.choice(["th", "e", "in", "ing", "a", "é", "tion", "ß"]) for _ in range(rng.randrange(1, 9))) for _ in range(4000)})
+    rng.shuffle(pieces)
+    packed = [np.array(ids_of(library, p), "<u4").tobytes() for p in pieces]
+    assert [ids for ids, _ in codec.packed_plain(pieces)] == packed
+    assert chunk_cache("word_bpe_49k.json").pieces.encode(pieces) == packed
+
+
+def test_case_and_punctuation_share_one_entry():
+    """A word in three spellings takes one place in the cache, where chunks took three."""
+    from panelkit.llm.wordcache import ChunkCache, TextCache, pieces_of_file
+
+    cache = TextCache(pieces_of_file(FILE), ChunkCache(lambda p: p, 10), ChunkCache(lambda c: c, 10))
+    assert [list(v) for v in cache.values(["Word word, WORD.", None, "\u4e16 x"])] == [
+        ["word", "word", ",", "word", "."], [], ["\u4e16".encode(), b"x"]]
+    assert set(cache.pieces.young) == {"word", ",", "."} and set(cache.chunks.young) == {"\u4e16".encode(), b"x"}
+
+
+def test_idle_workers_drop_their_caches(monkeypatch):
+    import time
+
+    from panelkit.llm import common
+
+    monkeypatch.setattr(common, "IDLE_S", 0.2)
+    cache = {"a": 1}
+    with common.hold("test", cache.clear):
+        time.sleep(0.5)
+        assert cache
+    with common.hold("test", cache.clear):  # taken up in time
+        time.sleep(0.5)
+        assert cache
+    time.sleep(0.8)
+    assert not cache and "test" not in common._HELD
