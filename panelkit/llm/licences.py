@@ -19,8 +19,10 @@ get their own result; other columns of the input are not read.
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -91,27 +93,21 @@ def _needed(n: int, dice: float) -> int:
     return next(c for c in range(n + 1) if 2 * c >= dice * (n + c) - 1e-9)
 
 
-def _telling_words(templates: list[tuple[str, list[str]]], dice: float) -> list[str]:
-    """Words of which every span that matches a template has one, the longest words first."""
-    found: set[str] = set()
-    for _, bigrams in templates:
-        spare = len(bigrams) - _needed(len(bigrams), dice)
-        words = sorted({w for b in bigrams for w in b.split()}, key=lambda w: (w not in found, w == "by", -len(w), w))
-        for word in words:
-            if sum(not found.isdisjoint(b.split()) for b in bigrams) > spare:
-                break
-            found.add(word)
-    return sorted(w for w in found if not any(v != w and len(v) > 3 and v in w for v in found))
+def _least_words(bigrams: list[str], dice: float) -> int:
+    """Least number of a template's words in a span that matches it: the bigrams among some words are at most half their degrees."""
+    degrees = sorted(Counter(w for b in bigrams for w in b.split()).values(), reverse=True)
+    needed = 2 * _needed(len(bigrams), dice)
+    return next(m for m, total in enumerate(itertools.accumulate(degrees, initial=0)) if total >= needed)
 
 
 def _spans(templates: list[tuple[str, str]], dice: float) -> str:
-    """SQL text: (d, name) of each licence's best span in bigrams g, without the licences in `named`; short templates if `told`."""
+    """SQL text: (d, name) of each licence's best span in bigrams g, without the licences in `named`; `hit` has the templates' words in the text."""
     rows = []
     for (name, b), (_, text) in zip(template_bigrams(templates), templates):
         if b:
             n = len(re.sub(r"[^\w]|_", " ", text.lower()).split()) - 1
             rows.append(f"struct({_quoted(name)} as name, array({', '.join(map(_quoted, b))}) as b, {_needed(len(b), dice)} as need, "
-                        f"{int(n * (2 - dice) / dice) + 1} as most)")
+                        f"{_word_bound(b, dice)}, {int(n * (2 - dice) / dice) + 1} as most)")
     of_span = "2D * size(array_intersect(u, t.b)) / (size(array_distinct(u)) + size(t.b))"
     # Hits are positions in order, so at most t.most of them lie within as many places.
     short = let("filter(sequence(0, size(g) - 1), i -> array_contains(c, g[i]))", "h",
@@ -125,7 +121,7 @@ def _spans(templates: list[tuple[str, str]], dice: float) -> str:
     long = let(f"aggregate(g, {start}, (a, x) -> {step})", "v", f"struct({let('slice(g, v.bs + 1, v.bn)', 'u', of_span)} as d, v.bs as s, v.bs + v.bn - 1 as e)")
     nothing = "struct(0D as d, 0 as s, 0 as e)"
     common = let("array_intersect(g, t.b)", "c", f"if(size(c) < t.need, {nothing}, if(size(t.b) <= {SHORT}, {short}, {long}))")
-    found = f"filter(transform(filter(ts, t -> t.need <= size(g) and (told or size(t.b) > {SHORT})), t -> struct({common} as p, t.name as name)), x -> x.p.d >= {dice}D)"
+    found = f"filter(transform(filter(ts, t -> t.need <= size(g) and {MAY_MATCH}), t -> struct({common} as p, t.name as name)), x -> x.p.d >= {dice}D)"
     alone = ("filter(f, x -> not array_contains(named, x.name) and not exists(f, y -> y.p.d > x.p.d and y.p.s <= x.p.e and x.p.s <= y.p.e "
              "and not (x.p.s <= y.p.s and y.p.e <= x.p.e and x.p.e - x.p.s > y.p.e - y.p.s)))")
     best = let(found, "f", let(alone, "k", "transform(array_distinct(transform(k, x -> x.name)), n -> "
@@ -133,6 +129,16 @@ def _spans(templates: list[tuple[str, str]], dice: float) -> str:
     return let(f"array({', '.join(rows)})", "ts", best) if rows else "array()"
 
 
+# SQL text: the words `hit` allow a match with the template t.
+MAY_MATCH = "size(hit) >= t.least and size(array_intersect(t.words, hit)) >= t.least"
+
+
+def _word_bound(bigrams: list[str], dice: float) -> str:
+    """SQL text: the words of a template, and how many of them a match has at least."""
+    words = sorted({w for b in bigrams for w in b.split()})
+    return f"array({', '.join(map(_quoted, words))}) as words, {_least_words(bigrams, dice)} as least"
+
+
 def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -142,32 +148,34 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", template
     """One row per document: units, compared pairs, matches, the best licence, its coefficient, and all licences found."""
     tpl = template_bigrams(templates)
     array = "array(" + ", ".join(
-        f"struct({_quoted(n)} as name, array({', '.join(map(_quoted, b))}) as b)" for n, b in tpl) + ")"
+        f"struct({_quoted(n)} as name, array({', '.join(map(_quoted, b))}) as b, {_word_bound(b, dice)})" for n, b in tpl) + ")"
     # Most bigrams of a unit that any template can match. A unit of more distinct words than that has more bigrams
     # too, so it is left out before its bigrams are made.
     most = int(max((len(b) for _, b in tpl), default=0) * (2 - dice) / dice) + 1
     words = "filter(split(trim(regexp_replace(lower(u), '[^\\\\p{L}\\\\p{N}]+', ' ')), ' '), x -> x <> '')"
     bigrams = "array_distinct(zip_with(slice(w, 1, size(w) - 1), slice(w, 2, size(w) - 1), (p, q) -> concat(p, ' ', q)))"
-    fits = f"filter(t, x -> 2 * least(size(g), size(x.b)) >= {dice}D * (size(g) + size(x.b)))"
-    pairs = f"transform({fits}, x -> struct(2D * size(array_intersect(g, x.b)) / (size(g) + size(x.b)) as d, x.name as name))"
+    fits = f"filter(ts, x -> 2 * least(size(g), size(x.b)) >= {dice}D * (size(g) + size(x.b)))"
+    # A pair that the words rule out stays below the least coefficient, so its common bigrams are not counted.
+    pairs = (f"transform({fits}, t -> struct(if({MAY_MATCH}, 2D * size(array_intersect(g, t.b)) / (size(g) + size(t.b)), 0D) as d, "
+             "t.name as name))")
     out = f"if(size(w) < 2 or size(array_distinct(w)) > {most} + 1, array(), {let(bigrams, 'g', pairs)})"
     docs = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
     # No word goes over a line's end, so the words of the whole text are those of its lines.
     docs = docs.withColumn("__lines", lines(F.col("__text"))).withColumn("__lines", F.expr(f"transform(__lines, u -> {words})"))
     docs = docs.withColumn("__units", F.expr("if(size(__lines) > 1, array_append(__lines, flatten(__lines)), __lines)"))
-    found = docs.withColumn("__t", F.expr(array)).withColumn(
-        "__p", F.expr(f"flatten({let('__t', 't', f'transform(__units, w -> {out})')})"))
-    # Spans of the whole text, where a word tells that a short template may match or the length that a long one may.
     every = [*templates, *(full_texts() if full is None else full)]
+    grams = [b for _, b in template_bigrams(every) if b]
+    known = ", ".join(map(_quoted, sorted({w for bigrams in grams for b in bigrams for w in b.split()})))
+    hit = f"array_distinct(filter(flatten(__lines), x -> x in ({known})))" if known else "cast(array() as array<string>)"
+    docs = docs.withColumn("__hit", F.expr(hit))
+    compared = let("__hit", "hit", let("__t", "ts", f"transform(__units, w -> {out})"))
+    found = docs.withColumn("__t", F.expr(array)).withColumn("__p", F.expr(f"flatten({compared})"))
+    # Spans of the whole text, where its words allow a match with any template.
+    least = min((_least_words(b, dice) for b in grams), default=1 << 30)
     spans = let("flatten(__lines)", "w", f"if(size(w) < 2, array(), {let(bigrams_in_order(), 'g', _spans(every, dice))})")
-    grams = [t for t in template_bigrams(every) if t[1]]
-    edge = r"[^\\p{L}\\p{N}]"
-    telling = "|".join(w if len(w) > 3 else f"(^|{edge}){w}({edge}|$)" for w in _telling_words([t for t in grams if len(t[1]) <= SHORT], dice))
-    told = f"(lower(__text) rlike '{telling}')" if telling else "false"
-    least = min((_needed(len(b), dice) for _, b in grams if len(b) > SHORT), default=1 << 30)
     none = "cast(array() as array<struct<d: double, name: string>>)"
     found = found.withColumn("__named", F.expr(f"transform(filter(__p, x -> x.d >= {dice}D), x -> x.name)")).withColumn("__s", F.expr(let(
-        told, "told", f"if(told or length(__text) > 2 * {least}, {let('__named', 'named', spans)}, {none})")))
+        "__hit", "hit", f"if(size(hit) >= {least}, {let('__named', 'named', spans)}, {none})")))
     best = F.array_sort(F.concat(F.filter("__p", lambda x: x["d"] >= dice), "__s"), lambda a, b: F.when(a["d"] > b["d"], -1).when(
         a["d"] < b["d"], 1).when(a["name"] < b["name"], -1).when(a["name"] > b["name"], 1).otherwise(0))
     found = found.withColumn("__m", best)

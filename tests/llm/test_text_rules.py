@@ -256,3 +256,24 @@ def test_words_of_a_line_are_made_once(spark):
     text = "Über uns\n--\nReleased under the\nMIT License. ΣΑΣ\nend"
     row = licences.scan(frame(spark, [text])).first()
     assert row.n_units == 5 and row.licences == "MIT"
+
+
+def test_least_words_of_a_match():
+    """No set of fewer template words holds as many bigrams as a match needs."""
+    from itertools import combinations
+
+    for _, bigrams in [*licences.template_bigrams(), ("x", ["a a", "a b", "b a", "a c", "c d", "d a"])]:
+        words = sorted({w for b in bigrams for w in b.split()})
+        least = licences._least_words(bigrams, licences.DICE)
+        assert 1 <= least <= len(words)
+        if len(words) <= 14:
+            for some in combinations(words, least - 1):
+                assert sum(set(b.split()) <= set(some) for b in bigrams) < licences._needed(len(bigrams), licences.DICE)
+
+
+def test_a_licence_is_found_among_many_words(spark):
+    """Words that no template has are left out before any span is compared; the spans come out as before."""
+    noise = " ".join(f"w{i}" for i in range(400))
+    texts = [f"{noise} Released under the MIT License. {noise}", f"{noise} released license under mit the {noise}", noise, None]
+    out = licences.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [(r["n_matches"], r["licences"]) for r in out] == [(1, "MIT"), (0, ""), (0, ""), (0, "")]
