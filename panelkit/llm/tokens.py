@@ -35,7 +35,7 @@ WRITE = {
     "parquet.block.size": str(16 << 20), "parquet.page.size": str(256 << 10), "parquet.page.row.count.limit": "1000",
 }
 # Pieces, and chunks, that each of two cache generations of a worker may hold.
-PIECES_KEPT = 300_000
+PIECES_KEPT = 450_000
 CACHED = 100_000
 _PART = "\x01"
 _CACHES: dict = {}
