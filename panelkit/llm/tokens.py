@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelkit.llm.common import hold, tokenizer_file
-from panelkit.llm.wordcache import ChunkCache, TextCache, pieces_of_file, slices
+from panelkit.llm.common import encoded, hold, tokenizer_file
+from panelkit.llm.wordcache import ChunkCache, TextCache, array_pieces_of_file, array_slices, pieces_of_file
 from panelkit.session import scratch_path
 
 END_ID = 1
@@ -35,7 +35,7 @@ WRITE = {
     "parquet.block.size": str(16 << 20), "parquet.page.size": str(256 << 10), "parquet.page.row.count.limit": "1000",
 }
 # Pieces, and chunks, that each of two cache generations of a worker may hold.
-PIECES_KEPT = 450_000
+PIECES_KEPT = 300_000
 CACHED = 100_000
 _PART = "\x01"
 _CACHES: dict = {}
@@ -79,6 +79,9 @@ def chunk_cache(tokenizer: str) -> TextCache:
         last = np.array([bool(suffix) and (codec.id_to_token(i) or "").endswith(suffix) for i in range(codec.get_vocab_size())], bool)
 
         def encode_pieces(pieces: list[str]) -> list[bytes]:
+            if "" in pieces:
+                values = iter(encode_pieces([p for p in pieces if p]))
+                return [next(values) if p else b"" for p in pieces]
             ids = np.array(codec.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, "<u4")
             cuts = ((np.flatnonzero(last[ids]) + 1) * 4).tolist()
             if len(cuts) != len(pieces):
@@ -91,6 +94,27 @@ def chunk_cache(tokenizer: str) -> TextCache:
     return found
 
 
+def ids_of_run(cache: TextCache, split, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """Start of every text's ids, and of what follows the last, and all ids with the end ids.
+
+    Each distinct piece is looked up once. Texts that are not split are pieces of their own, and so is the end.
+    """
+    plain, lists = split(texts)
+    offsets, pieces = lists.offsets.to_numpy(), lists.flatten().dictionary_encode()
+    distinct = pieces.dictionary.to_numpy(zero_copy_only=False).tolist()  # faster than to_pylist
+    others = np.flatnonzero(~plain)
+    whole = [encoded(t).split() for t in texts.take(pa.array(others)).to_pylist()]
+    values = [*next(cache.pieces.values([distinct])), np.array([end_id], "<u4").tobytes(), *map(b"".join, cache.chunks.values(whole))]
+    ends, n = offsets[1:] - offsets[0], len(distinct)
+    index = np.insert(pieces.indices.to_numpy().astype(np.int64), np.concatenate((ends[others], ends)),
+                      np.concatenate((n + 1 + np.arange(len(others)), np.full(len(ends), n))))
+    sizes = np.array([len(v) // 4 for v in values], np.int64)
+    counts, first = sizes[index], np.cumsum(sizes) - sizes
+    upto = np.cumsum(counts)
+    ids = np.frombuffer(b"".join(values), "<i4")[np.repeat(first[index] - upto + counts, counts) + np.arange(counts.sum())]
+    return np.concatenate(([0], upto[np.flatnonzero(index == n)])), ids
+
+
 def write_tokens(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k.json", end_id: int = END_ID,
                  id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode every document and write the files."""
@@ -98,19 +122,16 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k.json
     rows = rows.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(
         F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text")
     rows = rows.select("doc_id", "text", F.spark_partition_id().alias("part"))
-    end = np.array([end_id], "<u4").tobytes()
 
     def encode(batches):
         with hold("tokens", _CACHES.clear):
             cache, before = chunk_cache(tokenizer), 0
+            split = array_pieces_of_file(tokenizer_file(tokenizer))
             for batch in batches:
                 at = 0
-                for run in slices(batch.column(1)):
-                    packed = [b"".join(v) for v in cache.values(run)]
-                    sizes = np.array([len(p) // 4 + 1 for p in packed], np.int64)
-                    ids = np.frombuffer(b"".join(itertools.chain.from_iterable((p, end) for p in packed)), "<i4")
-                    starts = np.concatenate(([0], np.cumsum(sizes)))
-                    n = len(packed)
+                for run in array_slices(batch.column(1)):
+                    starts, ids = ids_of_run(cache, split, run, end_id)
+                    sizes, n = np.diff(starts), len(run)
                     yield pa.RecordBatch.from_arrays(
                         [batch.column(0).slice(at, n), batch.column(2).slice(at, n), pa.array(before + starts[:-1]), pa.array(sizes),
                          pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(ids))],

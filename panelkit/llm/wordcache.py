@@ -15,7 +15,9 @@ import re
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from panelkit.llm.common import encoded
 
@@ -33,13 +35,27 @@ _PLAIN = re.compile(r"[\t-\r -~À-ÖØ-öø-ÿ]*")
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\t-\r a-zß-öø-ÿ0-9]+")
 
 
-def pieces_of_file(file: str) -> Callable[[str | None], list[str] | None]:
-    """A function that gives a text's pre-tokens (before bytes become letters), or None where the library has to split it."""
+# The same for arrays of plain texts: pieces that are no run of letters, and a text that is not plain.
+_NO_WORD = r"('s|'t|'re|'ve|'m|'ll|'d|[0-9]|[!-/:-@\[-`{-~]+)"
+_NOT_PLAIN = r"[^\t-\r -~À-ÖØ-öø-ÿ]"
+# Texts of more bytes are not split as arrays, whose offsets have 32 bits.
+_LARGE = 64_000_000
+
+
+def _special_tokens(file: str) -> list[str] | None:
+    """Special tokens of a file with the known rules, None for other files."""
     with open(file, encoding="utf-8") as f:
         spec = json.load(f)
     if (spec["normalizer"], spec["pre_tokenizer"]) != _RULES or any(t["normalized"] for t in spec["added_tokens"]):
+        return None
+    return [t["content"] for t in spec["added_tokens"]]
+
+
+def pieces_of_file(file: str) -> Callable[[str | None], list[str] | None]:
+    """A function that gives a text's pre-tokens (before bytes become letters), or None where the library has to split it."""
+    special = _special_tokens(file)
+    if special is None:
         return lambda text: None
-    special = [t["content"] for t in spec["added_tokens"]]
 
     def split(text: str | None) -> list[str] | None:
         if text is None:
@@ -51,6 +67,24 @@ def pieces_of_file(file: str) -> Callable[[str | None], list[str] | None]:
     return split
 
 
+def array_pieces_of_file(file: str) -> Callable[[pa.Array], tuple[np.ndarray, pa.ListArray]]:
+    """The same for an array of texts without nulls: whether each is split, and its pieces, empty ones among them."""
+    special = _special_tokens(file)
+
+    def split(texts: pa.Array) -> tuple[np.ndarray, pa.ListArray]:
+        if special is None:
+            plain = np.zeros(len(texts), bool)
+        else:
+            other = pc.or_(pc.match_substring_regex(texts, _NOT_PLAIN), pc.greater(pc.binary_length(texts), _LARGE))
+            for s in special:
+                other = pc.or_(other, pc.match_substring(texts, s))
+            plain = ~other.to_numpy(zero_copy_only=False)
+        lower = pc.utf8_lower(texts if plain.all() else pc.if_else(pa.array(plain), texts, ""))
+        return plain, pc.ascii_split_whitespace(pc.replace_substring_regex(lower, _NO_WORD, r" \1 "))
+
+    return split
+
+
 @contextmanager
 def uncollected():
     """No search for reference cycles meanwhile: it would visit the many values of the cache again and again."""
@@ -125,3 +159,13 @@ def slices(column: pa.Array, most: int = 2_000_000) -> Iterator[list[str | None]
             held, size = [], 0
     if held:
         yield held
+
+
+def array_slices(column: pa.Array, most_bytes: int = 4_000_000) -> Iterator[pa.Array]:
+    """A column of texts, null ones empty, in runs of about so many bytes; a single text is never cut."""
+    texts = pc.fill_null(column, "")
+    run = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64)) // most_bytes
+    cuts = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), len(texts)]
+    for a, b in zip(cuts, cuts[1:]):
+        if b > a:
+            yield texts.slice(a, b - a)

@@ -207,3 +207,29 @@ def test_idle_workers_drop_their_caches(monkeypatch):
         assert cache
     time.sleep(0.8)
     assert not cache and "test" not in common._HELD
+
+
+def test_texts_split_as_arrays():
+    """Array and pattern give the same pieces, and ids of runs of mixed texts are the library's."""
+    import pyarrow as pa
+
+    from panelkit.llm.wordcache import array_pieces_of_file, array_slices, pieces_of_file
+
+    library, split, split_array = both()[0], pieces_of_file(FILE), array_pieces_of_file(FILE)
+    rng = random.Random(3)
+    letters = list("aBsTdéÉßÿ×÷'.,-!09 \n\t\x0b") + ["'s", "'LL", "the", "ing", "'ve"]
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(40))) for _ in range(3000)]
+    texts += [f"a{chr(code)}1{chr(code)}'s{chr(code)}." for code in range(0x300)] + [t for t in TEXTS if t is not None]
+    plain, lists = split_array(pa.array(texts))
+    for text, is_plain, pieces in zip(texts, plain, lists.to_pylist()):
+        assert (split(text) if is_plain else None) == split(text), text
+        assert [p for p in pieces if p] == (split(text) or []), text
+    rng.shuffle(texts)
+    column = pa.array([None, *texts, None])
+    got = []
+    for run in array_slices(column, 5_000):
+        starts, ids = tokens.ids_of_run(tokens.chunk_cache("word_bpe_49k.json"), split_array, run, 1)
+        assert len(starts) == len(run) + 1 and starts[-1] == len(ids)
+        got += [ids[a:b].tolist() for a, b in zip(starts, starts[1:])]
+    assert got == [[*ids_of(library, t), 1] for t in column.to_pylist()]
+    assert list(array_slices(pa.array([], pa.string()))) == []
