@@ -11,6 +11,9 @@
    has been ruled out (6 standard deviations of HASHES minima).
 5. Components of the links: alternating large-star and small-star until nothing changes.
 
+Steps whose result is small are stored before the next one is planned: the driver holds the code, statistics and
+metrics of a plan, and a step that two later ones read would be planned and run twice.
+
 A pair at the threshold of 0.8 shares a band but for 1 in 4 million (2.5e-7), and passes the signature
 estimate but for 1 in 120 million. Equal sets are told by their size and a fingerprint of 128 bits; sets of
 64-bit hashes stand for sets of shingles.
@@ -141,12 +144,12 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == seen or now[0] == 0:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(
-                edges.select("b", F.col("b").alias("root")).distinct())
+            return pin(edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(
+                edges.select("b", F.col("b").alias("root")).distinct()))
         seen = now
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = pin(both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         rest = large.join(least, "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = pin(rest.union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
@@ -214,8 +217,9 @@ def _join_key(members: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def _hub_pairs(members: DataFrame) -> DataFrame:
-    """Pairs of every member with its bucket's hub, the member of the largest weight."""
-    hubs = members.groupBy("key").agg(F.max(F.struct("w", -F.col("cls"))).alias("h"), F.first("n").alias("n"))
+    """Pairs of every member with its bucket's hub, the member of the largest weight (the sum of its buckets' sizes)."""
+    weight = members.groupBy("cls").agg(F.sum("n").alias("w"))
+    hubs = members.join(weight, "cls").groupBy("key").agg(F.max(F.struct("w", -F.col("cls"))).alias("h"), F.first("n").alias("n"))
     rows = _join_key(members, hubs.select("key", "n", (-F.col("h.col2")).alias("hub"))).where("cls <> hub")
     return rows.select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")).distinct()
 
@@ -228,7 +232,7 @@ def _open_buckets(members: DataFrame, groups: DataFrame) -> DataFrame:
     rows = members.where("n > 2").join(groups.select(F.col("node").alias("cls"), "root"), "cls", "left")
     rows = rows.select("key", "cls", "n", F.coalesce("root", "cls").alias("comp"))
     still = rows.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.first("n").alias("n")).where("x <> y").select("key", "n")
-    return _join_key(rows, still).drop("n")
+    return _join_key(rows, pin(still)).drop("n")
 
 
 def _outsider_links(rows: DataFrame, classes: DataFrame, texts: DataFrame, words: int) -> list[DataFrame]:
@@ -284,6 +288,7 @@ def _outsider_links(rows: DataFrame, classes: DataFrame, texts: DataFrame, words
                                                  names=["a", "b"])
 
         found.append(pin(touched.mapInArrow(run, "a long, b long")))
+        shared.destroy()  # the links are stored, so no task needs the block again
     return found
 
 
@@ -306,8 +311,7 @@ def classify(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col:
     texts = inside.join(docs.withColumn("th", F.xxhash64("text")), ["doc_id", "th"]).dropDuplicates(["doc_id", "th"]).select("cls", "text")
     texts = store(texts, "texts")
 
-    weight = members.groupBy("cls").agg(F.sum("n").alias("w"))
-    hub_pairs = pin(_screen(_hub_pairs(members.join(weight, "cls")), classes))
+    hub_pairs = pin(_screen(pin(_hub_pairs(members)), classes))
     groups = components(_confirm(hub_pairs, texts, words))
     links = _outsider_links(pin(_open_buckets(members, groups)), classes, texts, words)
     if links:
@@ -316,7 +320,7 @@ def classify(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col:
 
     named = classes.select("cls", "rep", "n", "fp1", "fp2")
     named = named.join(groups.select(F.col("node").alias("cls"), "root"), "cls", "left")
-    named = named.withColumn("root", F.coalesce("root", "cls"))
+    named = pin(named.select("rep", "n", "fp1", "fp2", F.coalesce("root", "cls").alias("root")))
     named = named.join(named.groupBy("root").agg(F.min("rep").alias("component_id")), "root")
     out = found.select("doc_id", "th", "n", "fp1", "fp2").join(named.select("n", "fp1", "fp2", "component_id"), ["n", "fp1", "fp2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
@@ -335,5 +339,5 @@ def keep_single(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_co
     groups = classify(rows, words, key, text_col).select(F.col("doc_id").alias(key), "component_id")
     ids = rows.select(key, F.col(id_col).alias("id"))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", F.col(key).alias("row"))).alias("first")
-    kept = groups.join(ids, key).groupBy("component_id").agg(first).select(F.col("first.row").alias(key))
+    kept = pin(groups.join(ids, key).groupBy("component_id").agg(first).select(F.col("first.row").alias(key)))
     return rows.join(kept, key, "left_semi").select(docs.columns)

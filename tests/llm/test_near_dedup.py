@@ -117,3 +117,20 @@ def test_recall_of_near_copies(spark):
     sets = {i: shingles(t, 5) for i, t in rows}
     links = [(i, j) for i in range(0, len(rows), 20) for j in sets if j != i and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
     assert len(links) > 60 and all(component[i] == component[j] for i, j in links)
+
+
+def test_plans_stay_small(spark, monkeypatch):
+    """Rounds and the last step read stored rows, so the driver plans few joins at a time."""
+    joins = []
+    stored = near_dedup.pin
+
+    def plan(df):
+        return df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+
+    monkeypatch.setattr(near_dedup, "pin", lambda df: joins.append(plan(df)) or stored(df))
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*base[:57 - i % 8], *(f"x{i % 8}{j}" for j in range(3 + i % 8))])) for i in range(16)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = near_dedup.classify(docs, words=2)
+    assert max([*joins, plan(out)]) <= 4, joins
+    assert [r["component_id"] for r in out.orderBy("doc_id").collect()] == brute(rows, 2)
