@@ -177,6 +177,15 @@ def test_models_learn(frames, key, params):
     assert r.n == 40 and 0 <= r.lo <= r.hi <= 1 and r.acc > 0.7
 
 
+@pytest.mark.parametrize("key, params", [("RF", {"n_estimators": 5, "max_depth": 12}), ("DT", {"max_depth": 20})])
+def test_rows_keep_their_nodes_in_deep_trees(frames, key, params):
+    train = frames[0].coalesce(1).cache()
+    deep = estimator(key, params, 0, 1)
+    assert deep.getCacheNodeIds() and not estimator(key, {"max_depth": 5}, 0, 1).getCacheNodeIds()
+    one, other = (m.fit(train).toDebugString.split("\n", 1)[1] for m in (deep, deep.copy({deep.cacheNodeIds: False})))
+    assert one == other
+
+
 def test_bagging(frames):
     train, test = frames
     models, scored = fit_score("BAG", {"n_estimators": 3, "max_samples": 5, "max_features": 2}, train, test, "id", 200)
